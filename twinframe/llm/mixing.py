@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from twinframe.llm.common import WORD_SPLIT, cut, documents
 
+#: A tree of at most so many leaves is broadcast (some MB); a larger one is joined by its keys.
+BROADCAST_LEAVES = 20_000
 SHARE, MAX_EPOCHS, SEED, PIPELINE_SHARE = 0.5, 2, 42, 0.5
 #: Weights by path; a path that isn't listed weighs 1.
 WEIGHTS: Mapping[tuple[str, ...], float] = {("d0",): 2.0, ("d0", "en"): 3.0, ("d1", "en"): 2.0}
@@ -74,6 +76,11 @@ def budgets(leaves: DataFrame, levels: list[str], share: float, max_epochs: int,
     return sized.select(*levels, "tokens", F.col(f"b{len(levels)}").alias("budget"))
 
 
+def small(leaves: DataFrame) -> DataFrame:
+    """A table with a row for each leaf, broadcast if it is counted to be small."""
+    return F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+
+
 def leaf_cuts(rows: DataFrame, levels: list[str], share: float, max_epochs: int, seed: int, weights: Mapping[tuple[str, ...], float]) -> DataFrame:
     """rows (doc_id, levels..., n_tokens) -> (levels..., budget, epochs, last): whole epochs, and the last place taken
     from the next one (null: none)."""
@@ -82,6 +89,8 @@ def leaf_cuts(rows: DataFrame, levels: list[str], share: float, max_epochs: int,
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("long"))
     plan = cut(plan.withColumn("need", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
 
+    plan = small(plan)
+
     def same(a: str, b: str) -> Column:
         return reduce(Column.__and__, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in levels])
 
@@ -96,7 +105,7 @@ def leaf_cuts(rows: DataFrame, levels: list[str], share: float, max_epochs: int,
     inside = placed.alias("r").join(edge.alias("e"), same("r", "e") & (F.col("r.stretch") == F.col("e.stretch"))).select("r.*", "before")
     inside = inside.withColumn("sum", F.col("before") + F.sum("n_tokens").over(walk)).where("sum <= need").groupBy(*levels).agg(F.max("u").alias("last"))
     last = below.unionByName(inside).groupBy(*levels).agg(F.max("last").alias("last"))
-    return plan.alias("p").join(last.alias("l"), same("p", "l"), "left").select(*[f"p.{c}" for c in levels], "budget", "epochs", "last")
+    return small(cut(plan.alias("p").join(last.alias("l"), same("p", "l"), "left").select(*[f"p.{c}" for c in levels], "budget", "epochs", "last"), "cuts"))
 
 
 def copies(docs: DataFrame, levels: dict[str, Column], share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: Mapping[tuple[str, ...], float] = WEIGHTS) -> DataFrame:
@@ -113,6 +122,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], share: float = SHARE, max_ep
     names = [f"level_{i}_" for i in range(len(levels))]
     rows = cut(docs.select("doc_id", *[e.cast("string").alias(n) for n, e in zip(names, levels.values(), strict=True)], n_tokens(F.col("text")).alias("n_tokens")), "leaves")
     cuts = leaf_cuts(rows, names, share, max_epochs, seed, weights).select(*[F.col(n).alias(f"cut_{n}") for n in names], F.col("epochs").alias("epochs_"), F.col("last").alias("last_"))
+    cuts = small(cuts)
     on = reduce(Column.__and__, [e.cast("string").eqNullSafe(F.col(f"cut_{n}")) for n, e in zip(names, levels.values(), strict=True)])
     taken = F.col("epochs_") + F.coalesce((order_key(docs.doc_id, F.col("epochs_"), seed) <= F.col("last_")).cast("long"), F.lit(0))
     joined = docs.join(cuts, on).withColumn("copies_", taken.cast("int")).where("copies_ > 0")

@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +38,53 @@ class Encoder:
     """Encodes blocks of texts; words seen before are kept in a table of bounded size."""
 
     KEEP = 400_000
+    #: stands between words that are encoded in one call; words that hold it are encoded alone
+    MARK = "\x01"
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.known: dict[str, list[int]] = {}
+        self.mark = self.whole([self.MARK])[0]
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def stretches(self, words: list[str]) -> list[list[int]]:
-        known = self.known
-        if new := [w for w in words if w not in known]:
-            if len(known) + len(new) > self.KEEP:
-                self.known = known = {}
-                new = words
-            known.update(zip(new, self.whole(new), strict=True))
-        return [known[w] for w in words]
+    def learn(self, words: list[str]) -> None:
+        """Adds new words to the table."""
+        plain = [w for w in words if self.MARK not in w] if len(self.mark) == 1 else []
+        alone = [w for w in words if self.MARK in w] if len(self.mark) == 1 else words
+        ids, sizes = [self.ids], [self.size]
+        for lo in range(0, len(plain), 20_000):
+            part = plain[lo : lo + 20_000]
+            got = np.array(self.whole([f" {self.MARK} ".join([*part, ""])])[0], np.int32)
+            marks = np.flatnonzero(got == self.mark[0])
+            if len(marks) != len(part):
+                raise ValueError("the mark is no token of its own in this vocabulary")
+            ids.append(np.delete(got, marks))
+            sizes.append(np.diff(marks, prepend=-1) - 1)
+        rest = self.whole(alone)
+        ids.append(np.array([x for w in rest for x in w], np.int32))
+        sizes.append(np.array([len(w) for w in rest], np.int64))
+        self.known.update(zip([*plain, *alone], range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def slots(self, words: list[str]) -> np.ndarray:
+        """Each distinct word's place in the table."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.KEEP:
+            self.clear()
+            new = words
+        if new:
+            self.learn(new)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def block(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a flat buffer, each text's end id included, and their offsets."""
@@ -69,13 +98,10 @@ class Encoder:
             edge[offsets] = True
             at = np.flatnonzero(edge)
             words = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(LOWER[buf])]).dictionary_encode()
-            which = words.indices.to_numpy()
-            ids = self.stretches(words.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            table = np.fromiter((x for w in ids for x in w), np.int32, int(sizes.sum()))
-            begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
+            which = self.slots(words.dictionary.to_pylist())[words.indices.to_numpy()]
+            begin, size = self.begin[which], self.size[which]
             ends = np.cumsum(size)
-            flat = table[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
+            flat = self.ids[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
             upto = np.concatenate([[0], ends])[np.searchsorted(at, offsets)]
         else:
             flat, upto = np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
@@ -103,13 +129,19 @@ class Encoder:
         return out, out_at
 
 
+@cache
+def encoder(path: str | None) -> Encoder:
+    """One for a Python worker, whose next task finds the words of the last."""
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """ORC files of (doc_id, first, tokens), ascending in doc_id over files and rows; first: tokens before it in its file."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done = Encoder(vocabulary), 0
+        own, done = encoder(vocabulary), 0
         for part, buf, offsets in blocks(batches, "text", 4 << 20):
-            ids, at = encoder.block(buf, offsets)
+            ids, at = own.block(buf, offsets)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(done + at[:-1]), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "first", "tokens"])
             done += len(ids)
 
