@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from twinframe.llm import decontamination, language, mixing, simhash, tokens
+from twinframe.llm import decontamination, language, mixing, pii, quality, simhash, tokens, urls
 
 QUERIES = {
+    "op1_url_filter": urls.op1_url_filter,
     "op2_tokens": tokens.op2_tokens,
+    "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
+    "op5_pii": pii.op5_pii,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_language": language.op10_language,
 }
 
 ORACLES = {
+    "op1_url_filter": urls.ORACLE,
+    "op3_quality": quality.ORACLE,
     "op4_mixing": mixing.ORACLE,
 }
