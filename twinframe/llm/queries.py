@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinframe.llm import decontamination, language, mixing, pii, quality, simhash, tokens, urls
+from twinframe.llm import decontamination, language, lm, mixing, pii, quality, simhash, substrings, tokens, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op5_pii": pii.op5_pii,
+    "op6_lm_score": lm.op6_lm_score,
+    "op7_substrings": substrings.op7_substrings,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_language": language.op10_language,
