@@ -195,7 +195,7 @@ def _score(docs: DataFrame, model, text_col: str, keep: list[str]) -> tuple[Data
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces)
-        for part, raw, offsets in blocks(batches, at, 8 << 20):
+        for part, raw, offsets in blocks(batches, at, 5 << 20):
             n = len(offsets) - 1
             buf, s, e, first, inverse, text = _words(raw, offsets)
             total = np.tile(prior, (n, 1))

@@ -31,7 +31,7 @@ _TABLE = np.random.RandomState(7).randint(0, 2**63, 256).astype(np.uint64) * np.
 #: odd powers that weigh the left half against the right, by its length
 _STEP = {size: np.uint64(pow(0xD6E8FEB86659FD93, size, 2**64)) for size in (1, 2, 4, 8, 16, 32)}
 _LOW = np.uint64((1 << 24) - 1)
-_PIECE = 8 << 20
+_PIECE = 2 << 20
 _RECORD = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("windows", "<u2")])
 
 
@@ -195,7 +195,7 @@ def _gather(docs: DataFrame, hot: int) -> DataFrame:
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offsets in blocks(batches, "text"):
+        for part, buf, offsets in blocks(batches, "text", _PIECE):
             row, pos, windows, anchor, content = fragments(buf, offsets)
             doc = part.column("id").to_numpy()[row]
             order, first = earliest(anchor, content, doc, pos)
@@ -249,7 +249,7 @@ def _gather(docs: DataFrame, hot: int) -> DataFrame:
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, wanted) -> (kind, anchor, doc, pos, bytes)."""
-    for part, buf, offsets in blocks(batches, "text"):
+    for part, buf, offsets in blocks(batches, "text", _PIECE):
         wanted = part.column("wanted")
         n = wanted.value_lengths().to_numpy(zero_copy_only=False)
         base = np.repeat(offsets[:-1], n)
@@ -328,7 +328,7 @@ def _kept(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, i
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, buf, offsets in blocks(batches, "text"):
+    for part, buf, offsets in blocks(batches, "text", _PIECE):
         spans = part.column("spans")
         n = np.concatenate([[0], np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
         w = spans.flatten().flatten()
