@@ -312,7 +312,7 @@ def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     texts = docs.join(wanted, F.col("id") == F.col("doc")).select("id", "text", "wanted").mapInArrow(_cut_out, "kind int, anchor long, doc long, pos long, bytes binary")
     out = found.where("kind = 0").select("doc", "pos", "end")
     if not found.where("kind = 2").isEmpty():
-        keyed = cut(texts.where("kind = 2").mapInArrow(_windows, "h long, g long, doc long, pos long"), "windows")
+        keyed = texts.where("kind = 2").mapInArrow(_windows, "h long, g long, doc long, pos long")
         low = keyed.groupBy("h", "g").agg(F.min(F.struct("doc", "pos")).alias("low"))
         out = out.unionByName(keyed.join(low, ["h", "g"]).where(F.struct("doc", "pos") > F.col("low")).select("doc", "pos", (F.col("pos") + MIN).alias("end")))
     usual = texts.where("kind = 1").repartition("anchor").sortWithinPartitions("anchor")
@@ -338,6 +338,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dedup(docs: DataFrame, hot: int) -> DataFrame:
+    docs = docs.where("id is not null")  # as the joins want it, so that both use one shuffle of the texts
     spans = removed_spans(docs, hot).groupBy("doc").agg(F.collect_list(F.struct("pos", "end")).alias("spans"))  # by text length
     return docs.join(spans, F.col("id") == F.col("doc"), "left").select("id", "text", "spans").mapInArrow(_finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
