@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from twinframe.functions.scalars import heat_index_c
 
 WARM = (5, 6, 7, 8, 9)
-BY_DAY = Window.partitionBy("geoid").orderBy("valid_date")
+
+
+def by_day():
+    """Rows of a unit in order of days."""
+    return Window.partitionBy("geoid").orderBy("valid_date")
 
 
 def population_weighted(child: DataFrame, weights: DataFrame, min_coverage: float = 0.99) -> DataFrame:
@@ -82,8 +86,8 @@ def above(value: Column, threshold: Column) -> Column:
 
 def with_streak(df: DataFrame, flag: str = "hot", out: str = "hot_streak") -> DataFrame:
     """Days in a row with the flag, up to and with each day; a missing day or flag ends it."""
-    off = F.coalesce(F.col(flag) != 1, F.lit(True)) | F.coalesce(F.datediff("valid_date", F.lag("valid_date").over(BY_DAY)) != 1, F.lit(True))
-    isle = df.withColumn("isle_", F.sum(off.cast("int")).over(BY_DAY))
+    off = F.coalesce(F.col(flag) != 1, F.lit(True)) | F.coalesce(F.datediff("valid_date", F.lag("valid_date").over(by_day())) != 1, F.lit(True))
+    isle = df.withColumn("isle_", F.sum(off.cast("int")).over(by_day()))
     hot = F.coalesce(F.col(flag) == 1, F.lit(False))
     return isle.withColumn(out, F.sum(hot.cast("int")).over(Window.partitionBy("geoid", "isle_").orderBy("valid_date")).cast("double")).drop("isle_")
 
@@ -117,8 +121,8 @@ def thermal_features(exposure: DataFrame, ref_start, ref_end) -> DataFrame:
     clim = f.where(warm).groupBy("geoid").agg(F.avg("heat_index").alias("hi_clim_ref"))
     f = f.join(p95.join(clim, "geoid", "left"), "geoid", "left").withColumn("hi_excess_p95", F.col("heat_index") - F.col("threshold"))
     f = f.withColumn("hot", above(F.col("heat_index"), F.col("threshold"))).drop("threshold")
-    last3 = BY_DAY.rowsBetween(-2, 0)
-    f = f.withColumns({"hi_lag1": F.lag("heat_index").over(BY_DAY), "hi_mean_3d": F.avg("heat_index").over(last3), "tmin_mean_3d": F.avg("tmin").over(last3)})
+    last3 = by_day().rowsBetween(-2, 0)
+    f = f.withColumns({"hi_lag1": F.lag("heat_index").over(by_day()), "hi_mean_3d": F.avg("heat_index").over(last3), "tmin_mean_3d": F.avg("tmin").over(last3)})
     f = with_first_wave(with_streak(f)).drop("hot").withColumnRenamed("first_wave", "first_heatwave")
     angle = F.dayofyear("valid_date") * (2 * 3.141592653589793 / 365.25)
     return f.withColumns({"doy_sin": F.sin(angle), "doy_cos": F.cos(angle), "weekend": (F.weekday("valid_date") >= 5).cast("double")})
@@ -142,6 +146,6 @@ def with_warming(panel: DataFrame, delta: float) -> DataFrame:
         return panel.select("geoid", "valid_date", *FEATURES)
     f = panel.withColumns({"tmax": F.col("tmax") + delta, "tmin": F.col("tmin") + delta, "tmin_mean_3d": F.col("tmin_mean_3d") + delta})
     f = f.withColumn("d_", heat_index_c(F.col("tmax"), F.col("rh_min")) - F.col("heat_index"))
-    f = f.withColumns({"heat_index": F.col("heat_index") + F.col("d_"), "hi_excess_p95": F.col("hi_excess_p95") + F.col("d_"), "hi_lag1": F.col("hi_lag1") + F.coalesce(F.lag("d_").over(BY_DAY), F.col("d_")), "hi_mean_3d": F.col("hi_mean_3d") + F.avg("d_").over(BY_DAY.rowsBetween(-2, 0))})
+    f = f.withColumns({"heat_index": F.col("heat_index") + F.col("d_"), "hi_excess_p95": F.col("hi_excess_p95") + F.col("d_"), "hi_lag1": F.col("hi_lag1") + F.coalesce(F.lag("d_").over(by_day()), F.col("d_")), "hi_mean_3d": F.col("hi_mean_3d") + F.avg("d_").over(by_day().rowsBetween(-2, 0))})
     f = f.drop("hot_streak", "first_heatwave").withColumn("hot", (F.col("hi_excess_p95") > 0).cast("double"))
     return with_first_wave(with_streak(f)).withColumnRenamed("first_wave", "first_heatwave").select("geoid", "valid_date", *FEATURES)

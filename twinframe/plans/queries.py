@@ -117,11 +117,11 @@ def unpivot_daily(spark, d):
 
 
 @query(f"""WITH c AS ({fx.CHILD}), w AS ({fx.WEIGHTS}), t AS (SELECT parent, sum(population) AS total FROM w GROUP BY parent)
-SELECT parent, valid_date, variable, round(sum(value * population) / sum(population), 4) AS value, round(sum(population) / any_value(total), 6) AS coverage
+SELECT parent, valid_date, variable, round(sum(value * population) / sum(population), 7) AS value, round(sum(population) / any_value(total), 6) AS coverage
 FROM c JOIN w USING (geoid) JOIN t USING (parent) GROUP BY parent, valid_date, variable HAVING sum(population) / any_value(total) >= 0.5 - 1e-12""")
 def weighted_parent_mean(spark, d):
     out = pn.population_weighted(fx.view(spark, d, fx.CHILD), fx.view(spark, d, fx.WEIGHTS), 0.5)
-    return rounded(rounded(out, "value", to=4), "coverage")
+    return rounded(rounded(out, "value", to=7), "coverage")
 
 
 @query(f"""WITH w AS ({fx.WEIGHTS}), s AS (SELECT *, (sum(population) OVER (PARTITION BY parent ORDER BY population DESC, geoid ROWS UNBOUNDED PRECEDING) - population) / sum(population) OVER (PARTITION BY parent) AS before FROM w)
@@ -141,9 +141,9 @@ def snaps(spark, d):
     return pn.outage_snapshots(fx.view(spark, d, fx.OUTAGE))
 
 
-@query(f"WITH {SNAP} SELECT geoid, strftime(ts, '%Y-%m-%d %H:%M') AS ts, day, round(frac, 6) AS frac FROM snap")
+@query(f"WITH {SNAP} SELECT geoid, strftime(ts, '%Y-%m-%d %H:%M') AS ts, day, round(frac, 9) AS frac FROM snap")
 def outage_snapshots(spark, d):
-    return rounded(snaps(spark, d).select("geoid", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "day", "frac"), "frac")
+    return rounded(snaps(spark, d).select("geoid", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "day", "frac"), "frac", to=9)
 
 
 @query(f"WITH {SNAP} SELECT count(*) AS n_snapshots, count(*) FILTER (customers_out > customers) AS n_clipped FROM snap")
@@ -151,28 +151,28 @@ def outage_clips(spark, d):
     return pn.clip_report(snaps(spark, d))
 
 
-@query(f"WITH {DAYS} SELECT geoid, day, round(max_frac, 6) AS max_frac, coalesce(max_hours, 0) AS max_hours, round(customer_hours, 4) AS customer_hours FROM daily LEFT JOIN l USING (geoid, day)")
+@query(f"WITH {DAYS} SELECT geoid, day, round(max_frac, 9) AS max_frac, coalesce(max_hours, 0) AS max_hours, round(customer_hours, 4) AS customer_hours FROM daily LEFT JOIN l USING (geoid, day)")
 def outage_daily(spark, d):
-    return rounded(rounded(pn.outage_daily(snaps(spark, d)), "max_frac"), "customer_hours", to=4).select("geoid", "day", "max_frac", "max_hours", "customer_hours")
+    return rounded(rounded(pn.outage_daily(snaps(spark, d)), "max_frac", to=9), "customer_hours", to=4).select("geoid", "day", "max_frac", "max_hours", "customer_hours")
 
 
 @query(f"""WITH {DAYS}, span AS (SELECT geoid, min(day) AS a, max(day) AS b FROM daily GROUP BY geoid),
 g AS (SELECT geoid, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM span)
-SELECT geoid, day, round(coalesce(max_frac, 0), 6) AS max_frac, round(coalesce(customer_hours, 0), 4) AS customer_hours FROM g LEFT JOIN daily USING (geoid, day)""")
+SELECT geoid, day, round(coalesce(max_frac, 0), 9) AS max_frac, round(coalesce(customer_hours, 0), 4) AS customer_hours FROM g LEFT JOIN daily USING (geoid, day)""")
 def outage_densified(spark, d):
     daily = pn.outage_daily(snaps(spark, d))
     span = daily.groupBy("geoid").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     out = pn.densify(daily, span, ["max_frac", "customer_hours"]).select("geoid", "day", "max_frac", "customer_hours")
-    return rounded(rounded(out, "max_frac"), "customer_hours", to=4)
+    return rounded(rounded(out, "max_frac", to=9), "customer_hours", to=4)
 
 
 @query(f"""WITH {SNAP}, t AS (SELECT substr(geoid, 1, 2) AS parent, sum(c) AS total FROM (SELECT geoid, max(customers) AS c FROM snap GROUP BY geoid) GROUP BY 1)
-SELECT parent, strftime(ts, '%Y-%m-%d %H:%M') AS ts, round(least(1.0::DOUBLE, sum(customers_out) / any_value(total)), 6) AS frac FROM snap JOIN t ON substr(geoid, 1, 2) = parent GROUP BY parent, ts""")
+SELECT parent, strftime(ts, '%Y-%m-%d %H:%M') AS ts, round(least(1.0::DOUBLE, sum(customers_out) / any_value(total)), 9) AS frac FROM snap JOIN t ON substr(geoid, 1, 2) = parent GROUP BY parent, ts""")
 def outage_parent(spark, d):
     s = snaps(spark, d)
     total = s.groupBy("geoid").agg(F.max("customers").alias("c")).groupBy(F.substring("geoid", 1, 2).alias("parent")).agg(F.sum("c").alias("total"))
     out = pn.parent_snapshots(s, total, F.substring("geoid", 1, 2))
-    return rounded(out.select("parent", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "frac"), "frac")
+    return rounded(out.select("parent", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "frac"), "frac", to=9)
 
 
 HOT = f"""x AS ({fx.DAILY}), thr AS (SELECT geoid, quantile_cont(tmmx::DOUBLE, 0.9) AS threshold FROM x WHERE valid_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY geoid),
@@ -208,7 +208,7 @@ def first_wave(spark, d):
 @query(f"WITH x AS ({fx.DAILY}) SELECT geoid, valid_date, round(lag(tmmx) OVER w, 6) AS lag1, round(avg(tmmx) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean3 FROM x WINDOW w AS (PARTITION BY geoid ORDER BY valid_date)")
 def lag_and_rolling_mean(spark, d):
     x = fx.view(spark, d, fx.DAILY)
-    return rounded(x.select("geoid", "valid_date", F.lag("tmmx").over(pn.BY_DAY).alias("lag1"), F.avg("tmmx").over(pn.BY_DAY.rowsBetween(-2, 0)).alias("mean3")), "lag1", "mean3")
+    return rounded(x.select("geoid", "valid_date", F.lag("tmmx").over(pn.by_day()).alias("lag1"), F.avg("tmmx").over(pn.by_day().rowsBetween(-2, 0)).alias("mean3")), "lag1", "mean3")
 
 
 @query(f"WITH x AS ({fx.DAILY}) SELECT geoid, valid_date, round({heat_index_sql('tmmx', 'rmin')}, 6) AS heat_index FROM x")
