@@ -9,6 +9,7 @@ from twinframe.functions.scalars import heat_index_c, heat_index_sql, stable_id
 from twinframe.operators import bitemporal as bt
 from twinframe.operators import forecasts as fc
 from twinframe.operators import panel as pn
+from twinframe.operators import reports as rp
 from twinframe.operators import scenarios as sc
 from twinframe.operators import stats as st
 
@@ -450,3 +451,18 @@ def scenario_risk(spark, d):
 coalesce(try_cast(nullif(regexp_extract(lower(text), '(\\d+(?:\\.\\d+)?)\\s*%', 1), '') AS DOUBLE) / 100, CASE WHEN regexp_matches(lower(text), 'apag[oó]n|corte de luz|blackout') THEN 0.2::DOUBLE END, 0::DOUBLE) AS blackout_frac FROM conversations""")
 def scenario_requests(spark, d):
     return sc.extract_params(spark.read.parquet(f"{d}/conversations.parquet"), "text").select("conv_id", "turn", "heatwave_days", "blackout_frac")
+
+
+@query(f"WITH x AS ({fx.DAILY}) SELECT year(valid_date)::INT AS year, count(*) AS n, round(min(tmmx), 6) AS low, round(max(tmmx), 6) AS high, round(median(tmmx::DOUBLE), 6) AS middle, round(max(tmmx) / min(tmmx), 6) AS ratio FROM x GROUP BY 1")
+def coverage_by_year(spark, d):
+    return rounded(rp.coverage_by_year(fx.view(spark, d, fx.DAILY), "tmmx"), "low", "high", "middle", "ratio")
+
+
+@query(f"WITH {FACTS} SELECT count(*) FILTER (variable = 'tmmx') AS n_tmmx, count(*) FILTER (variable = 'rmin') AS n_rmin, count(*) FILTER (revision > 0) AS n_revised FROM facts")
+def layer_status(spark, d):
+    return rp.status(facts(spark, d), {"n_tmmx": "variable = 'tmmx'", "n_rmin": "variable = 'rmin'", "n_revised": "revision > 0"})
+
+
+@query(f"WITH {HOT}, e AS (SELECT *, {OUT} FROM s) SELECT geoid, valid_date, round(outage_customers_frac, 9) AS frac FROM e WHERE hot = 1 AND outage_customers_frac >= 0.05 AND outage_max_hours >= 1 ORDER BY outage_customers_frac DESC, geoid, valid_date LIMIT 25")
+def top_compound_days(spark, d):
+    return rounded(rp.top_compound_days(flags(spark, d), "outage_customers_frac").select("geoid", "valid_date", F.col("outage_customers_frac").alias("frac")), "frac", to=9)
