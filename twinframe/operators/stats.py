@@ -17,23 +17,23 @@ EDGES = 64
 NEMENYI = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
 
 
-def running(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
-    """Sums of columns over all rows of a smaller `order` value (distinct): {new column: column}."""
+def running(df: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of columns over all rows of a smaller `order` value (distinct in a group of `by`): {new column: column}."""
     edges = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / EDGES) for i in range(1, EDGES)]), 1000).alias("e")).first().e or []
     bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(edges))]), lambda e: e < F.col(order))) if edges else F.lit(0)
     df = df.withColumn("bucket_", bucket)
-    in_order = Window.partitionBy("bucket_").orderBy(order)
-    totals = df.groupBy("bucket_").agg(*[F.sum(c).alias(f"{n}_t_") for n, c in sums.items()])  # EDGES rows at most
-    before = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("bucket_", *[F.coalesce(F.sum(f"{n}_t_").over(before), F.lit(0)).alias(f"{n}_o_") for n in sums])
-    out = df.join(F.broadcast(offsets), "bucket_").withColumns({n: F.sum(c).over(in_order) - F.col(c) + F.col(f"{n}_o_") for n, c in sums.items()})
+    in_order = Window.partitionBy(*by, "bucket_").orderBy(order)
+    totals = df.groupBy(*by, "bucket_").agg(*[F.sum(c).alias(f"{n}_t_") for n, c in sums.items()])  # EDGES rows a group at most
+    before = Window.partitionBy(*by).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "bucket_", *[F.coalesce(F.sum(f"{n}_t_").over(before), F.lit(0)).alias(f"{n}_o_") for n in sums])
+    out = df.join(offsets if by else F.broadcast(offsets), [*by, "bucket_"]).withColumns({n: F.sum(c).over(in_order) - F.col(c) + F.col(f"{n}_o_") for n, c in sums.items()})
     return out.drop("bucket_", *[f"{n}_o_" for n in sums])
 
 
-def levels(df: DataFrame, score: str, y: str = "y") -> DataFrame:
-    """A row for each distinct score: pos, neg, and pos and neg below it."""
-    v = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    return running(v, "score", {"pos_below": "pos", "neg_below": "neg"})
+def levels(df: DataFrame, score: str, y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each distinct score (of a group): pos, neg, and pos and neg below it."""
+    v = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    return running(v, "score", {"pos_below": "pos", "neg_below": "neg"}, by)
 
 
 def midrank(df: DataFrame, col: str) -> DataFrame:
@@ -42,20 +42,22 @@ def midrank(df: DataFrame, col: str) -> DataFrame:
     return v.select("value", "n", (F.col("below") + (F.col("n") + 1) / 2).alias("midrank"))
 
 
-def auc(df: DataFrame, score: str, y: str = "y") -> DataFrame:
-    return levels(df, score, y).agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+def auc(df: DataFrame, score: str, y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each group; null where a class is missing."""
+    won = F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg"))
+    return levels(df, score, y, by).groupBy(*by).agg(won.alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
-def roc(df: DataFrame, score: str, y: str = "y") -> DataFrame:
+def roc(df: DataFrame, score: str, y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
     """(threshold, tpr, fpr, precision) of score >= threshold."""
-    v = levels(df, score, y)
-    t = v.agg(F.sum("pos").alias("p_"), F.sum("neg").alias("n_"))
-    v = v.join(F.broadcast(t)).withColumns({"tp_": F.col("p_") - F.col("pos_below"), "fp_": F.col("n_") - F.col("neg_below")})
-    return v.select(F.col("score").alias("threshold"), (F.col("tp_") / F.col("p_")).alias("tpr"), (F.col("fp_") / F.col("n_")).alias("fpr"), (F.col("tp_") / (F.col("tp_") + F.col("fp_"))).alias("precision"), (F.col("pos") / F.col("p_")).alias("step_"))
+    v = levels(df, score, y, by)
+    t = v.groupBy(*by).agg(F.sum("pos").alias("p_"), F.sum("neg").alias("n_"))
+    v = (v.join(t, list(by)) if by else v.join(F.broadcast(t))).withColumns({"tp_": F.col("p_") - F.col("pos_below"), "fp_": F.col("n_") - F.col("neg_below")})
+    return v.select(*by, F.col("score").alias("threshold"), F.try_divide("tp_", "p_").alias("tpr"), F.try_divide("fp_", "n_").alias("fpr"), (F.col("tp_") / (F.col("tp_") + F.col("fp_"))).alias("precision"), F.try_divide("pos", "p_").alias("step_"))
 
 
-def average_precision(df: DataFrame, score: str, y: str = "y") -> DataFrame:
-    return roc(df, score, y).agg(F.sum(F.col("precision") * F.col("step_")).alias("average_precision"))
+def average_precision(df: DataFrame, score: str, y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    return roc(df, score, y, by).groupBy(*by).agg(F.sum(F.col("precision") * F.col("step_")).alias("average_precision"))
 
 
 def youden(df: DataFrame, score: str, y: str = "y") -> DataFrame:
@@ -81,13 +83,62 @@ def delong(df: DataFrame, a: str, b: str, y: str = "y") -> DataFrame:
     return r.select("auc_a", "auc_b", (F.col("auc_a") - F.col("auc_b")).alias("diff"), F.sqrt("v_").alias("se"), ((F.col("auc_a") - F.col("auc_b")) / F.nullif(F.sqrt("v_"), F.lit(0.0))).alias("z"))
 
 
+def delong_ci(df: DataFrame, score: str, y: str = "y", z: float = 1.959963984540054) -> DataFrame:
+    """One row: the AUC, its standard error and its interval, cut to 0 and 1."""
+    v = levels(df, score, y)
+    t = v.agg(F.sum("pos").alias("p_"), F.sum("neg").alias("n_"))
+    v = v.join(F.broadcast(t)).withColumns({"x_": (F.col("neg_below") + F.col("neg") / 2) / F.col("n_"), "w_": (F.col("p_") - F.col("pos_below") - F.col("pos") / 2) / F.col("p_")})
+
+    def variance(c: str, n: str) -> Column:  # of the mean of c over n rows, each level counted n times
+        m = F.sum(F.col(n) * F.col(c)) / F.sum(n)
+        return F.try_divide(F.sum(F.col(n) * F.col(c) ** 2) - F.sum(n) * m * m, (F.sum(n) - 1) * F.sum(n))
+
+    r = v.agg((F.sum(F.col("pos") * F.col("x_")) / F.sum("pos")).alias("auc"), F.sqrt(variance("x_", "pos") + variance("w_", "neg")).alias("se"))
+    return r.select("auc", "se", F.greatest(F.lit(0.0), F.col("auc") - z * F.col("se")).alias("lo"), F.least(F.lit(1.0), F.col("auc") + z * F.col("se")).alias("hi"))
+
+
+def circular_permutation(df: DataFrame, score: str, group: str, order: list[str], y: str = "y", n: int = 500, seed: int = 0) -> DataFrame:
+    """One row: AUC, and the share of n replicates that reach it when each group's scores turn by a seeded offset in its order.
+
+    Ranks don't change under a turn, so a replicate only sums the ranks that its positives meet. `order` must be unique in a
+    group; rows without a score are left out.
+    """
+    ranks = midrank(df, score).select(F.col("value").alias("v_"), F.col("midrank").alias("r_"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
+    rows = df.join(ranks, F.col(score) == F.col("v_")).select(F.col(group).alias("g_"), F.col(y).alias("y_"), "r_", place.alias("i_"))
+    sizes = rows.groupBy("g_").agg(F.count(F.lit(1)).alias("m_"))
+    turn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep_").cast("string"), F.col("g_").cast("string"))), 1, 8), 16, 10).cast("long")
+    reps = sizes.withColumn("rep_", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("off_", F.when(F.col("m_") > 1, 1 + F.try_mod(turn, F.col("m_") - 1)).otherwise(F.lit(0)))
+    met = rows.where("y_ = 1").select("g_", F.col("i_").alias("j_")).join(reps, "g_").select("g_", "rep_", F.pmod(F.col("j_") - F.col("off_"), F.col("m_")).cast("int").alias("i_"))
+    sums = met.join(rows.select("g_", "i_", "r_"), ["g_", "i_"]).groupBy("rep_").agg(F.sum("r_").alias("s_"))
+    t = rows.agg(F.sum("y_").alias("p_"), F.sum(1 - F.col("y_")).alias("n_"), F.sum(F.when(F.col("y_") == 1, F.col("r_"))).alias("o_"))
+
+    def area(s: str) -> Column:
+        return F.try_divide(F.col(s) - F.col("p_") * (F.col("p_") + 1) / 2, F.col("p_") * F.col("n_"))
+
+    each = t.join(sums, how="left").withColumns({"auc": area("o_"), "turned_": area("s_")})
+    return each.groupBy("auc").agg(((F.count_if(F.col("turned_") >= F.col("auc") - 1e-12) + 1) / (F.count("s_") + 1)).alias("p_value"), F.count("s_").alias("replicates"))
+
+
+def calibration_line(df: DataFrame, p: str, y: str = "y") -> dict[str, float]:
+    """Slope of a logistic fit on the log odds of p, and intercept of one with that slope held at 1."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    rows = df.where(F.col(p).isNotNull()).select(F.col(y).cast("double").alias("y_"), F.ln(q / (1 - q)).alias("odds_"), F.lit(0.0).alias("zero_"))
+    free = GeneralizedLinearRegression(family="binomial", labelCol="y_", featuresCol="x_").fit(VectorAssembler(inputCols=["odds_"], outputCol="x_").transform(rows))
+    held = GeneralizedLinearRegression(family="binomial", labelCol="y_", featuresCol="x_", offsetCol="odds_", regParam=1e-9).fit(VectorAssembler(inputCols=["zero_"], outputCol="x_").transform(rows))
+    return {"slope": float(free.coefficients[0]), "intercept": float(held.intercept)}
+
+
 def normal_p(z: float) -> float:
     """Two-sided p-value of a normal deviate."""
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def brier(df: DataFrame, p: str, y: str = "y") -> DataFrame:
-    return df.agg(F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"), F.avg(y).alias("prevalence"))
+def brier(df: DataFrame, p: str, y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"), F.avg(y).alias("prevalence"))
 
 
 def spiegelhalter(df: DataFrame, p: str, y: str = "y") -> DataFrame:
@@ -133,13 +184,17 @@ def holm(df: DataFrame, alpha: float = 0.05) -> DataFrame:
     return df.withColumn("x_", adjusted).withColumn("p_adjusted", F.max("x_").over(order)).withColumn("reject", F.col("p_adjusted") <= alpha).drop("x_")
 
 
-def friedman(df: DataFrame) -> DataFrame:
-    """(block, model, score) -> chi-square of mean ranks (higher scores rank first, ties averaged) and the number of blocks and models."""
+def mean_ranks(df: DataFrame) -> DataFrame:
+    """(block, model, score) -> mean rank of each model; higher scores rank first, ties averaged."""
     by = Window.partitionBy("block").orderBy(F.col("score").desc())
     ranked = df.withColumn("r_", F.rank().over(by) + (F.count(F.lit(1)).over(Window.partitionBy("block", "score")) - 1) / 2)
-    mean = ranked.groupBy("model").agg(F.avg("r_").alias("r"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy("model").agg(F.avg("r_").alias("mean_rank"), F.count(F.lit(1)).alias("n"))
+
+
+def friedman(df: DataFrame) -> DataFrame:
+    """(block, model, score) -> chi-square of mean ranks and the number of blocks and models."""
     k, n = F.count(F.lit(1)), F.max("n")
-    return mean.agg(k.cast("int").alias("models"), n.cast("int").alias("blocks"), (12 * n / (k * (k + 1)) * (F.sum(F.col("r") ** 2) - k * (k + 1) ** 2 / 4)).alias("chi2"))
+    return mean_ranks(df).agg(k.cast("int").alias("models"), n.cast("int").alias("blocks"), (12 * n / (k * (k + 1)) * (F.sum(F.col("mean_rank") ** 2) - k * (k + 1) ** 2 / 4)).alias("chi2"))
 
 
 def critical_difference(models: int, blocks: int) -> float:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from twinframe import fixtures as fx
 from twinframe.functions.scalars import heat_index_c, heat_index_sql, stable_id
 from twinframe.operators import bitemporal as bt
+from twinframe.operators import explain as ex
 from twinframe.operators import forecasts as fc
+from twinframe.operators import models as md
 from twinframe.operators import panel as pn
 from twinframe.operators import reports as rp
 from twinframe.operators import scenarios as sc
@@ -466,3 +468,68 @@ def layer_status(spark, d):
 @query(f"WITH {HOT}, e AS (SELECT *, {OUT} FROM s) SELECT geoid, valid_date, round(outage_customers_frac, 9) AS frac FROM e WHERE hot = 1 AND outage_customers_frac >= 0.05 AND outage_max_hours >= 1 ORDER BY outage_customers_frac DESC, geoid, valid_date LIMIT 25")
 def top_compound_days(spark, d):
     return rounded(rp.top_compound_days(flags(spark, d), "outage_customers_frac").select("geoid", "valid_date", F.col("outage_customers_frac").alias("frac")), "frac", to=9)
+
+
+@query(f"""WITH {LEVELS}, x AS (SELECT *, (neg_below + neg / 2) / n AS x, (p - pos_below - pos / 2) / p AS w FROM l), m AS (SELECT sum(pos * x) / sum(pos) AS auc, sum(neg * w) / sum(neg) AS mw FROM x),
+v AS (SELECT auc, sqrt(sum(pos * (x - auc) ** 2) / (max(p) - 1) / max(p) + sum(neg * (w - mw) ** 2) / (max(n) - 1) / max(n)) AS se FROM x, m GROUP BY auc)
+SELECT round(auc, 9) AS auc, round(se, 9) AS se, round(greatest(0, auc - 1.959963984540054 * se), 9) AS lo, round(least(1, auc + 1.959963984540054 * se), 9) AS hi FROM v""")
+def delong_interval(spark, d):
+    return rounded(st.delong_ci(scored(spark, d), "score_a"), "auc", "se", "lo", "hi", to=9)
+
+
+@query(f"""WITH s AS ({fx.SCORED}), v AS (SELECT year(valid_date)::INT AS year, score_a, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY 1, 2), l AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY year ORDER BY score_a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v)
+SELECT year, round(sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 9) AS auc, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM l GROUP BY year""")
+def auc_by_year(spark, d):
+    return rounded(st.auc(scored(spark, d).withColumn("year", F.year("valid_date")), "score_a", by=("year",)), "auc", to=9)
+
+
+@query(f"""WITH s AS ({fx.SCORED}), r AS (SELECT grp, y, rank() OVER (ORDER BY score_a) + (count(*) OVER (PARTITION BY score_a) - 1) / 2 AS r, row_number() OVER (PARTITION BY grp ORDER BY valid_date, id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS m FROM s),
+o AS (SELECT grp, rep, CASE WHEN m > 1 THEN 1 + ('0x' || substr(md5('0:' || rep || ':' || grp), 1, 8))::BIGINT % (m - 1) ELSE 0 END AS off FROM (SELECT DISTINCT grp, m FROM r) g, (SELECT unnest(range(1, 21)) AS rep) t),
+t AS (SELECT o.rep, sum(q.r) AS s FROM r JOIN o USING (grp) JOIN r q ON q.grp = r.grp AND q.i = (r.i - o.off + r.m) % r.m WHERE r.y = 1 GROUP BY o.rep), c AS (SELECT sum(y) AS p, sum(1 - y) AS n, sum(r) FILTER (y = 1) AS o FROM r)
+SELECT round((any_value(o) - any_value(p) * (any_value(p) + 1) / 2) / (any_value(p) * any_value(n)), 9) AS auc, round((count(*) FILTER (s >= o - 1e-6) + 1) / (count(*) + 1), 9) AS p_value, count(*) AS replicates FROM t, c""")
+def circular_permutation(spark, d):
+    return rounded(st.circular_permutation(scored(spark, d), "score_a", "grp", ["valid_date", "id"], n=20), "auc", "p_value", to=9)
+
+
+@query(f"WITH x AS ({fx.SCORED}), b AS (SELECT *, median(score_a::DOUBLE) OVER () AS m FROM x WHERE score_b BETWEEN 100 AND 900) SELECT round(avg(y) FILTER (score_a <= m), 9) AS low, round(avg(y) FILTER (score_a > m), 9) AS high, count(*) AS n, round(avg(y) FILTER (score_a > m) - avg(y) FILTER (score_a <= m), 9) AS difference FROM b")
+def band_contrast(spark, d):
+    return rounded(ex.band_contrast(scored(spark, d), "y", "score_b", "score_a", 100, 900), "low", "high", "difference", to=9)
+
+
+@query(f"""WITH {FACTS}, a AS (SELECT source, count(*) AS files, sum(n)::BIGINT AS bytes, strftime(max(known_at), '%Y-%m-%d') AS latest FROM (SELECT source, known_at, count(*) * 8 AS n FROM reports GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT source, count(*) AS facts, count(DISTINCT geoid) AS units, min(valid_date)::DATE::VARCHAR || ' / ' || max(valid_date)::DATE::VARCHAR AS days FROM facts GROUP BY 1) SELECT * FROM f LEFT JOIN a USING (source)""")
+def provenance(spark, d):
+    files = fx.view(spark, d, fx.REPORTS).groupBy("source", F.col("known_at").alias("fetched_at")).agg((F.count(F.lit(1)) * 8).alias("n_bytes"))
+    return rp.provenance(files, facts(spark, d))
+
+
+@query(f"WITH x AS ({fx.DAILY}) SELECT count(DISTINCT valid_date)::INT AS n_days, min(valid_date)::DATE::VARCHAR AS first_day, string_agg(DISTINCT year(valid_date)::VARCHAR, ',' ORDER BY year(valid_date)::VARCHAR) AS years FROM x")
+def report_axes(spark, d):
+    return rp.axes(fx.view(spark, d, fx.DAILY)).select(F.size("days").alias("n_days"), F.element_at("days", 1).alias("first_day"), F.concat_ws(",", F.col("years").cast("array<string>")).alias("years"))
+
+
+@query(f"""WITH p AS ({fx.PRED}), q AS (SELECT *, CASE WHEN prediction_id % 3 = 0 THEN 'p' ELSE 's' || prediction_id % 3 END AS series FROM p),
+l AS (SELECT geoid, target_date, series, round(value, 4) AS value FROM q QUALIFY row_number() OVER (PARTITION BY geoid, target_date, series ORDER BY issued_at DESC, prediction_id DESC) = 1),
+o AS ({fx.OBS}), r AS (SELECT * FROM l UNION ALL SELECT geoid, target_date, 'y', value FROM o WHERE (geoid, target_date) IN (SELECT (geoid, target_date) FROM l)),
+days AS (SELECT target_date, row_number() OVER (ORDER BY target_date) - 1 AS pos FROM (SELECT DISTINCT target_date FROM l))
+SELECT g.geoid, g.series, d.pos::INT AS pos, round(r.value, 4) AS value FROM (SELECT DISTINCT geoid, series FROM r) g CROSS JOIN days d LEFT JOIN r ON r.geoid = g.geoid AND r.series = g.series AND r.target_date = d.target_date""")
+def risk_arrays(spark, d):
+    k = F.col("prediction_id") % 3
+    p = fx.view(spark, d, fx.PRED).withColumn("scenario_id", F.when(k != 0, F.concat(F.lit("s"), k.cast("string"))))
+    a = rp.risk_arrays(p, fx.view(spark, d, fx.OBS).select("geoid", "target_date", "value"))
+    return rounded(a.select("geoid", "series", F.posexplode("values").alias("pos", "value")), "value", to=4)
+
+
+@query()
+def model_fold_scores(spark, d):
+    panel = scored(spark, d).withColumn("year", F.year("valid_date")).withColumn("month", F.month("valid_date").cast("double")).persist()
+    specs = md.ladder(["score_a", "score_b", "month"], "score_a")[:2]
+    return md.fold_scores(md.train(panel, specs, md.outer_folds(panel), ["id"]).oof)
+
+
+@query()
+def shapley_importance(spark, d):
+    x = scored(spark, d)
+    odds = F.col("score_a") / 100000 - F.col("score_b") / 1000 + F.col("score_a") * F.col("score_b") / 1e8
+    score = lambda df: df.withColumn("p", 1 / (1 + F.exp(-odds)))
+    return ex.global_importance(ex.permutation_shapley(score, x, x, ["score_a", "score_b"], "id"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from twinframe.operators import bitemporal
+from twinframe.operators import bitemporal, forecasts
 
 
 def daily_metrics(stream: DataFrame, lateness: str = "2 days", step_hours: float = 0.25) -> DataFrame:
@@ -44,3 +49,44 @@ def upsert_batches(path: str):
             fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def _extend(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last, length = state.get if state.exists else (None, 0)
+    rows = pd.concat(list(batches)).sort_values("valid_date", kind="stable")
+    out = []
+    for day, hot in zip(rows.valid_date, rows.hot, strict=True):
+        now = day.toordinal()
+        if last is not None and now <= last:
+            out.append((key[0], day, None))
+            continue
+        length = 0 if pd.isna(hot) or hot != 1 else length + 1 if last is not None and now == last + 1 else 1
+        last = now
+        out.append((key[0], day, float(length)))
+    state.update((last, length))
+    yield pd.DataFrame(out, columns=["geoid", "valid_date", "hot_streak"])
+
+
+def streaks(stream: DataFrame) -> DataFrame:
+    """Days (geoid, valid_date, hot) -> the run of hot days up to each, carried over micro-batches by unit.
+
+    Days of a unit must come in order from batch to batch (any order inside one); a day at or before the last one seen gets a
+    null streak, not a wrong one. A missing day or a null flag breaks the run.
+    """
+    days = stream.select("geoid", "valid_date", F.col("hot").cast("double").alias("hot")).where("geoid is not null and valid_date is not null")
+    return days.groupBy("geoid").applyInPandasWithState(_extend, "geoid string, valid_date date, hot_streak double", "last long, length long", "append", GroupStateTimeout.NoTimeout)
+
+
+def drift_batches(path: str, out: str, by: tuple[str, ...] = ("model_name", "model_version", "quantity")):
+    """A foreachBatch function over prediction-observation pairs: keeps a batch's pairs at path and writes the metrics and drift
+    flags over all pairs so far at out, one folder a batch. A replay overwrites its own folders."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        touched = batch.select(*by).distinct()
+        pairs = spark.read.schema(batch.schema).option("basePath", path).parquet(f"{path}/batch=*")
+        measured = forecasts.drift(forecasts.metrics(pairs.join(touched, list(by), "left_semi"), by))
+        measured.withColumn("ran_at", F.lit(dt.datetime.now(dt.UTC))).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return write
