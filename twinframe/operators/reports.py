@@ -47,7 +47,7 @@ def axes(df: DataFrame, day: str = "valid_date") -> DataFrame:
     return days.agg(F.sort_array(F.collect_set(F.col("d").cast("string"))).alias("days"), F.sort_array(F.collect_set(F.year("d"))).alias("years"))
 
 
-def risk_arrays(predictions: DataFrame, observations: DataFrame, unit: str = "geoid", day: str = "target_date") -> DataFrame:
+def risk_arrays(predictions: DataFrame, observations: DataFrame, unit: str = "geoid", day: str = "target_date", digits: int = 4) -> DataFrame:
     """By unit and series, an array with one place for each day that any unit has (null where it has no value).
 
     Series: `p` the baseline, each scenario by its id, `y` the observed outcome. predictions (unit, day, scenario_id, value, issued_at,
@@ -56,7 +56,7 @@ def risk_arrays(predictions: DataFrame, observations: DataFrame, unit: str = "ge
     latest = latest_per(predictions.withColumn("series", F.coalesce("scenario_id", F.lit("p"))), (unit, day, "series"), F.col("issued_at").desc(), F.col("prediction_id").desc())
     known = latest.select(unit, day).distinct()
     seen = observations.join(known, [unit, day], "left_semi").select(unit, day, F.lit("y").alias("series"), F.col("value").cast("double").alias("value"))
-    rows = latest.select(unit, day, "series", F.round("value", 4).alias("value")).unionByName(seen)
+    rows = latest.select(unit, day, "series", F.round("value", digits).alias("value")).unionByName(seen)
     days = latest.select(day).distinct().agg(F.sort_array(F.collect_set(day)).alias("days_"))
     got = rows.groupBy(unit, "series").agg(F.map_from_entries(F.collect_list(F.struct(day, "value"))).alias("m_"))
     return got.join(F.broadcast(days)).select(unit, "series", F.transform("days_", lambda d: F.element_at("m_", d)).alias("values"))

@@ -471,8 +471,8 @@ def top_compound_days(spark, d):
 
 
 @query(f"""WITH {LEVELS}, x AS (SELECT *, (neg_below + neg / 2) / n AS x, (p - pos_below - pos / 2) / p AS w FROM l), m AS (SELECT sum(pos * x) / sum(pos) AS auc, sum(neg * w) / sum(neg) AS mw FROM x),
-v AS (SELECT auc, sqrt(sum(pos * (x - auc) ** 2) / (max(p) - 1) / max(p) + sum(neg * (w - mw) ** 2) / (max(n) - 1) / max(n)) AS se FROM x, m GROUP BY auc)
-SELECT round(auc, 9) AS auc, round(se, 9) AS se, round(greatest(0, auc - 1.959963984540054 * se), 9) AS lo, round(least(1, auc + 1.959963984540054 * se), 9) AS hi FROM v""")
+e AS (SELECT auc, sqrt(sum(pos * (x - auc) ** 2) / (max(p) - 1) / max(p) + sum(neg * (w - mw) ** 2) / (max(n) - 1) / max(n)) AS se FROM x, m GROUP BY auc)
+SELECT round(auc, 9) AS auc, round(se, 9) AS se, round(greatest(0, auc - 1.959963984540054 * se), 9) AS lo, round(least(1, auc + 1.959963984540054 * se), 9) AS hi FROM e""")
 def delong_interval(spark, d):
     return rounded(st.delong_ci(scored(spark, d), "score_a"), "auc", "se", "lo", "hi", to=9)
 
@@ -509,15 +509,15 @@ def report_axes(spark, d):
 
 
 @query(f"""WITH p AS ({fx.PRED}), q AS (SELECT *, CASE WHEN prediction_id % 3 = 0 THEN 'p' ELSE 's' || prediction_id % 3 END AS series FROM p),
-l AS (SELECT geoid, target_date, series, round(value, 4) AS value FROM q QUALIFY row_number() OVER (PARTITION BY geoid, target_date, series ORDER BY issued_at DESC, prediction_id DESC) = 1),
+l AS (SELECT geoid, target_date, series, value FROM q QUALIFY row_number() OVER (PARTITION BY geoid, target_date, series ORDER BY issued_at DESC, prediction_id DESC) = 1),
 o AS ({fx.OBS}), r AS (SELECT * FROM l UNION ALL SELECT geoid, target_date, 'y', value FROM o WHERE (geoid, target_date) IN (SELECT (geoid, target_date) FROM l)),
 days AS (SELECT target_date, row_number() OVER (ORDER BY target_date) - 1 AS pos FROM (SELECT DISTINCT target_date FROM l))
-SELECT g.geoid, g.series, d.pos::INT AS pos, round(r.value, 4) AS value FROM (SELECT DISTINCT geoid, series FROM r) g CROSS JOIN days d LEFT JOIN r ON r.geoid = g.geoid AND r.series = g.series AND r.target_date = d.target_date""")
+SELECT g.geoid, g.series, d.pos::INT AS pos, round(r.value, 6) AS value FROM (SELECT DISTINCT geoid, series FROM r) g CROSS JOIN days d LEFT JOIN r ON r.geoid = g.geoid AND r.series = g.series AND r.target_date = d.target_date""")
 def risk_arrays(spark, d):
     k = F.col("prediction_id") % 3
     p = fx.view(spark, d, fx.PRED).withColumn("scenario_id", F.when(k != 0, F.concat(F.lit("s"), k.cast("string"))))
-    a = rp.risk_arrays(p, fx.view(spark, d, fx.OBS).select("geoid", "target_date", "value"))
-    return rounded(a.select("geoid", "series", F.posexplode("values").alias("pos", "value")), "value", to=4)
+    a = rp.risk_arrays(p, fx.view(spark, d, fx.OBS).select("geoid", "target_date", "value"), digits=6)  # prices in thousands have five digits, so none is a tie
+    return rounded(a.select("geoid", "series", F.posexplode("values").alias("pos", "value")), "value")
 
 
 @query()
