@@ -64,3 +64,11 @@ def test_streamed_upsert(spark, tmp_path):
     write(make(2.0, dt.datetime(2024, 1, 3), 2), 2)  # a replay
     facts = spark.read.schema(bt.FACT).parquet(path)
     assert sorted((r.value, r.revision) for r in facts.collect()) == [(1.0, 0), (2.0, 1)]
+
+
+def test_missing_units_and_source_version(spark):
+    rows = spark.createDataFrame([("04013",), ("04013",), ("06037",), (None,)], "geoid string")
+    known = spark.createDataFrame([("04013", 10.0)], "geoid string, customers double")
+    assert {r.geoid for r in files.missing_units(rows, known).collect()} == {"06037", None}
+    found = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("a", dt.datetime(2024, 2, 1)), ("b", dt.datetime(2024, 1, 5))], "source string, fetched_at timestamp")
+    assert {r.source: r.source_version for r in files.source_version(found, {"b": "v2"}).collect()} == {"a": "2024-02-01", "b": "v2"}

@@ -89,3 +89,17 @@ def artifacts(spark: SparkSession, path: str) -> DataFrame:
 def verify(found: DataFrame, expected: DataFrame) -> DataFrame:
     """Files whose MD5 isn't the published one; expected (path, md5)."""
     return found.join(expected.select("path", F.col("md5").alias("published")), "path", "left").where(~F.col("md5").eqNullSafe(F.lower("published")))
+
+
+def missing_units(rows: DataFrame, customers: DataFrame, unit: str = "geoid") -> DataFrame:
+    """Units of rows for which there is no denominator, each once; a null unit is one of them."""
+    return rows.select(unit).distinct().join(customers.select(unit), unit, "left_anti")
+
+
+def source_version(found: DataFrame, fixed: dict[str, str] | None = None) -> DataFrame:
+    """(source, source_version): the fixed version of a dataset, else the day of its latest artifact (source, fetched_at)."""
+    latest = found.groupBy("source").agg(F.date_format(F.max("fetched_at"), "yyyy-MM-dd").alias("day_"))
+    stated = F.lit(None).cast("string")
+    for name, version in (fixed or {}).items():
+        stated = F.when(F.col("source") == name, version).otherwise(stated)
+    return latest.select("source", F.coalesce(stated, "day_").alias("source_version"))
