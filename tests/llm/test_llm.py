@@ -234,10 +234,13 @@ def naive_substrings(pairs):
     return out
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT, 2])
-def test_substrings(docs, rows, hot):
+@pytest.mark.parametrize(("hot", "wide"), [(substrings.HOT, substrings.WIDE), (2, substrings.WIDE), (substrings.HOT, 1)])
+def test_substrings(docs, rows, hot, wide):
     want = naive_substrings([(r[0], r[1]) for r in rows])
-    got = [tuple(r)[1:] for r in substrings.dedup_substrings(docs, hot=hot).orderBy("doc_id").collect()]
+    if wide == 1:
+        told = substrings.wide_anchors(docs.selectExpr("doc_id AS id", "text"), wide, 1)
+        assert 0 < len(told) == len(set(told.tolist()))
+    got = [tuple(r)[1:] for r in substrings.dedup_substrings(docs, hot=hot, wide=wide, sample=1).orderBy("doc_id").collect()]
     assert got == want and sum(w[1] for w in want) > 5000
 
 
@@ -307,6 +310,19 @@ def test_decontamination(spark, docs, rows, odd, empty):
     assert decontamination.keep_clean(odd, items).columns == odd.columns and decontamination.leaks(empty, items).count() == 0 and decontamination.leaks(d, items.limit(0)).count() == 0
 
 
+def test_pairs_are_made_in_parts_of_rows(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    shared = make_text(rng, 12)
+    items = [(i, f"{shared} {make_text(rng, 10)}") for i in range(20)]
+    index = decontamination.Index(items)
+    buf, offsets = flat(pa.array([f"{shared} {i} {items[i % 20][1]}" if i % 3 else shared for i in range(30)]))
+    whole = index.scan(buf, offsets, 0.8)
+    monkeypatch.setattr(decontamination, "MAX_PAIRS", 7)
+    assert index.scan(buf, offsets, 0.8) == whole and len(whole) >= 20
+
+
 def test_tiles_are_greedy_and_disjoint():
     rng = np.random.RandomState(4)
     for _ in range(50):

@@ -6,7 +6,8 @@ first without overlap on either side, so that reordered passages still count. An
 tiles cover at least COVERAGE of its tokens.
 
 The items go to the tasks as one index of at most MAX_SEEDS seeds; a larger benchmark is handled in several such
-blocks of items, each against all documents.
+blocks of items, each against all documents and written before the next is read. Seed pairs are made for rows that
+together have at most MAX_PAIRS (or for one row).
 Defined results: null or empty texts share nothing; an item shorter than MIN_MATCH tokens must occur as a whole, one
 without tokens never matches; equal items each give their own row; repeated documents give repeated rows.
 """
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import LOWER, TOKEN, Members, blocks, documents, flat, ngrams, spans, xxh64_spans
+from twinframe.llm.common import LOWER, TOKEN, Members, blocks, cut, documents, flat, ngrams, spans, xxh64_spans
 
-MIN_MATCH, COVERAGE, MAX_SEEDS = 5, 0.8, 400_000
+MIN_MATCH, COVERAGE, MAX_SEEDS, MAX_PAIRS = 5, 0.8, 400_000, 2_000_000
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,41 +93,56 @@ class Index:
             row = np.searchsorted(first, at, "right") - 1
             inside = at + size <= first[row + 1]  # a run must not cross into the next text
             at, key, row = at[inside], key[inside], row[inside]
-            n = begin[key + 1] - begin[key]
-            at, row = np.repeat(at, n), np.repeat(row, n)
-            found = where[np.repeat(begin[key], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
-            order = np.lexsort((at, found[:, 0], row))
-            at, row, found = at[order], row[order], found[order]
-            new = np.flatnonzero((np.diff(row) != 0) | (np.diff(found[:, 0]) != 0)) + 1 if len(at) else []
-            for a, b in zip([0, *new], [*new, len(at)], strict=True) if len(at) else ():
-                r, k = int(row[a]), int(found[a, 0])
-                item = self.items[k]
-                could = np.zeros(len(item) + 1, np.int64)
-                np.add.at(could, found[a:b, 1], 1)
-                np.add.at(could, found[a:b, 1] + size, -1)
-                if (np.cumsum(could)[:-1] > 0).sum() < coverage * len(item):
-                    continue  # even all seeds together cover too little
-                doc = h[first[r] : first[r + 1]]
-                tiles = tile(doc, item, np.column_stack([at[a:b] - first[r], found[a:b, 1]]), size)
-                covered = sum(t[0] for t in tiles)
-                if covered >= coverage * len(item):
-                    out.append((r, k, covered / len(item), covered, len(tiles), tiles[0][0]))
+            stops = np.append(np.flatnonzero(np.diff(row)) + 1, len(at)) if len(at) else []
+            upto = np.append(0, np.cumsum(begin[key + 1] - begin[key]))
+            lo = 0
+            while lo < len(at):
+                k = np.searchsorted(stops, lo, "right")
+                hi = int(stops[max(k, np.searchsorted(upto[stops], upto[lo] + MAX_PAIRS, "right") - 1)])
+                out += self._leaks(size, at[lo:hi], key[lo:hi], row[lo:hi], h, first, coverage)
+                lo = hi
+        return out
+
+    def _leaks(self, size: int, at: np.ndarray, key: np.ndarray, row: np.ndarray, h: np.ndarray, first: np.ndarray, coverage: float) -> list[tuple[int, int, float, int, int, int]]:
+        """The leaks of the rows whose seeds (place, key, row) are given."""
+        _, begin, where = self.seeds[size]
+        out = []
+        n = begin[key + 1] - begin[key]
+        at, row = np.repeat(at, n), np.repeat(row, n)
+        found = where[np.repeat(begin[key], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.lexsort((at, found[:, 0], row))
+        at, row, found = at[order], row[order], found[order]
+        new = np.flatnonzero((np.diff(row) != 0) | (np.diff(found[:, 0]) != 0)) + 1
+        for a, b in zip([0, *new], [*new, len(at)], strict=True):
+            r, k = int(row[a]), int(found[a, 0])
+            item = self.items[k]
+            could = np.zeros(len(item) + 1, np.int64)
+            np.add.at(could, found[a:b, 1], 1)
+            np.add.at(could, found[a:b, 1] + size, -1)
+            if (np.cumsum(could)[:-1] > 0).sum() < coverage * len(item):
+                continue  # even all seeds together cover too little
+            doc = h[first[r] : first[r + 1]]
+            tiles = tile(doc, item, np.column_stack([at[a:b] - first[r], found[a:b, 1]]), size)
+            covered = sum(t[0] for t in tiles)
+            if covered >= coverage * len(item):
+                out.append((r, k, covered / len(item), covered, len(tiles), tiles[0][0]))
         return out
 
 
-def item_blocks(items: DataFrame, min_match: int, max_seeds: int) -> list[Index]:
-    """Indexes of blocks of items (item_id, text); one block, bounded in size, is on the driver at a time."""
+def item_blocks(items: DataFrame, min_match: int, max_seeds: int) -> Iterator[tuple[Index, bool]]:
+    """Indexes of blocks of items (item_id, text), and whether more follow; one block, bounded in size, is on the driver at a time."""
     words = items.select(F.col("item_id"), "text", F.length(F.coalesce("text", F.lit(""))).alias("n"))
     total = words.agg(F.sum("n")).first()[0] or 0
     n = int(total // (2 * max_seeds)) + 1  # a token and its separator have two characters at least
     of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [Index([(r.item_id, r.text) for r in words.where(of == i).collect()], min_match) for i in range(n)]
+    for i in range(n):
+        yield Index([(r.item_id, r.text) for r in words.where(of == i).collect()], min_match), i + 1 < n
 
 
 def leaks(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """(doc_id, item_id, coverage, covered_tokens, n_tiles, longest_tile) of each document and item that it leaks."""
     parts = []
-    for index in item_blocks(items, min_match, max_seeds):
+    for index, more in item_blocks(items, min_match, max_seeds):
 
         def task(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for part, buf, offsets in blocks(batches, "text"):
@@ -134,14 +150,15 @@ def leaks(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverag
                     rows, which, *rest = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), pa.array([index.ids[k] for k in which], pa.int64()), pa.array(rest[0]), *[pa.array(x, pa.int64()) for x in rest[1:]]], ["doc_id", "item_id", "coverage", "covered_tokens", "n_tiles", "longest_tile"])
 
-        parts.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, item_id long, coverage double, covered_tokens long, n_tiles long, longest_tile long"))
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, item_id long, coverage double, covered_tokens long, n_tiles long, longest_tile long")
+        parts.append(cut(part, "leaks") if more else part)
     return reduce(DataFrame.unionByName, parts)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """The documents' columns, without documents that leak an item."""
     out = docs
-    for index in item_blocks(items, min_match, max_seeds):
+    for index, more in item_blocks(items, min_match, max_seeds):
 
         def task(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for part, buf, offsets in blocks(batches, "text"):
@@ -150,6 +167,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, co
                 yield part.filter(pa.array(keep))
 
         out = out.mapInArrow(task, docs.schema)
+        out = cut(out, "clean") if more else out
     return out
 
 

@@ -7,7 +7,9 @@ Anchors with one distinct fragment need nothing more. The texts of the other fra
 task finds their repeats on a Burrows-Wheeler transform by threshold-bounded interval expansion: breadth-first backward
 extension sets the common-prefix lengths of neighbouring suffixes by increasing value and stops at the minimum length,
 so that boundaries still open then join suffixes that share a whole window. An anchor with more than HOT distinct fragments
-is no group at all: its windows are keyed one by one by a 128-bit hash and meet in a partial aggregate.
+is no group at all: its windows are keyed one by one by a 128-bit hash and meet in a partial aggregate. Anchors that would
+already be too many records for the task they meet in (over WIDE by a sample of the documents) are told before and never
+meet: their windows are keyed where they are. Which way an anchor goes changes no result.
 
 Order is (doc_id, start). Defined results: null text counts as empty; texts under 100 bytes lose nothing; rows with one
 doc_id and equal text are one document (each row gets its result), with different texts they follow each other in order
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from twinframe.llm.common import blocks, cut, documents, mix, xxh64_spans
 
 MIN, K, HOT, CHUNK = 100, 36, 20_000, 1 << 20
+#: records of one anchor that a task may hold; one in so many documents is looked at for that; wide anchors told at most
+WIDE, SAMPLE, MAX_WIDE = 1_000_000, 64, 100_000
 _TABLE = np.random.RandomState(7).randint(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: odd powers that weigh the left half against the right, by its length
 _STEP = {size: np.uint64(pow(0xD6E8FEB86659FD93, size, 2**64)) for size in (1, 2, 4, 8, 16, 32)}
@@ -189,9 +193,25 @@ def runs(doc: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np
     return (doc[a], start[a], start[b - 1] + depth) if len(doc) else (doc, start, start)
 
 
-def _gather(docs: DataFrame, hot: int) -> DataFrame:
+def wide_anchors(docs: DataFrame, wide: int = WIDE, sample: int = SAMPLE) -> np.ndarray:
+    """Anchors with more than `wide` records by a hashed sample of the documents: MAX_WIDE at most, the largest first."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, buf, offsets in blocks(batches, "text", _PIECE):
+            _, _, _, anchor, content = fragments(buf, offsets)
+            _, first = earliest(anchor, content, np.zeros(len(anchor), np.int64), np.arange(len(anchor)))
+            key, n = np.unique(np.sort(anchor)[first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0).select("text")
+    counts = some.mapInArrow(task, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * sample > wide)
+    return np.sort(np.array([r.anchor for r in counts.orderBy(F.desc("n"), "anchor").limit(MAX_WIDE).collect()], np.int64).view(np.uint64))
+
+
+def _gather(docs: DataFrame, hot: int, wide: int, sample: int) -> DataFrame:
     """docs (id, text) -> (kind, doc, pos, end, anchor). kind 0: bytes pos to end are removed; 1: a fragment to look into;
     2: the same of a hot anchor."""
+    apart = wide_anchors(docs, wide, sample)
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +225,8 @@ def _gather(docs: DataFrame, hot: int) -> DataFrame:
             # copies inside the block: removed whatever else there is
             gone = rec[~first]
             own = rec[first]
+            far = np.isin(own["anchor"], apart)
+            spread, own = own[far], own[~far]
             bucket = (mix(own["anchor"]) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             own, ends = own[by], np.cumsum(np.bincount(bucket, minlength=buckets))
@@ -214,6 +236,9 @@ def _gather(docs: DataFrame, hot: int) -> DataFrame:
                 here.append(int(gone["doc"][0] % buckets))
                 gone["content"] = 0
                 blobs.append(b"gone" + gone.tobytes())
+            if len(spread):
+                here.append(int(spread["doc"][0] % buckets))
+                blobs.append(b"wide" + spread.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +249,9 @@ def _gather(docs: DataFrame, hot: int) -> DataFrame:
         parts = []
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                if blob[:4] == b"gone" and len(blob) % _RECORD.itemsize == 4:
+                if len(blob) % _RECORD.itemsize == 4:  # marked: they meet no others
                     rec = np.frombuffer(blob, _RECORD, offset=4)
-                    yield rows(np.zeros(len(rec)), rec)
+                    yield rows(np.full(len(rec), 0 if blob[:4] == b"gone" else 2), rec)
                 else:
                     parts.append(np.frombuffer(blob, _RECORD))
         if not parts:
@@ -305,9 +330,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, g, doc, pos + nth)], ["h", "g", "doc", "pos"])
 
 
-def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def removed_spans(docs: DataFrame, hot: int = HOT, wide: int = WIDE, sample: int = SAMPLE) -> DataFrame:
     """docs (id long, text), ids distinct -> (doc, pos, end): spans that together are all removed bytes."""
-    found = _gather(docs, hot)
+    found = _gather(docs, hot, wide, sample)
     wanted = found.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("kind", "pos", "end", "anchor")).alias("wanted"))  # by text length
     texts = docs.join(wanted, F.col("id") == F.col("doc")).select("id", "text", "wanted").mapInArrow(_cut_out, "kind int, anchor long, doc long, pos long, bytes binary")
     out = found.where("kind = 0").select("doc", "pos", "end")
@@ -337,21 +362,21 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), *[pa.array(x) for x in zip(*rows, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _dedup(docs: DataFrame, hot: int) -> DataFrame:
+def _dedup(docs: DataFrame, hot: int, wide: int, sample: int) -> DataFrame:
     docs = docs.where("id is not null")  # as the joins want it, so that both use one shuffle of the texts
-    spans = removed_spans(docs, hot).groupBy("doc").agg(F.collect_list(F.struct("pos", "end")).alias("spans"))  # by text length
+    spans = removed_spans(docs, hot, wide, sample).groupBy("doc").agg(F.collect_list(F.struct("pos", "end")).alias("spans"))  # by text length
     return docs.join(spans, F.col("id") == F.col("doc"), "left").select("id", "text", "spans").mapInArrow(_finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, wide: int = WIDE, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per input row."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if plain.groupBy("id").count().where("id is null or count > 1").isEmpty():
-        return _dedup(plain, hot).withColumnRenamed("id", "doc_id")
+        return _dedup(plain, hot, wide, sample).withColumnRenamed("id", "doc_id")
     keyed = plain.withColumn("hash", F.xxhash64("text"))
     one = keyed.dropDuplicates(["id", "hash"]).repartitionByRange(F.col("id").asc_nulls_last(), "hash").sortWithinPartitions(F.col("id").asc_nulls_last(), "hash")
     one = cut(one.withColumn("rank", F.monotonically_increasing_id()), "ranked")
-    found = _dedup(one.select(F.col("rank").alias("id"), "text"), hot).withColumnRenamed("id", "rank").join(one.select("rank", F.col("id").alias("doc_id"), "hash"), "rank")
+    found = _dedup(one.select(F.col("rank").alias("id"), "text"), hot, wide, sample).withColumnRenamed("id", "rank").join(one.select("rank", F.col("id").alias("doc_id"), "hash"), "rank")
     found = found.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return keyed.select("id", "hash").join(found, F.col("id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
