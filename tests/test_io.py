@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from twinframe.functions import dims
 from twinframe.operators import bitemporal as bt
 from twinframe.operators import panel as pn
 from twinframe.sources import files
@@ -72,3 +73,44 @@ def test_missing_units_and_source_version(spark):
     assert {r.geoid for r in files.missing_units(rows, known).collect()} == {"06037", None}
     found = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("a", dt.datetime(2024, 2, 1)), ("b", dt.datetime(2024, 1, 5))], "source string, fetched_at timestamp")
     assert {r.source: r.source_version for r in files.source_version(found, {"b": "v2"}).collect()} == {"a": "2024-02-01", "b": "v2"}
+
+
+def test_centroids_cells_and_grid_facts(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("\ufeffSTATEFP,COUNTYFP,COUNAME,STNAME,POPULATION,LATITUDE,LONGITUDE\n4,13,M,Arizona,800,33.0,-112.0\n04,019,P,Arizona,150,33.01,-112.02\n02,020,A,Alaska,50,61.0,-150.0\n", encoding="utf-8")
+    units = files.centroids_csv(spark, str(tmp_path / "c.csv"))
+    assert sorted(r.geoid for r in units.collect()) == ["02020", "04013", "04019"]
+    assert [r.geoid for r in files.select_units(units, ["4"], ["4019"]).collect()] == ["04019"] and files.select_units(units).count() == 3
+    cells = files.assign_cell(units, 49.4, -124.8, 1 / 24, 585, 1386)
+    at = {r.geoid: (r.i, r.j) for r in cells.collect()}
+    assert set(at) == {"04013", "04019"}
+    day = dt.date(2023, 1, 1)
+    series = [("tmmx", *at["04013"], day, 971.0, dt.datetime(2024, 1, 1)), ("tmmx", *at["04013"], day, 981.0, dt.datetime(2024, 2, 1)), ("tmmx", *at["04019"], day, 32767.0, dt.datetime(2024, 1, 1))]
+    series = spark.createDataFrame(series, "variable string, i int, j int, valid_date date, raw double, fetched_at timestamp")
+    packing = spark.createDataFrame([("tmmx", 0.1, 220.0, 32767.0, "K")], "variable string, scale double, offset double, fill double, units string")
+    got = {r.geoid: r.value for r in files.grid_facts(series, cells, packing, {"tmmx": "K"}).collect()}
+    assert got["04013"] == pytest.approx(44.95) and (at["04013"] == at["04019"] or got["04019"] is None)
+    with pytest.raises(Exception, match="unexpected units"):
+        files.grid_facts(series, cells, packing, {"tmmx": "C"}).collect()
+    (tmp_path / "d.csv").write_text("STATEFP,COUNTYFP,COUNAME,STNAME,POPULATION,LATITUDE,LONGITUDE\n4,13,M,A,1,3,4\n04,013,M,A,1,3,4\n")
+    with pytest.raises(ValueError, match="twice"):
+        files.centroids_csv(spark, str(tmp_path / "d.csv"))
+
+
+def test_load_registers_and_counts(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    for name, text in (("a", "one"), ("b", "one"), ("c", "two")):
+        (tmp_path / "raw" / name).write_text(text)
+    found = files.artifacts(spark, str(tmp_path / "raw"))
+    known = found.where("path LIKE '%/c'")
+    rows = spark.createDataFrame([("state", "04", dt.date(2023, 1, 1), "x", 1.0), ("state", "22", dt.date(2023, 1, 1), "x", None)], "geo_level string, geoid string, valid_date date, variable string, value double")
+    fresh, new, stats = files.load(spark.createDataFrame([], bt.FACT), rows, "s", "2024-01-01", found, known)
+    assert stats["written"] == 2 and stats["artifacts"] == 3 and stats["bytes"] == 9 and new.count() == 1 and fresh.where("source = 's'").count() == 2
+    with pytest.raises(ValueError, match="surplus"):
+        files.load(spark.createDataFrame([], bt.FACT), rows.unionByName(rows), "s", "2024-01-01")
+    good, bad = files.split_bad(rows, F.col("value") > 0)
+    assert (good.count(), bad.count()) == (1, 1)
+
+
+def test_states(spark):
+    r = {x.postal: x for x in dims.states(spark).collect()}
+    assert len(r) == 52 and r["DC"].name == "District of Columbia" and r["IN"].tz == "America/Indiana/Indianapolis" and r["AZ"].hhs_region == 9 and r["PR"].hhs_region is None

@@ -13,6 +13,7 @@ from twinframe.operators import forecasts as fc
 from twinframe.operators import models as md
 from twinframe.operators import panel as pn
 from twinframe.operators import reports as rp
+from twinframe.operators import scenarios as sc
 from twinframe.operators import stats as st
 from twinframe.streaming import jobs
 
@@ -163,3 +164,72 @@ def test_drift_batches(spark, tmp_path):
     write(make("m", 5.0, 6), 1)  # a replay
     runs = {r.batch: r for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
     assert (runs[0].n_point, runs[0].drift) == (6, False) and (runs[1].n_point, runs[1].drift) == (12, True)
+
+
+def brute_ap(y, s):
+    y, s = np.asarray(y), np.asarray(s)
+    return sum(((s == t) & (y == 1)).sum() / y.sum() * y[s >= t].mean() for t in np.unique(s))
+
+
+def test_ranked_metrics_over_resampled_blocks(spark):
+    rng = np.random.RandomState(5)
+    rows = [(f"b{i % 12}", int(y := rng.rand() < 0.4), float(np.round(np.clip(0.5 * y + 0.5 * rng.rand(), 0, 1), 2))) for i in range(400)]
+    df = spark.createDataFrame(rows, "block string, y int, p double")
+    whole = {"auc": brute_auc([r[1] for r in rows], [r[2] for r in rows]), "average_precision": brute_ap([r[1] for r in rows], [r[2] for r in rows]), "brier": np.mean([(r[2] - r[1]) ** 2 for r in rows])}
+    for metric, v in whole.items():
+        r = st.block_bootstrap(df, "p", "y", "block", n=60, metric=metric).first()
+        assert r.lo < v < r.hi and r.hi - r.lo < 0.4 and r.replicates == 60
+    one = st.block_bootstrap(df.where("block = 'b1'"), "p", "y", "block", n=30, metric="auc").first()
+    want = brute_auc(*zip(*[r[1:] for r in rows if r[0] == "b1"], strict=True))
+    assert one.lo == one.hi and abs(one.lo - want) < 1e-12 and one.replicates < 30  # any weight of a single block is that block
+
+
+def test_brier_under_circular_shifts(spark):
+    rng = np.random.RandomState(6)
+    rows = [(f"g{i % 4}", i // 4, int(y := rng.rand() < 0.3), float(0.6 * y + 0.4 * rng.rand())) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, i int, y int, p double")
+    r = st.circular_permutation(df, "p", "g", ["i"], n=40, metric="brier").first()
+    want = np.mean([(x[3] - x[2]) ** 2 for x in rows])
+    hits = 0
+    for rep in range(1, 41):
+        total = 0.0
+        for g in range(4):
+            own = [x for x in rows if x[0] == f"g{g}"]
+            off = 1 + int(hashlib.md5(f"0:{rep}:g{g}".encode()).hexdigest()[:8], 16) % (len(own) - 1)
+            total += sum((own[(j - off) % len(own)][3] - x[2]) ** 2 for j, x in enumerate(own))
+        hits += total / len(rows) <= want + 1e-12
+    assert abs(r.brier - want) < 1e-9 and abs(r.p_value - (hits + 1) / 41) < 1e-12
+
+
+def test_balanced_rungs(spark):
+    df = panel(spark).where("y = 1 OR id % 5 = 0")
+    w = {r.y: r.w for r in md.balance(df).groupBy("y").agg(F.sum("weight_").alias("w")).collect()}
+    assert abs(w[0] - w[1]) < 1e-6
+    plain, even = (md.score(md.fit(md.ladder(["a", "b"], "a", balanced)[1], df), df).agg(F.avg("p").alias("m")).first().m for balanced in (False, True))
+    assert even < plain and md.balance(df.where("y = 1")).where("weight_ <> 1").count() == 0
+
+
+def test_spearman_pairs(spark):
+    df = panel(spark).withColumn("c", F.when(F.col("id") % 7 > 0, F.round("a", 1)))
+    got = {(r.a, r.b): r.rho for r in st.spearman_pairs(df, ["a", "b", "c"]).collect()}
+    assert abs(got["a", "b"] - st.spearman(df, "a", "b").first().rho) < 1e-12 and list(got)[0] == ("a", "c") and got["a", "c"] > 0.9
+
+
+def test_lineage(spark):
+    base = sc.State(spark.createDataFrame([("04", dt.date(2023, 7, i), 30.0, 20.0) for i in range(1, 5)], "geoid string, valid_date date, tmmx double, tmmn double"), "2024-01-01")
+    both = sc.heatwave(2, delta_c=3.0) | sc.blackout(0.2, 4)
+    s = base.under(both)
+    assert base.is_baseline and base.under(sc.baseline()).is_baseline and not s.is_baseline and len(s.lineage) == 2 and s.lineage[0].startswith("heatwave {") and s.meta["scenario_id"] == both.scenario_id()
+    assert s.df.where("tmmx = 33 AND outage_customers_frac = 0.2").count() == 1 and s.derive(s.df, "note", a=1).meta["a"] == 1 and s.known_at == "2024-01-01"
+
+
+def test_calibration_runs(spark):
+    day, at = dt.date(2023, 7, 1), lambda d, h=0: dt.datetime(2023, 7, d, h)
+    p = spark.createDataFrame([(f"p{i}", "state", f"{i:02d}", day, "q", 10.0 + i % 3, 0.0, 99.0, "m", "v", at(1)) for i in range(20)] + [("late", "state", "00", day, "q", 0.0, 0.0, 99.0, "m", "v", at(20))], "prediction_id string, geo_level string, geoid string, target_date date, quantity string, value double, value_lower double, value_upper double, model_name string, model_version string, issued_at timestamp")
+    o = spark.createDataFrame([("state", f"{i:02d}", day, "q", 5.0, False, None, None, at(10), 0) for i in range(20)], "geo_level string, geoid string, target_date date, quantity string, value double, censored boolean, censor_lo double, censor_hi double, known_at timestamp, revision int")
+    one = fc.calibration_run(p, o, None, "2023-08-01")
+    r = one.first()
+    assert (r.n_pairs, r.n_postdiction, r.n_censored) == (20, 1, 0) and r.drift_bias and not r.drift_mae and r.reference_mae is None and json.loads(r.metrics_json)["mae"] == r.mae
+    worse = fc.calibration_run(p.withColumn("value", F.col("value") + 20), o, one, "2023-08-02").first()
+    assert worse.drift_mae and worse.reference_mae == r.mae and worse.run_id != r.run_id
+    assert fc.calibration_history(one, "m").count() == 1 and fc.calibration_run(p, o, None, "2023-08-01", target_from="2024-01-01").count() == 0

@@ -109,3 +109,25 @@ def drift(measured: DataFrame, mae_tol: float = 0.25, rel_bias_tol: float = 0.10
     worse = F.col("mae") > (1 + mae_tol) * F.col("reference_mae") if "reference_mae" in measured.columns else F.lit(False)
     out = measured.withColumn("drift_bias", F.coalesce(biased, F.lit(False))).withColumn("drift_mae", F.coalesce(worse, F.lit(False)))
     return out.withColumn("drift", F.col("drift_bias") | F.col("drift_mae"))
+
+
+def calibration_run(predictions: DataFrame, obs: DataFrame, runs: DataFrame | None, ran_at: str, known_at=None, target_from=None, target_to=None, by: tuple[str, ...] = ("model_name", "model_version", "quantity"), k: int = 3) -> DataFrame:
+    """A row for each group: its run_id, window, pair counts, metrics (also as JSON), reference MAE over its last k runs and drift flags.
+
+    Post-dictions are counted before the latest prediction of a target is kept. `runs`: earlier rows of this function, or None.
+    """
+    found = pairs(get(predictions, target_from=target_from, target_to=target_to), obs, known_at)
+    counts = found.groupBy(*by).agg(F.count_if(~F.col("genuine")).alias("n_postdiction"))
+    latest = keep_latest(found, tuple(c for c in by if c not in TARGET))
+    sizes = latest.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.coalesce("censored", F.lit(False))).alias("n_censored"))
+    measured = metrics(latest, by)
+    names = [c for c in measured.columns if c not in by]
+    past = reference_mae(runs, by, k) if runs is not None else measured.select(*by).withColumn("reference_mae", F.lit(None).cast("double"))
+    out = drift(measured.join(past, list(by), "left")).join(sizes, list(by)).join(counts, list(by))
+    window = {"window_start": F.lit(target_from).cast("date"), "window_end": F.lit(target_to).cast("date"), "obs_known_at": F.lit(known_at).cast("timestamp"), "ran_at": F.lit(ran_at).cast("timestamp")}
+    out = out.withColumns(window).withColumn("metrics_json", F.to_json(F.struct(*names)))
+    return out.withColumn("run_id", stable_id(F.lit("calibration"), *[F.col(c) for c in by], *[F.col(c).cast("string") for c in window]))
+
+
+def calibration_history(runs: DataFrame, model_name: str) -> DataFrame:
+    return runs.where(F.col("model_name") == model_name).orderBy("ran_at")

@@ -26,6 +26,31 @@ class Scenario:
         return Scenario(f"{self.name} | {then.name}", lambda df: df.transform(self.apply).transform(then.apply), {"parts": parts})
 
 
+@dataclass(frozen=True)
+class State:
+    """A wide state with what is known of it: when, and the notes of all that was done to it."""
+
+    df: DataFrame
+    known_at: str | None = None
+    lineage: tuple[str, ...] = ()
+    meta: dict = field(default_factory=dict)
+
+    @property
+    def is_baseline(self) -> bool:
+        return not self.lineage
+
+    def derive(self, df: DataFrame, note: str, **meta) -> State:
+        return State(df, self.known_at, (*self.lineage, note), {**self.meta, **meta})
+
+    def under(self, scenario: Scenario) -> State:
+        """This state under a scenario; each part of a chain leaves its own note, the baseline none."""
+        parts = [p for p in scenario.spec.get("parts", [[scenario.name, scenario.spec]]) if p[0] != "baseline"]
+        if not parts:
+            return self
+        notes = tuple(f"{name} {json.dumps(spec, sort_keys=True, separators=(',', ':'))}" for name, spec in parts)
+        return State(self.df.transform(scenario.apply), self.known_at, (*self.lineage, *notes), {**self.meta, "scenario_id": scenario.scenario_id()})
+
+
 def baseline() -> Scenario:
     return Scenario("baseline", lambda df: df)
 

@@ -44,20 +44,31 @@ def midrank(df: DataFrame, col: str) -> DataFrame:
 
 def auc(df: DataFrame, score: str, y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
     """One row, or one for each group; null where a class is missing."""
+    return auc_of(levels(df, score, y, by), by)
+
+
+def auc_of(v: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     won = F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg"))
-    return levels(df, score, y, by).groupBy(*by).agg(won.alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return v.groupBy(*by).agg(won.alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 def roc(df: DataFrame, score: str, y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
     """(threshold, tpr, fpr, precision) of score >= threshold."""
-    v = levels(df, score, y, by)
+    return roc_of(levels(df, score, y, by), by)
+
+
+def roc_of(v: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     t = v.groupBy(*by).agg(F.sum("pos").alias("p_"), F.sum("neg").alias("n_"))
     v = (v.join(t, list(by)) if by else v.join(F.broadcast(t))).withColumns({"tp_": F.col("p_") - F.col("pos_below"), "fp_": F.col("n_") - F.col("neg_below")})
     return v.select(*by, F.col("score").alias("threshold"), F.try_divide("tp_", "p_").alias("tpr"), F.try_divide("fp_", "n_").alias("fpr"), (F.col("tp_") / (F.col("tp_") + F.col("fp_"))).alias("precision"), F.try_divide("pos", "p_").alias("step_"))
 
 
 def average_precision(df: DataFrame, score: str, y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
-    return roc(df, score, y, by).groupBy(*by).agg(F.sum(F.col("precision") * F.col("step_")).alias("average_precision"))
+    return average_precision_of(levels(df, score, y, by), by)
+
+
+def average_precision_of(v: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return roc_of(v, by).groupBy(*by).agg(F.sum(F.col("precision") * F.col("step_")).alias("average_precision"))
 
 
 def youden(df: DataFrame, score: str, y: str = "y") -> DataFrame:
@@ -97,27 +108,37 @@ def delong_ci(df: DataFrame, score: str, y: str = "y", z: float = 1.959963984540
     return r.select("auc", "se", F.greatest(F.lit(0.0), F.col("auc") - z * F.col("se")).alias("lo"), F.least(F.lit(1.0), F.col("auc") + z * F.col("se")).alias("hi"))
 
 
-def circular_permutation(df: DataFrame, score: str, group: str, order: list[str], y: str = "y", n: int = 500, seed: int = 0) -> DataFrame:
-    """One row: AUC, and the share of n replicates that reach it when each group's scores turn by a seeded offset in its order.
+def circular_permutation(df: DataFrame, score: str, group: str, order: list[str], y: str = "y", n: int = 500, seed: int = 0, metric: str = "auc") -> DataFrame:
+    """One row: AUC or Brier score, and the share of n replicates that do as well when each group's scores turn by a seeded offset
+    in its order.
 
-    Ranks don't change under a turn, so a replicate only sums the ranks that its positives meet. `order` must be unique in a
-    group; rows without a score are left out.
+    A turn changes neither ranks nor squares, so a replicate only sums the ranks (or probabilities) that its positives meet.
+    `order` must be unique in a group; rows without a score are left out.
     """
-    ranks = midrank(df, score).select(F.col("value").alias("v_"), F.col("midrank").alias("r_"))
+    if metric not in ("auc", "brier"):
+        raise ValueError("metric must be auc or brier")
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    rows = df.join(ranks, F.col(score) == F.col("v_")).select(F.col(group).alias("g_"), F.col(y).alias("y_"), "r_", place.alias("i_"))
+    if metric == "auc":
+        ranks = midrank(df, score).select(F.col("value").alias("v_"), F.col("midrank").alias("r_"))
+        used = df.join(ranks, F.col(score) == F.col("v_"))
+    else:
+        used = df.where(F.col(score).isNotNull()).withColumn("r_", F.col(score).cast("double"))
+    rows = used.select(F.col(group).alias("g_"), F.col(y).alias("y_"), "r_", place.alias("i_"))
     sizes = rows.groupBy("g_").agg(F.count(F.lit(1)).alias("m_"))
     turn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep_").cast("string"), F.col("g_").cast("string"))), 1, 8), 16, 10).cast("long")
     reps = sizes.withColumn("rep_", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("off_", F.when(F.col("m_") > 1, 1 + F.try_mod(turn, F.col("m_") - 1)).otherwise(F.lit(0)))
     met = rows.where("y_ = 1").select("g_", F.col("i_").alias("j_")).join(reps, "g_").select("g_", "rep_", F.pmod(F.col("j_") - F.col("off_"), F.col("m_")).cast("int").alias("i_"))
     sums = met.join(rows.select("g_", "i_", "r_"), ["g_", "i_"]).groupBy("rep_").agg(F.sum("r_").alias("s_"))
-    t = rows.agg(F.sum("y_").alias("p_"), F.sum(1 - F.col("y_")).alias("n_"), F.sum(F.when(F.col("y_") == 1, F.col("r_"))).alias("o_"))
+    t = rows.agg(F.sum("y_").alias("p_"), F.sum(1 - F.col("y_")).alias("n_"), F.sum(F.when(F.col("y_") == 1, F.col("r_"))).alias("o_"), F.sum(F.col("r_") ** 2).alias("q_"))
 
-    def area(s: str) -> Column:
+    def value(s: str) -> Column:
+        if metric == "brier":
+            return F.try_divide(F.col("q_") + F.col("p_") - 2 * F.coalesce(F.col(s), F.lit(0.0)), F.col("p_") + F.col("n_"))
         return F.try_divide(F.col(s) - F.col("p_") * (F.col("p_") + 1) / 2, F.col("p_") * F.col("n_"))
 
-    each = t.join(sums, how="left").withColumns({"auc": area("o_"), "turned_": area("s_")})
-    return each.groupBy("auc").agg(((F.count_if(F.col("turned_") >= F.col("auc") - 1e-12) + 1) / (F.count("s_") + 1)).alias("p_value"), F.count("s_").alias("replicates"))
+    each = t.join(sums, how="left").withColumns({metric: value("o_"), "turned_": value("s_")})
+    well = F.col("turned_") >= F.col(metric) - 1e-12 if metric == "auc" else F.col("turned_") <= F.col(metric) + 1e-12
+    return each.groupBy(metric).agg(((F.count_if(well & F.col("s_").isNotNull()) + 1) / (F.count("s_") + 1)).alias("p_value"), F.count("s_").alias("replicates"))
 
 
 def calibration_line(df: DataFrame, p: str, y: str = "y") -> dict[str, float]:
@@ -169,6 +190,16 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.join(ra, F.col(a) == F.col("va_")).join(rb, F.col(b) == F.col("vb_")).agg(F.corr("ra_", "rb_").alias("rho"))
 
 
+def spearman_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(a, b, rho) of each two columns, the strongest first; ranks of a column are over its own values."""
+    out = df.select(*[F.col(c).alias(f"x{i}_") for i, c in enumerate(cols)])
+    for i in range(len(cols)):
+        out = out.join(midrank(out, f"x{i}_").select(F.col("value").alias(f"v{i}_"), F.col("midrank").alias(f"r{i}_")), F.col(f"x{i}_") == F.col(f"v{i}_"), "left")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    one = out.agg(*[F.corr(f"r{i}_", f"r{j}_").alias(f"c{i}_{j}") for i, j in pairs])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"c{i}_{j}").alias("rho")) for i, j in pairs])).alias("p")).select("p.*").orderBy(F.abs("rho").desc(), "a", "b")
+
+
 def log_histogram(df: DataFrame, x: str, n: int = 30) -> DataFrame:
     v = df.where(F.col(x) > 0).select(F.log10(x).alias("v"))
     r = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -216,10 +247,16 @@ def diebold_mariano(losses: DataFrame, lag: int) -> DataFrame:
     return r.withColumn("dm", F.col("mean") / F.sqrt("var"))
 
 
-def block_bootstrap(df: DataFrame, score: str, y: str, block: str, n: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of the Brier score over resampled blocks. Each replicate weighs a block by a seeded Poisson count,
-    so rows are summed by block once and never copied."""
-    sums = df.groupBy(block).agg(F.sum((F.col(score) - F.col(y)) ** 2).alias("s_"), F.count(F.lit(1)).alias("n_"))
+def block_bootstrap(df: DataFrame, score: str, y: str, block: str, n: int = 200, level: float = 0.95, seed: int = 42, metric: str = "brier") -> DataFrame:
+    """Percentile interval of a metric (brier, auc, average_precision) over resampled blocks; each replicate weighs a block by a
+    seeded Poisson count, replicates without both classes are left out of the ranked metrics.
+
+    For the Brier score rows are summed by block once and never copied. Ranked metrics sum classes by block and score, and need
+    those sums in each replicate.
+    """
+    if metric not in ("brier", "auc", "average_precision"):
+        raise ValueError("metric must be brier, auc or average_precision")
+    sums = df.where(F.col(score).isNotNull()).groupBy(block).agg(F.sum((F.col(score) - F.col(y)) ** 2).alias("s_"), F.count(F.lit(1)).alias("n_"))
     rep = sums.withColumn("rep_", F.explode(F.sequence(F.lit(1), F.lit(n))))
     u = (F.pmod(F.xxhash64(F.lit(seed), "rep_", block), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     steps, total, p = F.lit(0), 0.0, math.exp(-1)
@@ -227,5 +264,14 @@ def block_bootstrap(df: DataFrame, score: str, y: str, block: str, n: int = 200,
         total += p
         steps = steps + (u > total).cast("int")
         p /= k + 1
-    each = rep.withColumn("k_", steps).groupBy("rep_").agg((F.sum(F.col("k_") * F.col("s_")) / F.nullif(F.sum(F.col("k_") * F.col("n_")), F.lit(0))).alias("m")).where("m is not null")
+    rep = rep.withColumn("k_", steps)
+    if metric == "brier":
+        each = rep.groupBy("rep_").agg((F.sum(F.col("k_") * F.col("s_")) / F.nullif(F.sum(F.col("k_") * F.col("n_")), F.lit(0))).alias("m"))
+    else:
+        classes = df.where(F.col(score).isNotNull()).groupBy(block, F.col(score).alias("score")).agg(F.sum(y).alias("pos_"), F.sum(1 - F.col(y)).alias("neg_"))
+        drawn = classes.join(rep.where("k_ > 0").select(block, "rep_", "k_"), block).groupBy("rep_", "score").agg(F.sum(F.col("k_") * F.col("pos_")).alias("pos"), F.sum(F.col("k_") * F.col("neg_")).alias("neg"))
+        v = running(drawn, "score", {"pos_below": "pos", "neg_below": "neg"}, ("rep_",))
+        ranked = auc_of(v, ("rep_",)).where("auc is not null").withColumnRenamed("auc", "m")
+        each = ranked if metric == "auc" else average_precision_of(v, ("rep_",)).join(ranked.select("rep_"), "rep_").withColumnRenamed("average_precision", "m")
+    each = each.where("m is not null")
     return each.agg(F.percentile("m", F.lit((1 - level) / 2)).alias("lo"), F.percentile("m", F.lit((1 + level) / 2)).alias("hi"), F.count(F.lit(1)).cast("int").alias("replicates"))

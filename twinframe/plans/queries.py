@@ -491,6 +491,15 @@ def circular_permutation(spark, d):
     return rounded(st.circular_permutation(scored(spark, d), "score_a", "grp", ["valid_date", "id"], n=20), "auc", "p_value", to=9)
 
 
+_PRICED = ("l_quantity", "l_extendedprice", "l_discount")
+_RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in _PRICED)
+
+
+@query(f"WITH r AS (SELECT {_RANKS} FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS rho FROM r" for i, a in enumerate(_PRICED) for b in _PRICED[i + 1 :]))
+def spearman_pairs(spark, d):
+    return rounded(st.spearman_pairs(spark.read.parquet(f"{d}/lineitem.parquet"), list(_PRICED)), "rho", to=9)
+
+
 @query(f"WITH x AS ({fx.SCORED}), b AS (SELECT *, median(score_a::DOUBLE) OVER () AS m FROM x WHERE score_b BETWEEN 100 AND 900) SELECT round(avg(y) FILTER (score_a <= m), 9) AS low, round(avg(y) FILTER (score_a > m), 9) AS high, count(*) AS n, round(avg(y) FILTER (score_a > m) - avg(y) FILTER (score_a <= m), 9) AS difference FROM b")
 def band_contrast(spark, d):
     return rounded(ex.band_contrast(scored(spark, d), "y", "score_b", "score_a", 100, 900), "low", "high", "difference", to=9)

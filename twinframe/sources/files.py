@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.functions.scalars import parse_period, parse_ts, to_number, variable_name
+from twinframe.operators import bitemporal
 
 _CELL = "geographicTypeId string, geo string, geoId string, calculationType string, temporalTypeId string, temporal string, temporalId string, dataValue string, displayValue string, groupById string, suppressionFlag string, confidenceIntervalLow string, confidenceIntervalHigh string"
 _ARRAYS = ("tableResult", "dailyEstimatesTableResult", "monthlyTableResult", "pmTableResult")
@@ -81,6 +82,66 @@ def assign_cell(df: DataFrame, lat0: float, lon0: float, step: float, n_lat: int
     return out.where(F.col("i").between(0, n_lat - 1) & F.col("j").between(0, n_lon - 1))
 
 
+def centroids_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(geoid, state_fips, county, state, population, lat, lon); a number that can't be read, or a unit given twice, stops the load."""
+    raw = spark.read.option("header", True).csv(path)
+    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
+    state = F.lpad("STATEFP", 2, "0")
+    out = raw.select(F.concat(state, F.lpad("COUNTYFP", 3, "0")).alias("geoid"), state.alias("state_fips"), F.col("COUNAME").alias("county"), F.col("STNAME").alias("state"), *[F.trim(c).cast("double").alias(n) for c, n in (("POPULATION", "population"), ("LATITUDE", "lat"), ("LONGITUDE", "lon"))])
+    if not out.groupBy("geoid").count().where("count > 1").isEmpty():
+        raise ValueError("a unit is given twice")
+    return out
+
+
+def select_units(units: DataFrame, states: list[str] | None = None, counties: list[str] | None = None) -> DataFrame:
+    if states:
+        units = units.where(F.col("state_fips").isin([x.zfill(2) for x in states]))
+    if counties:
+        units = units.where(F.col("geoid").isin([x.zfill(5) for x in counties]))
+    return units
+
+
+def grid_facts(series: DataFrame, units: DataFrame, packing: DataFrame, units_expected: dict[str, str]) -> DataFrame:
+    """Cell series to facts of all units in a cell (geo_level, geoid, valid_date, variable, value).
+
+    series (variable, i, j, valid_date, raw, fetched_at), units (geoid, i, j), packing (variable, scale, offset, fill, units).
+    Of a cell's day in several artifacts the last fetched stays; a variable in other units than expected stops the load.
+    """
+    last = series.groupBy("variable", "i", "j", "valid_date").agg(F.max_by("raw", F.struct("fetched_at", "raw")).alias("raw"))
+    wanted = F.lit(None).cast("string")
+    for name, unit in units_expected.items():
+        wanted = F.when(F.col("variable") == name, unit).otherwise(wanted)
+    checked = packing.withColumn("units", F.when(wanted.isNotNull() & ~F.col("units").eqNullSafe(wanted), F.raise_error(F.concat(F.lit("unexpected units of "), F.col("variable"))).cast("string")).otherwise(F.col("units")))
+    value = unpack(F.col("raw"), F.col("scale"), F.col("offset"), F.col("fill"), F.col("units"))
+    out = last.join(checked, "variable").withColumn("value", value).join(units.select("geoid", "i", "j"), ["i", "j"])
+    return out.select(F.lit("county").alias("geo_level"), "geoid", "valid_date", "variable", "value")
+
+
+def split_bad(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
+    """(good rows, quarantined rows); an undecided row is good."""
+    flag = F.coalesce(bad, F.lit(False))
+    return df.where(~flag), df.where(flag)
+
+
+def register(catalogue: DataFrame, found: DataFrame) -> DataFrame:
+    """Artifacts whose content the catalogue doesn't hold, each content once."""
+    return found.dropDuplicates(["sha256"]).join(catalogue.select("sha256"), "sha256", "left_anti")
+
+
+def load(stored: DataFrame, rows: DataFrame, source: str, known_at, found: DataFrame | None = None, catalogue: DataFrame | None = None, now=None) -> tuple[DataFrame, DataFrame | None, dict[str, int]]:
+    """Normalised rows of one source, checked: (facts to append, artifacts to append, counters). A null key or a repeated natural
+    key stops the load."""
+    rows = rows.withColumn("source", F.lit(source))
+    check = bitemporal.validate(rows).first()
+    if check.null_keys or check.duplicates:
+        raise ValueError(f"{check.null_keys} rows with a null key, {check.duplicates} surplus rows")
+    fresh, stats = bitemporal.upsert(stored, rows, known_at, now)
+    if found is None:
+        return fresh, None, stats
+    size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
+    return fresh, found if catalogue is None else register(catalogue, found), stats | {"artifacts": size.n, "bytes": size.b}
+
+
 def artifacts(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256, md5) of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
