@@ -278,6 +278,37 @@ def test_simhash(docs, rows, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def naive_copies(texts):
+    """For each text the least index of its component, by the exact Jaccard index of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = [[j for j, b in enumerate(sets) if a == b or len(a & b) >= 0.8 * len(a | b)] for a in sets]
+    low = list(range(len(texts)))
+    while (new := [min(low[j] for j in js) for js in near]) != low:
+        low = new
+    return low
+
+
+def test_near_copies_by_jaccard(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):  # a text, copies with some words changed, and copies of those
+        w = make_text(rng, 200).split()
+        texts.append(" ".join(w))
+        for n in (1, 2, 4, 6, 9, 15):
+            x = list(w)
+            for i in rng.sample(range(200), n):
+                x[i] = f"new{rng.random()}"
+            texts.append(" ".join(x))
+    low = naive_copies(texts)
+    fps = [naive_fingerprint(t) for t in texts]
+    assert len(set(low)) < len(set(naive_components(fps)))  # two bits don't see them all
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(low)
+
+
 @pytest.mark.parametrize("shard_max", [1024, 3])
 def test_links_by_trees_and_by_neighbours(spark, shard_max):
     rng = random.Random(5)

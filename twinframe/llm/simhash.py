@@ -19,21 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import LOWER, NON_SPACE, blocks, components, cut, documents, spans, xxh64_spans
+from twinframe.llm.common import LOWER, NON_SPACE, blocks, components, cut, documents, mix, spans, xxh64_spans
 
 RADIUS, SHINGLE, SHARD_MAX = 2, 3, 1024
+#: of near copies in the pipeline; a pair at the similarity shares one of the bands of minima at least with probability 0.9993
+COPY_SHINGLE, SIMILARITY, BAND_ROWS, BANDS, PARTS = 5, 0.8, 6, 24, 64
 #: (shift, bits) of the radius + 1 blocks
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 
-def fingerprint_block(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """SimHash of each text of a flat buffer."""
-    n = len(offsets) - 1
+def shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of all texts, and each text's first (n + 1); fewer words than `shingle` make one."""
     buf = LOWER[buf]
     starts, ends, first = spans(buf, offsets, NON_SPACE)
-    out = np.zeros(n, np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     # the words of all texts, each followed by one space
     lengths = ends - starts
     new_starts = np.concatenate([[0], np.cumsum(lengths + 1)])
@@ -43,11 +43,18 @@ def fingerprint_block(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHING
     joined[keep] = buf[NON_SPACE[buf]]
     words = np.diff(first)
     count = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
-    full = np.flatnonzero(count)
     base = np.concatenate([[0], np.cumsum(count)])
     at = np.arange(base[-1]) - np.repeat(base[:-1] - first[:-1], count)
     last = np.minimum(at + shingle, np.repeat(first[1:], count))
-    h = xxh64_spans(joined, new_starts[at], new_starts[last] - 1 - new_starts[at])
+    return xxh64_spans(joined, new_starts[at], new_starts[last] - 1 - new_starts[at]), base
+
+
+def fingerprint_block(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """SimHash of each text of a flat buffer."""
+    h, base = shingles(buf, offsets, shingle)
+    count = np.diff(base)
+    full = np.flatnonzero(count)
+    out = np.zeros(len(count), np.uint64)
     for lo in range(0, len(full), 4096):  # bits of a bounded number of shingles at a time, but for a single long text
         part = full[lo : lo + 4096]
         a, b = base[part[0]], base[part[-1] + 1]
@@ -166,9 +173,101 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------------------------------------------------------------
+# the pipeline's stage: near copies by the Jaccard index of word shingles
+
+
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, shingle: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct shingle hashes in rising order, one text after the other, where each text's begin (n + 1), and a key of each set."""
+    h, base = shingles(buf, offsets, shingle)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(base))
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    h, text = h[new], text[new]
+    first = np.searchsorted(text, np.arange(len(offsets)))
+    sums = np.append(np.uint64(0), np.cumsum(mix(h)))
+    return h, first, mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64))
+
+
+def bands(h: np.ndarray, first: np.ndarray, rows: int = BAND_ROWS, n: int = BANDS) -> np.ndarray:
+    """(sets, n): a hash of each band of `rows` minima over a set; an empty set has zeros."""
+    out = np.zeros((len(first) - 1, n), np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if not len(full):
+        return out
+    multipliers, shifts = np.random.RandomState(42).randint(1, 1 << 62, (2, n * rows)).astype(np.uint64)
+    for k in range(n):
+        key = np.full(len(full), k, np.uint64)
+        for m in range(k * rows, (k + 1) * rows):
+            x = (h ^ shifts[m]) * (2 * multipliers[m] + np.uint64(1))
+            key = mix(key + np.minimum.reduceat(x ^ (x >> np.uint64(32)), first[full]))
+        out[full, k] = key
+    return out
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The (a, b) pairs of keys whose sets reach the similarity, counted exactly."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(common >= similarity * (len(both) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sides = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
+    return sides.select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, root): one row per input row; rows share a root just if candidate pairs of SIMILARITY or more join them.
+
+    Rows of one shingle set share a key. Candidates share a band. In a band each key is first compared with the least of its
+    part and that with the least of all; what these links don't join is then compared pair by pair, so that no pair of
+    candidates goes unconfirmed unless other links join it.
+    """
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, offsets in blocks(batches, "text", 2 << 20):
+            h, first, key = shingle_sets(buf, offsets)
+            found = pa.array(bands(h, first).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), found)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key.view(np.int64)), lists], ["doc_id", "key", "bands"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, buf, offsets in blocks(batches, "text", 2 << 20):
+            h, first, key = shingle_sets(buf, offsets)
+            items = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(items, pa.binary())], ["key", "items"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sign = cut(texts.mapInArrow(signed, "doc_id long, key long, bands array<long>"), "bands")
+    keyed = sign.select("key", F.explode("bands").alias("band")).distinct()
+    sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
+    met = cut(keyed.join(sizes.select("band", "least"), "band").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS))), "met")
+    low = met.groupBy("band", "part").agg(F.min("key").alias("low"), F.first("least").alias("least"))
+    pairs = met.join(low.select("band", "part", "low"), ["band", "part"]).select(F.col("key").alias("a"), F.col("low").alias("b")).unionByName(low.select(F.col("low").alias("a"), F.col("least").alias("b")))
+    wanted = met.select("key").distinct()
+    sets = cut(texts.select("text").mapInArrow(listed, "key long, items binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("items").alias("items")), "sets")
+    some = cut(confirmed(pairs.where("a <> b").distinct(), sets), "links")
+    rooted = cut(met.select("band", "key").join(components(some), F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root")), "rooted")
+    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    left = cut(rooted.join(split, "band"), "split")
+    other = left.select("band", F.col("key").alias("other"), F.col("root").alias("other_root"))
+    rest = left.join(other, "band").where("root < other_root").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
+    roots = cut(components(some.unionByName(confirmed(rest, sets))), "roots")
+    return sign.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents' columns, one row of each component: the one with its smallest doc_id. Null ids are left as they are."""
-    found = cut(near_duplicates(docs), "components")
+    """The documents' columns, one row of each component of near copies: the one with its smallest doc_id. Null ids are left as they are."""
+    rows = cut(near_copies(docs), "copies")
+    found = cut(rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id"), "components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
