@@ -309,6 +309,15 @@ def test_near_copies_by_jaccard(spark):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(low)
 
 
+def test_keep_one_counts_rows_not_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (make_text(rng, 60) for _ in range(3))
+    texts = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, a), (5, c), (4, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in texts], SCHEMA).repartition(3)
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (4, c), (None, c)], key=str)
+
+
 @pytest.mark.parametrize("shard_max", [1024, 3])
 def test_links_by_trees_and_by_neighbours(spark, shard_max):
     rng = random.Random(5)

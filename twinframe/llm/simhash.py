@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from twinframe.llm.common import LOWER, NON_SPACE, blocks, components, cut, documents, mix, spans, xxh64_spans
 
@@ -265,16 +266,30 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents' columns, one row of each component of near copies: the one with its smallest doc_id. Null ids are left as they are."""
-    rows = cut(near_copies(docs), "copies")
-    found = cut(rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id"), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """The documents' columns, one row of each component of near copies: the one with its smallest doc_id.
+
+    Rows count, not ids: of rows with one doc_id each stands for its own text's component. Where the smallest doc_id has several
+    rows in a component, the least key and then the least text stay. Null ids are left as they are.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, offsets in blocks(batches, "text", 2 << 20):
+            key = shingle_sets(buf, offsets)[2]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key.view(np.int64))], [*part.schema.names, "key__"])
+
+    rows = cut(near_copies(docs).where("doc_id IS NOT NULL").groupBy("doc_id", "key", "root").agg(F.count(F.lit(1)).alias("n")), "copies")
+    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("low")).select("root", F.col("low.doc_id").alias("low_id"), F.col("low.key").alias("low_key"))
+    told = cut(rows.join(kept, "root").withColumn("stays", (F.col("doc_id") == F.col("low_id")) & (F.col("key") == F.col("low_key"))), "components")
+    keyed = docs.mapInArrow(task, StructType([*docs.schema.fields, StructField("key__", LongType())]))
+    at = [F.col("doc_id").cast("long") == F.col("doc_id__"), F.col("key__") == F.col("same__")]
+    names = lambda df: df.select(F.col("doc_id").alias("doc_id__"), F.col("key").alias("same__"))
+    left = keyed.join(names(told.where("NOT stays")), at, "left_anti")
+    twice = names(told.where("stays AND n > 1"))
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again)
+        return left.select(*docs.columns)
+    first = Window.partitionBy("doc_id", "key__").orderBy("text", *[F.col(c).cast("string") for c in docs.columns if c != "text"])
+    again = left.join(twice, at, "left_semi").withColumn("row__", F.row_number().over(first)).where("row__ = 1")
+    return left.join(twice, at, "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
