@@ -15,6 +15,7 @@ from twinframe.operators import panel as pn
 from twinframe.operators import reports as rp
 from twinframe.operators import scenarios as sc
 from twinframe.operators import stats as st
+from twinframe.plans import queries
 from twinframe.streaming import jobs
 
 
@@ -51,6 +52,17 @@ def test_folds_training_and_selection(spark):
     assert mean[1.0] > mean[0.0] and math.isclose(mean[0.0], oof[oof.model == "logistic"].p.mean(), abs_tol=1e-9)
 
 
+def test_model_fold_scores_has_the_whole_ladder(spark, monkeypatch):
+    x = panel(spark, 240).select("id", "valid_date", "y", F.col("a").alias("score_a"), F.col("b").alias("score_b"), F.col("geoid").alias("grp"), F.col("hhs_region"))
+    monkeypatch.setattr(queries, "scored", lambda spark, d: x.coalesce(1))
+    groups, plain = [], md.fit  # what is asked for is noted; the search itself has a test of its own, so each rung is fitted once here
+    monkeypatch.setattr(md, "fit", lambda spec, train, group=None: groups.append((spec.name, group)) or plain(spec, train))
+    got = {(r.fold, r.model): r.auc for r in queries.model_fold_scores(spark, "").collect()}
+    models = ["threshold", "logistic", "forest", "boosted"]
+    assert set(got) == {(f, m) for f in ("2022", "2023") for m in models} and sorted(groups) == sorted((m, "grp") for m in models * 2)
+    assert min(got[f, m] for f in ("2022", "2023") for m in ("forest", "boosted")) > 0.7
+
+
 def test_threshold_rule_does_not_fall(spark):
     x = panel(spark).withColumn("minus", -F.col("a"))
     p = md.score(md.fit(md.threshold_rule("minus"), x), x)

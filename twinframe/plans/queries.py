@@ -532,8 +532,8 @@ def risk_arrays(spark, d):
 @query()
 def model_fold_scores(spark, d):
     panel = scored(spark, d).withColumn("year", F.year("valid_date")).withColumn("month", F.month("valid_date").cast("double")).persist()
-    specs = md.ladder(["score_a", "score_b", "month"], "score_a")[:2]
-    return md.fold_scores(md.train(panel, specs, md.outer_folds(panel), ["id"]).oof)
+    specs = md.ladder(["score_a", "score_b", "month"], "score_a")
+    return md.fold_scores(md.train(panel, specs, md.outer_folds(panel), ["id"], group="grp").oof)
 
 
 @query()
