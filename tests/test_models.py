@@ -168,6 +168,14 @@ def test_streamed_streaks_equal_batch(spark, tmp_path):
     assert got == {(r.geoid, r.valid_date): r.hot_streak for r in pn.with_streak(df).collect()}
 
 
+def test_horizon_of_streamed_pairs(spark):
+    key = "geo_level string, geoid string, target_date date, quantity string, value double, "
+    of = ("county", "04", dt.date(2023, 9, 1), "risk", 0.5)
+    p = spark.createDataFrame([(*of, dt.datetime(2023, 6, 1))], key + "issued_at timestamp")
+    o = spark.createDataFrame([(*of, dt.datetime(2023, 7, 1)), (*of, dt.datetime(2023, 9, 3))], key + "known_at timestamp")  # after 30 and 94 days
+    assert jobs.forecast_pairs(p, o).count() == 1 and jobs.forecast_pairs(p, o, horizon="100 days").count() == 2
+
+
 def test_drift_batches(spark, tmp_path):
     make = lambda m, bias, n: spark.createDataFrame([(m, "1", "risk", 10.0 + bias + (i % 3) / 10, 10.0, False, None, None, None, None) for i in range(n)], "model_name string, model_version string, quantity string, value double, obs double, censored boolean, censor_lo double, censor_hi double, value_lower double, value_upper double")
     write = jobs.drift_batches(str(tmp_path / "pairs"), str(tmp_path / "runs"))

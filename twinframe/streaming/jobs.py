@@ -24,12 +24,16 @@ def runs(stream: DataFrame, threshold: float = 0.01, lateness: str = "2 days", s
     return over.groupBy("geoid", "day", F.session_window("ts", "16 minutes")).agg((F.count(F.lit(1)) * step_hours).alias("hours")).select("geoid", "day", F.col("session_window.start").alias("start"), "hours")
 
 
-def forecast_pairs(predictions: DataFrame, observations: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Predictions with later observations of their target; both streams carry their own event time."""
+def forecast_pairs(predictions: DataFrame, observations: DataFrame, delay: str = "30 days", horizon: str = "60 days") -> DataFrame:
+    """Predictions with later observations of their target; both streams carry their own event time.
+
+    An observation known later than `horizon` after the prediction was issued gives no pair, as the join's state must end
+    somewhere; the batch pairs of `operators/forecasts.py` know no such bound and have the rest.
+    """
     p = predictions.withWatermark("issued_at", delay).alias("p")
     o = observations.withWatermark("known_at", delay).alias("o")
     same = [F.col(f"p.{c}") == F.col(f"o.{c}") for c in ("geo_level", "geoid", "target_date", "quantity")]
-    later = (F.col("o.known_at") > F.col("p.issued_at")) & (F.col("o.known_at") <= F.col("p.issued_at") + F.expr("INTERVAL 60 DAYS"))
+    later = (F.col("o.known_at") > F.col("p.issued_at")) & (F.col("o.known_at") <= F.col("p.issued_at") + F.expr(f"INTERVAL {horizon}"))
     on = same[0]
     for c in same[1:]:
         on = on & c
