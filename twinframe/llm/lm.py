@@ -1,54 +1,85 @@
 """Operator 6, LM scoring by masked pseudo-likelihood.
 
-A window network predicts every token from the two tokens on either side: position-wise embeddings are summed, squashed,
-and give a token class, then a token within its class (a two-level softmax). A text's score is the sum of the
-conditional log-probabilities of all its tokens.
-
-Everything learned comes from all documents: token counts give the vocabulary (the most frequent tokens; rarer ones share
-hashed places), and each task trains its own copy of the network, written in numpy, on all tokens it holds; copies are
-averaged by token counts, first in groups, then on the driver (GROUPS rows of one network's size).
+A window network, written in numpy, predicts every token from the two tokens on either side: position-wise embeddings are
+summed, squashed, and give a token class, then a token within its class (a two-level softmax). A text's score is the sum
+of the conditional log-probabilities of all its tokens; each is a probability over all possible tokens:
+
+- The network's outputs are the corpus's most frequent tokens, as many as `outputs` says (they grow with the counted
+  tokens, MAX_WORDS at most, so that the network stays under 50 MB), and one output for any other token. Such a token's
+  probability is that output's times the probability of its spelling, byte by byte given the byte before, counted over
+  all rarer tokens of the corpus.
+- What a network of bounded size can't hold is kept as counts that grow with the corpus: of each context (left and right
+  neighbour) whose left neighbour is no output, how often it occurs, and with which token. They are added to the network's
+  prediction as to a prior of weight PRIOR, without the occurrence that is being predicted, so a text is never scored
+  by itself, only by its repeats. A frequent left neighbour has no such counts, so no context is in more places than the
+  rarest output's count.
+
+Training is the same whatever the number of tasks: documents are dealt by a hash of their text into shards of about
+SHARD_TOKENS tokens and ROUNDS rounds. In a round each shard continues from the round's common network on its documents,
+in order of their hash; then the shards' networks are averaged, slice by slice, by their tokens. Every token of the
+corpus is trained on once.
 
 Tokens are lower-cased runs of letters and digits. Defined results: null, empty or tokenless text has no tokens,
-log-probability 0 and a null mean; equal texts get equal scores; an empty table gives no rows.
+log-probability 0 and a null mean; rows of equal text get equal scores (their repeats count for each other); an empty
+table gives no rows. A token's neighbours beyond the text's ends are a place of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import Members, blocks, cut, documents
-from twinframe.llm.decontamination import tokens
+from twinframe.llm.common import LOWER, TOKEN, Members, blocks, cut, documents, mix, new_path, spans, xxh64_spans
 
-CLASSES, PER_CLASS, RARE, HIDDEN, BATCH, RATE, GROUPS, SEED = 16, 32, 64, 16, 16_384, 0.1, 32, 42
-SIZE = CLASSES * PER_CLASS
+HIDDEN, BATCH, RATE, ROUNDS, SHARD_TOKENS, SEED, SLICES = 16, 16_384, 0.1, 4, 4_000_000, 42, 64
+MIN_WORDS, MAX_WORDS, GROWTH, PRIOR = 256, 65_536, 0.45, 1.0
+#: text bytes whose contexts meet in one task
+BUCKET_BYTES = 64 << 20
 SIDES = (-2, -1, 1, 2)
-#: name -> shape; id SIZE stands for what lies beyond a text's ends
-SHAPES = {"embed": (len(SIDES), SIZE + 1, HIDDEN), "bias": (HIDDEN,), "classes": (CLASSES, HIDDEN), "class_bias": (CLASSES,), "words": (SIZE, HIDDEN), "word_bias": (SIZE,)}
+#: symbol of a word's start and end in spellings
+_EDGE = 256
+
+
+def outputs(n_tokens: int) -> int:
+    """Side of the two-level softmax: its square is about n_tokens ** GROWTH, between MIN_WORDS and MAX_WORDS."""
+    return math.isqrt(int(min(MAX_WORDS, max(MIN_WORDS, n_tokens**GROWTH))))
 
 
 class Network:
-    def __init__(self, flat: np.ndarray | None = None):
+    """Parameters as views of one flat array. Tokens have ids 0 to side ** 2 - 1; the last one stands for any rarer token, and
+    side ** 2 for what lies beyond a text's ends."""
+
+    def __init__(self, side: int, flat: np.ndarray | None = None):
+        size = side * side
+        self.side = side
+        shapes = {"embed": (len(SIDES), size + 1, HIDDEN), "bias": (HIDDEN,), "classes": (side, HIDDEN), "class_bias": (side,), "words": (size, HIDDEN), "word_bias": (size,)}
         if flat is None:
             rng = np.random.RandomState(SEED)
-            flat = np.concatenate([(rng.randn(int(np.prod(s))) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in SHAPES.values()])
+            flat = np.concatenate([(rng.randn(math.prod(s)) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in shapes.values()])
         self.flat, at = flat, 0
         self.views: dict[str, np.ndarray] = {}
-        for name, shape in SHAPES.items():
-            n = int(np.prod(shape))
+        for name, shape in shapes.items():
+            n = math.prod(shape)
             self.views[name] = flat[at : at + n].reshape(shape)
             at += n
 
+    def start_from(self, counts: np.ndarray) -> Network:
+        """Biases that give each output its share of the counts."""
+        by = np.maximum(counts.astype(float), 0.5).reshape(self.side, self.side)
+        self.views["class_bias"][:] = np.log(by.sum(axis=1) / by.sum())
+        self.views["word_bias"][:] = np.log(by / by.sum(axis=1, keepdims=True)).ravel()
+        return self
+
     def forward(self, context: np.ndarray, target: np.ndarray, grad: np.ndarray | None = None) -> np.ndarray:
         """Log-probability of each target given its context (n, 4); with `grad`, adds the gradient of their mean's negative."""
         v, n = self.views, len(target)
         h = np.tanh(sum(v["embed"][k].take(context[:, k], axis=0) for k in range(len(SIDES))) + v["bias"])
-        group = target // PER_CLASS
+        group = target // self.side
         rows = np.arange(n)
         z = h @ v["classes"].T + v["class_bias"]
         z -= z.max(axis=1, keepdims=True)
@@ -56,29 +87,31 @@ class Network:
         total = e.sum(axis=1)
         out = z[rows, group] - np.log(total)
         if grad is not None:
-            g = Network(grad).views
+            g = Network(self.side, grad).views
             e /= total[:, None]
             e[rows, group] -= 1
             e /= n
             g["classes"] += e.T @ h
             g["class_bias"] += e.sum(axis=0)
             dh = e @ v["classes"]
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=CLASSES))
-        hs, inner = h[order], (target % PER_CLASS)[order]
-        for c in range(CLASSES):
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=self.side))
+        hs, inner = h[order], (target % self.side)[order]
+        for c in range(self.side):
             a, b = (ends[c - 1] if c else 0), ends[c]
             if a == b:
                 continue
-            w = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            z = hs[a:b] @ v["words"][w].T + v["word_bias"][w]
+            w = slice(c * self.side, (c + 1) * self.side)
+            own = np.arange(b - a)
+            z = hs[a:b] @ v["words"][w].T
+            z += v["word_bias"][w]
             z -= z.max(axis=1, keepdims=True)
             e = np.exp(z)
             total = e.sum(axis=1)
-            out[order[a:b]] += z[np.arange(b - a), inner[a:b]] - np.log(total)
+            out[order[a:b]] += z[own, inner[a:b]] - np.log(total)
             if grad is not None:
                 e /= total[:, None]
-                e[np.arange(b - a), inner[a:b]] -= 1
+                e[own, inner[a:b]] -= 1
                 e /= n
                 g["words"][w] += e.T @ hs[a:b]
                 g["word_bias"][w] += e.sum(axis=0)
@@ -87,110 +120,345 @@ class Network:
             dh *= 1 - h * h
             g["bias"] += dh.sum(axis=0)
             for k in range(len(SIDES)):
-                by = np.argsort(context[:, k], kind="stable")
+                by = np.argsort(context[:, k].astype(np.uint16 if self.side < 256 else np.int32), kind="stable")
                 ids = context[by, k]
                 first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
                 g["embed"][k][ids[first]] += np.add.reduceat(dh[by], first, axis=0)
         return out
 
 
-def padded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts with room at their ends, each token's place in it, and tokens by text."""
-    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = lists.flatten().to_numpy(zero_copy_only=False)
+def steps(ids: np.ndarray, n: np.ndarray, outside: int, batch: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, targets) of all tokens of texts with n tokens each, a batch at a time."""
     place = np.arange(len(ids)) + 2 * np.repeat(np.arange(1, len(n) + 1), n)
-    out = np.full(len(ids) + 2 * len(n) + 2, SIZE, np.uint16)
-    out[place] = ids
-    return out, place, n
+    padded = np.full(len(ids) + 2 * len(n) + 2, outside, np.int32)
+    padded[place] = ids
+    for lo in range(0, len(place), batch):
+        at = place[lo : lo + batch]
+        yield padded[at[:, None] + np.array(SIDES)], ids[lo : lo + batch].astype(np.int64)
+
+
+class Words:
+    """A block's tokens: bytes, starts, ends, hashes, and each text's first token (n + 1)."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+        self.buf = LOWER[buf]
+        self.starts, self.ends, self.first = spans(self.buf, offsets, TOKEN)
+        self.hash = xxh64_spans(self.buf, self.starts, self.ends - self.starts)
+
+    def pairs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbouring symbols (previous * 257 + next) of some tokens' spellings, one after the other, and where each token's begin."""
+        starts, sizes = self.starts[which], self.ends[which] - self.starts[which]
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        at = np.arange(int((sizes + 1).sum())) + np.repeat(starts - begin, sizes + 1)
+        last = begin + sizes
+        now = self.buf[np.minimum(at, max(len(self.buf) - 1, 0))].astype(np.int64)
+        before = self.buf[np.maximum(at - 1, 0)].astype(np.int64)
+        now[last] = _EDGE
+        before[begin] = _EDGE
+        return before * (_EDGE + 1) + now, begin
+
+
+def vocabulary(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Side, hashes of the outputs in falling order of their counts in all documents, and the counts of all ids (the last: all
+    rarer tokens)."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, buf, offsets in blocks(batches, "text"):
+            key, n = np.unique(Words(buf, offsets).hash, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    counts = cut(docs.select("text").mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    side = outputs(total)
+    top = counts.orderBy(F.desc("n"), "key").limit(side * side - 1).collect()
+    n = np.zeros(side * side, np.int64)
+    n[: len(top)] = [r.n for r in top]
+    n[-1] = total - n.sum()
+    return side, np.array([r.key for r in top], np.int64).view(np.uint64), n
+
+
+def _ids(words: Words, members: Members, side: int) -> np.ndarray:
+    ids = np.full(len(words.hash), side * side - 1, np.int32)
+    at, which = members.find(words.hash)
+    ids[at] = which
+    return ids
 
-def _steps(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    ids, place, _ = padded(lists)
-    for lo in range(0, len(place), BATCH):
-        at = place[lo : lo + BATCH]
-        yield at, ids[at[:, None] + np.array(SIDES)], ids[at].astype(np.int64)
 
+def _text_keys(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return xxh64_spans(buf, offsets[:-1], np.diff(offsets))
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent tokens of all documents, in falling order of their counts."""
+
+def encode(docs: DataFrame, side: int, words: np.ndarray, shards: int, path: str) -> None:
+    """Files by round: (shard, key, ids) of each text, and in round -1 the pairs of rarer tokens' spellings with their counts."""
+    share = docs.sparkSession.sparkContext.broadcast(words)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, pairs, names = Members(share.value), np.zeros((_EDGE + 1) ** 2, np.int64), ["round", "shard", "key", "ids", "pair", "n"]
+        none = lambda n, t: pa.nulls(n, t)
         for _, buf, offsets in blocks(batches, "text"):
-            key, n = np.unique(tokens(buf, offsets)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+            w = Words(buf, offsets)
+            ids, key = _ids(w, members, side), _text_keys(buf, offsets)
+            rare = np.flatnonzero(ids == side * side - 1)
+            for lo in range(0, len(rare), 1 << 18):
+                pairs += np.bincount(w.pairs(rare[lo : lo + (1 << 18)])[0], minlength=len(pairs))
+            lists = pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(ids))
+            scrambled = mix(key)
+            round_ = (scrambled % np.uint64(ROUNDS)).astype(np.int32)
+            shard = ((scrambled >> np.uint64(8)) % np.uint64(shards)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(round_), pa.array(shard), pa.array(key.view(np.int64)), lists, none(len(key), pa.int32()), none(len(key), pa.int64())], names)
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), *[none(len(at), t) for t in (pa.int32(), pa.int64(), pa.list_(pa.int32()))], pa.array(at.astype(np.int32)), pa.array(pairs[at])], names)
+
+    docs.select("text").mapInArrow(task, "round int, shard int, key long, ids array<int>, pair int, n long").write.partitionBy("round").parquet(path)
+
+
+_ENCODED = "shard int, key long, ids array<int>, pair int, n long, round int"
+
+
+def spelling(spark: SparkSession, path: str) -> np.ndarray:
+    """Log-probability of each symbol given the one before (257 * 257), by the counts over all rarer tokens."""
+    found = spark.read.schema(_ENCODED).parquet(path).where("round = -1").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 257 ** 2 at most
+    n = np.full((_EDGE + 1) ** 2, 0.01)
+    for r in found:
+        n[r.pair] += r.n
+    n = n.reshape(_EDGE + 1, _EDGE + 1)
+    return np.log(n / n.sum(axis=1, keepdims=True)).ravel()
+
+
+def train(spark: SparkSession, path: str, side: int, counts: np.ndarray, shards: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The network's parameters after all rounds."""
+    net = Network(side).start_from(counts)
+    state = np.concatenate([net.flat, np.full_like(net.flat, 1e-6)])  # parameters, and sums of squared gradients
+    size, bounds = len(net.flat), np.linspace(0, len(state), SLICES + 1).astype(int)
+    texts = spark.read.schema(_ENCODED).parquet(path)
+    for r in range(rounds):
+        share = spark.sparkContext.broadcast(state)
+
+        def local(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
+            """Rows in order of shard and key -> each shard's network in slices."""
+
+            def learn(ids: list[np.ndarray], n: list[np.ndarray]) -> None:
+                for context, target in steps(np.concatenate(ids), np.concatenate(n), side * side):
+                    grad[:] = 0
+                    own.forward(context, target, grad)
+                    past.__iadd__(grad * grad)
+                    own.flat -= RATE * grad / np.sqrt(past)
+
+            def result(shard: int) -> pa.RecordBatch:
+                parts = [now[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([shard] * SLICES), pa.array([seen] * SLICES), pa.array(parts, pa.binary())], ["slice", "shard", "n", "part"])
+
+            shard, seen, wait, wait_n, size_ = None, 0, [], [], 0
+            for batch in batches:
+                of = batch.column("shard").to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if a == b:
+                        continue
+                    if of[a] != shard:
+                        if shard is not None:
+                            if wait:
+                                learn(wait, wait_n)
+                            yield result(shard)
+                        shard, seen, wait, wait_n, size_ = int(of[a]), 0, [], [], 0
+                        now = share.value.copy()
+                        own, past, grad = Network(side, now[:size]), now[size:], np.zeros(size, np.float32)
+                    lists = batch.column("ids").slice(a, b - a)
+                    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    for lo, ids in _texts(lists, n):  # whole texts of one batch at least, so that steps don't depend on Arrow's batches
+                        wait.append(ids)
+                        wait_n.append(n[lo : lo + 1])
+                        size_ += len(ids)
+                        seen += len(ids)
+                        if size_ >= 4 * BATCH:
+                            learn(wait, wait_n)
+                            wait, wait_n, size_ = [], [], 0
+            if shard is not None:
+                if wait:
+                    learn(wait, wait_n)
+                yield result(shard)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows in order of slice and shard -> each slice's mean by tokens."""
+            at, total, n = None, None, 0
+            done = lambda: pa.RecordBatch.from_arrays([pa.array([at]), pa.array([(total / max(n, 1)).astype(np.float32).tobytes()], pa.binary())], ["slice", "part"])
+            for batch in batches:
+                for k, m, part in zip(batch.column("slice").to_pylist(), batch.column("n").to_pylist(), batch.column("part"), strict=True):
+                    if k != at:
+                        if at is not None:
+                            yield done()
+                        at, total, n = k, 0.0, 0
+                    total = total + np.frombuffer(part.as_buffer(), np.float32).astype(np.float64) * m
+                    n += m
+            if at is not None:
+                yield done()
+
+        dealt = texts.where((F.col("round") == r) & (F.size("ids") > 0)).select("shard", "key", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "key")
+        own = cut(dealt.mapInArrow(local, "slice long, shard long, n long, part binary"), "networks")
+        mean = own.repartition(SLICES, "slice").sortWithinPartitions("slice", "shard").mapInArrow(add, "slice long, part binary").collect()  # one network
+        if mean:
+            state = np.concatenate([np.frombuffer(bytes(x.part), np.float32) for x in sorted(mean, key=lambda x: x.slice)])
+        share.unpersist()
+    return state[:size].copy()
+
+
+def _texts(lists: pa.ListArray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(n)])
+    for i in range(len(n)):
+        yield i, ids[at[i] : at[i + 1]]
 
-    counts = docs.select("text").mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "key").limit(SIZE - RARE).collect()
-    return np.array([r.key for r in top], np.int64).view(np.uint64)
 
+class Scorer:
+    """What scoring a block needs: network, outputs, spellings."""
 
-def encode(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(doc_id, ids)."""
+    def __init__(self, side: int, words: np.ndarray, flat: np.ndarray, spell: np.ndarray):
+        self.net, self.members, self.spell, self.rare = Network(side, flat), Members(words), spell, side * side - 1
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members = Members(words)
-        for part, buf, offsets in blocks(batches, "text"):
-            h, first = tokens(buf, offsets)
-            ids = (SIZE - RARE + (h >> np.uint64(40)) % np.uint64(RARE)).astype(np.int16)
-            at, which = members.find(h)
-            ids[at] = which
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+    def block(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+        """Tokens, ids, and each token's log-probability by the network."""
+        w = Words(buf, offsets)
+        ids = _ids(w, self.members, self.net.side)
+        logs = [self.net.forward(c, t) for c, t in steps(ids, np.diff(w.first), self.rare + 1, 2 * BATCH)]
+        out = np.concatenate(logs).astype(np.float64) if logs else np.zeros(0)
+        rare = np.flatnonzero(ids == self.rare)
+        for lo in range(0, len(rare), 1 << 18):
+            part = rare[lo : lo + (1 << 18)]
+            pair, begin = w.pairs(part)
+            out[part] += np.add.reduceat(self.spell[pair], begin)
+        return w, ids, out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, ids array<smallint>")
 
+_HEAD = np.dtype("<u4")
 
-def train(encoded: DataFrame) -> np.ndarray:
-    """The averaged network's parameters."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = Network(), 0
-        grad, past = np.zeros_like(net.flat), np.full_like(net.flat, 1e-8)
-        for batch in batches:
-            for _, context, target in _steps(batch.column("ids")):
-                grad[:] = 0
-                net.forward(context, target, grad)
-                past += grad * grad
-                net.flat -= RATE * grad / np.sqrt(past)
-                seen += len(target)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS]), pa.array([seen]), pa.array([net.flat.tobytes()], pa.binary())], ["slot", "n", "net"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
-        for batch in batches:
-            for k, blob in zip(batch.column("n").to_pylist(), batch.column("net").to_pylist(), strict=True):
-                own = np.frombuffer(blob, np.float32).astype(np.float64) * k
-                total = own if total is None else total + own
-                n += k
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "net"])
+def _pack(row: np.ndarray, context: np.ndarray, word: np.ndarray, log: np.ndarray, n: np.ndarray) -> bytes:
+    """Records in order of rows, as arrays: each row's key and number of records, then the records; n only where it isn't 1."""
+    edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    many = np.flatnonzero(n > 1)
+    head = np.array([len(edge), len(row), len(many)], _HEAD)
+    return b"".join(x.tobytes() for x in (head, row[edge], np.diff(np.append(edge, len(row))).astype("<u4"), context, word, log, many.astype("<u4"), n[many].astype("<u4")))
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    rows, size, many = np.frombuffer(blob, _HEAD, 3).tolist()
+    at, out = 12, []
+    for kind, count in (("<u8", rows), ("<u4", rows), ("<u8", size), ("<u4", size), ("<f4", size), ("<u4", many), ("<u4", many)):
+        out.append(np.frombuffer(blob, kind, count, at))
+        at += out[-1].nbytes
+    n = np.ones(size, np.int64)
+    n[out[5]] = out[6]
+    return np.repeat(out[0], out[1]), out[2], out[3], out[4], n
+
+
+def gains(row: np.ndarray, context: np.ndarray, word: np.ndarray, log: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What counts add to the log-probabilities of all records of some contexts: (row, sum), rows without a repeated context left out."""
+    order = np.lexsort((word, context))
+    row, context, word, log, n = (x[order] for x in (row, context, word, log, n))
+    new_context = np.append(True, context[1:] != context[:-1])
+    new_word = new_context | np.append(True, word[1:] != word[:-1])
 
-    own = cut(encoded.select("ids").mapInArrow(local, "slot long, n long, net binary"), "networks")
-    parts = own.repartition(GROUPS, "slot").sortWithinPartitions("slot", "n", "net").mapInArrow(add, "n long, net binary").collect()
-    if not parts:
-        return Network().flat
-    parts.sort(key=lambda r: (r.n, bytes(r.net)))
-    weights = np.array([r.n for r in parts], float)
-    return np.average([np.frombuffer(bytes(r.net), np.float32) for r in parts], axis=0, weights=weights).astype(np.float32)
+    def sums(new: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(new)
+        return np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
 
+    of_context, of_word = sums(new_context), sums(new_word)
+    at = np.flatnonzero(of_context > 1)
+    log, n = log[at].astype(np.float64), n[at]
+    gain = n * (np.log((of_word[at] - 1 + PRIOR * np.exp(log)) / (of_context[at] - 1 + PRIOR)) - log)
+    keys, inverse = np.unique(row[at], return_inverse=True)
+    return keys, np.bincount(inverse, gain, len(keys))
 
-def score(encoded: DataFrame, flat: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, mean_log_prob)."""
+
+_FOUND = "bucket int, blob binary, doc_id long, row long, n_tokens long, log_prob double"
+
+
+def score(docs: DataFrame, side: int, words: np.ndarray, flat: np.ndarray, spell: np.ndarray, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, mean_log_prob), one row per input row."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // bucket_bytes))
+    share = spark.sparkContext.broadcast((side, words, flat, spell))  # at most MAX_WORDS outputs
+    names = ["bucket", "blob", "doc_id", "row", "n_tokens", "log_prob"]
+    empty = [pa.nulls(0, t) for t in (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64())]
+
+    def rows_only(doc_id, row: np.ndarray, n: np.ndarray, log: np.ndarray) -> pa.RecordBatch:
+        spread = (mix(row) % np.uint64(buckets)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(row), pa.binary()), doc_id, pa.array(row.view(np.int64)), pa.array(n), pa.array(log)], names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(flat)
+        scorer = Scorer(*share.value)
+        for part, buf, offsets in blocks(batches, "text"):
+            w, ids, log = scorer.block(buf, offsets)
+            n = np.diff(w.first)
+            text = np.repeat(np.arange(len(n)), n)
+            doc_id = part.column("doc_id")
+            row = mix(_text_keys(buf, offsets) + mix(doc_id.fill_null(-1).to_numpy().view(np.uint64) + doc_id.is_null().to_numpy(zero_copy_only=False)))
+            yield rows_only(doc_id, row, n, np.bincount(text, log, len(n)) if len(n) else np.zeros(0))
+            # contexts with a left neighbour that is no output; the right one, or the text's end
+            at = np.flatnonzero((ids[:-1] == scorer.rare) & (text[:-1] == text[1:])) + 1 if len(ids) else np.zeros(0, np.int64)
+            if not len(at):
+                continue
+            after = np.minimum(at + 1, len(ids) - 1)
+            right = np.where((at + 1 < len(ids)) & (text[after] == text[at]), w.hash[after], np.uint64(0))
+            context, word, logs = mix(mix(w.hash[at - 1]) + right), (w.hash[at] >> np.uint64(32)).astype("<u4"), log[at].astype("<f4")
+            bucket = (context % np.uint64(buckets)).astype(np.int32)
+            # a text's records that agree in all become one
+            same = mix(mix(context + word) + mix(text[at].astype(np.uint64) + (logs.view("<u4").astype(np.uint64) << np.uint64(32))))
+            _, index, times = np.unique(same, return_index=True, return_counts=True)
+            order = np.lexsort((text[at][index], bucket[index]))
+            index, times = index[order], times[order]
+            ends = np.cumsum(np.bincount(bucket[index], minlength=buckets))
+            here = [b for b in range(buckets) if ends[b] > (ends[b - 1] if b else 0)]
+            blobs = []
+            for b in here:
+                own = slice(ends[b - 1] if b else 0, ends[b])
+                i = index[own]
+                blobs.append(_pack(row[text[at[i]]], context[i], word[i], logs[i], times[own]))
+            yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(len(here), c.type) for c in empty[2:]]], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of bucket: those of texts pass, the blobs of a bucket become their rows' gains."""
+
+        def flush() -> pa.RecordBatch:
+            keys, gain = gains(*[np.concatenate(x) for x in zip(*wait, strict=True)])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int64()), pa.array(gain)], names)
+
+        now, wait = None, []
         for batch in batches:
-            lists = batch.column("ids")
-            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            logs = [net.forward(c, t).astype(np.float64) for _, c, t in _steps(lists)]
-            total = np.bincount(np.repeat(np.arange(len(n)), n), np.concatenate(logs) if logs else None, len(n)) if len(n) else np.zeros(0)
-            mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total.astype(float)), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return encoded.mapInArrow(task, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+            plain = batch.filter(batch.column("blob").is_null())
+            if plain.num_rows:
+                yield plain
+            packed = batch.filter(batch.column("blob").is_valid())
+            for b, blob in zip(packed.column("bucket").to_pylist(), packed.column("blob"), strict=True):
+                if b != now and wait:
+                    yield flush()
+                    wait = []
+                now = b
+                wait.append(_unpack(blob.as_py()))
+        if wait:
+            yield flush()
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = cut(plain.mapInArrow(task, _FOUND).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _FOUND).drop("bucket", "blob"), "scores")
+    base = found.where("n_tokens IS NOT NULL")
+    # rows that agree in id and text share a key: their gains were summed
+    gain = found.where("n_tokens IS NULL").groupBy("row").agg(F.sum("log_prob").alias("gain"))
+    times = base.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+    total = F.col("log_prob") + F.coalesce(F.col("gain") / F.col("times"), F.lit(0.0))
+    return base.join(times, "row").join(gain, "row", "left").select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
+
+
+def fit(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Side, outputs, parameters, spellings: all from all documents."""
+    spark = docs.sparkSession
+    side, words, counts = vocabulary(docs)
+    shards = max(1, int(counts.sum() // SHARD_TOKENS))
+    path = new_path(spark, "ids")
+    encode(docs, side, words, shards, path)
+    return side, words, train(spark, path, side, counts, shards), spelling(spark, path)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    encoded = cut(encode(docs, vocabulary(docs)), "ids")
-    return score(encoded, train(encoded))
+    return score(docs, *fit(docs))
