@@ -194,11 +194,11 @@ def test_personal_data(spark, docs, rows, odd, empty):
     assert pii.base_spans(long) == []
 
 
-def test_lm(docs, rows, odd, empty):
-    net = lm.Network()
-    net = lm.Network(net.flat.astype(float))
+def test_lm_gradient_and_normalisation():
+    side = 16
+    net = lm.Network(side, lm.Network(side).flat.astype(float)).start_from(np.arange(side * side + 1))
     rng = np.random.RandomState(0)
-    context, target = rng.randint(0, lm.SIZE + 1, (40, 4)), rng.randint(0, lm.SIZE, 40)
+    context, target = rng.randint(0, side * side + 2, (40, 4)), rng.randint(0, side * side + 1, 40)
     grad = np.zeros_like(net.flat)
     net.forward(context, target, grad)
     for i in rng.choice(np.flatnonzero(np.abs(grad) > 1e-6), 15):
@@ -208,15 +208,91 @@ def test_lm(docs, rows, odd, empty):
             losses.append(-net.forward(context, target).mean())
         net.flat[i] = old
         assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(grad[i], abs=1e-6)
-    assert sum(np.exp(net.forward(context[:1], np.array([t]))[0]) for t in range(lm.SIZE)) == pytest.approx(1)
-    words = lm.vocabulary(docs)
-    encoded = lm.encode(docs, words)
-    flat_net = lm.train(encoded)
-    trained = {r.doc_id: r for r in lm.score(encoded, flat_net).collect()}
-    fresh = {r.doc_id: r for r in lm.score(encoded, lm.Network().flat).collect()}
-    assert trained[56].log_prob > fresh[56].log_prob and trained[48].n_tokens == 0 and trained[48].mean_log_prob is None and trained[5].log_prob == pytest.approx(trained[40].log_prob)
-    assert lm.score(lm.encode(odd, words), flat_net).count() == 16
-    assert lm.score(lm.encode(empty, lm.vocabulary(empty)), lm.train(lm.encode(empty, lm.vocabulary(empty)))).count() == 0
+    assert sum(np.exp(net.forward(context[:1], np.array([t]))[0]) for t in range(side * side + 1)) == pytest.approx(1)
+
+
+def lm_tokens(t):
+    return re.findall(r"[0-9a-zA-Z\u0080-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+
+
+def naive_scores(pairs, side, words, flat_net, spell):
+    """Each text's score, token by token, with the softmax written out and the counts of all texts."""
+    from collections import Counter
+
+    v = {k: x.astype(float) for k, x in lm.Network(side, flat_net).views.items()}
+    index = {int(h): i for i, h in enumerate(words)}
+    rare, outside = side * side, side * side + 1
+    spelled = spell.reshape(257, 257)
+    texts = [(i, lm_tokens(t)) for i, t in pairs]
+    ids = lambda w: [index.get(xxhash.xxh64_intdigest(x.encode(), 42), rare) for x in w]
+    triples = Counter((w[k - 1], x, w[k + 1] if k + 1 < len(w) else None) for _, w in texts for k, x in enumerate(w) if k and ids([w[k - 1]])[0] == rare)
+    contexts = Counter()
+    for (left, _, right), n in triples.items():
+        contexts[left, right] += n
+    out = []
+    for i, w in texts:
+        at, total = [outside, outside, *ids(w), outside, outside], 0.0
+        for k, x in enumerate(w):
+            h = np.tanh(sum(v["embed"][s][at[k + 2 + d]] for s, d in enumerate((-2, -1, 1, 2))) + v["bias"])
+            own = at[k + 2]
+            z = v["classes"] @ h + v["class_bias"]
+            c = int(own**0.5)
+            log = z[c] - np.log(np.exp(z).sum())
+            if own != rare:
+                z = v["words"][c * c : (c + 1) ** 2] @ h + v["word_bias"][c * c : (c + 1) ** 2]
+                log += z[own - c * c] - np.log(np.exp(z).sum())
+            if own == rare:
+                b = [256, *x.encode(), 256]
+                log += sum(spelled[p, q] for p, q in zip(b[:-1], b[1:], strict=True))
+            if k and at[k + 1] == rare:
+                right = w[k + 1] if k + 1 < len(w) else None
+                n, m = triples[w[k - 1], x, right] - 1, contexts[w[k - 1], right] - 1
+                log = np.log((n + lm.PRIOR * np.exp(log)) / (m + lm.PRIOR))
+            total += log
+        out.append((i, len(w), total))
+    return out
+
+
+def test_lm(spark, docs, rows, odd, empty, monkeypatch):
+    monkeypatch.setattr(lm, "MIN_WORDS", 25)  # so that most tokens are none of the outputs
+    monkeypatch.setattr(lm, "GROWTH", 0.1)
+    model = lm.fit(docs)
+    side, words, flat_net, spell = model
+    assert side == 5 and len(words) == 25
+    got = {r.doc_id: r for r in lm.score(docs, *model).collect()}
+    for i, n, log in naive_scores([r[:2] for r in rows], *model):
+        assert got[i].n_tokens == n and got[i].log_prob == pytest.approx(log, rel=1e-4, abs=1e-3)
+        assert got[i].mean_log_prob == (pytest.approx(log / n, rel=1e-4, abs=1e-3) if n else None)
+    assert np.allclose(np.exp(spell.reshape(257, 257)).sum(axis=1), 1)
+    many = {r.doc_id: r.log_prob for r in lm.score(docs, *model, bucket_bytes=500).collect()}
+    assert all(many[i] == pytest.approx(r.log_prob, rel=1e-6, abs=1e-6) for i, r in got.items())
+    counts = lm.vocabulary(docs)[2]
+    fresh = {r.doc_id: r for r in lm.score(docs, side, words, lm.Network(side).start_from(counts).flat, spell).collect()}
+    assert sum(r.log_prob for r in got.values()) > sum(r.log_prob for r in fresh.values())
+    # rows that agree in all are scored alike, and so are those of null ids
+    odd_rows = [tuple(r)[:2] for r in odd.collect()]
+    want = naive_scores(odd_rows, *model)
+    scored = [tuple(r)[:3] for r in lm.score(odd, *model).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert [r[:2] for r in sorted(scored, key=key)] == [r[:2] for r in sorted(want, key=key)]
+    assert [r[2] for r in sorted(scored, key=key)] == pytest.approx([r[2] for r in sorted(want, key=key)], rel=1e-4, abs=1e-3)
+    assert lm.score(empty, *lm.fit(empty)).count() == 0
+
+
+def test_lm_does_not_depend_on_the_number_of_tasks(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
+    one = {r.doc_id: r.log_prob for r in lm.score(docs.coalesce(1), *lm.fit(docs.coalesce(1))).collect()}
+    many = {r.doc_id: r.log_prob for r in lm.score(docs.repartition(16), *lm.fit(docs.repartition(16))).collect()}
+    assert all(many[i] == pytest.approx(x, rel=1e-5, abs=1e-5) for i, x in one.items())
+
+
+def test_lm_tells_repeats_apart(spark):
+    rng = random.Random(12)
+    lexicon = [make_text(rng, 1).strip(".,\n") + make_text(rng, 1).strip(".,\n") + str(k) for k in range(3000)]
+    texts = [" ".join(rng.choice(lexicon if rng.random() < 0.5 else WORDS) for _ in range(120)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string")
+    got = {r.doc_id: r.mean_log_prob for r in lm.score(docs, *lm.fit(docs)).collect()}
+    assert min(got[i] for i in [*range(20), *range(200, 220)]) > max(got[i] for i in range(20, 200))
 
 
 def naive_substrings(pairs):
@@ -434,8 +510,7 @@ def test_pipeline(spark, tmp_path):
         kept[name] = {r.doc_id for r in last.select("doc_id").collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert kept["language"] == set(texts)
-    fps = [naive_fingerprint(texts[i]) for i in sorted(texts)]
-    assert kept["near_duplicates"] == {sorted(texts)[x] for x in naive_components(fps)}
+    assert kept["near_duplicates"] == {sorted(texts)[x] for x in naive_copies([texts[i] for i in sorted(texts)])}
     bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     gone = {i for i in kept["near_duplicates"] if any(b in texts[i] for b in bench)}
     assert gone <= kept["near_duplicates"] - kept["decontamination"] and len(kept["near_duplicates"] - kept["decontamination"]) <= len(gone) + 2

@@ -1,8 +1,9 @@
 """Operator 6, LM scoring by masked pseudo-likelihood.
 
 A window network, written in numpy, predicts every token from the two tokens on either side: position-wise embeddings are
-summed, squashed, and give a token class, then a token within its class (a two-level softmax). A text's score is the sum
-of the conditional log-probabilities of all its tokens; each is a probability over all possible tokens:
+summed, squashed, and give a token class, then a token within its class (a two-level softmax; the more frequent a class, the fewer
+tokens it has). A text's score is the sum of the conditional log-probabilities of all its tokens; each is a probability
+over all possible tokens:
 
 - The network's outputs are the corpus's most frequent tokens, as many as `outputs` says (they grow with the counted
   tokens, MAX_WORDS at most, so that the network stays under 50 MB), and one output for any other token. Such a token's
@@ -46,18 +47,21 @@ _EDGE = 256
 
 
 def outputs(n_tokens: int) -> int:
-    """Side of the two-level softmax: its square is about n_tokens ** GROWTH, between MIN_WORDS and MAX_WORDS."""
+    """Number of token classes; its square, the number of outputs, is about n_tokens ** GROWTH, between MIN_WORDS and MAX_WORDS."""
     return math.isqrt(int(min(MAX_WORDS, max(MIN_WORDS, n_tokens**GROWTH))))
 
 
 class Network:
-    """Parameters as views of one flat array. Tokens have ids 0 to side ** 2 - 1; the last one stands for any rarer token, and
-    side ** 2 for what lies beyond a text's ends."""
+    """Parameters as views of one flat array.
+
+    Tokens have ids 0 to side ** 2 - 1 in falling order of frequency; class c holds those from c ** 2 to (c + 1) ** 2 - 1. The
+    id side ** 2 stands for any rarer token, a class of its own, and the next one for what lies beyond a text's ends.
+    """
 
     def __init__(self, side: int, flat: np.ndarray | None = None):
         size = side * side
-        self.side = side
-        shapes = {"embed": (len(SIDES), size + 1, HIDDEN), "bias": (HIDDEN,), "classes": (side, HIDDEN), "class_bias": (side,), "words": (size, HIDDEN), "word_bias": (size,)}
+        self.side, self.rare = side, size
+        shapes = {"embed": (len(SIDES), size + 2, HIDDEN), "bias": (HIDDEN,), "classes": (side + 1, HIDDEN), "class_bias": (side + 1,), "words": (size, HIDDEN), "word_bias": (size,)}
         if flat is None:
             rng = np.random.RandomState(SEED)
             flat = np.concatenate([(rng.randn(math.prod(s)) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in shapes.values()])
@@ -67,64 +71,64 @@ class Network:
             n = math.prod(shape)
             self.views[name] = flat[at : at + n].reshape(shape)
             at += n
+        self.first = np.arange(side + 1) ** 2
 
     def start_from(self, counts: np.ndarray) -> Network:
-        """Biases that give each output its share of the counts."""
-        by = np.maximum(counts.astype(float), 0.5).reshape(self.side, self.side)
-        self.views["class_bias"][:] = np.log(by.sum(axis=1) / by.sum())
-        self.views["word_bias"][:] = np.log(by / by.sum(axis=1, keepdims=True)).ravel()
+        """Biases that give each token its share of the counts (the last: all rarer tokens)."""
+        by = np.maximum(counts.astype(float), 0.5)
+        mass = np.add.reduceat(by, self.first)
+        self.views["class_bias"][:] = np.log(mass / mass.sum())
+        self.views["word_bias"][:] = np.log(by[:-1] / np.repeat(mass[:-1], np.diff(self.first)))
         return self
 
     def forward(self, context: np.ndarray, target: np.ndarray, grad: np.ndarray | None = None) -> np.ndarray:
         """Log-probability of each target given its context (n, 4); with `grad`, adds the gradient of their mean's negative."""
         v, n = self.views, len(target)
         h = np.tanh(sum(v["embed"][k].take(context[:, k], axis=0) for k in range(len(SIDES))) + v["bias"])
-        group = target // self.side
-        rows = np.arange(n)
-        z = h @ v["classes"].T + v["class_bias"]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1)
-        out = z[rows, group] - np.log(total)
-        if grad is not None:
-            g = Network(self.side, grad).views
-            e /= total[:, None]
-            e[rows, group] -= 1
-            e /= n
-            g["classes"] += e.T @ h
-            g["class_bias"] += e.sum(axis=0)
-            dh = e @ v["classes"]
+        group = np.searchsorted(self.first, target, "right") - 1
         order = np.argsort(group.astype(np.uint16), kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=self.side))
-        hs, inner = h[order], (target % self.side)[order]
-        for c in range(self.side):
-            a, b = (ends[c - 1] if c else 0), ends[c]
-            if a == b:
-                continue
-            w = slice(c * self.side, (c + 1) * self.side)
-            own = np.arange(b - a)
-            z = hs[a:b] @ v["words"][w].T
-            z += v["word_bias"][w]
-            z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(axis=1)
-            out[order[a:b]] += z[own, inner[a:b]] - np.log(total)
-            if grad is not None:
-                e /= total[:, None]
-                e[own, inner[a:b]] -= 1
-                e /= n
-                g["words"][w] += e.T @ hs[a:b]
-                g["word_bias"][w] += e.sum(axis=0)
-                dh[order[a:b]] += e @ v["words"][w]
-        if grad is not None:
+        h, group, target = h[order], group[order], target[order]
+        ends = np.searchsorted(group, np.arange(self.side + 1))
+        grads = Network(self.side, grad).views if grad is not None else None
+        out = np.empty(n, h.dtype)
+        dh = np.zeros_like(h)
+
+        def choose(weights: str, biases: str, part: slice, h: np.ndarray, which: np.ndarray, dh: np.ndarray) -> np.ndarray:
+            """Log-softmax of the outputs `part`, one column for each row of h, at `which`; gradients on the way."""
+            e = v[weights][part] @ h.T
+            e += v[biases][part][:, None]
+            e -= e.max(axis=0)
+            at = np.arange(len(which))
+            own = e[which, at]
+            np.exp(e, out=e)
+            total = e.sum(axis=0)
+            if grads is not None:
+                e /= total * n
+                e[which, at] -= 1 / n
+                grads[weights][part] += e @ h
+                grads[biases][part] += e.sum(axis=1)
+                dh += e.T @ v[weights][part]
+            return own - np.log(total)
+
+        for lo in range(0, n, 4096):  # small enough for the processor's caches
+            some = slice(lo, lo + 4096)
+            out[some] = choose("classes", "class_bias", slice(None), h[some], group[some], dh[some])
+        for c in range(1, self.side):  # class 0 has one token
+            some = slice(ends[c], ends[c + 1])
+            if ends[c] < ends[c + 1]:
+                out[some] += choose("words", "word_bias", slice(c * c, (c + 1) ** 2), h[some], target[some] - c * c, dh[some])
+        if grads is not None:
             dh *= 1 - h * h
-            g["bias"] += dh.sum(axis=0)
+            grads["bias"] += dh.sum(axis=0)
             for k in range(len(SIDES)):
-                by = np.argsort(context[:, k].astype(np.uint16 if self.side < 256 else np.int32), kind="stable")
-                ids = context[by, k]
+                ids = context[order, k]
+                by = np.argsort(ids.astype(np.uint16) if self.rare < 65_000 else ids, kind="stable")
+                ids = ids[by]
                 first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-                g["embed"][k][ids[first]] += np.add.reduceat(dh[by], first, axis=0)
-        return out
+                grads["embed"][k][ids[first]] += np.add.reduceat(dh[by], first, axis=0)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
 
 def steps(ids: np.ndarray, n: np.ndarray, outside: int, batch: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -159,8 +163,8 @@ class Words:
 
 
 def vocabulary(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Side, hashes of the outputs in falling order of their counts in all documents, and the counts of all ids (the last: all
-    rarer tokens)."""
+    """Number of classes, hashes of the outputs in falling order of their counts in all documents, and the counts of all ids (the
+    last: all rarer tokens)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, offsets in blocks(batches, "text"):
@@ -170,15 +174,15 @@ def vocabulary(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     counts = cut(docs.select("text").mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     side = outputs(total)
-    top = counts.orderBy(F.desc("n"), "key").limit(side * side - 1).collect()
-    n = np.zeros(side * side, np.int64)
+    top = counts.orderBy(F.desc("n"), "key").limit(side * side).collect()
+    n = np.zeros(side * side + 1, np.int64)
     n[: len(top)] = [r.n for r in top]
     n[-1] = total - n.sum()
     return side, np.array([r.key for r in top], np.int64).view(np.uint64), n
 
 
 def _ids(words: Words, members: Members, side: int) -> np.ndarray:
-    ids = np.full(len(words.hash), side * side - 1, np.int32)
+    ids = np.full(len(words.hash), side * side, np.int32)
     at, which = members.find(words.hash)
     ids[at] = which
     return ids
@@ -198,7 +202,7 @@ def encode(docs: DataFrame, side: int, words: np.ndarray, shards: int, path: str
         for _, buf, offsets in blocks(batches, "text"):
             w = Words(buf, offsets)
             ids, key = _ids(w, members, side), _text_keys(buf, offsets)
-            rare = np.flatnonzero(ids == side * side - 1)
+            rare = np.flatnonzero(ids == side * side)
             for lo in range(0, len(rare), 1 << 18):
                 pairs += np.bincount(w.pairs(rare[lo : lo + (1 << 18)])[0], minlength=len(pairs))
             lists = pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(ids))
@@ -238,11 +242,15 @@ def train(spark: SparkSession, path: str, side: int, counts: np.ndarray, shards:
             """Rows in order of shard and key -> each shard's network in slices."""
 
             def learn(ids: list[np.ndarray], n: list[np.ndarray]) -> None:
-                for context, target in steps(np.concatenate(ids), np.concatenate(n), side * side):
+                for context, target in steps(np.concatenate(ids), np.concatenate(n), side * side + 1):
                     grad[:] = 0
                     own.forward(context, target, grad)
-                    past.__iadd__(grad * grad)
-                    own.flat -= RATE * grad / np.sqrt(past)
+                    np.multiply(grad, grad, out=step)
+                    np.add(past, step, out=past)
+                    np.sqrt(past, out=step)
+                    np.divide(grad, step, out=step)
+                    np.multiply(step, RATE, out=step)
+                    np.subtract(own.flat, step, out=own.flat)
 
             def result(shard: int) -> pa.RecordBatch:
                 parts = [now[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -262,7 +270,7 @@ def train(spark: SparkSession, path: str, side: int, counts: np.ndarray, shards:
                             yield result(shard)
                         shard, seen, wait, wait_n, size_ = int(of[a]), 0, [], [], 0
                         now = share.value.copy()
-                        own, past, grad = Network(side, now[:size]), now[size:], np.zeros(size, np.float32)
+                        own, past, grad, step = Network(side, now[:size]), now[size:], np.zeros(size, np.float32), np.empty(size, np.float32)
                     lists = batch.column("ids").slice(a, b - a)
                     n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                     for lo, ids in _texts(lists, n):  # whole texts of one batch at least, so that steps don't depend on Arrow's batches
@@ -313,7 +321,7 @@ class Scorer:
     """What scoring a block needs: network, outputs, spellings."""
 
     def __init__(self, side: int, words: np.ndarray, flat: np.ndarray, spell: np.ndarray):
-        self.net, self.members, self.spell, self.rare = Network(side, flat), Members(words), spell, side * side - 1
+        self.net, self.members, self.spell, self.rare = Network(side, flat), Members(words), spell, side * side
 
     def block(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
         """Tokens, ids, and each token's log-probability by the network."""
@@ -371,6 +379,39 @@ def gains(row: np.ndarray, context: np.ndarray, word: np.ndarray, log: np.ndarra
 
 
 _FOUND = "bucket int, blob binary, doc_id long, row long, n_tokens long, log_prob double"
+_NAMES = ["bucket", "blob", "doc_id", "row", "n_tokens", "log_prob"]
+_TYPES = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+
+
+def _blobs(bucket: list[int], blob: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary()), *[pa.nulls(len(bucket), t) for t in _TYPES[2:]]], _NAMES)
+
+
+def _parts(bucket: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """The buckets that occur in a sorted array, with their places."""
+    ends = np.searchsorted(bucket, np.arange(n + 1))
+    yield from ((int(b), slice(ends[b], ends[b + 1])) for b in np.flatnonzero(np.diff(ends)))
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[pa.RecordBatch]]]:
+    """Rows in order of bucket -> each bucket's blobs and other rows."""
+    now, blobs, rows = None, [], []
+    for batch in batches:
+        of = batch.column("bucket").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if of[a] != now and now is not None:
+                yield now, blobs, rows
+                blobs, rows = [], []
+            now, part = int(of[a]), batch.slice(a, b - a)
+            blobs += [x.as_py() for x in part.column("blob").drop_null()]
+            plain = part.filter(part.column("blob").is_null())
+            if plain.num_rows:
+                rows.append(plain)
+    if now is not None:
+        yield now, blobs, rows
 
 
 def score(docs: DataFrame, side: int, words: np.ndarray, flat: np.ndarray, spell: np.ndarray, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -379,14 +420,9 @@ def score(docs: DataFrame, side: int, words: np.ndarray, flat: np.ndarray, spell
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // bucket_bytes))
     share = spark.sparkContext.broadcast((side, words, flat, spell))  # at most MAX_WORDS outputs
-    names = ["bucket", "blob", "doc_id", "row", "n_tokens", "log_prob"]
-    empty = [pa.nulls(0, t) for t in (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64())]
-
-    def rows_only(doc_id, row: np.ndarray, n: np.ndarray, log: np.ndarray) -> pa.RecordBatch:
-        spread = (mix(row) % np.uint64(buckets)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(row), pa.binary()), doc_id, pa.array(row.view(np.int64)), pa.array(n), pa.array(log)], names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with its score by the network, and the places of contexts that have counts, by bucket of contexts."""
         scorer = Scorer(*share.value)
         for part, buf, offsets in blocks(batches, "text"):
             w, ids, log = scorer.block(buf, offsets)
@@ -394,7 +430,8 @@ def score(docs: DataFrame, side: int, words: np.ndarray, flat: np.ndarray, spell
             text = np.repeat(np.arange(len(n)), n)
             doc_id = part.column("doc_id")
             row = mix(_text_keys(buf, offsets) + mix(doc_id.fill_null(-1).to_numpy().view(np.uint64) + doc_id.is_null().to_numpy(zero_copy_only=False)))
-            yield rows_only(doc_id, row, n, np.bincount(text, log, len(n)) if len(n) else np.zeros(0))
+            where = (row % np.uint64(buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(where), pa.nulls(len(row), pa.binary()), doc_id, pa.array(row.view(np.int64)), pa.array(n), pa.array(np.bincount(text, log, len(n)))], _NAMES)
             # contexts with a left neighbour that is no output; the right one, or the text's end
             at = np.flatnonzero((ids[:-1] == scorer.rare) & (text[:-1] == text[1:])) + 1 if len(ids) else np.zeros(0, np.int64)
             if not len(at):
@@ -408,49 +445,49 @@ def score(docs: DataFrame, side: int, words: np.ndarray, flat: np.ndarray, spell
             _, index, times = np.unique(same, return_index=True, return_counts=True)
             order = np.lexsort((text[at][index], bucket[index]))
             index, times = index[order], times[order]
-            ends = np.cumsum(np.bincount(bucket[index], minlength=buckets))
-            here = [b for b in range(buckets) if ends[b] > (ends[b - 1] if b else 0)]
-            blobs = []
-            for b in here:
-                own = slice(ends[b - 1] if b else 0, ends[b])
-                i = index[own]
-                blobs.append(_pack(row[text[at[i]]], context[i], word[i], logs[i], times[own]))
-            yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(len(here), c.type) for c in empty[2:]]], names)
+            found = [(b, _pack(row[text[at[index[own]]]], context[index[own]], word[index[own]], logs[index[own]], times[own])) for b, own in _parts(bucket[index], buckets)]
+            yield _blobs(*map(list, zip(*found, strict=True)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order of bucket: those of texts pass, the blobs of a bucket become their rows' gains."""
-
-        def flush() -> pa.RecordBatch:
-            keys, gain = gains(*[np.concatenate(x) for x in zip(*wait, strict=True)])
-            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int64()), pa.array(gain)], names)
-
-        now, wait = None, []
-        for batch in batches:
-            plain = batch.filter(batch.column("blob").is_null())
-            if plain.num_rows:
-                yield plain
-            packed = batch.filter(batch.column("blob").is_valid())
-            for b, blob in zip(packed.column("bucket").to_pylist(), packed.column("blob"), strict=True):
-                if b != now and wait:
-                    yield flush()
-                    wait = []
-                now = b
-                wait.append(_unpack(blob.as_py()))
-        if wait:
-            yield flush()
+        """What counts add to each row, by bucket of rows."""
+        for _, blobs, rows in _by_bucket(batches):
+            yield from rows
+            if blobs:
+                keys, gain = gains(*[np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True)])
+                order = np.argsort(keys % np.uint64(buckets), kind="stable")
+                keys, gain = keys[order], gain[order]
+                found = [(b, keys[own].tobytes() + gain[own].tobytes()) for b, own in _parts((keys % np.uint64(buckets)).astype(np.int64), buckets)]
+                if found:
+                    yield _blobs(*map(list, zip(*found, strict=True)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs, rows in _by_bucket(batches):
+            both = [(np.frombuffer(b, "<u8", len(b) // 16), np.frombuffer(b, "<f8", len(b) // 16, len(b) // 2)) for b in blobs]
+            keys, inverse = np.unique(np.concatenate([x for x, _ in both]) if both else np.zeros(0, np.uint64), return_inverse=True)
+            gain = np.bincount(inverse, np.concatenate([x for _, x in both]) if both else None, len(keys))
+            own = [x.column("row").to_numpy().view(np.uint64) for x in rows]
+            # rows that agree in id and text share a key: their gains were summed
+            distinct, of, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            plus = np.zeros(len(distinct))
+            plus[np.searchsorted(distinct, keys)] = gain
+            plus = (plus / times)[of]
+            for part in rows:
+                n = part.column("n_tokens").to_numpy()
+                total = part.column("log_prob").to_numpy() + plus[: len(n)]
+                plus = plus[len(n) :]
+                mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), pa.array(total), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = cut(plain.mapInArrow(task, _FOUND).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _FOUND).drop("bucket", "blob"), "scores")
-    base = found.where("n_tokens IS NOT NULL")
-    # rows that agree in id and text share a key: their gains were summed
-    gain = found.where("n_tokens IS NULL").groupBy("row").agg(F.sum("log_prob").alias("gain"))
-    times = base.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
-    total = F.col("log_prob") + F.coalesce(F.col("gain") / F.col("times"), F.lit(0.0))
-    return base.join(times, "row").join(gain, "row", "left").select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
+    found = dealt(plain.mapInArrow(task, _FOUND)).mapInArrow(meet, _FOUND)
+    return dealt(found).mapInArrow(add, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
 
 
 def fit(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Side, outputs, parameters, spellings: all from all documents."""
+    """Number of classes, outputs, parameters, spellings: all from all documents."""
     spark = docs.sparkSession
     side, words, counts = vocabulary(docs)
     shards = max(1, int(counts.sum() // SHARD_TOKENS))
