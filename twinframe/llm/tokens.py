@@ -2,8 +2,8 @@
 
 Documents are dealt by ranges of doc_id and sorted, so that files, stripes and row groups hold disjoint id ranges:
 integer run-length encoding keeps ids small, row indexes and a Bloom filter on doc_id let a lookup skip stripes, and
-stripes can be read in parallel. A file's rows carry their first token's place in the file; a document's place in the
-whole output adds the totals of the files before.
+stripes can be read in parallel. A row carries the number of its range and its first token's place there, however many
+files the range's task writes; a document's place in the whole output adds the totals of the ranges before.
 
 Texts are encoded with the tokenizers library. White space and the borders between ASCII letters, digits and other
 ASCII characters always separate tokens in this vocabulary, so each distinct stretch between them is encoded once for a
@@ -22,6 +22,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +36,9 @@ _KIND[[9, 10, 11, 12, 13, 32]], _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND
 
 
 class Encoder:
-    """Encodes blocks of texts; words seen before are kept in a table of bounded size."""
+    """Encodes blocks of texts; words seen before are kept in a table of bounded size, and in the table before it."""
 
-    KEEP = 400_000
+    KEEP = 300_000
     #: stands between words that are encoded in one call; words that hold it are encoded alone
     MARK = "\x01"
 
@@ -48,8 +49,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.mark = self.whole([self.MARK])[0]
         self.clear()
+        self.clear()
 
     def clear(self) -> None:
+        """Begins a new table; words of the last are taken over when they occur again."""
+        self.old = (self.known, self.ids, self.begin, self.size) if hasattr(self, "known") else ({}, *[np.zeros(0, np.int64)] * 3)
         self.known: dict[str, int] = {}
         self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -60,7 +64,7 @@ class Encoder:
         """Adds new words to the table."""
         plain = [w for w in words if self.MARK not in w] if len(self.mark) == 1 else []
         alone = [w for w in words if self.MARK in w] if len(self.mark) == 1 else words
-        ids, sizes = [self.ids], [self.size]
+        ids, sizes = [], []
         for lo in range(0, len(plain), 20_000):
             part = plain[lo : lo + 20_000]
             got = np.array(self.whole([f" {self.MARK} ".join([*part, ""])])[0], np.int32)
@@ -72,8 +76,11 @@ class Encoder:
         rest = self.whole(alone)
         ids.append(np.array([x for w in rest for x in w], np.int32))
         sizes.append(np.array([len(w) for w in rest], np.int64))
-        self.known.update(zip([*plain, *alone], range(len(self.size), len(self.size) + len(words)), strict=True))
-        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
+        self.add([*plain, *alone], np.concatenate(ids), np.concatenate(sizes))
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.ids, self.size = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.size, sizes])
         self.begin = np.cumsum(self.size) - self.size
 
     def slots(self, words: list[str]) -> np.ndarray:
@@ -83,7 +90,15 @@ class Encoder:
             self.clear()
             new = words
         if new:
-            self.learn(new)
+            known, ids, begin, size = self.old
+            if again := [w for w in new if w in known]:
+                at = np.fromiter(map(known.__getitem__, again), np.int64, len(again))
+                n = size[at]
+                ends = np.cumsum(n)
+                self.add(again, ids[np.repeat(begin[at] - ends + n, n) + np.arange(ends[-1])], n)
+                new = [w for w in new if w not in known]
+            if new:
+                self.learn(new)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def block(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,23 +151,24 @@ def encoder(path: str | None) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
-    """ORC files of (doc_id, first, tokens), ascending in doc_id over files and rows; first: tokens before it in its file."""
+    """ORC files of (doc_id, part, first, tokens), ascending in doc_id over parts and rows; first: tokens before it in its part."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, done = encoder(vocabulary), 0
+        own, done, nth = encoder(vocabulary), 0, TaskContext.get().partitionId()
         for part, buf, offsets in blocks(batches, "text", 4 << 20):
             ids, at = own.block(buf, offsets)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(done + at[:-1]), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "first", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.full(part.num_rows, nth, np.int32)), pa.array(done + at[:-1]), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "part", "first", "tokens"])
             done += len(ids)
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = dealt.mapInArrow(task, "doc_id long, first long, tokens array<int>")
+    # the beginning of the text splits the rows of one id (null above all) without changing the order
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    encoded = dealt.mapInArrow(task, "doc_id long, part int, first long, tokens array<int>")
     encoded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(32 << 20)).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, first, tokens, file); a filter on doc_id skips files' stripes and row groups."""
-    return spark.read.schema("doc_id long, first long, tokens array<int>").orc(path).select("*", F.col("_metadata.file_name").alias("file"))
+    """(doc_id, part, first, tokens); a filter on doc_id skips files' stripes and row groups."""
+    return spark.read.schema("doc_id long, part int, first long, tokens array<int>").orc(path)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -164,13 +180,13 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             at = lists.offsets.to_numpy()
             ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "first", "file")], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "first", "file", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "part", "first")], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "first", "n_tokens", "ids_crc32"])
 
-    found = cut(read_tokens(spark, path).mapInArrow(task, "doc_id long, first long, file string, n_tokens long, ids_crc32 long"), "digests")
-    files = found.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"))
-    before = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return found.join(files, "file").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    found = cut(read_tokens(spark, path).mapInArrow(task, "doc_id long, part int, first long, n_tokens long, ids_crc32 long"), "digests")
+    parts = found.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return found.join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame) -> DataFrame:
