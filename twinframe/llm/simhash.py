@@ -1,10 +1,11 @@
 """Operator 8, SimHash near-duplicates with BK-trees.
 
-Every block value shared by two fingerprints within the radius (pigeonhole: radius + 1 blocks, one must agree) names a
-shard. A shard's BK-tree is built where its fingerprints meet, so trees are never gathered on the driver; a search
-follows only edges whose distance lies within the radius of the query's. A shard with more than SHARD_MAX fingerprints
-takes an exact other way: two fingerprints differ in at most two bits just if they share one of their 65 neighbours
-within one bit, and such a neighbour has at most 65 fingerprints around it.
+Two fingerprints within the radius agree in one of radius + 1 blocks of their bits at least (pigeonhole), so the value of
+each block names a shard in which they meet. A shard with more than SHARD_MAX fingerprints is split in the same way by
+further blocks of the bits that are still free, level by level; with LAST free bits it has 2 ** LAST fingerprints at most,
+so every shard ends as a BK-tree of bounded size, however many fingerprints there are. A shard's tree is built where its
+fingerprints meet (all trees together grow with the corpus, so they are never gathered on the driver), and a search
+follows only edges whose distance lies within the radius of the query's. Fingerprints are compared in all their bits.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero; rows of equal text share a
 fingerprint; a null doc_id keeps its row, and a component of null ids alone has a null component_id.
@@ -13,6 +14,7 @@ fingerprint; a null doc_id keeps its row, and a component of null ids alone has
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from twinframe.llm.common import LOWER, NON_SPACE, blocks, components, cut, documents, mix, spans, xxh64_spans
 
-RADIUS, SHINGLE, SHARD_MAX = 2, 3, 1024
+RADIUS, SHINGLE, SHARD_MAX, LAST = 2, 3, 1024, 10
 #: of near copies in the pipeline; a pair at the similarity shares one of the bands of minima at least with probability 0.9993
 COPY_SHINGLE, SIMILARITY, BAND_ROWS, BANDS, PARTS = 5, 0.8, 6, 24, 64
-#: (shift, bits) of the radius + 1 blocks
-BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +55,16 @@ def fingerprint_block(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHING
     h, base = shingles(buf, offsets, shingle)
     count = np.diff(base)
     full = np.flatnonzero(count)
+    begin = base[full]
+    ones = np.zeros((len(full), 64), np.int64)
+    for lo in range(0, len(h), 1 << 17):  # bits of a bounded number of shingles at a time, so that a long text takes several
+        part = h[lo : lo + (1 << 17)]
+        a, b = np.searchsorted(begin, lo, "right") - 1, np.searchsorted(begin, lo + len(part))
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[a:b] += np.add.reduceat(bits, np.maximum(begin[a:b] - lo, 0), axis=0, dtype=np.int32)
     out = np.zeros(len(count), np.uint64)
-    for lo in range(0, len(full), 4096):  # bits of a bounded number of shingles at a time, but for a single long text
-        part = full[lo : lo + 4096]
-        a, b = base[part[0]], base[part[-1] + 1]
-        bits = np.unpackbits(h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, base[part] - a, axis=0, dtype=np.int32)
-        major = (2 * ones > count[part][:, None]).astype(np.uint8)
-        out[part] = np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
+    major = (2 * ones > count[full][:, None]).astype(np.uint8)
+    out[full] = np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
@@ -129,38 +131,58 @@ def link_shard(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by shard: each shard's links. Shards have at most SHARD_MAX rows, so the rest carried on is small."""
+    """Batches sorted by path and shard: each shard's links. Shards are bounded, so the rest carried on is small."""
 
     def emit(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = np.flatnonzero(np.diff(keys)) + 1
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         links = [x for a, b in zip([0, *edges], [*edges, len(keys)], strict=True) if b - a > 1 for x in link_shard(fps[a:b].view(np.uint64).tolist())]
         if links:
             both = np.array(links, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rest_k, rest_f = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        keys = np.concatenate([rest_k, batch.column("shard").to_numpy(zero_copy_only=False)])
+        keys = np.concatenate([rest_k, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("path", "shard")])])
         fps = np.concatenate([rest_f, batch.column("fp").to_numpy(zero_copy_only=False)])
         if not len(keys):
             continue
-        start = int(np.searchsorted(keys, keys[-1]))
+        start = len(keys) - int((keys == keys[-1]).all(axis=1).sum())
         yield from emit(keys[:start], fps[:start]) if start else ()
         rest_k, rest_f = keys[start:], fps[start:]
     if len(rest_k):
         yield from emit(rest_k, rest_f)
 
 
-def links(fps: DataFrame, shard_max: int = SHARD_MAX) -> DataFrame:
+def split(free: list[int], radius: int = RADIUS) -> list[tuple[list[int], list[int]]]:
+    """The ways to agree in one of radius + 1 blocks of the free bits: (bits of the block, bits still free)."""
+    blocks_ = [x.tolist() for x in np.array_split(free, radius + 1)]
+    return [(own, [bit for other in blocks_ if other is not own for bit in other]) for own in blocks_]
+
+
+def links(fps: DataFrame, shard_max: int = SHARD_MAX, radius: int = RADIUS) -> DataFrame:
     """(a, b): links among distinct fingerprints `fp` whose components are those of all pairs within the radius."""
-    keyed = fps.select("fp", F.explode(F.array(*[F.lit(i << 22) + F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1)) for i, (at, bits) in enumerate(BLOCKS)])).alias("shard"))
-    sizes = cut(keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
-    usual = keyed.join(sizes.where(F.col("n") <= shard_max).select("shard"), "shard").repartition("shard").sortWithinPartitions("shard", "fp")
-    by_tree = usual.mapInArrow(_shard_links, "a long, b long")
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)) for i in range(64)])
-    hot = keyed.join(sizes.where(F.col("n") > shard_max).select("shard"), "shard").select("fp").distinct().select("fp", F.explode(near).alias("middle"))
-    around = hot.groupBy("middle").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)  # 65 at most
-    return by_tree.unionByName(around.select(F.explode("all").alias("a"), "b").where("a <> b").distinct())
+    spark = fps.sparkSession
+    #: path -> (bits agreed, bits free); paths of one level have equally many free bits, but for one
+    paths: dict[int, tuple[int, list[int]]] = {0: (0, list(range(64)))}
+    rows, parts = fps.select("fp", F.lit(0).alias("path")), []
+    while True:
+        deeper, steps = {}, []
+        for path, (mask, free) in paths.items():
+            for own, left in split(free, radius):
+                new = len(deeper)
+                deeper[new] = (mask | sum(1 << bit for bit in own), left)
+                steps.append((path, new, deeper[new][0] - (1 << 64 if deeper[new][0] >> 63 else 0)))
+        paths = deeper
+        table = F.broadcast(spark.createDataFrame(steps, "path int, next int, mask long"))  # (radius + 1) ** level rows, of a few levels
+        keyed = rows.join(table, "path").select("fp", F.col("next").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("shard"))
+        sizes = cut(keyed.groupBy("path", "shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
+        last = max(len(free) for _, free in paths.values()) <= LAST
+        fits = sizes if last else sizes.where(F.col("n") <= shard_max)
+        met = keyed.join(fits.select("path", "shard"), ["path", "shard"]).repartition("path", "shard").sortWithinPartitions("path", "shard", "fp")
+        parts.append(met.select("fp", "path", "shard").mapInArrow(_shard_links, "a long, b long"))
+        if last or sizes.where(F.col("n") > shard_max).isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        rows = cut(keyed.join(sizes.where(F.col("n") > shard_max).select("path", "shard"), ["path", "shard"], "left_semi").select("fp", "path"), "full")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
