@@ -2,14 +2,18 @@
 
 Dealing the work out: each 100-byte window names the 36-byte string with the smallest hash inside it (a function of the
 window's content, so equal windows name equal strings); a stretch of windows with one such anchor is a fragment, and
-fragments meet by anchor. Copies of one fragment collapse before and after the shuffle to their earliest place.
-Anchors with one distinct fragment need nothing more. The texts of the other fragments are gathered by anchor, and each
-task finds their repeats on a Burrows-Wheeler transform by threshold-bounded interval expansion: breadth-first backward
-extension sets the common-prefix lengths of neighbouring suffixes by increasing value and stops at the minimum length,
-so that boundaries still open then join suffixes that share a whole window. An anchor with more than HOT distinct fragments
-is no group at all: its windows are keyed one by one by a 128-bit hash and meet in a partial aggregate. Anchors that would
-already be too many records for the task they meet in (over WIDE by a sample of the documents) are told before and never
-meet: their windows are keyed where they are. Which way an anchor goes changes no result.
+fragments meet by anchor, in buckets whose number grows with the input. Copies of a fragment in one block of texts are
+compared byte by byte and collapse to their earliest place. The texts of an anchor's fragments, and of fragments that occur
+again the first two places, are gathered by anchor, and each task finds their repeats on a Burrows-Wheeler transform by
+threshold-bounded interval expansion: breadth-first backward extension sets the common-prefix lengths of neighbouring
+suffixes by increasing value and stops at the minimum length, so that boundaries still open then join suffixes that share a
+whole window. A third and later place of a fragment is the first two's copy by its 64-bit content hash within one anchor
+(a chance agreement needs 10**9 fragments of one anchor) and is removed where the first two agree in their bytes.
+
+An anchor with more than HOT distinct fragments is no group at all: its windows are keyed one by one by a 128-bit hash and
+meet in a partial aggregate. Anchors that would already be too many records for the task they meet in (over WIDE, or over
+the share that MAX_WIDE anchors can have at most, by a sample of the documents) are told before and never meet: their
+windows are keyed where they are. Which way an anchor goes changes no result.
 
 Order is (doc_id, start). Defined results: null text counts as empty; texts under 100 bytes lose nothing; rows with one
 doc_id and equal text are one document (each row gets its result), with different texts they follow each other in order
@@ -29,13 +33,16 @@ from pyspark.sql import functions as F
 from twinframe.llm.common import blocks, cut, documents, mix, xxh64_spans
 
 MIN, K, HOT, CHUNK = 100, 36, 20_000, 1 << 20
-#: records of one anchor that a task may hold; one in so many documents is looked at for that; wide anchors told at most
+#: records of one anchor that a task may hold; one in so many documents is looked at for that; so many anchors at most are wide, as
+#: each must have its share of all records
 WIDE, SAMPLE, MAX_WIDE = 1_000_000, 64, 100_000
 _TABLE = np.random.RandomState(7).randint(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: odd powers that weigh the left half against the right, by its length
 _STEP = {size: np.uint64(pow(0xD6E8FEB86659FD93, size, 2**64)) for size in (1, 2, 4, 8, 16, 32)}
 _LOW = np.uint64((1 << 24) - 1)
 _PIECE = 2 << 20
+#: text bytes whose fragments meet in one bucket
+BUCKET_BYTES = 32 << 20
 _RECORD = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("windows", "<u2")])
 
 
@@ -194,7 +201,7 @@ def runs(doc: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np
 
 
 def wide_anchors(docs: DataFrame, wide: int = WIDE, sample: int = SAMPLE) -> np.ndarray:
-    """Anchors with more than `wide` records by a hashed sample of the documents: MAX_WIDE at most, the largest first."""
+    """Anchors with more than `wide` records, and at least one in MAX_WIDE of all, by a hashed sample of the documents."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, offsets in blocks(batches, "text", _PIECE):
@@ -204,15 +211,26 @@ def wide_anchors(docs: DataFrame, wide: int = WIDE, sample: int = SAMPLE) -> np.
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0).select("text")
-    counts = some.mapInArrow(task, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * sample > wide)
-    return np.sort(np.array([r.anchor for r in counts.orderBy(F.desc("n"), "anchor").limit(MAX_WIDE).collect()], np.int64).view(np.uint64))
+    counts = cut(some.mapInArrow(task, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    least = max(wide / sample, (counts.agg(F.sum("n")).first()[0] or 0) / MAX_WIDE)
+    return np.sort(np.array([r.anchor for r in counts.where(F.col("n") > least).collect()], np.int64).view(np.uint64))
+
+
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the ranges at a and b agree."""
+    if not len(a):
+        return np.zeros(0, bool)
+    begin = np.cumsum(sizes) - sizes
+    nth = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+    return ~np.logical_or.reduceat(buf[np.repeat(a, sizes) + nth] != buf[np.repeat(b, sizes) + nth], begin)
 
 
 def _gather(docs: DataFrame, hot: int, wide: int, sample: int) -> DataFrame:
-    """docs (id, text) -> (kind, doc, pos, end, anchor). kind 0: bytes pos to end are removed; 1: a fragment to look into;
-    2: the same of a hot anchor."""
+    """docs (id, text) -> (kind, doc, pos, end, anchor, content). kind 0: bytes pos to end are removed; 1: a fragment to look into;
+    2: the same of a hot anchor; 3: a later copy of two fragments of kind 1."""
     apart = wide_anchors(docs, wide, sample)
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET_BYTES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in blocks(batches, "text", _PIECE):
@@ -222,7 +240,12 @@ def _gather(docs: DataFrame, hot: int, wide: int, sample: int) -> DataFrame:
             rec = np.empty(len(order), _RECORD)
             for name, x in (("anchor", anchor), ("content", content), ("doc", doc), ("pos", pos), ("windows", windows)):
                 rec[name] = x[order]
-            # copies inside the block: removed whatever else there is
+            # copies inside the block, byte by byte: removed whatever else there is
+            place = (offsets[row] + pos)[order]
+            later = np.flatnonzero(~first)
+            of = np.flatnonzero(first)[np.cumsum(first)[later] - 1]
+            alike = same_bytes(buf, place[of], place[later], windows[order][later] + MIN - 1)
+            first[later[~alike]] = True
             gone = rec[~first]
             own = rec[first]
             far = np.isin(own["anchor"], apart)
@@ -234,85 +257,105 @@ def _gather(docs: DataFrame, hot: int, wide: int, sample: int) -> DataFrame:
             blobs = [own[ends[b - 1] if b else 0 : ends[b]].tobytes() for b in here]
             if len(gone):
                 here.append(int(gone["doc"][0] % buckets))
-                gone["content"] = 0
                 blobs.append(b"gone" + gone.tobytes())
             if len(spread):
                 here.append(int(spread["doc"][0] % buckets))
                 blobs.append(b"wide" + spread.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: np.ndarray, rec: np.ndarray) -> pa.RecordBatch:
-            end = rec["pos"].astype(np.int64) + rec["windows"] + MIN - 1
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(rec["doc"]), pa.array(rec["pos"].astype(np.int64)), pa.array(end), pa.array(rec["anchor"].view(np.int64) if rec["anchor"].flags.c_contiguous else rec["anchor"].copy().view(np.int64))], ["kind", "doc", "pos", "end", "anchor"])
+    def rows(kind: np.ndarray, rec: np.ndarray) -> pa.RecordBatch:
+        end = rec["pos"].astype(np.int64) + rec["windows"] + MIN - 1
+        long = [np.ascontiguousarray(rec[c]).view(np.int64) for c in ("anchor", "content")]
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(rec["doc"]), pa.array(rec["pos"].astype(np.int64)), pa.array(end), *map(pa.array, long)], ["kind", "doc", "pos", "end", "anchor", "content"])
 
-        parts = []
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                if len(blob) % _RECORD.itemsize == 4:  # marked: they meet no others
-                    rec = np.frombuffer(blob, _RECORD, offset=4)
-                    yield rows(np.full(len(rec), 0 if blob[:4] == b"gone" else 2), rec)
-                else:
-                    parts.append(np.frombuffer(blob, _RECORD))
-        if not parts:
-            return
-        rec = np.concatenate(parts)
-        del parts
+    def judged(rec: np.ndarray) -> pa.RecordBatch:
+        """All records of one bucket."""
         _, inverse, count = np.unique(rec["anchor"], return_inverse=True, return_counts=True)
         rec = rec[count[inverse] > 1]
         order, first = earliest(rec["anchor"], rec["content"], rec["doc"], rec["pos"])
         rec = rec[order]
-        yield rows(np.zeros(int((~first).sum())), rec[~first])
-        rec = rec[first]
-        _, inverse, count = np.unique(rec["anchor"], return_inverse=True, return_counts=True)
-        rec, count = rec[count[inverse] > 1], count[inverse][count[inverse] > 1]
-        yield rows(np.where(count > hot, 2, 1), rec)
+        begin = np.flatnonzero(first)
+        nth = np.arange(len(rec)) - np.repeat(begin, np.diff(np.append(begin, len(rec))))
+        _, inverse = np.unique(rec["anchor"], return_inverse=True)
+        distinct = np.bincount(inverse[first])[inverse] if len(rec) else nth
+        return rows(np.where(distinct > hot, np.where(first, 2, 0), np.where(nth < 2, 1, 3)), rec)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blobs in order of bucket, one bucket in memory at a time."""
+        now, parts = None, []
+        for batch in batches:
+            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+                blob = blob.as_py()
+                if len(blob) % _RECORD.itemsize == 4:  # marked: they meet no others
+                    rec = np.frombuffer(blob, _RECORD, offset=4)
+                    yield rows(np.full(len(rec), 0 if blob[:4] == b"gone" else 2), rec)
+                    continue
+                if b != now and parts:
+                    yield judged(np.concatenate(parts))
+                    parts = []
+                now = b
+                parts.append(np.frombuffer(blob, _RECORD))
+        if parts:
+            yield judged(np.concatenate(parts))
 
-    dealt = docs.mapInArrow(deal, "bucket long, blob binary").repartition(buckets, "bucket")
-    return cut(dealt.mapInArrow(meet, "kind int, doc long, pos long, end long, anchor long"), "fragments")
+    dealt = docs.mapInArrow(deal, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return cut(dealt.mapInArrow(meet, "kind int, doc long, pos long, end long, anchor long, content long"), "fragments")
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, wanted) -> (kind, anchor, doc, pos, bytes)."""
+    """(id, text, wanted) -> (kind, anchor, content, doc, pos, end, bytes)."""
     for part, buf, offsets in blocks(batches, "text", _PIECE):
         wanted = part.column("wanted")
         n = wanted.value_lengths().to_numpy(zero_copy_only=False)
         base = np.repeat(offsets[:-1], n)
         w = wanted.flatten().flatten()
         pos, end = base + w[1].to_numpy(), base + w[2].to_numpy()
-        yield pa.RecordBatch.from_arrays([w[0], w[3], pa.array(np.repeat(part.column("id").to_numpy(), n)), w[1], pa.array([buf[a:b].tobytes() for a, b in zip(pos.tolist(), end.tolist(), strict=True)], pa.binary())], ["kind", "anchor", "doc", "pos", "bytes"])
+        texts = pa.array([buf[a:b].tobytes() for a, b in zip(pos.tolist(), end.tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([w[0], w[3], w[4], pa.array(np.repeat(part.column("id").to_numpy(), n)), w[1], w[2], texts], ["kind", "anchor", "content", "doc", "pos", "end", "bytes"])
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments sorted by anchor -> removed runs; all of an anchor's fragments stay in one chunk."""
+    """Fragments in order of anchor, content and kind -> removed runs; all of an anchor's fragments stay in one chunk."""
+    names = ["doc", "pos", "end"]
 
-    def flush(texts: list[bytes], anchor: list, doc: list, pos: list) -> pa.RecordBatch:
+    def flush() -> pa.RecordBatch:
         found = repeated(texts, np.concatenate(doc), np.concatenate(pos))
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["doc", "pos", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names)
 
     texts: list[bytes] = []
-    anchor: list[np.ndarray] = []
     doc: list[np.ndarray] = []
     pos: list[np.ndarray] = []
-    size = 0
+    size, anchor, carried, last = 0, None, False, (None, None, None, False)  # the last fragment with a text: anchor, content, text, whether it is the one before again
     for batch in batches:
-        a = batch.column("anchor").to_numpy()
+        a, c, d, p = (batch.column(x).to_numpy() for x in ("anchor", "content", "doc", "pos"))
+        copy = batch.column("kind").to_numpy() == 3
+        own = np.flatnonzero(~copy)
+        all_texts = batch.column("bytes").take(pa.array(own)).to_pylist()
+        # later copies go where the two before them agree
+        agree = []
+        for i, t in zip(own.tolist(), all_texts, strict=True):
+            last = (a[i], c[i], t, last[0] == a[i] and last[1] == c[i] and last[2] == t)
+            agree.append(last[3])
+        if copy.any():
+            before = np.cumsum(~copy) - 1
+            follows = copy & np.append(agree, carried).astype(bool)[before]  # place -1: the last of the batch before
+            yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(follows)) for x in names], names)
+        carried = last[3]
+        a, d, p = a[own], d[own], p[own]
         edges = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
-        all_texts = batch.column("bytes").to_pylist()
-        d, p = batch.column("doc").to_numpy(), batch.column("pos").to_numpy()
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             if x == y:
                 continue
-            if size > CHUNK and anchor[-1][-1] != a[x]:
-                yield flush(texts, anchor, doc, pos)
-                texts, anchor, doc, pos, size = [], [], [], [], 0
+            if size > CHUNK and anchor != a[x]:
+                yield flush()
+                texts, doc, pos, size = [], [], [], 0
+            anchor = a[x]
             texts += all_texts[x:y]
-            anchor.append(a[x:y])
             doc.append(d[x:y])
             pos.append(p[x:y])
             size += sum(map(len, all_texts[x:y]))
     if texts:
-        yield flush(texts, anchor, doc, pos)
+        yield flush()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,14 +376,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_spans(docs: DataFrame, hot: int = HOT, wide: int = WIDE, sample: int = SAMPLE) -> DataFrame:
     """docs (id long, text), ids distinct -> (doc, pos, end): spans that together are all removed bytes."""
     found = _gather(docs, hot, wide, sample)
-    wanted = found.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("kind", "pos", "end", "anchor")).alias("wanted"))  # by text length
-    texts = docs.join(wanted, F.col("id") == F.col("doc")).select("id", "text", "wanted").mapInArrow(_cut_out, "kind int, anchor long, doc long, pos long, bytes binary")
+    wanted = found.where("kind IN (1, 2)").groupBy("doc").agg(F.collect_list(F.struct("kind", "pos", "end", "anchor", "content")).alias("wanted"))  # by text length
+    texts = docs.join(wanted, F.col("id") == F.col("doc")).select("id", "text", "wanted").mapInArrow(_cut_out, "kind int, anchor long, content long, doc long, pos long, end long, bytes binary")
     out = found.where("kind = 0").select("doc", "pos", "end")
     if not found.where("kind = 2").isEmpty():
         keyed = texts.where("kind = 2").mapInArrow(_windows, "h long, g long, doc long, pos long")
         low = keyed.groupBy("h", "g").agg(F.min(F.struct("doc", "pos")).alias("low"))
         out = out.unionByName(keyed.join(low, ["h", "g"]).where(F.struct("doc", "pos") > F.col("low")).select("doc", "pos", (F.col("pos") + MIN).alias("end")))
-    usual = texts.where("kind = 1").repartition("anchor").sortWithinPartitions("anchor")
+    copies = found.where("kind = 3").select("kind", "anchor", "content", "doc", "pos", "end", F.lit(None).cast("binary").alias("bytes"))
+    usual = texts.where("kind = 1").unionByName(copies).repartition("anchor").sortWithinPartitions("anchor", "content", "kind")
     return out.unionByName(usual.mapInArrow(_expand, "doc long, pos long, end long"))
 
 
