@@ -116,6 +116,26 @@ def test_tokens_by_stretches_are_the_whole_texts_tokens(texts):
     assert got == [x + [2] for x in e.whole([*texts, "it's<|endoftext|>x", "<|ENDOFTEXT|>", "d'L'RE 12a"])]
 
 
+def test_token_starts_with_several_files_a_task(spark, docs, odd, rows):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        assert [tuple(r) for r in tokens.token_output(docs).orderBy("doc_id").collect()] == expected_tokens(rows)
+        assert sorted((tuple(r) for r in tokens.token_output(odd).collect()), key=str) == sorted(expected_tokens([tuple(r)[:5] for r in odd.collect()]), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_words_of_the_table_before_are_taken_over(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens.Encoder, "KEEP", 30)
+    rng, e = random.Random(6), tokens.Encoder()
+    for _ in range(20):
+        texts = [make_text(rng, 12) for _ in range(3)]
+        ids, at = e.block(*flat(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x + [2] for x in e.whole(texts)]
+
+
 def test_token_files_prune_by_id(spark, docs, tmp_path):
     tokens.write_tokens(docs, str(tmp_path / "t"))
     one = tokens.read_tokens(spark, str(tmp_path / "t")).where("doc_id = 7")
@@ -189,9 +209,92 @@ def test_personal_data(spark, docs, rows, odd, empty):
     assert pii.personal_data(odd).count() == 16 and pii.personal_data(empty).count() == 0
     d = spark.createDataFrame([(i, f'words and token = "{hashlib.sha1(bytes([i])).hexdigest()}" go on') for i in range(20)] + [(50 + i, f"the number {10**15 + 7 * i} stands alone") for i in range(20)], "doc_id long, text string")
     spans = {r.doc_id: [x.kind for x in r.spans] for r in pii.personal_data(d).collect()}
-    assert all(spans[i] == [4] for i in range(20)) and not any(5 in spans[50 + i] for i in range(20))
+    assert all(spans[i] == [4] for i in range(20)) and not any(k > 3 for i in range(20) for k in spans[50 + i])
     long = "a" * 200_000 + "9" * 200_000 + "@"
-    assert pii.base_spans(long) == []
+    assert pii.base_spans(long) == [] and len(pii.candidates(long, [])) <= 1
+
+
+def planted_personal_data():
+    """(text, kind and string of what is planted or None) rows: every kind in several surroundings, and what only looks like it."""
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def iban():
+        rest = "37040044" + digits(10)
+        return f"DE{98 - int(rest + '131400') % 97:02d}{rest}"
+
+    def surname():
+        return rng.choice(["Smith", "Miller", "Okafor", "García", "Müller", "Novak", "Rossi"])
+
+    good = {
+        "secret": (lambda: hashlib.sha1(digits(9).encode()).hexdigest(), ["token = \"{}\" ", "my api_key: {} ", "password={}\n", "bearer {} "]),
+        "account": (lambda: rng.choice([iban(), f"{rng.randint(100, 899)}-{rng.randint(10, 99)}-{digits(4)}", f"C{digits(8)}"]), ["account: {} ", "my iban is {} ", "passport {} was lost ", "ssn: {}, "]),
+        "contact": (lambda: rng.choice([f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{digits(4)}", f"{rng.randint(200, 999)}.{rng.randint(200, 999)}.{digits(4)}", f"0171 {digits(3)} {digits(4)}"]), ["call me at {} ", "phone: {}, ", "tel {} ", "fax {}\n"]),
+        "person": (lambda: f"{rng.choice(['Anna', 'John', 'Lena', 'Omar'])} {surname()}", ["dear Mr. {}, ", "signed: {}\n", "name: {} ", "from Dr {} "]),
+        "address": (lambda: rng.choice([f"{rng.randint(1, 999)} {surname()} Street", f"{surname()}straße {rng.randint(1, 99)}", f"{rng.randint(1, 99)} rue de {surname()}"]), ["he lives at {}, ", "address: {}\n", "office near {}, "]),
+    }
+    bad = [lambda: f"commit {hashlib.sha1(digits(9).encode()).hexdigest()} builds ", lambda: f"isbn {rng.randint(100, 999)}-{digits(10)} ", lambda: f"version {digits(2)}.{digits(2)} of {rng.randint(1, 28)}.12.2023 ", lambda: f"total {digits(12)} items ", lambda: "some-very-long-hyphenated-compound-word2 here "]
+    out = []
+    for k in range(600):
+        pad = lambda: make_text(rng, rng.randint(2, 12)).replace(",\n", " ") + " "
+        if k % 3:
+            kind = rng.choice(sorted(good))
+            make, frames = good[kind]
+            own = make()
+            out.append((pad() + rng.choice(frames).format(own) + pad(), (kind, own)))
+        else:
+            out.append((pad() + rng.choice(bad)() + pad(), None))
+    return out
+
+
+def test_added_spans_find_what_is_planted(spark):
+    planted = planted_personal_data()
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted)], "doc_id long, text string")).collect()}
+    hit, all_ = {}, {}
+    for i, (text, own) in enumerate(planted):
+        if own:
+            all_[own[0]] = all_.get(own[0], 0) + 1
+            at = text.index(own[1])
+            hit[own[0]] = hit.get(own[0], 0) + any(s.start <= at and s.end >= at + len(own[1]) for s in found[i])
+    clean = [i for i, (_, own) in enumerate(planted) if not own]
+    assert all(hit[k] >= 0.9 * all_[k] for k in all_), (hit, all_)
+    assert sum(not found[i] for i in clean) >= 0.9 * len(clean)
+
+
+def test_reliabilities_against_rows_one_by_one():
+    """Expectation-maximisation from counts equals the same on rows, with probabilities multiplied out."""
+    rng = np.random.RandomState(3)
+    rows_ = [(4 + int(k), tuple(int(x) for x in v)) for k, v in zip(rng.randint(0, 2, 80), rng.randint(-1, 2, (80, 3)), strict=True)]
+    distinct = sorted(set(rows_))
+    n = np.array([rows_.count(x) for x in distinct], float)
+    truth, table = pii.reliabilities(np.array([k for k, _ in distinct]), np.array([v for _, v in distinct]), n, rounds=5)
+    p = {x: 1 / (1 + np.exp(-sum(x[1]))) for x in distinct}
+    prior, last = {0: {-1: 0.4, 0: 0.4, 1: 0.2}, 1: {-1: 0.2, 0: 0.4, 1: 0.4}}, {}
+    for _ in range(5):
+        new = {}
+        for kind in (4, 5):
+            own = [x for x in rows_ if x[0] == kind]
+            share = {t: (sum(p[x] if t else 1 - p[x] for x in own) + 4) / (len(own) + 8) for t in (0, 1)}
+            rel = {(j, t, v): (sum((p[x] if t else 1 - p[x]) for x in own if x[1][j] == v) + 4 * prior[t][v]) / (sum(p[x] if t else 1 - p[x] for x in own) + 4) for j in range(3) for t in (0, 1) for v in (-1, 0, 1)}
+            for x in set(own):
+                both = [share[t] * np.prod([rel[j, t, x[1][j]] for j in range(3)]) for t in (0, 1)]
+                new[x] = both[1] / sum(both)
+            last[kind] = rel
+        p = new
+    assert all(table[kind, j, t, v + 1] == pytest.approx(r) for kind, rel in last.items() for (j, t, v), r in rel.items())
+    assert [p[x] for x in distinct] == pytest.approx(truth.tolist())
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    x = "Call +1 (555) 555-1234 a.b@c.example.org token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" and 1234567890123; "
+    start = time.time()
+    text = x * 10_000  # 1 MB
+    base = pii.base_spans(text)
+    more = pii.candidates(text, base)
+    assert len(base) == 20_000 and len(more) >= 20_000 and time.time() - start < 20
+    assert all(a[2] <= b[0] for a, b in zip(more[:-1], more[1:], strict=True))
 
 
 def test_lm_gradient_and_normalisation():
@@ -426,6 +529,43 @@ def test_decontamination(spark, docs, rows, odd, empty):
     assert decontamination.keep_clean(odd, items).columns == odd.columns and decontamination.leaks(empty, items).count() == 0 and decontamination.leaks(d, items.limit(0)).count() == 0
 
 
+def naive_leaks(docs, items, coverage):
+    """Every document against every item, from all pairs of equal seeds."""
+    out = []
+    for r, x in enumerate(docs):
+        for k, y in enumerate(items):
+            h, g = (decontamination.tokens(*flat(__import__("pyarrow").array([t])))[0] for t in (x, y))
+            size = min(5, len(g))
+            pairs = np.array([(i, j) for i in range(len(h) - size + 1) for j in range(len(g) - size + 1) if (h[i : i + size] == g[j : j + size]).all()])
+            if size and len(pairs):
+                tiles = decontamination.tile(h, g, pairs, size)
+                covered = sum(t[0] for t in tiles)
+                if covered >= coverage * len(g):
+                    out.append((r, k, covered, len(tiles), tiles[0][0]))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(31)
+    passage = lambda n, letters="abc": " ".join(rng.choice(letters) for _ in range(n))
+    items = [passage(rng.randint(1, 25)) for _ in range(12)] + [passage(30, WORDS) for _ in range(6)]
+    docs = [passage(rng.randint(0, 80)) for _ in range(30)] + ["", "a " * 300, "a b " * 100]
+    for x in items[12:]:
+        w = x.split()
+        docs += [passage(40, WORDS) + " " + x + " " + passage(40, WORDS), " ".join([*w[18:], "between", *w[:18]]), " ".join(w[:20])]
+    got = decontamination.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    want = naive_leaks(docs, items, decontamination.COVERAGE)
+    assert sorted((r.doc_id, r.item_id, r.covered_tokens, r.n_tiles, r.longest_tile) for r in got.collect()) == want and len(want) > 30
+
+
+def test_one_repeated_token_takes_linear_time():
+    import pyarrow as pa
+
+    index = decontamination.Index([(1, "the " * 300), (2, "the cat " * 100)])
+    found = index.scan(*flat(pa.array(["the " * 200_000, "cat the " * 1000])), 0.8)
+    assert [(r, k, n, tiles) for r, k, _, n, tiles, _ in found] == [(0, 0, 300, 1), (1, 1, 200, 1)]
+
+
 def test_pairs_are_made_in_parts_of_rows(monkeypatch):
     import pyarrow as pa
 
