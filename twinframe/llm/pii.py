@@ -116,7 +116,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of proposals that touch no base span and no proposal further left."""
+    """(start, kind, end) of proposals that touch no base span and no proposal further left, and that no word right before
+    names as something else (a commit, a total)."""
     starts, ends = [], []  # the base spans' union, as disjoint intervals
     for s, _, e in taken:
         if ends and s <= ends[-1]:
@@ -128,7 +129,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     out, last = [], 0
     for s, kind, e in found:
         i = bisect_left(starts, e) - 1  # the last interval that begins before the end
-        if s >= last and (i < 0 or ends[i] <= s):
+        if s >= last and (i < 0 or ends[i] <= s) and not set(_WORD.findall(text[max(0, s - _WINDOW) : s].lower())[-1:]) & AGAINST[KINDS[kind]]:
             out.append((s, kind, e))
             last = e
     return out
