@@ -656,3 +656,21 @@ def test_pipeline(spark, tmp_path):
     assert gone <= kept["near_duplicates"] - kept["decontamination"] and len(kept["near_duplicates"] - kept["decontamination"]) <= len(gone) + 2
     rows = sorted((i, texts[i]) for i in kept["mixing"])
     assert [tuple(r) for r in last.orderBy("doc_id").collect()] == expected_tokens(rows) and 0 < len(rows) < len(kept["decontamination"])
+
+
+def test_mix_keeps_columns_of_any_name(spark, docs):
+    clash = docs.selectExpr("*", "1 AS copies_", "2 AS copy_", "3 AS epochs_", "4 AS last_", "5 AS level_0_", "6 AS cut_level_0_", "7 AS budget")
+    for epochs in (1, 2):
+        mixed = mixing.mix(clash, mixing.tree(clash.source, clash.lang), max_epochs=epochs)
+        plain = mixing.mix(docs, mixing.tree(docs.source, docs.lang), max_epochs=epochs)
+        assert mixed.columns == clash.columns
+        assert sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in plain.collect())
+        assert mixed.where("copies_ = 1 AND copy_ = 2 AND epochs_ = 3 AND last_ = 4 AND level_0_ = 5").count() == plain.count()
+
+
+def test_url_rules_with_many_path_lengths(spark):
+    long = "/" + "x" * 3000
+    rules = spark.createDataFrame([("a.org", long[:n], "block" if n % 2 else "allow") for n in range(1, 300)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(0, "http://a.org" + long), (1, "http://b.a.org/x"), (2, "http://org/"), (3, "")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(pages, rules).collect()}
+    assert got == {0: ("a.org" + long[:299], "block"), 1: ("a.org/x", "allow"), 2: (None, "allow"), 3: (None, "allow")}

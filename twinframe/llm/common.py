@@ -25,10 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); only where unset, as in tests, a folder of our own."""
+    """The folder all executors share (spark.checkpoint.dir); a folder of our own only where it is unset and all runs on this
+    machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="twinframe-shared-")
@@ -101,6 +104,7 @@ def spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+# fixed values: the published primes of XXH64
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -208,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(pairs: DataFrame) -> DataFrame:
         low = pairs.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        return pairs.join(low, "a")
+        return pairs.join(low.hint("merge"), "a")  # as large as the links: never broadcast
 
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None

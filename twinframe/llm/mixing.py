@@ -119,15 +119,18 @@ def copies(docs: DataFrame, levels: dict[str, Column], share: float = SHARE, max
 
 def mix(docs: DataFrame, levels: dict[str, Column], share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: Mapping[tuple[str, ...], float] = WEIGHTS) -> DataFrame:
     """The documents' columns, each row as often as the mix holds it."""
-    names = [f"level_{i}_" for i in range(len(levels))]
+    apart = max(docs.columns, key=len)  # longer than any column's name
+    names = [f"{apart}_level_{i}" for i in range(len(levels))]
     rows = cut(docs.select("doc_id", *[e.cast("string").alias(n) for n, e in zip(names, levels.values(), strict=True)], n_tokens(F.col("text")).alias("n_tokens")), "leaves")
-    cuts = leaf_cuts(rows, names, share, max_epochs, seed, weights).select(*[F.col(n).alias(f"cut_{n}") for n in names], F.col("epochs").alias("epochs_"), F.col("last").alias("last_"))
+    cuts = leaf_cuts(rows, names, share, max_epochs, seed, weights).select(*[F.col(n).alias(f"cut_{n}") for n in names], F.col("epochs").alias(f"{apart}_epochs"), F.col("last").alias(f"{apart}_last"))
     cuts = small(cuts)
     on = reduce(Column.__and__, [e.cast("string").eqNullSafe(F.col(f"cut_{n}")) for n, e in zip(names, levels.values(), strict=True)])
-    taken = F.col("epochs_") + F.coalesce((order_key(docs.doc_id, F.col("epochs_"), seed) <= F.col("last_")).cast("long"), F.lit(0))
-    joined = docs.join(cuts, on).withColumn("copies_", taken.cast("int")).where("copies_ > 0")
+    epochs, last = F.col(f"{apart}_epochs"), F.col(f"{apart}_last")
+    taken = epochs + F.coalesce((order_key(docs.doc_id, epochs, seed) <= last).cast("long"), F.lit(0))
+    joined = docs.join(cuts, on).where(taken > 0)
     if max_epochs > 1:
-        joined = joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
+        free = max(docs.columns, key=len) + "_copy"  # no column's name
+        return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken.cast("int"))).alias(free)).drop(free)
     return joined.select(*[docs[c] for c in docs.columns])
 
 

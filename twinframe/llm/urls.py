@@ -44,8 +44,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col
         return judged.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     digest = F.sha2(F.concat_ws("\x1f", "h", "p"), 256)
     parts = F.split("host", r"\.")
-    suffixes = F.filter(F.array(*[F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in labels]), lambda x: x.isNotNull())
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sizes]), lambda x: x.isNotNull())
+    depths, lengths = (F.lit(x) for x in (labels, sizes))
+    suffixes = F.transform(F.filter(depths, lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     urls = judged.where("host <> ''").select("host", "path").distinct()
     expressions = urls.select("host", "path", F.explode(suffixes).alias("h")).select("host", "path", "h", F.explode(prefixes).alias("p")).select("host", "path", digest.alias("digest"))
     hashed = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict").select(
@@ -56,7 +57,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col
         hashed = F.broadcast(hashed)
     hits = expressions.withColumn("short", F.substring("digest", 1, SHORT)).join(hashed, "short").where("digest = full")
     best = hits.groupBy("host", "path").agg(F.max(F.col("r")).alias("r")).select("host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
-    return judged.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
+    fit = judged.where("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
+    # urls without a host fit no rule: they stay out of the join, where they would be one key
+    return fit.unionByName(judged.where("host = ''").select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
