@@ -21,9 +21,15 @@ CHILD = """SELECT CAST(c_nationkey AS STRING) AS geoid, CAST(o_orderdate AS DATE
  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""
 WEIGHTS = """SELECT CAST(n_nationkey AS STRING) AS geoid, CAST(n_regionkey AS STRING) AS parent, CAST(count(*) AS DOUBLE) AS population
  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"""
+COUNTIES = """SELECT concat('0', CAST(s_suppkey % 5 AS STRING)) AS geoid, CASE WHEN s_suppkey % 5 < 2 THEN 'a' ELSE 'b' END AS parent, CAST(count(*) + s_suppkey % 5 AS DOUBLE) AS population
+ FROM supplier GROUP BY s_suppkey % 5"""
 PRED = """SELECT o_orderkey AS prediction_id, 'state' AS geo_level, CAST(c_nationkey AS STRING) AS geoid, CAST(o_orderdate AS DATE) AS target_date, 'load' AS quantity,
  o_totalprice/1000 AS value, o_totalprice/1250 AS value_lower, o_totalprice/800 AS value_upper, 'm1' AS model_name, o_orderstatus AS model_version,
- CAST(o_orderdate AS TIMESTAMP) - INTERVAL '1' DAY * CAST(o_orderkey % 5 AS INT) AS issued_at FROM orders JOIN customer ON o_custkey = c_custkey"""
+ CAST(o_orderdate AS TIMESTAMP) - INTERVAL '1' DAY * CAST(o_orderkey % 5 AS INT) AS issued_at,
+ CASE WHEN o_orderkey % 7 = 0 THEN 'warm' END AS scenario_id FROM orders JOIN customer ON o_custkey = c_custkey"""
+OBS_ROWS = """SELECT 'state' AS geo_level, CAST(s_nationkey AS STRING) AS geoid, CAST(l_shipdate AS DATE) AS target_date, 'load' AS quantity,
+ CAST(l_extendedprice AS DOUBLE)/1000 AS value, l_quantity < 10 AS censored, CAST(0 AS DOUBLE) AS censor_lo, CAST(250 AS DOUBLE) AS censor_hi,
+ CAST(l_shipdate AS TIMESTAMP) AS known_at, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"""
 OBS = """SELECT 'state' AS geo_level, CAST(s_nationkey AS STRING) AS geoid, CAST(l_shipdate AS DATE) AS target_date, 'load' AS quantity,
  sum(l_extendedprice)/1000 AS value, count(*) < 2 AS censored, CAST(0 AS DOUBLE) AS censor_lo, CAST(250 AS DOUBLE) AS censor_hi,
  CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) - INTERVAL '3' DAY + INTERVAL '1' DAY * CAST(count(*) AS INT) AS known_at, 0 AS revision

@@ -9,9 +9,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from twinframe.functions.scalars import rows_hash, stable_id
 
+# fixed values: the columns of a fact's natural key, and the geographic levels
 KEY = ("geo_level", "geoid", "valid_date", "variable", "source")
 LEVELS = ("nation", "hhs_region", "state", "county", "tract", "zcta")
 FACT = "geo_level string, geoid string, valid_date date, variable string, source string, value double, known_at timestamp, revision int"
@@ -24,6 +26,22 @@ def require(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
+def coerce(df: DataFrame, schema: str = "geo_level string, geoid string, valid_date date, variable string, value double") -> DataFrame:
+    """The schema's columns in their types, then the others as they are: text is trimmed, numbers and days that can't be read are
+    null, geo levels are checked. A missing column stops the load."""
+    wanted = StructType.fromDDL(schema)
+    require(df, *wanted.names)
+
+    def read(f: StructField) -> Column:
+        text = isinstance(df.schema[f.name].dataType, StringType)
+        if isinstance(f.dataType, StringType):
+            return F.trim(F.col(f.name).cast("string")).alias(f.name)
+        return (F.trim(f.name).try_cast(f.dataType) if text else F.col(f.name).try_cast(f.dataType)).alias(f.name)
+
+    out = df.select(*[read(f) for f in wanted], *[c for c in df.columns if c not in wanted.names])
+    return check_levels(out) if "geo_level" in wanted.names else out
+
+
 def check_levels(df: DataFrame) -> DataFrame:
     bad = df.where(~F.col("geo_level").isin(*LEVELS) | F.col("geo_level").isNull()).select("geo_level").limit(1).collect()
     if bad:
@@ -77,6 +95,12 @@ def snapshot(facts: DataFrame, variables: list[str], priority: list[str] | None
     return wide.dropna("all", subset=variables)
 
 
+def snapshot_meta(facts: DataFrame, **filters) -> DataFrame:
+    """One row of what a snapshot is made from: number of facts, sources, window, and the latest knowledge in it."""
+    state = as_of(facts, **filters)
+    return state.agg(F.count(F.lit(1)).alias("n_facts"), F.array_sort(F.collect_set("source")).alias("sources"), F.min("valid_date").alias("valid_from"), F.max("valid_date").alias("valid_to"), F.max("known_at").alias("known_at"))
+
+
 def to_facts(wide: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
     return wide.unpivot(keys, variables, "variable", "value")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from twinframe.functions.scalars import stable_id
 from twinframe.operators.bitemporal import changed, latest_per
@@ -16,9 +17,10 @@ def with_ids(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("prediction_id", stable_id(*[F.col(c) if c in predictions.columns else F.lit(None) for c in ID_PARTS]))
 
 
-def append_new(log: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key the log doesn't hold, each once."""
-    return rows.dropDuplicates([key]).join(log.select(key), key, "left_anti")
+def append_new(log: DataFrame, rows: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose key the log doesn't hold; of several with one key the last by `order` (then by all columns) stays."""
+    by = [F.col(c).desc_nulls_last() for c in (*order, *(c for c in sorted(rows.columns) if c not in order and not isinstance(rows.schema[c].dataType, MapType)))]
+    return latest_per(rows.join(log.select(key), key, "left_anti"), (key,), *by)
 
 
 def get(log: DataFrame, model_name=None, quantity=None, target_from=None, target_to=None, issued_before=None, scenario_id=None, baseline_only=False) -> DataFrame:
@@ -41,11 +43,17 @@ def audit(log: DataFrame, prediction_id: str) -> DataFrame:
     return log.where(F.col("prediction_id") == prediction_id).withColumn("extras", F.from_json("extras_json", "map<string,string>"))
 
 
-def new_observations(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """As for facts but without guards; only a changed value makes a revision."""
-    last = latest_per(stored, TARGET, F.col("revision").desc()).select(*TARGET, F.col("value").alias("old_"), F.col("revision").alias("was_"))
-    both = batch.drop("revision").join(last, list(TARGET), "left")
-    return both.where(F.col("was_").isNull() | changed(F.col("value"), F.col("old_"))).withColumn("revision", F.coalesce(F.col("was_") + 1, F.lit(0))).drop("old_", "was_")
+def new_observations(stored: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
+    """As for facts but without guards: new targets, and those whose value or censoring changed, with their next revision.
+
+    Of a batch's rows for one target the last by `seq` counts (by all columns where the batch has no such column).
+    """
+    order = [seq] if seq in batch.columns else sorted(set(batch.columns) - {*TARGET, "revision"})
+    one = latest_per(batch.drop("revision"), TARGET, *[F.col(c).desc_nulls_last() for c in order])
+    last = latest_per(stored, TARGET, F.col("revision").desc()).select(*TARGET, F.col("value").alias("old_"), F.coalesce("censored", F.lit(False)).alias("hid_"), F.col("revision").alias("was_"))
+    both = one.withColumn("censored", F.coalesce("censored", F.lit(False))).join(last, list(TARGET), "left")
+    new = F.col("was_").isNull() | changed(F.col("value"), F.col("old_")) | changed(F.col("censored"), F.col("hid_"))
+    return both.where(new).withColumn("revision", F.coalesce(F.col("was_") + 1, F.lit(0))).drop("old_", "hid_", "was_")
 
 
 def latest_observations(obs: DataFrame, known_at=None, quantity=None) -> DataFrame:
@@ -66,7 +74,10 @@ def seal(outcome: DataFrame, first_known: DataFrame, keys: list[str]) -> DataFra
 
 
 def pairs(predictions: DataFrame, obs: DataFrame, known_at=None) -> DataFrame:
-    """Predictions with the observation of their target; genuine: issued before anything of it was known."""
+    """Forecasts with the observation of their target; genuine: issued before anything of it was known. Predictions under a scenario
+    are no forecasts and are left out."""
+    if "scenario_id" in predictions.columns:
+        predictions = predictions.where("scenario_id IS NULL")
     if known_at is not None:
         predictions = predictions.where(F.col("issued_at") <= F.lit(known_at).cast("timestamp"))
     o = latest_observations(obs, known_at).select(*TARGET, F.col("value").alias("obs"), "censored", "censor_lo", "censor_hi", "first_known_at")
@@ -74,8 +85,8 @@ def pairs(predictions: DataFrame, obs: DataFrame, known_at=None) -> DataFrame:
     return predictions.join(o, list(TARGET)).withColumn("genuine", made < F.col("first_known_at"))
 
 
-def keep_latest(found: DataFrame, by: tuple[str, ...] = ("model_name",)) -> DataFrame:
-    """Of each target's genuine predictions the last issued."""
+def keep_latest(found: DataFrame, by: tuple[str, ...] = ("model_name", "model_version")) -> DataFrame:
+    """Of each target's genuine predictions by a model's version the last issued."""
     return latest_per(found.where("genuine"), (*TARGET, *by), F.col("issued_at").desc(), F.col("prediction_id").desc())
 
 
@@ -118,7 +129,7 @@ def calibration_run(predictions: DataFrame, obs: DataFrame, runs: DataFrame | No
     """
     found = pairs(get(predictions, target_from=target_from, target_to=target_to), obs, known_at)
     counts = found.groupBy(*by).agg(F.count_if(~F.col("genuine")).alias("n_postdiction"))
-    latest = keep_latest(found, tuple(c for c in by if c not in TARGET))
+    latest = keep_latest(found, tuple(dict.fromkeys(("model_name", "model_version", *(c for c in by if c not in TARGET)))))
     sizes = latest.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.coalesce("censored", F.lit(False))).alias("n_censored"))
     measured = metrics(latest, by)
     names = [c for c in measured.columns if c not in by]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinframe.functions.scalars import heat_index_c
+from twinframe.operators.bitemporal import as_of
 
 WARM = (5, 6, 7, 8, 9)
 
@@ -24,6 +25,25 @@ def population_weighted(child: DataFrame, weights: DataFrame, min_coverage: floa
     return out.where(F.col("coverage") >= min_coverage - 1e-12)
 
 
+def state_exposure(facts: DataFrame, weights: DataFrame, variables: list[str], start, end, known_at=None, source: str = "gridmet") -> DataFrame:
+    """(geoid, valid_date, variables..., pop_coverage): parents' exposures from their children's facts as known at a time.
+
+    Each value is the mean over the children that have one, by weight; pop_coverage is the least share of a parent's whole weight
+    over the day's variables. Of a day with any value, variables without one are null.
+    """
+    known = as_of(facts.where(F.col("source") == source), known_at, geo_level="county", valid_from=start, valid_to=end, variables=variables)
+    means = population_weighted(known.select("geoid", "valid_date", "variable", "value"), weights, 0.0)
+    wide = means.groupBy("parent", "valid_date").pivot("variable", variables).agg(F.first("value").alias("value"), F.min("coverage").alias("coverage"))
+    values = [F.col(f"{v}_value").alias(v) for v in variables]
+    return wide.select(F.col("parent").alias("geoid"), "valid_date", *values, F.least(*[F.coalesce(f"{v}_coverage", F.lit(1.0)) for v in variables], F.lit(1.0)).alias("pop_coverage"))
+
+
+def with_denominators(raw: DataFrame, customers: DataFrame, zones: DataFrame, state_digits: int = 2) -> DataFrame:
+    """Outage rows (geoid, ts_utc, customers_out) with their unit's denominator and their state's time zone; rows without either go.
+    customers (geoid, customers), zones (state_fips, tz)."""
+    return raw.join(customers, "geoid").withColumn("state_fips", F.substring("geoid", 1, state_digits)).join(zones, "state_fips")
+
+
 def top_until_share(df: DataFrame, group: str, unit: str, weight: str, share: float) -> DataFrame:
     """Each group's heaviest units until they reach a share of its weight, the one that crosses it included."""
     order = Window.partitionBy(group).orderBy(F.col(weight).desc(), unit)
@@ -31,9 +51,10 @@ def top_until_share(df: DataFrame, group: str, unit: str, weight: str, share: fl
     return df.withColumn("s_", before / F.sum(weight).over(Window.partitionBy(group))).where(F.col("s_") < share).drop("s_")
 
 
-def outage_snapshots(raw: DataFrame, tz: str = "America/Phoenix") -> DataFrame:
-    """Outages by unit and local quarter hour, as a share of customers (1 at most); repeated local times keep the largest."""
-    local = raw.withColumn("ts", F.from_utc_timestamp("ts_utc", tz))
+def outage_snapshots(raw: DataFrame, tz: str | None = "America/Phoenix") -> DataFrame:
+    """Outages by unit and local quarter hour, as a share of customers (1 at most); repeated local times keep the largest. Local
+    time is that of `tz`, or without it of each row's column tz."""
+    local = raw.withColumn("ts", F.from_utc_timestamp("ts_utc", F.lit(tz) if tz else F.col("tz")))
     one = local.groupBy("geoid", "ts").agg(F.max("customers_out").alias("customers_out"), F.max("customers").alias("customers"))
     return one.withColumn("day", F.to_date("ts")).withColumn("frac", F.least(F.lit(1.0), F.col("customers_out") / F.col("customers")))
 
@@ -50,11 +71,15 @@ def parent_snapshots(snapshots: DataFrame, totals: DataFrame, parent: Column) ->
 
 def outage_daily(snapshots: DataFrame, threshold: float = 0.01, step_hours: float = 0.25) -> DataFrame:
     """Largest share, longest run over the threshold (in hours, within a local day) and customer-hours."""
-    over = snapshots.where(F.col("frac") >= threshold).withColumn("slot_", F.floor(F.unix_timestamp("ts") / int(step_hours * 3600)))
-    run = over.withColumn("run_", F.col("slot_") - F.row_number().over(Window.partitionBy("geoid", "day").orderBy("ts")))
-    longest = run.groupBy("geoid", "day", "run_").agg(F.count(F.lit(1)).alias("n_")).groupBy("geoid", "day").agg((F.max("n_") * step_hours).alias("max_hours"))
-    daily = snapshots.groupBy("geoid", "day").agg(F.max("frac").alias("max_frac"), (F.sum("customers_out") * step_hours).alias("customer_hours"))
-    return daily.join(longest, ["geoid", "day"], "left").fillna(0.0, ["max_hours"])
+    step = int(step_hours * 3600)
+    by = Window.partitionBy("geoid", "day").orderBy("ts")
+    slot = F.floor(F.unix_timestamp("ts") / step)
+    over = F.col("frac") >= threshold
+    # slots over the threshold that follow each other share the slot less their number within the day
+    run = F.when(over, slot - F.sum(over.cast("int")).over(by))
+    marked = snapshots.withColumn("run_", run)
+    sums = marked.groupBy("geoid", "day", "run_").agg(F.max("frac").alias("frac_"), F.sum("customers_out").alias("out_"), F.count("run_").alias("n_"))
+    return sums.groupBy("geoid", "day").agg(F.max("frac_").alias("max_frac"), (F.sum("out_") * step_hours).alias("customer_hours"), (F.max("n_") * step_hours).alias("max_hours"))
 
 
 def complete_days(bounds: DataFrame, zones: DataFrame) -> DataFrame:
@@ -109,10 +134,28 @@ def compound_flags(df: DataFrame, thresholds: DataFrame, var: str = "tmmx", frac
 
 
 def compound_summary(flags: DataFrame) -> DataFrame:
+    """By unit: days with all flags, hot, outage and compound days, those expected were hot and outage days independent, and their
+    ratio."""
     s = flags.dropna(subset=["hot", "outage", "compound"]).groupBy("geoid").agg(F.count(F.lit(1)).alias("days"), *[F.sum(c).alias(c) for c in ("hot", "outage", "compound")])
     return s.withColumn("expected", F.col("hot") * F.col("outage") / F.col("days")).withColumn("ratio", F.try_divide("compound", F.nullif("expected", F.lit(0.0))))
 
 
+def compound_totals(summary: DataFrame) -> DataFrame:
+    """One row: the summary's days and counts over all units."""
+    return summary.agg(*[F.sum(c).alias(c) for c in ("days", "hot", "outage", "compound", "expected")])
+
+
+def prevalence(panel: DataFrame, *by: Column | str, y: str = "y") -> DataFrame:
+    """Share of positives and number of rows, by anything."""
+    return panel.groupBy(*by).agg(F.avg(y).alias("prevalence"), F.count(F.lit(1)).alias("n"))
+
+
+def class_balance(panel: DataFrame, y: str = "y") -> DataFrame:
+    """(y, n, share)."""
+    c = panel.groupBy(y).agg(F.count(F.lit(1)).alias("n"))
+    return c.join(F.broadcast(c.agg(F.sum("n").alias("t_")))).select(y, "n", (F.col("n") / F.col("t_")).alias("share"))  # one row
+
+
 def thermal_features(exposure: DataFrame, ref_start, ref_end) -> DataFrame:
     """exposure (geoid, valid_date, tmax, tmin, rh_min) -> the 14 features; thresholds and climate come from the reference period."""
     f = exposure.withColumn("heat_index", heat_index_c(F.col("tmax"), F.col("rh_min")))

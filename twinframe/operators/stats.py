@@ -77,7 +77,7 @@ def youden(df: DataFrame, score: str, y: str = "y") -> DataFrame:
 
 
 def delong(df: DataFrame, a: str, b: str, y: str = "y") -> DataFrame:
-    """One row: both AUCs, their difference, its standard error and z."""
+    """One row: both AUCs, their difference, its standard error, z, 95 % interval and two-sided p-value."""
     out = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     totals = out.agg(F.sum(y).alias("p_"), F.sum(1 - F.col(y)).alias("n_"))
     for name, col in (("a", a), ("b", b)):
@@ -91,7 +91,8 @@ def delong(df: DataFrame, a: str, b: str, y: str = "y") -> DataFrame:
 
     dx, dw = F.when(pos, F.col("xa_") - F.col("xb_")), F.when(neg, F.col("wa_") - F.col("wb_"))
     r = out.agg(F.avg(only("xa_", pos)).alias("auc_a"), F.avg(only("xb_", pos)).alias("auc_b"), (F.var_samp(dx) / F.count(dx) + F.var_samp(dw) / F.count(dw)).alias("v_"))
-    return r.select("auc_a", "auc_b", (F.col("auc_a") - F.col("auc_b")).alias("diff"), F.sqrt("v_").alias("se"), ((F.col("auc_a") - F.col("auc_b")) / F.nullif(F.sqrt("v_"), F.lit(0.0))).alias("z"))
+    r = r.select("auc_a", "auc_b", (F.col("auc_a") - F.col("auc_b")).alias("diff"), F.sqrt("v_").alias("se"), ((F.col("auc_a") - F.col("auc_b")) / F.nullif(F.sqrt("v_"), F.lit(0.0))).alias("z"))
+    return r.withColumns({"lo": F.col("diff") - 1.96 * F.col("se"), "hi": F.col("diff") + 1.96 * F.col("se"), "p_value": two_sided(F.col("z"))})
 
 
 def delong_ci(df: DataFrame, score: str, y: str = "y", z: float = 1.959963984540054) -> DataFrame:
@@ -153,6 +154,29 @@ def calibration_line(df: DataFrame, p: str, y: str = "y") -> dict[str, float]:
     return {"slope": float(free.coefficients[0]), "intercept": float(held.intercept)}
 
 
+def two_sided(z: Column) -> Column:
+    """Two-sided p-value of a normal deviate: the complementary error function by its continued fraction, or near 0 its series."""
+    x = F.abs(z) / math.sqrt(2)
+    tail = reduce(lambda below, k: x + (k / 2) / below, range(60, 0, -1), x)
+    far = F.exp(-x * x) / (tail * math.sqrt(math.pi))
+    series, term = x, x
+    for k in range(1, 40):
+        term = term * (-x * x / k)
+        series = series + term / (2 * k + 1)
+    return F.when(x > 2, far).otherwise(1 - series * (2 / math.sqrt(math.pi)))
+
+
+def chi2_upper(x: Column, df: int) -> Column:
+    """P(chi-square with df degrees of freedom >= x), by its finite sums."""
+    half = x / 2
+    if df % 2 == 0:
+        return F.exp(-half) * reduce(lambda a, k: a * half / k + 1, range(df // 2 - 1, 0, -1), F.lit(1.0))
+    out, term = two_sided(F.sqrt(x)), F.sqrt(half) / math.gamma(1.5) * F.exp(-half)
+    for k in range(1, (df - 1) // 2 + 1):
+        out, term = out + term, term * half / (k + 0.5)
+    return out
+
+
 def normal_p(z: float) -> float:
     """Two-sided p-value of a normal deviate."""
     return math.erfc(abs(z) / math.sqrt(2))
@@ -163,8 +187,9 @@ def brier(df: DataFrame, p: str, y: str = "y", by: tuple[str, ...] = ()) -> Data
 
 
 def spiegelhalter(df: DataFrame, p: str, y: str = "y") -> DataFrame:
-    q = F.col(p)
-    return df.agg((F.sum((F.col(y) - q) * (1 - 2 * q)) / F.sqrt(F.sum((1 - 2 * q) ** 2 * q * (1 - q)))).alias("z"))
+    """One row: z and its two-sided p-value; probabilities are kept from 0 and 1 by 1e-6."""
+    q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return df.agg((F.sum((F.col(y) - q) * (1 - 2 * q)) / F.sqrt(F.sum((1 - 2 * q) ** 2 * q * (1 - q)))).alias("z")).withColumn("p_value", two_sided(F.col("z")))
 
 
 def binned_rate(df: DataFrame, x: str, y: str, n: int = 12) -> DataFrame:
@@ -223,9 +248,16 @@ def mean_ranks(df: DataFrame) -> DataFrame:
 
 
 def friedman(df: DataFrame) -> DataFrame:
-    """(block, model, score) -> chi-square of mean ranks and the number of blocks and models."""
+    """(block, model, score) -> chi-square of mean ranks (corrected for ties within blocks), its p-value, the number of blocks and
+    models, and the critical difference of mean ranks. Blocks without a score of every model are left out."""
+    models = df.select("model").distinct().count()
+    whole = Window.partitionBy("block")
+    df = df.where("score IS NOT NULL").withColumn("m_", F.count(F.lit(1)).over(whole)).where(F.col("m_") == models).drop("m_")
+    ties = df.groupBy("block", "score").agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties_"))
     k, n = F.count(F.lit(1)), F.max("n")
-    return mean_ranks(df).agg(k.cast("int").alias("models"), n.cast("int").alias("blocks"), (12 * n / (k * (k + 1)) * (F.sum(F.col("mean_rank") ** 2) - k * (k + 1) ** 2 / 4)).alias("chi2"))
+    return mean_ranks(df).agg(k.cast("int").alias("models"), n.cast("int").alias("blocks"), (12 * n / (k * (k + 1)) * (F.sum(F.col("mean_rank") ** 2) - k * (k + 1) ** 2 / 4)).alias("raw_")).join(F.broadcast(ties)).withColumn(
+        "chi2", F.col("raw_") / (1 - F.col("ties_") / (F.col("blocks") * (F.lit(models) ** 3 - models)))
+    ).select("models", "blocks", "chi2", chi2_upper(F.col("chi2"), models - 1).alias("p_value"), (NEMENYI[models] * F.sqrt(F.lit(models * (models + 1) / 6) / F.col("blocks"))).alias("critical_difference"))
 
 
 def critical_difference(models: int, blocks: int) -> float:
@@ -237,14 +269,19 @@ def corrected_t(df: DataFrame, col: str, n_train: int, n_test: int) -> DataFrame
     return df.agg(F.avg(col).alias("mean"), (F.avg(col) / F.sqrt((1 / n + F.lit(n_test / n_train)) * F.var_samp(col))).alias("t"))
 
 
-def diebold_mariano(losses: DataFrame, lag: int) -> DataFrame:
-    """(day, d): daily loss differences, one row a day -> mean, Newey-West variance of the mean, statistic."""
+def diebold_mariano(losses: DataFrame, lag: int | None = None) -> DataFrame:
+    """(day, d): daily loss differences, one row a day -> mean, Newey-West variance of the mean, statistic, two-sided p-value. The
+    default lag is the number of days to the power of a third, rounded down."""
+    if lag is None:
+        n = losses.where("d IS NOT NULL").count()
+        lag = max(k for k in range(int(n ** (1 / 3)) + 2) if k**3 <= n)
+    losses = losses.where("d IS NOT NULL")
     w = Window.orderBy("day")  # one row a day
     e = losses.withColumn("e_", F.col("d") - F.avg("d").over(Window.partitionBy()))
     e = e.withColumns({f"l{h}_": F.col("e_") * F.lag("e_", h).over(w) for h in range(1, lag + 1)})
     var = reduce(lambda a, h: a + 2 * (1 - h / (lag + 1)) * F.sum(f"l{h}_") / F.count(F.lit(1)), range(1, lag + 1), F.avg(F.col("e_") ** 2))
     r = e.agg(F.avg("d").alias("mean"), (var / F.count(F.lit(1))).alias("var"))
-    return r.withColumn("dm", F.col("mean") / F.sqrt("var"))
+    return r.withColumn("dm", F.col("mean") / F.sqrt("var")).withColumn("p_value", two_sided(F.col("dm")))
 
 
 def block_bootstrap(df: DataFrame, score: str, y: str, block: str, n: int = 200, level: float = 0.95, seed: int = 42, metric: str = "brier") -> DataFrame:

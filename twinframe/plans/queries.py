@@ -245,6 +245,37 @@ def compound_summary(spark, d):
     return rounded(pn.compound_summary(flags(spark, d)), "expected", "ratio")
 
 
+@query(f"WITH {COMPOUND}, z AS (SELECT geoid, count(*) AS days, sum(hot) AS hot, sum(outage) AS outage, sum(hot * outage) AS compound FROM k WHERE hot IS NOT NULL AND outage IS NOT NULL GROUP BY geoid) SELECT sum(days)::BIGINT AS days, sum(hot) AS hot, sum(outage) AS outage, sum(compound) AS compound, round(sum(hot * outage / days), 6) AS expected FROM z")
+def compound_totals(spark, d):
+    return rounded(pn.compound_totals(pn.compound_summary(flags(spark, d))), "expected")
+
+
+EXPOSURE = f"""w AS ({fx.COUNTIES}), l2 AS (SELECT * FROM latest WHERE valid_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND value IS NOT NULL), t AS (SELECT parent, sum(population) AS total FROM w GROUP BY 1),
+e AS (SELECT w.parent, valid_date, variable, sum(value * population) / sum(population) AS value, sum(population) / any_value(total) AS coverage FROM l2 JOIN w USING (geoid) JOIN t ON t.parent = w.parent GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {FACTS}, {EXPOSURE} SELECT parent AS geoid, valid_date, round(max(value) FILTER (variable = 'tmmx'), 6) AS tmmx, round(max(value) FILTER (variable = 'rmin'), 6) AS rmin, round(min(coverage), 9) AS pop_coverage FROM e GROUP BY 1, 2")
+def state_exposure(spark, d):
+    out = pn.state_exposure(facts(spark, d), fx.view(spark, d, fx.COUNTIES), ["tmmx", "rmin"], "1996-01-01", "1996-12-31", T)
+    return rounded(rounded(out, "tmmx", "rmin"), "pop_coverage", to=9)
+
+
+@query(f"WITH {FACTS} SELECT count(*) AS n_facts, 'gridmet' AS sources, min(valid_date) AS valid_from, max(valid_date) AS valid_to, strftime(max(known_at), '%Y-%m-%d') AS known_at FROM latest WHERE variable = 'tmmx'")
+def facts_snapshot_meta(spark, d):
+    return bt.snapshot_meta(facts(spark, d), known_at=T, variables=["tmmx"]).withColumn("known_at", day()).withColumn("sources", F.concat_ws(",", "sources"))
+
+
+@query(f"""WITH o AS ({fx.OUTAGE}), z(state_fips, tz, hours) AS (VALUES ('040', 'America/Phoenix', 7), ('041', 'Etc/GMT+5', 5)), c AS (SELECT geoid, max(customers) AS customers FROM o WHERE geoid <> '04003' GROUP BY 1),
+s AS (SELECT o.geoid, ts_utc - hours * INTERVAL '1' HOUR AS ts, max(customers_out) AS customers_out, any_value(c.customers) AS customers FROM o JOIN c ON c.geoid = o.geoid JOIN z ON z.state_fips = substr(o.geoid, 1, 3) GROUP BY 1, 2)
+SELECT geoid, strftime(ts, '%Y-%m-%d %H:%M') AS ts, round(least(1.0::DOUBLE, customers_out / customers), 9) AS frac FROM s""")
+def outage_by_zone(spark, d):
+    raw = fx.view(spark, d, fx.OUTAGE)
+    customers = raw.where("geoid <> '04003'").groupBy("geoid").agg(F.max("customers").alias("customers"))
+    zones = raw.select(F.substring("geoid", 1, 3).alias("state_fips")).distinct().withColumn("tz", F.when(F.col("state_fips") == "040", "America/Phoenix").when(F.col("state_fips") == "041", "Etc/GMT+5")).where("tz IS NOT NULL")
+    out = pn.outage_snapshots(pn.with_denominators(raw.drop("customers"), customers, zones, 3), None)
+    return rounded(out.select("geoid", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "frac"), "frac", to=9)
+
+
 def panel_of(spark, d):
     x = fx.view(spark, d, fx.DAILY)
     regions = x.select("geoid").distinct().withColumn("hhs_region", F.col("geoid").cast("int") + 1)
@@ -271,10 +302,10 @@ def warming(spark, d):
     return rounded(pn.with_warming(panel_of(spark, d), 2.0).select("geoid", "valid_date", "heat_index", "hi_excess_p95", "hi_lag1", "hi_mean_3d"), "heat_index", "hi_excess_p95", "hi_lag1", "hi_mean_3d", to=5)
 
 
-PAIRS = f"""pred AS ({fx.PRED}), obs AS ({fx.OBS}), cutp AS (SELECT * FROM pred WHERE issued_at <= TIMESTAMP '2001-06-01'),
+PAIRS = f"""pred AS ({fx.PRED}), obs AS ({fx.OBS}), cutp AS (SELECT * FROM pred WHERE issued_at <= TIMESTAMP '2001-06-01' AND scenario_id IS NULL),
 o AS (SELECT geo_level, geoid, target_date, quantity, value AS obs, censored, censor_lo, censor_hi, min(known_at) OVER (PARTITION BY geo_level, geoid, target_date, quantity) AS first_known_at FROM obs WHERE known_at <= TIMESTAMP '2001-06-01'),
 pairs AS (SELECT p.*, obs, censored, censor_lo, censor_hi, issued_at < first_known_at AS genuine FROM cutp p JOIN o USING (geo_level, geoid, target_date, quantity)),
-kept AS (SELECT * FROM pairs WHERE genuine QUALIFY row_number() OVER (PARTITION BY geo_level, geoid, target_date, quantity, model_name ORDER BY issued_at DESC, prediction_id DESC) = 1),
+kept AS (SELECT * FROM pairs WHERE genuine QUALIFY row_number() OVER (PARTITION BY geo_level, geoid, target_date, quantity, model_name, model_version ORDER BY issued_at DESC, prediction_id DESC) = 1),
 g AS (SELECT *, greatest(censor_lo - value, 0) + greatest(value - censor_hi, 0) AS gap, CASE WHEN NOT censored THEN value END AS p, CASE WHEN NOT censored THEN obs END AS y FROM kept),
 m AS (SELECT model_version, count(y) AS n_point, avg(CASE WHEN censored THEN gap ELSE abs(value - obs) END) AS mae, avg(p - y) AS bias, avg(p - y) / (stddev_samp(p - y) / sqrt(count(y))) AS bias_t, sqrt(avg((p - y) ** 2)) AS rmse, avg(y) AS obs_mean,
   regr_slope(y, p) AS calib_slope, regr_intercept(y, p) AS calib_intercept, avg(CASE WHEN censored THEN (gap = 0)::INT END) AS censored_hit_rate, avg(CASE WHEN y IS NOT NULL THEN (obs BETWEEN value_lower AND value_upper)::INT END) AS pi_coverage FROM g GROUP BY model_version)"""
@@ -294,18 +325,45 @@ METRICS = ("mae", "bias", "bias_t", "rmse", "obs_mean", "calib_slope", "calib_in
 
 @query(f"WITH {PAIRS} SELECT model_version, n_point, {', '.join(f'round({c}, 4) AS {c}' for c in METRICS)} FROM m")
 def calibration_metrics(spark, d):
-    return rounded(fc.metrics(fc.keep_latest(found_pairs(spark, d), ("model_name",)), ("model_version",)).select("model_version", "n_point", *METRICS), *METRICS, to=4)
+    return rounded(fc.metrics(fc.keep_latest(found_pairs(spark, d)), ("model_version",)).select("model_version", "n_point", *METRICS), *METRICS, to=4)
 
 
-@query(f"WITH {PAIRS} SELECT model_version, coalesce(n_point >= 10 AND abs(bias_t) > 1.96 AND abs(bias) > 0.1 * abs(obs_mean), false) AS drift_bias FROM m")
+@query(f"""WITH {PAIRS}, r AS (SELECT model_version, mae, 0.7 * mae AS reference_mae, n_point, bias_t, bias, obs_mean FROM m)
+SELECT model_version, coalesce(n_point >= 10 AND abs(bias_t) > 1.96 AND abs(bias) > 0.1 * abs(obs_mean), false) AS drift_bias, coalesce(mae > 1.25 * reference_mae, false) AS drift_mae,
+coalesce(n_point >= 10 AND abs(bias_t) > 1.96 AND abs(bias) > 0.1 * abs(obs_mean), false) OR coalesce(mae > 1.25 * reference_mae, false) AS drift FROM r""")
 def drift_rules(spark, d):
-    return fc.drift(fc.metrics(fc.keep_latest(found_pairs(spark, d), ("model_name",)), ("model_version",))).select("model_version", "drift_bias")
+    measured = fc.metrics(fc.keep_latest(found_pairs(spark, d)), ("model_version",)).withColumn("reference_mae", 0.7 * F.col("mae"))
+    return fc.drift(measured).select("model_version", "drift_bias", "drift_mae", "drift")
+
+
+@query(f"""WITH {PAIRS} SELECT 'm1' AS model_name, m.model_version, 'load' AS quantity, m.n_point, round(mae, 4) AS mae, n.n_pairs, n.n_censored, k.n_postdiction FROM m
+JOIN (SELECT model_version, count(*) AS n_pairs, count(*) FILTER (censored) AS n_censored FROM kept GROUP BY 1) n USING (model_version)
+JOIN (SELECT model_version, count(*) FILTER (NOT genuine) AS n_postdiction FROM pairs GROUP BY 1) k USING (model_version)""")
+def calibration_runs(spark, d):
+    run = fc.calibration_run(fx.view(spark, d, fx.PRED), fx.view(spark, d, fx.OBS), None, "2001-06-01", known_at="2001-06-01")
+    return rounded(run.select("model_name", "model_version", "quantity", "n_point", "mae", "n_pairs", "n_censored", "n_postdiction"), "mae", to=4)
+
+
+PRED_IDS = f"""p AS ({fx.PRED}), i AS (SELECT *, substr(sha256(geo_level || chr(31) || geoid || chr(31) || target_date || chr(31) || quantity || chr(31) || model_version), 1, 32) AS id FROM p)"""
 
 
-@query(f"WITH p AS ({fx.PRED}) SELECT substr(sha256(geo_level || chr(31) || geoid || chr(31) || target_date || chr(31) || quantity || chr(31) || model_version), 1, 32) AS prediction_id FROM p GROUP BY 1")
+@query(f"""WITH {PRED_IDS} SELECT id AS prediction_id, prediction_id AS seq, round(value, 5) AS value FROM i WHERE id NOT IN (SELECT id FROM i WHERE target_date < DATE '1996-01-01')
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY issued_at DESC, prediction_id DESC) = 1""")
 def prediction_ids(spark, d):
-    p = fx.view(spark, d, fx.PRED).withColumn("prediction_id", stable_id(*[F.col(c) for c in (*fc.TARGET, "model_version")]))
-    return fc.append_new(p.limit(0), p, "prediction_id").select("prediction_id")
+    p = fx.view(spark, d, fx.PRED).withColumnRenamed("prediction_id", "seq").withColumn("prediction_id", stable_id(*[F.col(c) for c in (*fc.TARGET, "model_version")]))
+    log = p.where(F.col("target_date") < F.lit("1996-01-01").cast("date"))
+    return rounded(fc.append_new(log, p, "prediction_id", ("issued_at", "seq")).select("prediction_id", "seq", "value"), "value", to=5)
+
+
+@query(f"""WITH r AS ({fx.OBS_ROWS}), a AS (SELECT * FROM r WHERE seq % 3 > 0 QUALIFY row_number() OVER (PARTITION BY geoid, target_date ORDER BY seq DESC) = 1),
+b AS (SELECT * FROM r WHERE seq % 3 = 0 QUALIFY row_number() OVER (PARTITION BY geoid, target_date ORDER BY seq DESC) = 1)
+SELECT b.geoid, b.target_date, round(b.value, 5) AS value, b.censored, CASE WHEN a.geoid IS NULL THEN 0 ELSE 1 END AS revision FROM b LEFT JOIN a USING (geoid, target_date)
+WHERE a.geoid IS NULL OR a.value IS DISTINCT FROM b.value OR a.censored IS DISTINCT FROM b.censored""")
+def observations_upsert(spark, d):
+    rows = fx.view(spark, d, fx.OBS_ROWS)
+    empty = rows.where("false").withColumn("revision", F.lit(0))
+    stored = fc.new_observations(empty, rows.where("seq % 3 > 0"))
+    return rounded(fc.new_observations(stored, rows.where("seq % 3 = 0")).select("geoid", "target_date", "value", "censored", F.col("revision").cast("int").alias("revision")), "value", to=5)
 
 
 @query(f"WITH p AS ({fx.PRED}) SELECT geoid, target_date, round(value, 5) AS value FROM p WHERE target_date BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' AND issued_at < TIMESTAMP '1996-06-01'")
@@ -340,9 +398,9 @@ def average_precision(spark, d):
 a AS (SELECT y, nn, np, (sum(1 - y) OVER (ORDER BY score_a) - sum(1 - y) OVER (PARTITION BY score_a) / 2) / nn AS xa, (np - sum(y) OVER (ORDER BY score_a) + sum(y) OVER (PARTITION BY score_a) / 2) / np AS wa,
  (sum(1 - y) OVER (ORDER BY score_b) - sum(1 - y) OVER (PARTITION BY score_b) / 2) / nn AS xb, (np - sum(y) OVER (ORDER BY score_b) + sum(y) OVER (PARTITION BY score_b) / 2) / np AS wb FROM r),
 q AS (SELECT avg(xa) FILTER (y = 1) AS auc_a, avg(xb) FILTER (y = 1) AS auc_b, var_samp(xa - xb) FILTER (y = 1) / count(*) FILTER (y = 1) + var_samp(wa - wb) FILTER (y = 0) / count(*) FILTER (y = 0) AS v FROM a)
-SELECT round(auc_a, 8) AS auc_a, round(auc_b, 8) AS auc_b, round(auc_a - auc_b, 8) AS diff, round(sqrt(v), 8) AS se, round((auc_a - auc_b) / sqrt(v), 6) AS z FROM q""")
+SELECT round(auc_a, 8) AS auc_a, round(auc_b, 8) AS auc_b, round(auc_a - auc_b, 8) AS diff, round(sqrt(v), 8) AS se, round((auc_a - auc_b) / sqrt(v), 6) AS z, round(auc_a - auc_b - 1.96 * sqrt(v), 8) AS lo, round(auc_a - auc_b + 1.96 * sqrt(v), 8) AS hi FROM q""")
 def delong_test(spark, d):
-    return rounded(rounded(st.delong(scored(spark, d), "score_a", "score_b"), "auc_a", "auc_b", "diff", "se", to=8), "z")
+    return rounded(rounded(st.delong(scored(spark, d), "score_a", "score_b").drop("p_value"), "auc_a", "auc_b", "diff", "se", "lo", "hi", to=8), "z")
 
 
 @query(f"WITH s AS ({fx.SCORED}), p AS (SELECT y, score_a / (score_a + 200000) AS q FROM s) SELECT round(avg((q - y) ** 2), 9) AS brier, round(avg(y), 9) AS prevalence FROM p")
@@ -352,7 +410,7 @@ def brier_score(spark, d):
 
 @query(f"WITH s AS ({fx.SCORED}), p AS (SELECT y, score_a / (score_a + 200000) AS q FROM s) SELECT round(sum((y - q) * (1 - 2 * q)) / sqrt(sum((1 - 2 * q) ** 2 * q * (1 - q))), 6) AS z FROM p")
 def calibration_z(spark, d):
-    return rounded(st.spiegelhalter(scored(spark, d).withColumn("q", F.col("score_a") / (F.col("score_a") + 200000)), "q"), "z")
+    return rounded(st.spiegelhalter(scored(spark, d).withColumn("q", F.col("score_a") / (F.col("score_a") + 200000)), "q").select("z"), "z")
 
 
 @query(f"""WITH s AS ({fx.SCORED}), e AS (SELECT list_sort(list_distinct(quantile_cont(score_a::DOUBLE, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM s),
@@ -375,28 +433,35 @@ def describe_scores(spark, d):
 
 @query(f"WITH s AS ({fx.SCORED}) SELECT month(valid_date)::INT AS month, round(avg(y), 9) AS prevalence, count(*) AS n FROM s GROUP BY 1")
 def prevalence_by_month(spark, d):
-    return rounded(scored(spark, d).groupBy(F.month("valid_date").alias("month")).agg(F.avg("y").alias("prevalence"), F.count(F.lit(1)).alias("n")), "prevalence", to=9)
+    return rounded(pn.prevalence(scored(spark, d), F.month("valid_date").alias("month")), "prevalence", to=9)
+
+
+@query(f"WITH s AS ({fx.SCORED}) SELECT grp, round(avg(y), 9) AS prevalence, count(*) AS n FROM s GROUP BY 1")
+def prevalence_by_unit(spark, d):
+    return rounded(pn.prevalence(scored(spark, d), "grp"), "prevalence", to=9)
 
 
 @query(f"WITH s AS ({fx.SCORED}) SELECT y::INT AS y, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM s GROUP BY y")
 def class_balance(spark, d):
-    c = scored(spark, d).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(c.join(F.broadcast(c.agg(F.sum("n").alias("t")))).select("y", "n", (F.col("n") / F.col("t")).alias("share")), "share", to=9)
+    return rounded(pn.class_balance(scored(spark, d)), "share", to=9)
 
 
 @query(f"""WITH s AS ({fx.SCORED}), m AS (SELECT grp AS block, 'a' AS model, avg(score_a) AS score FROM s GROUP BY grp UNION ALL SELECT grp, 'b', avg(score_b) * 100 FROM s GROUP BY grp UNION ALL SELECT grp, 'c', avg(y) * 100000 FROM s GROUP BY grp),
 r AS (SELECT model, rank() OVER (PARTITION BY block ORDER BY score DESC) + (count(*) OVER (PARTITION BY block, score) - 1) / 2 AS r FROM m), k AS (SELECT model, avg(r) AS r, count(*) AS n FROM r GROUP BY model)
-SELECT count(*)::INT AS models, max(n)::INT AS blocks, round(12 * max(n) / (count(*) * (count(*) + 1)) * (sum(r ** 2) - count(*) * (count(*) + 1) ** 2 / 4), 6) AS chi2 FROM k""")
+SELECT models, blocks, chi2, round(exp(-chi2 / 2), 6) AS p_value, round(2.343 * sqrt(3 * 4 / (6 * blocks)), 6) AS critical_difference FROM (SELECT count(*)::INT AS models, max(n)::INT AS blocks, round(12 * max(n) / (count(*) * (count(*) + 1)) * (sum(r ** 2) - count(*) * (count(*) + 1) ** 2 / 4), 6) AS chi2 FROM k)""")
 def friedman_test(spark, d):
     g = scored(spark, d).groupBy(F.col("grp").alias("block")).agg(F.avg("score_a").alias("a"), (F.avg("score_b") * 100).alias("b"), (F.avg("y") * 100000).alias("c"))
-    return rounded(st.friedman(g.unpivot("block", ["a", "b", "c"], "model", "score")), "chi2")
+    out = rounded(st.friedman(g.unpivot("block", ["a", "b", "c"], "model", "score")), "chi2", "critical_difference")
+    return rounded(out, "p_value", to=6)
 
 
-@query(f"""WITH s AS ({fx.SCORED}), d AS (SELECT valid_date AS day, avg(score_a / 1000 - score_b) AS d FROM s GROUP BY 1), e AS (SELECT *, d - avg(d) OVER () AS e FROM d), l AS (SELECT *, e * lag(e, 1) OVER (ORDER BY day) AS l1, e * lag(e, 2) OVER (ORDER BY day) AS l2 FROM e),
-v AS (SELECT avg(d) AS mean, (avg(e * e) + 2 * (1 - 1 / 3) * sum(l1) / count(*) + 2 * (1 - 2 / 3) * sum(l2) / count(*)) / count(*) AS var FROM l) SELECT round(mean, 5) AS mean, round(var, 5) AS var, round(mean / sqrt(var), 5) AS dm FROM v""")
+@query(f"""WITH s AS ({fx.SCORED}), d AS (SELECT valid_date AS day, avg(score_a / 1000 - score_b) AS d FROM s GROUP BY 1), n AS (SELECT count(*) AS n, list_max(list_filter(range(1, 200), lambda k: k * k * k <= count(*))) AS lag FROM d),
+e AS (SELECT row_number() OVER (ORDER BY day) AS i, d, d - avg(d) OVER () AS e FROM d),
+g AS (SELECT h, sum(a.e * b.e) AS s FROM e a, n, (SELECT unnest(range(0, 200)) AS h) h, e b WHERE h <= lag AND b.i = a.i - h GROUP BY h),
+v AS (SELECT (SELECT avg(d) FROM d) AS mean, sum(CASE WHEN h = 0 THEN s ELSE 2 * (1 - h / (lag + 1)) * s END) / any_value(n) / any_value(n) AS var, any_value(lag)::INT AS lag FROM g, n) SELECT round(mean, 5) AS mean, round(var, 5) AS var, round(mean / sqrt(var), 5) AS dm FROM v""")
 def diebold_mariano(spark, d):
     daily = scored(spark, d).groupBy(F.col("valid_date").alias("day")).agg(F.avg(F.col("score_a") / 1000 - F.col("score_b")).alias("d"))
-    return rounded(st.diebold_mariano(daily, 2), "mean", "var", "dm", to=5)
+    return rounded(st.diebold_mariano(daily).select("mean", "var", "dm"), "mean", "var", "dm", to=5)
 
 
 @query(f"""WITH s AS ({fx.SCORED}), p AS (SELECT grp AS name, 1 / (1 + count(*) + sum(y)) AS p FROM s GROUP BY grp), x AS (SELECT *, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1)) AS x FROM p), a AS (SELECT name, p, max(x) OVER (ORDER BY p, name) AS q FROM x)
@@ -414,14 +479,14 @@ def bootstrap_interval(spark, d):
 LAST = f"x AS ({fx.DAILY}), r AS (SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY valid_date DESC) <= 30 AS inside FROM x)"
 
 
-@query(f"WITH {LAST} SELECT geoid, valid_date, round(tmmx + CASE WHEN inside THEN 3 ELSE 0 END, 6) AS tmmx, inside::INT::DOUBLE AS scn_heatwave_days FROM r")
+@query(f"WITH {LAST} SELECT geoid, valid_date, round(tmmx + CASE WHEN inside THEN 3 ELSE 0 END, 6) AS tmmx, round(tmmn + CASE WHEN inside THEN 1.5 ELSE 0 END, 6) AS tmmn, CASE WHEN inside THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END AS scn_heatwave_days, 1.0::DOUBLE AS scn_early_season FROM r")
 def scenario_heatwave(spark, d):
-    return rounded(sc.heatwave(30, delta_c=3.0).apply(fx.view(spark, d, fx.DAILY)).select("geoid", "valid_date", "tmmx", "scn_heatwave_days"), "tmmx")
+    return rounded(sc.heatwave(30, delta_c=3.0, delta_tmin_c=1.5, early=True).apply(fx.view(spark, d, fx.DAILY)).select("geoid", "valid_date", "tmmx", "tmmn", "scn_heatwave_days", "scn_early_season"), "tmmx", "tmmn")
 
 
-@query(f"WITH {LAST}, t AS (SELECT geoid, quantile_cont(tmmx::DOUBLE, 0.95) AS top FROM x GROUP BY geoid) SELECT geoid, valid_date, round(CASE WHEN inside THEN greatest(tmmx, top) ELSE tmmx END, 6) AS tmmx FROM r JOIN t USING (geoid)")
+@query(f"WITH {LAST}, t AS (SELECT geoid, quantile_cont(tmmx::DOUBLE, 0.95) AS top FROM x GROUP BY geoid) SELECT geoid, valid_date, round(CASE WHEN inside THEN greatest(tmmx, top) ELSE tmmx END, 6) AS tmmx, round(tmmn + CASE WHEN inside THEN 2 ELSE 0 END, 6) AS tmmn FROM r JOIN t USING (geoid)")
 def scenario_heatwave_percentile(spark, d):
-    return rounded(sc.heatwave(30, local_pct=95).apply(fx.view(spark, d, fx.DAILY)).select("geoid", "valid_date", "tmmx"), "tmmx")
+    return rounded(sc.heatwave(30, local_pct=95, delta_tmin_c=2.0).apply(fx.view(spark, d, fx.DAILY)).select("geoid", "valid_date", "tmmx", "tmmn"), "tmmx", "tmmn")
 
 
 @query(f"WITH x AS ({fx.DAILY}), m AS (SELECT geoid, median(tmmx::DOUBLE) AS m FROM x GROUP BY geoid) SELECT geoid, valid_date, e AS eps, round(m + (tmmx - m) * (1 - e), 6) AS tmmx FROM x JOIN m USING (geoid), (VALUES (0.0::DOUBLE), (0.15::DOUBLE), (0.3::DOUBLE)) v(e)")
@@ -531,7 +596,7 @@ def risk_arrays(spark, d):
 
 @query()
 def model_fold_scores(spark, d):
-    panel = scored(spark, d).withColumn("year", F.year("valid_date")).withColumn("month", F.month("valid_date").cast("double")).persist()
+    panel = scored(spark, d).withColumn("year", F.year("valid_date")).withColumn("month", F.month("valid_date").cast("double"))
     specs = md.ladder(["score_a", "score_b", "month"], "score_a")
     return md.fold_scores(md.train(panel, specs, md.outer_folds(panel), ["id"], group="grp").oof)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from twinframe.functions.scalars import parse_period, parse_ts, to_number, varia
 from twinframe.operators import bitemporal
 
 _CELL = "geographicTypeId string, geo string, geoId string, calculationType string, temporalTypeId string, temporal string, temporalId string, dataValue string, displayValue string, groupById string, suppressionFlag string, confidenceIntervalLow string, confidenceIntervalHigh string"
+#: byte-order mark before a file's first column
+BOM = "\ufeff"
 _ARRAYS = ("tableResult", "dailyEstimatesTableResult", "monthlyTableResult", "pmTableResult")
 HEALTH = ", ".join([*[f"{a} array<struct<{_CELL.replace(' string', ':string')}>>" for a in _ARRAYS], "code int", "message string", "status string"])
 
@@ -24,8 +28,12 @@ def health_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def outage_csv(spark: SparkSession, paths: list[str], states: list[str] | None = None) -> DataFrame:
-    """(geoid, customers_out, ts_utc); a time stamp in no known format stops the load."""
-    raw = spark.read.option("header", True).schema("fips_code string, county string, state string, customers_out string, run_start_time string").csv(paths)
+    """(geoid, customers_out, ts_utc); a time stamp in no known format stops the load. Files are united by their headers, whatever
+    the order of their columns: one reader for all files of one header."""
+    heads: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        heads.setdefault(tuple(spark.read.option("header", True).csv(path).columns), []).append(path)
+    raw = reduce(DataFrame.unionByName, [spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in head)).csv(of).select(*[F.col(f"`{c}`").alias(c.lstrip(BOM)) for c in head]).select("fips_code", "customers_out", "run_start_time") for head, of in heads.items()])
     rows = raw.select(F.lpad("fips_code", 5, "0").alias("geoid"), to_number(F.col("customers_out")).alias("customers_out"), parse_ts(F.col("run_start_time")).alias("ts_utc"), "run_start_time")
     rows = rows.withColumn("ts_utc", F.when(F.col("ts_utc").isNull(), F.raise_error(F.concat(F.lit("unreadable time: "), F.coalesce("run_start_time", F.lit("null")))).cast("timestamp")).otherwise(F.col("ts_utc"))).drop("run_start_time")
     return rows if states is None else rows.where(F.substring("geoid", 1, 2).isin(*states))
@@ -36,11 +44,11 @@ def time_bounds(rows: DataFrame) -> DataFrame:
 
 
 def customers_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(geoid, customers): positive denominators, the first by value of each unit."""
+    """(geoid, customers): positive denominators, of a unit's several the first in the file."""
     raw = spark.read.option("header", True).csv(path)
-    cols = [c.lstrip("﻿") for c in raw.columns]
-    raw = raw.toDF(*cols)
-    return raw.select(F.lpad("County_FIPS", 5, "0").alias("geoid"), to_number(F.col("Customers")).alias("customers")).where("customers > 0").groupBy("geoid").agg(F.min("customers").alias("customers"))
+    raw = raw.toDF(*[c.lstrip(BOM) for c in raw.columns]).withColumn("nth_", F.monotonically_increasing_id())  # rises along a file
+    rows = raw.select(F.lpad(F.trim("County_FIPS"), 5, "0").alias("geoid"), to_number(F.col("Customers")).alias("customers"), "nth_")
+    return rows.where("customers > 0").groupBy("geoid").agg(F.min_by("customers", "nth_").alias("customers"))
 
 
 def coverage_csv(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
@@ -60,13 +68,18 @@ def packing_text(spark: SparkSession, path: str) -> DataFrame:
     return t.select("file", attr("scale_factor").try_cast("double").alias("scale"), attr("add_offset").try_cast("double").alias("offset"), attr("_FillValue").try_cast("double").alias("fill"), attr("units").alias("units"))
 
 
-def grid_text(spark: SparkSession, path: str, variable: str) -> DataFrame:
-    """(file, lat, lon, valid_date, raw) of packed series; the declared length must be the number of values."""
+def grid_text(spark: SparkSession, path: str, variable: str, cells: DataFrame | None = None, tolerance: float = 1e-3) -> DataFrame:
+    """(file, lat, lon, valid_date, raw) of packed series; the declared length must be the number of values. With `cells` (file, lat,
+    lon: the centres asked for) a series from elsewhere than its file's cell stops the load."""
     t = spark.read.text(path, wholetext=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     v = variable.replace(".", r"\.")
     body = t.select("file", F.regexp_extract("value", rf"{v}\.{v}\[(\d+)\]", 1).try_cast("int").alias("n"), F.regexp_extract_all("value", F.lit(r"(?m)^\[\d+\]\[0\],?\s*(-?\d+)"), 1).alias("raw"), F.split(F.regexp_extract("value", rf"{v}\.day\[\d+\]\s*([^\n]*)", 1), r",\s*").alias("days"), F.regexp_extract("value", rf"{v}\.lat\[\d+\]\s*([^\n]*)", 1).try_cast("double").alias("lat"), F.regexp_extract("value", rf"{v}\.lon\[\d+\]\s*([^\n]*)", 1).try_cast("double").alias("lon"))
     body = body.withColumn("ok", (F.col("n") == F.size("raw")) & (F.col("n") == F.size("days")))
     body = body.withColumn("raw", F.when(~F.col("ok"), F.raise_error(F.concat(F.lit("length mismatch in "), F.col("file"))).cast("array<string>")).otherwise(F.col("raw")))
+    if cells is not None:
+        asked = cells.select("file", F.col("lat").alias("lat_"), F.col("lon").alias("lon_"))
+        off = (F.abs(F.col("lat") - F.col("lat_")) > tolerance) | (F.abs(F.col("lon") - F.col("lon_")) > tolerance)
+        body = body.join(asked, "file", "left").withColumn("lat", F.when(off, F.raise_error(F.concat(F.lit("another cell than asked for in "), F.col("file"))).cast("double")).otherwise(F.col("lat")))
     return body.select("file", "lat", "lon", F.explode(F.arrays_zip("days", "raw")).alias("x")).select("file", "lat", "lon", F.date_add(F.lit("1900-01-01").cast("date"), F.col("x.days").cast("int")).alias("valid_date"), F.col("x.raw").cast("double").alias("raw"))
 
 
@@ -85,7 +98,7 @@ def assign_cell(df: DataFrame, lat0: float, lon0: float, step: float, n_lat: int
 def centroids_csv(spark: SparkSession, path: str) -> DataFrame:
     """(geoid, state_fips, county, state, population, lat, lon); a number that can't be read, or a unit given twice, stops the load."""
     raw = spark.read.option("header", True).csv(path)
-    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
+    raw = raw.toDF(*[c.lstrip(BOM) for c in raw.columns])
     state = F.lpad("STATEFP", 2, "0")
     out = raw.select(F.concat(state, F.lpad("COUNTYFP", 3, "0")).alias("geoid"), state.alias("state_fips"), F.col("COUNAME").alias("county"), F.col("STNAME").alias("state"), *[F.trim(c).cast("double").alias(n) for c, n in (("POPULATION", "population"), ("LATITUDE", "lat"), ("LONGITUDE", "lon"))])
     if not out.groupBy("geoid").count().where("count > 1").isEmpty():
