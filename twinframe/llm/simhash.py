@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -27,6 +28,8 @@ from twinframe.llm.common import LOWER, NON_SPACE, blocks, components, cut, docu
 RADIUS, SHINGLE, SHARD_MAX, LAST = 2, 3, 1024, 10
 #: of near copies in the pipeline; a pair at the similarity shares one of the bands of minima at least with probability 0.9993
 COPY_SHINGLE, SIMILARITY, BAND_ROWS, BANDS, PARTS = 5, 0.8, 6, 24, 64
+#: the second look at what the first links leave apart: longer bands, and more of them (probability 0.9999 at the similarity, 0.007 at 0.44)
+SHARP_ROWS, SHARP_BANDS = 12, 128
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,8 +259,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, key, root): one row per input row; rows share a root just if candidate pairs of SIMILARITY or more join them.
 
     Rows of one shingle set share a key. Candidates share a band. In a band each key is first compared with the least of its
-    part and that with the least of all; what these links don't join is then compared pair by pair, so that no pair of
-    candidates goes unconfirmed unless other links join it.
+    part and that with the least of all. Keys of bands that these links don't join as a whole are signed again by longer
+    bands, which tell sets of middling similarity apart, and compared pair by pair where they share one of those.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +276,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
             items = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(items, pa.binary())], ["key", "items"])
 
+    def sharpened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.binary_length(batch.column("items")).to_numpy()
+            lo, upto = 0, np.append(0, np.cumsum(size))
+            while lo < batch.num_rows:  # a bounded number of shingles at a time, or one text
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + (8 << 20), "right")) - 1)
+                part = batch.slice(lo, hi - lo)
+                h = np.frombuffer(b"".join(x.as_py() for x in part.column("items")), np.uint64)
+                found = bands(h, (upto[lo : hi + 1] - upto[lo]) // 8, SHARP_ROWS, SHARP_BANDS)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * SHARP_BANDS), pa.array(found.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("key"), lists], ["key", "bands"])
+                lo = hi
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sign = cut(texts.mapInArrow(signed, "doc_id long, key long, bands array<long>"), "bands")
     keyed = sign.select("key", F.explode("bands").alias("band")).distinct()
@@ -285,7 +301,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     some = cut(confirmed(pairs.where("a <> b").distinct(), sets), "links")
     rooted = cut(met.select("band", "key").join(components(some), F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root")), "rooted")
     split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    left = cut(rooted.join(split, "band"), "split")
+    apart = cut(rooted.join(split, "band").select("key", "root").distinct(), "apart")
+    sharp = sets.join(apart.select("key"), "key", "left_semi").mapInArrow(sharpened, "key long, bands array<long>")
+    again = cut(sharp.select("key", F.explode("bands").alias("band")).join(apart, "key"), "sharp")
+    split = again.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    left = cut(again.join(split, "band"), "split")
     other = left.select("band", F.col("key").alias("other"), F.col("root").alias("other_root"))
     rest = left.join(other, "band").where("root < other_root").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
     roots = cut(components(some.unionByName(confirmed(rest, sets))), "roots")
