@@ -41,15 +41,17 @@ def forecast_pairs(predictions: DataFrame, observations: DataFrame, delay: str =
 
 
 def upsert_batches(path: str):
-    """A foreachBatch function: appends each micro-batch's new revisions to the fact table at path, in one folder a batch."""
+    """A foreachBatch function: appends each micro-batch's new revisions to the fact table at path, in one folder a batch. Of the
+    table only the levels, variables and range of days that the batch touches are read (filters of the scan)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         facts = spark.read.schema(bitemporal.FACT + ", batch long").parquet(path).where(F.col("batch") != batch_id)  # a replay sees the table as it was
         rows = bitemporal.collapse(batch)
-        known = rows.agg(F.max("known_at")).first()[0]
-        if known is not None:
-            fresh = bitemporal.new_revisions(facts.drop("batch"), rows, known)
+        of = rows.agg(F.max("known_at").alias("known"), F.min("valid_date").alias("lo"), F.max("valid_date").alias("hi"), F.collect_set("geo_level").alias("levels"), F.collect_set("variable").alias("variables")).first()
+        if of.known is not None:
+            facts = facts.where(F.col("valid_date").between(of.lo, of.hi) & F.col("geo_level").isin(of.levels) & F.col("variable").isin(of.variables))
+            fresh = bitemporal.new_revisions(facts.drop("batch"), rows, of.known)
             fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
