@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -488,6 +489,35 @@ def test_near_copies_by_jaccard(spark):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(low)
 
 
+@pytest.mark.parametrize(("keys", "size"), [(5, 2 << 20), (256, 3000), (256, 2 << 20)])
+def test_alike_but_no_copies(spark, monkeypatch, keys, size):
+    """A large group of short texts that are alike, most of them below the similarity, in tiles of any size."""
+    monkeypatch.setattr(simhash, "TILE_KEYS", keys)
+    monkeypatch.setattr(simhash, "TILE_BYTES", size)
+    rng = random.Random(10)
+    base, texts = make_text(rng, 60).split(), []
+    for i in range(90):
+        x = list(base) if i % 3 else texts[rng.randrange(len(texts))].split() if texts else list(base)
+        for at in rng.sample(range(60), rng.choice([1, 1, 2])):
+            x[at] = f"new{rng.random()}"
+        texts.append(" ".join(x))
+    low = naive_copies(texts)
+    assert 10 < len(set(low)) < 80
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(low)
+
+
+def test_tile_links():
+    sets = [set(range(20)), set(range(1, 21)), set(range(10, 30)), set(range(40, 60)), set(range(20))]
+    items = [np.array(sorted(x), np.uint64).tobytes() for x in sets]
+    rows = pa.table({"root": [1, 2, 3, 4, 5], "part": [0, 0, 0, 0, 0], "lo": [0] * 5, "hi": [0] * 5, "items": items})
+    assert simhash.tile_links(rows) == [(1, 2), (1, 5)]
+    apart = rows.set_column(1, "part", pa.array([0, 0, 1, 1, 1])).set_column(3, "hi", pa.array([1] * 5))
+    assert simhash.tile_links(apart) == [(1, 5), (2, 5)]
+    empty = rows.set_column(4, "items", pa.array([b""] * 5))
+    assert simhash.tile_links(empty) == [(1, 2), (1, 3), (1, 4), (1, 5)]
+
+
 def test_keep_one_counts_rows_not_ids(spark):
     rng = random.Random(9)
     a, b, c = (make_text(rng, 60) for _ in range(3))

@@ -18,7 +18,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -28,8 +27,8 @@ from twinframe.llm.common import LOWER, NON_SPACE, blocks, components, cut, docu
 RADIUS, SHINGLE, SHARD_MAX, LAST = 2, 3, 1024, 10
 #: of near copies in the pipeline; a pair at the similarity shares one of the bands of minima at least with probability 0.9993
 COPY_SHINGLE, SIMILARITY, BAND_ROWS, BANDS, PARTS = 5, 0.8, 6, 24, 64
-#: the second look at what the first links leave apart: longer bands, and more of them (probability 0.9999 at the similarity, 0.007 at 0.44)
-SHARP_ROWS, SHARP_BANDS = 12, 128
+#: keys and bytes of shingles that a side of a tile holds on average
+TILE_KEYS, TILE_BYTES = 256, 2 << 20
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,12 +254,102 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return sides.select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
 
 
+def forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Those of the links (a, b) that join two classes when taken in turn; they join as much as all of them."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if (rx := root(x)) != (ry := root(y)):
+            parent[rx] = ry
+            out.append((x, y))
+    return out
+
+
+def tile_links(rows: pa.Table, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links between the roots of one tile's keys: the exact index of each key of part `lo` with each of part `hi`.
+
+    Common shingles are counted as a product of incidence matrices, some columns at a time; a shingle of one key adds nothing.
+    """
+    root, part, lo, hi = (rows.column(c).to_numpy() for c in ("root", "part", "lo", "hi"))
+    if (root == root[0]).all():
+        return []
+    items = rows.column("items").to_pylist()
+    size = np.array([len(x) // 8 for x in items])
+    owner = np.repeat(np.arange(len(items)), size)
+    _, column, count = np.unique(np.frombuffer(b"".join(items), np.uint64), return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+    common = np.zeros((len(a), len(b)))
+    for first in range(0, int(shared.sum()), 4096):
+        x, y = np.searchsorted(column, [first, first + 4096])
+        held = np.zeros((len(items), 4096), np.float32)
+        held[owner[x:y], column[x:y] - first] = 1
+        common += held[a] @ held[b].T
+    near = common >= similarity * (size[a][:, None] + size[b][None, :] - common) - 1e-9
+    x, y = np.nonzero(near & (root[a][:, None] != root[b][None, :]))
+    both = np.unique(np.sort(np.column_stack([root[a[x]], root[b[y]]]), axis=1), axis=0)
+    return forest(both[:, 0].tolist(), both[:, 1].tolist())
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by tile: each tile's links. A tile is bounded, so what is carried on is small."""
+
+    def links_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(x.num_rows for x in held) > 1 and (found := tile_links(pa.Table.from_batches(held))):
+            both = np.array(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    held, at = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile = np.column_stack([batch.column(c).to_numpy() for c in ("band", "lo", "hi")])
+        edges = np.flatnonzero((tile[1:] != tile[:-1]).any(axis=1)) + 1
+        for begin, end in zip([0, *edges], [*edges, len(tile)], strict=True):
+            if held and tuple(tile[begin]) != at:
+                yield from links_of(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            at = tuple(tile[begin])
+    yield from links_of(held) if held else ()
+
+
+def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of SIMILARITY or more between the roots of keys that share a band; `members` are (band, key, root).
+
+    A band's keys are dealt into parts of a bounded size and each two parts meet in a tile of their own, so no band is
+    gathered in one task, and a tile gives a forest of its links and no pairs. Bands of just the same keys count once.
+    """
+    sized = members.join(sets.select("key", F.octet_length("items").alias("bytes")), "key")
+    bands_ = sized.groupBy("band").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"),
+        F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("same"),
+    ).where("least < most")
+    parts = F.ceil(F.greatest(F.col("n") / TILE_KEYS, F.col("bytes") / TILE_BYTES, F.lit(1.0))).cast("int").alias("parts")
+    once = bands_.groupBy("same", "n", "bytes").agg(F.min("band").alias("band")).select("band", parts)
+    dealt = members.join(once, "band").withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    tiled = dealt.select("band", "key", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiled = tiled.select("band", "key", "root", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    met = tiled.join(sets, "key").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    return met.select("band", "lo", "hi", "root", "part", "items").mapInArrow(_tiles, "a long, b long")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, key, root): one row per input row; rows share a root just if candidate pairs of SIMILARITY or more join them.
 
     Rows of one shingle set share a key. Candidates share a band. In a band each key is first compared with the least of its
-    part and that with the least of all. Keys of bands that these links don't join as a whole are signed again by longer
-    bands, which tell sets of middling similarity apart, and compared pair by pair where they share one of those.
+    part and that with the least of all. The keys of bands that these links don't join as a whole are compared in tiles.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,19 +365,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
             items = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(items, pa.binary())], ["key", "items"])
 
-    def sharpened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = pc.binary_length(batch.column("items")).to_numpy()
-            lo, upto = 0, np.append(0, np.cumsum(size))
-            while lo < batch.num_rows:  # a bounded number of shingles at a time, or one text
-                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + (8 << 20), "right")) - 1)
-                part = batch.slice(lo, hi - lo)
-                h = np.frombuffer(b"".join(x.as_py() for x in part.column("items")), np.uint64)
-                found = bands(h, (upto[lo : hi + 1] - upto[lo]) // 8, SHARP_ROWS, SHARP_BANDS)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * SHARP_BANDS), pa.array(found.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("key"), lists], ["key", "bands"])
-                lo = hi
-
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sign = cut(texts.mapInArrow(signed, "doc_id long, key long, bands array<long>"), "bands")
     keyed = sign.select("key", F.explode("bands").alias("band")).distinct()
@@ -300,15 +376,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sets = cut(texts.select("text").mapInArrow(listed, "key long, items binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("items").alias("items")), "sets")
     some = cut(confirmed(pairs.where("a <> b").distinct(), sets), "links")
     rooted = cut(met.select("band", "key").join(components(some), F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root")), "rooted")
-    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    apart = cut(rooted.join(split, "band").select("key", "root").distinct(), "apart")
-    sharp = sets.join(apart.select("key"), "key", "left_semi").mapInArrow(sharpened, "key long, bands array<long>")
-    again = cut(sharp.select("key", F.explode("bands").alias("band")).join(apart, "key"), "sharp")
-    split = again.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    left = cut(again.join(split, "band"), "split")
-    other = left.select("band", F.col("key").alias("other"), F.col("root").alias("other_root"))
-    rest = left.join(other, "band").where("root < other_root").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
-    roots = cut(components(some.unionByName(confirmed(rest, sets))), "roots")
+    roots = cut(components(some.unionByName(cut(apart(rooted, sets), "apart"))), "roots")
     return sign.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
