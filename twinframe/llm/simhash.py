@@ -329,7 +329,8 @@ def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links of SIMILARITY or more between the roots of keys that share a band; `members` are (band, key, root).
 
     A band's keys are dealt into parts of a bounded size and each two parts meet in a tile of their own, so no band is
-    gathered in one task, and a tile gives a forest of its links and no pairs. Bands of just the same keys count once.
+    gathered in one task, and a tile gives a forest of its links and no pairs. Bands of just the same keys (by
+    number, bytes and a sum of 64-bit hashes) count once.
     """
     sized = members.join(sets.select("key", F.octet_length("items").alias("bytes")), "key")
     bands_ = sized.groupBy("band").agg(
