@@ -650,6 +650,22 @@ def test_language(spark, odd, empty):
     assert language.keep_known(odd).columns == odd.columns and language.keep_known(empty).count() == 0
 
 
+def test_language_stage_rejects_what_no_learned_language_explains(spark):
+    rng = random.Random(17)
+    lexicon = {"aa": ["le", "que", "tion", "pour", "des", "eau"], "bb": ["the", "ing", "and", "of", "was", "with"]}
+    word = lambda k: rng.choice(lexicon[k]) + rng.choice(lexicon[k])
+    clean = [(i, " ".join(word(k) for _ in range(rng.choice([3, 12, 60]))), k) for i in range(300) for k in [rng.choice(sorted(lexicon))]]
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24))
+    clean += [(1000 + i, f"{key()} {word('bb')} {word('bb')} {word('bb')}", "bb") for i in range(20)]  # a name: one word decides nothing
+    clean += [(1100 + i, f"{word('aa')} 0cf6a1f{i}ed6e2f11c6ae2d0e28ac6x2cf81b {word('aa')} {word('aa')}", "aa") for i in range(20)]  # a key
+    foreign = ["tämä on suomenkielinen teksti jossa puhutaan säästä ja järvistä sekä metsistä joita maassa on paljon", "это русский текст о погоде озерах и лесах"]
+    foreign += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(30)) for _ in range(20)]
+    bad = [(2000 + i, t, None) for i, t in enumerate([*foreign, None, "", "12 !"])]
+    d = spark.createDataFrame(clean + bad, "doc_id long, text string, lang string").repartition(3)
+    assert sorted(r.doc_id for r in language.keep_known(d).collect()) == [r[0] for r in clean]
+    assert language.keep_known(d.drop("lang").selectExpr("*", "cast(null as string) AS lang")).count() == 0  # nothing labelled
+
+
 def test_forward_sums_all_segmentations():
     pieces = [b" a", b"a", b"b", b"ab", b" ", b"ba", b"bab"]
     p = np.random.RandomState(1).dirichlet(np.ones(len(pieces)), 2).T

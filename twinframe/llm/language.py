@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from twinframe.llm.common import LETTER, LOWER, Members, blocks, cut, documents, spans, xxh64_spans
 
 FIT_ROWS, EM_ROUNDS, MAX_PIECE, MAX_WORD = 8000, 4, 12, 31
+#: what one word may weigh for or against a learned language (nats), and the sum from which on a text is of none
+MAX_GAIN, MIN_GAIN = 4.0, -8.0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(MAX_WORD + 1, _MUL)]), dtype=np.uint64)
 
@@ -135,6 +137,15 @@ def _words(buf: np.ndarray, offsets: np.ndarray):
     return buf, s[index], e[index], first[index], inverse, np.repeat(text, k)
 
 
+def _beside_digit(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each stretch of _words is of a run of letters that touches a digit of its text, as keys and hexadecimal numbers do."""
+    starts, ends, of = spans(buf, offsets, LETTER)
+    digit = np.append((buf >= 48) & (buf <= 57), False)
+    before = digit[starts - 1] & (starts > np.repeat(offsets[:-1], np.diff(of)))
+    after = digit[ends] & (ends < np.repeat(offsets[1:], np.diff(of)))
+    return np.repeat(before | after, _cut_long(starts, ends)[3])
+
+
 def word_counts(labelled: DataFrame) -> DataFrame:
     """(text, lang) -> (lang, word, n): counts of the stretches, word starts marked by a space."""
 
@@ -185,27 +196,46 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = EM_ROUNDS, voca
     return langs, p, pieces, prior
 
 
+def no_language(model, even: float = 0.1) -> np.ndarray:
+    """Piece probabilities of no language: single bytes by their share in the learned languages' pieces, and `even` dealt evenly to all pieces."""
+    _, p, pieces, prior = model
+    held, share = p @ np.exp(prior), np.zeros(256)
+    of = np.repeat(np.arange(len(pieces)), [len(x) for x in pieces])
+    np.add.at(share, np.frombuffer(b"".join(pieces), np.uint8), held[of])
+    out = np.full(len(pieces), even / len(pieces))
+    at = {x: i for i, x in enumerate(pieces)}
+    out[[at[bytes([i])] for i in range(256)]] += (1 - even) * share / share.sum()
+    return out
+
+
 def _score(docs: DataFrame, model, text_col: str, keep: list[str]) -> tuple[DataFrame, list[str]]:
-    """Columns c0, c1, ... for those of `keep`, then lang_ and score_; the names c0, c1, ..."""
-    langs, p, pieces, prior = model
+    """Columns c0, c1, ... for those of `keep`, then lang_, score_ and gain_ (see keep_known); the names c0, c1, ...
+
+    A fifth member of the model, if there is one, holds the piece probabilities of no language.
+    """
+    langs, p, pieces, prior, *none = model
+    p = np.column_stack([p, *none])
     names = [f"c{i}" for i in range(len(keep))]
     at = names[keep.index(text_col)] if text_col in keep else "text_"
     plain = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)], *([] if text_col in keep else [docs[text_col].alias(at)]))
-    schema = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)]).schema.add("lang_", "string").add("score_", "double")
+    schema = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)]).schema.add("lang_", "string").add("score_", "double").add("gain_", "double")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces)
         for part, raw, offsets in blocks(batches, at, 5 << 20):
             n = len(offsets) - 1
             buf, s, e, first, inverse, text = _words(raw, offsets)
-            total = np.tile(prior, (n, 1))
+            total, gain = np.tile(prior, (n, 1)), np.zeros(n)
             if len(s) and langs:
-                logs = np.empty((len(s), len(langs)))
+                logs = np.empty((len(s), p.shape[1]))
                 for lo in range(0, len(s), 16384):
                     m, lengths, order = _matrix(buf, s[lo : lo + 16384], e[lo : lo + 16384], first[lo : lo + 16384])
                     logs[lo + order] = lattice.log_prob(m, lengths, p)
                 for k in range(len(langs)):
                     total[:, k] += np.bincount(text, logs[inverse, k], n)
+                if none:
+                    ratio = logs[inverse, total.argmax(axis=1)[text]] - logs[inverse, -1]
+                    gain = np.bincount(text, np.where(_beside_digit(buf, offsets), 0, np.clip(ratio, -MAX_GAIN, MAX_GAIN)), n)
             letters = np.zeros(n, bool)
             letters[text[(buf[s] < 128)[inverse]]] = True
             for i in np.flatnonzero(~letters & (np.bincount(text, minlength=n) > 0)):
@@ -216,7 +246,7 @@ def _score(docs: DataFrame, model, text_col: str, keep: list[str]) -> tuple[Data
                 found = [langs[b] if x else "und" for b, x in zip(best, letters, strict=True)]
             else:
                 found, score = ["und"] * n, np.zeros(n)
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(found, pa.string()), pa.array(score)], [*names, "lang_", "score_"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(found, pa.string()), pa.array(score), pa.array(gain)], [*names, "lang_", "score_", "gain_"])
 
     return plain.mapInArrow(task, schema), names
 
@@ -231,11 +261,20 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The documents' columns, without documents of no language or of a score under `min_score`."""
+def keep_known(docs: DataFrame, min_score: float = 0.5, min_gain: float = MIN_GAIN) -> DataFrame:
+    """The documents' columns, without documents of no language, of a score under `min_score`, or of no learned language.
+
+    The score weighs the learned languages against each other only, so it is near 1 for any longer text. Each word is therefore
+    also weighed under the found language against no language (letters by their shares, pieces dealt evenly), by MAX_GAIN at
+    most, so that single names or typos don't decide, and letters beside digits not at all; a text whose sum is under `min_gain`
+    goes. Texts of two or fewer words can't reach it and stay. Where nothing is labelled, no document stays.
+    """
     model = fit(docs.where(~held_out(docs.doc_id)).select("doc_id", "text", "lang"))
-    found, names = _score(docs, model, "text", docs.columns)
-    return found.where((F.col("lang_") != "und") & (F.col("score_") >= min_score)).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    if not model[0]:
+        return docs.limit(0)
+    found, names = _score(docs, (*model, no_language(model)), "text", docs.columns)
+    known = (F.col("lang_") != "und") & (F.col("score_") >= min_score) & (F.col("gain_") >= min_gain)
+    return found.where(known).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
