@@ -27,6 +27,8 @@ from twinframe.llm.common import LETTER, LOWER, Members, blocks, cut, documents,
 FIT_ROWS, EM_ROUNDS, MAX_PIECE, MAX_WORD = 8000, 4, 12, 31
 #: what one word may weigh for or against a learned language (nats), and the sum from which on a text is of none
 MAX_GAIN, MIN_GAIN = 4.0, -8.0
+#: bytes of text that are scored at a time; a longer text stands alone
+BLOCK = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(MAX_WORD + 1, _MUL)]), dtype=np.uint64)
 
@@ -222,7 +224,7 @@ def _score(docs: DataFrame, model, text_col: str, keep: list[str]) -> tuple[Data
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces)
-        for part, raw, offsets in blocks(batches, at, 5 << 20):
+        for part, raw, offsets in blocks(batches, at, BLOCK):
             n = len(offsets) - 1
             buf, s, e, first, inverse, text = _words(raw, offsets)
             total, gain = np.tile(prior, (n, 1)), np.zeros(n)

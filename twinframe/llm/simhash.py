@@ -29,6 +29,8 @@ RADIUS, SHINGLE, SHARD_MAX, LAST = 2, 3, 1024, 10
 COPY_SHINGLE, SIMILARITY, BAND_ROWS, BANDS, PARTS = 5, 0.8, 6, 24, 64
 #: keys and bytes of shingles that a side of a tile holds on average
 TILE_KEYS, TILE_BYTES = 256, 2 << 20
+#: bytes of text whose shingles are made at a time; a longer text stands alone
+BLOCK = 1 << 20
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -354,14 +356,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offsets in blocks(batches, "text", 2 << 20):
+        for part, buf, offsets in blocks(batches, "text", BLOCK):
             h, first, key = shingle_sets(buf, offsets)
             found = pa.array(bands(h, first).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), found)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key.view(np.int64)), lists], ["doc_id", "key", "bands"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buf, offsets in blocks(batches, "text", 2 << 20):
+        for _, buf, offsets in blocks(batches, "text", BLOCK):
             h, first, key = shingle_sets(buf, offsets)
             items = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(items, pa.binary())], ["key", "items"])
@@ -389,7 +391,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offsets in blocks(batches, "text", 2 << 20):
+        for part, buf, offsets in blocks(batches, "text", BLOCK):
             key = shingle_sets(buf, offsets)[2]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key.view(np.int64))], [*part.schema.names, "key__"])
 
