@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
@@ -50,6 +50,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a cut that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def same(a: str, b: str, columns: list[str]) -> Column:
+    """All columns of the aliases `a` and `b` agree; null agrees with null."""
+    return reduce(Column.__and__, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns], F.lit(True))
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """The rows with i (long, from 0: place among the rows of a `by` group, ascending by `order`, nulls first) and n (rows of the group).
+
+    No group is gathered: rows are dealt by ranges and written, then only counts by range are summed. Rows that agree in all of
+    `by` and `order` come in any order.
+    """
+    placed = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("at_", F.monotonically_increasing_id())
+    placed = cut(placed.withColumn("range_", F.shiftright("at_", 33)), name)
+    sizes = placed.groupBy(*by, "range_").agg(F.count(F.lit(1)).alias("rows_"), F.min("at_").alias("low_"))
+    group = Window.partitionBy(*by)  # a row for each range that has some of the group
+    before = F.coalesce(F.sum("rows_").over(group.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, "range_", (before - F.col("low_")).alias("shift_"), F.sum("rows_").over(group).alias("n"))
+    kept = [F.col(f"p.{c}") for c in df.columns]
+    return placed.alias("p").join(sizes.alias("s"), same("p", "s", [*by, "range_"])).select(*kept, (F.col("at_") + F.col("shift_")).alias("i"), "n")
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # kernels on the flat UTF-8 buffer of an Arrow text column
 

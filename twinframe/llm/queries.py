@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinframe.llm import decontamination, language, lm, mixing, pii, quality, simhash, substrings, tokens, urls
+from twinframe.llm import decontamination, language, lm, merkle, mixing, pii, quality, simhash, substrings, tokens, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_language": language.op10_language,
+    "op11_manifest": merkle.op11_manifest,
 }
 
 ORACLES = {
     "op1_url_filter": urls.ORACLE,
     "op3_quality": quality.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op11_manifest": merkle.ORACLE,
 }
