@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinframe.llm import decontamination, language, lm, merkle, mixing, pii, quality, simhash, substrings, tokens, urls
+from twinframe.llm import chat, decontamination, language, lm, merkle, mixing, phrases, pii, quality, simhash, substrings, tokens, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_language": language.op10_language,
     "op11_manifest": merkle.op11_manifest,
+    "op12_chat": chat.op12_chat,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLES = {
@@ -23,4 +25,6 @@ ORACLES = {
     "op3_quality": quality.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op11_manifest": merkle.ORACLE,
+    "op12_chat": chat.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
