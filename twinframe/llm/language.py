@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from twinframe.llm.common import LETTER, LOWER, Members, blocks, cut, documents, spans, xxh64_spans
 
 FIT_ROWS, EM_ROUNDS, MAX_PIECE, MAX_WORD = 8000, 4, 12, 31
-#: what one word may weigh for or against a learned language (nats), and the sum from which on a text is of none
-MAX_GAIN, MIN_GAIN = 4.0, -8.0
+#: held-out labelled documents whose typical gain is the measure of keep_known, and the share of it that a text must reach
+TYPICAL_ROWS, MIN_SHARE = 1000, 0.17
+#: bytes of typical text added to each text, so that a word or two decide nothing, and what one word weighs at most
+PRIOR_BYTES, WORD_BYTES = 6, 8
 #: bytes of text that are scored at a time; a longer text stands alone
 BLOCK = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -198,46 +200,62 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = EM_ROUNDS, voca
     return langs, p, pieces, prior
 
 
-def no_language(model, even: float = 0.1) -> np.ndarray:
-    """Piece probabilities of no language: single bytes by their share in the learned languages' pieces, and `even` dealt evenly to all pieces."""
-    _, p, pieces, prior = model
-    held, share = p @ np.exp(prior), np.zeros(256)
+def against_none(model, spelled: float = 0.05):
+    """The model with letters of its own in each language (a share `spelled` goes to single bytes, by their shares in the language's
+    pieces), the piece probabilities of no language (bytes alone: half dealt to those that the learned languages use, half to all),
+    and which bytes those are. Real words of a language that no piece holds are then spelled by its letters."""
+    langs, p, pieces, prior = model
     of = np.repeat(np.arange(len(pieces)), [len(x) for x in pieces])
-    np.add.at(share, np.frombuffer(b"".join(pieces), np.uint8), held[of])
-    out = np.full(len(pieces), even / len(pieces))
     at = {x: i for i, x in enumerate(pieces)}
-    out[[at[bytes([i])] for i in range(256)]] += (1 - even) * share / share.sum()
-    return out
+    single, data = np.array([at[bytes([i])] for i in range(256)]), np.frombuffer(b"".join(pieces), np.uint8)
+
+    def letters(weights: np.ndarray) -> np.ndarray:
+        share = np.bincount(data, weights[of], 256)
+        return share / max(share.sum(), 1e-300)
+
+    seen = p - p.min(axis=0)  # without what every piece has, seen or not
+    out = (1 - spelled) * p
+    for k in range(p.shape[1]):
+        out[single, k] += spelled * letters(seen[:, k])
+    used = letters(seen @ np.exp(prior)) > 1e-5
+    none = np.zeros(len(pieces))
+    none[single] = 0.5 * used / max(1, used.sum()) + 0.5 / 256
+    return langs, out, pieces, prior, none, used
 
 
 def _score(docs: DataFrame, model, text_col: str, keep: list[str]) -> tuple[DataFrame, list[str]]:
-    """Columns c0, c1, ... for those of `keep`, then lang_, score_ and gain_ (see keep_known); the names c0, c1, ...
+    """Columns c0, c1, ... for those of `keep`, then lang_, score_, gain_ and bytes_ (see keep_known); the names c0, c1, ...
 
-    A fifth member of the model, if there is one, holds the piece probabilities of no language.
+    The model may be one of `against_none`; else gain_ and bytes_ are 0.
     """
-    langs, p, pieces, prior, *none = model
-    p = np.column_stack([p, *none])
+    langs, p, pieces, prior, *rest = model
+    p = np.column_stack([p, *rest[:1]])
     names = [f"c{i}" for i in range(len(keep))]
     at = names[keep.index(text_col)] if text_col in keep else "text_"
     plain = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)], *([] if text_col in keep else [docs[text_col].alias(at)]))
-    schema = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)]).schema.add("lang_", "string").add("score_", "double").add("gain_", "double")
+    schema = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)]).schema.add("lang_", "string").add("score_", "double").add("gain_", "double").add("bytes_", "long")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces)
         for part, raw, offsets in blocks(batches, at, BLOCK):
             n = len(offsets) - 1
             buf, s, e, first, inverse, text = _words(raw, offsets)
-            total, gain = np.tile(prior, (n, 1)), np.zeros(n)
+            total, gain, judged = np.tile(prior, (n, 1)), np.zeros(n), np.zeros(n, np.int64)
             if len(s) and langs:
                 logs = np.empty((len(s), p.shape[1]))
-                for lo in range(0, len(s), 16384):
-                    m, lengths, order = _matrix(buf, s[lo : lo + 16384], e[lo : lo + 16384], first[lo : lo + 16384])
+                for lo in range(0, len(s), 8192):
+                    m, lengths, order = _matrix(buf, s[lo : lo + 8192], e[lo : lo + 8192], first[lo : lo + 8192])
                     logs[lo + order] = lattice.log_prob(m, lengths, p)
                 for k in range(len(langs)):
                     total[:, k] += np.bincount(text, logs[inverse, k], n)
-                if none:
-                    ratio = logs[inverse, total.argmax(axis=1)[text]] - logs[inverse, -1]
-                    gain = np.bincount(text, np.where(_beside_digit(buf, offsets), 0, np.clip(ratio, -MAX_GAIN, MAX_GAIN)), n)
+                if rest:
+                    size = e - s
+                    strange = np.concatenate([[0], np.cumsum(~rest[1][buf])])
+                    foreign = 3 * (strange[e] - strange[s]) >= size  # by byte values alone
+                    ratio = (logs[inverse, total.argmax(axis=1)[text]] - logs[inverse, -1]) / size[inverse]
+                    weight = np.where(_beside_digit(buf, offsets), 0, np.minimum(size, WORD_BYTES)[inverse])
+                    gain = np.bincount(text, weight * np.where(foreign[inverse], -1, np.maximum(ratio, -1)), n)
+                    judged = np.bincount(text, weight, n).astype(np.int64)
             letters = np.zeros(n, bool)
             letters[text[(buf[s] < 128)[inverse]]] = True
             for i in np.flatnonzero(~letters & (np.bincount(text, minlength=n) > 0)):
@@ -248,7 +266,7 @@ def _score(docs: DataFrame, model, text_col: str, keep: list[str]) -> tuple[Data
                 found = [langs[b] if x else "und" for b, x in zip(best, letters, strict=True)]
             else:
                 found, score = ["und"] * n, np.zeros(n)
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(found, pa.string()), pa.array(score), pa.array(gain)], [*names, "lang_", "score_", "gain_"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(found, pa.string()), pa.array(score), pa.array(gain), pa.array(judged)], [*names, "lang_", "score_", "gain_", "bytes_"])
 
     return plain.mapInArrow(task, schema), names
 
@@ -263,19 +281,26 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.5, min_gain: float = MIN_GAIN) -> DataFrame:
+def keep_known(docs: DataFrame, min_score: float = 0.3, min_share: float = MIN_SHARE) -> DataFrame:
     """The documents' columns, without documents of no language, of a score under `min_score`, or of no learned language.
 
     The score weighs the learned languages against each other only, so it is near 1 for any longer text. Each word is therefore
-    also weighed under the found language against no language (letters by their shares, pieces dealt evenly), by MAX_GAIN at
-    most, so that single names or typos don't decide, and letters beside digits not at all; a text whose sum is under `min_gain`
-    goes. Texts of two or fewer words can't reach it and stay. Where nothing is labelled, no document stays.
+    also weighed under the found language against no language (see against_none): its gain in log probability by byte, -1 at
+    least and for a word of bytes that no learned language uses; words beside digits, as in keys, don't count. A text's gain is
+    the mean over its words by their bytes (WORD_BYTES at most) and PRIOR_BYTES bytes of typical text. It doesn't grow with the length,
+    and must reach `min_share` of the typical gain: the median over TYPICAL_ROWS labelled documents held out of the fit (a documented
+    sample; of those in it where none is held out). Where nothing is labelled, no document stays.
     """
-    model = fit(docs.where(~held_out(docs.doc_id)).select("doc_id", "text", "lang"))
+    labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    model = fit(labelled.where(~held_out(F.col("doc_id"))))
     if not model[0]:
         return docs.limit(0)
-    found, names = _score(docs, (*model, no_language(model)), "text", docs.columns)
-    known = (F.col("lang_") != "und") & (F.col("score_") >= min_score) & (F.col("gain_") >= min_gain)
+    model = against_none(model)
+    first = labelled.orderBy(~held_out(F.col("doc_id")), F.xxhash64("doc_id"), "doc_id").limit(TYPICAL_ROWS)
+    usual = _score(first, model, "text", ["doc_id"])[0].where("bytes_ > 0").agg(F.median(F.col("gain_") / F.col("bytes_"))).first()[0] or 0.0
+    found, names = _score(docs, model, "text", docs.columns)
+    gain = (F.col("gain_") + PRIOR_BYTES * usual) / (F.col("bytes_") + PRIOR_BYTES)
+    known = (F.col("lang_") != "und") & (F.col("score_") >= min_score) & (gain >= min_share * usual)
     return found.where(known).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
