@@ -4,8 +4,10 @@ import datetime as dt
 import hashlib
 import json
 import math
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from twinframe.operators import explain as ex
@@ -52,15 +54,63 @@ def test_folds_training_and_selection(spark):
     assert mean[1.0] > mean[0.0] and math.isclose(mean[0.0], oof[oof.model == "logistic"].p.mean(), abs_tol=1e-9)
 
 
-def test_model_fold_scores_has_the_whole_ladder(spark, monkeypatch):
-    x = panel(spark, 240).select("id", "valid_date", "y", F.col("a").alias("score_a"), F.col("b").alias("score_b"), F.col("geoid").alias("grp"), F.col("hhs_region"))
-    monkeypatch.setattr(queries, "scored", lambda spark, d: x.coalesce(1))
-    groups, plain = [], md.fit  # what is asked for is noted; the search itself has a test of its own, so each rung is fitted once here
-    monkeypatch.setattr(md, "fit", lambda spec, train, group=None: groups.append((spec.name, group)) or plain(spec, train))
-    got = {(r.fold, r.model): r.auc for r in queries.model_fold_scores(spark, "").collect()}
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_model_fold_scores_as_registered(spark):
+    got = {(r.fold, r.model): r.auc for r in queries.model_fold_scores(spark, "/root/testdata/sf0.001").collect()}
     models = ["threshold", "logistic", "forest", "boosted"]
-    assert set(got) == {(f, m) for f in ("2022", "2023") for m in models} and sorted(groups) == sorted((m, "grp") for m in models * 2)
-    assert min(got[f, m] for f in ("2022", "2023") for m in ("forest", "boosted")) > 0.7
+    years = sorted({f for f, _ in got})
+    assert len(years) >= 3 and set(got) == {(f, m) for f in years for m in models}
+
+
+def test_outer_folds_need_no_region_where_years_decide(spark):
+    x = panel(spark).drop("hhs_region")
+    assert [f.name for f in md.outer_folds(x)] == ["2022", "2023"]
+    with pytest.raises(Exception, match="hhs_region"):
+        md.outer_folds(x.where("year < 2023"))
+
+
+@pytest.mark.parametrize("packed", [md.PACKED_GROUPS, 3])
+def test_group_folds_are_balanced_and_whole(spark, monkeypatch, packed):
+    monkeypatch.setattr(md, "PACKED_GROUPS", packed)
+    sizes = {"a": 50, "b": 20, "c": 20, "d": 19, "e": 1, None: 5, "f": 30}
+    df = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g string, i int")
+    dealt, k = md.group_folds(df, "g", 3)
+    rows = dealt.collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.g, set()).add(r.fold_)
+    load = [sum(sizes[g] for g, f in of.items() if f == {j}) for j in range(k)]
+    assert len(rows) == sum(sizes.values()) and k == 3 and all(len(f) == 1 for f in of.values())
+    assert max(load) - min(load) <= max(sizes.values()) and min(load) > 0
+    assert md.group_folds(df.where("g = 'a'"), "g", 3)[1] == 1
+
+
+def test_draws_are_seeded_distinct_and_in_their_space():
+    space = {"x": [1, 2, 3], "y": (0.01, 1.0)}
+    got = md.draws(space, 8)
+    assert got == md.draws(space, 8) != md.draws(space, 8, seed=1) and len({tuple(d.items()) for d in got}) == 8
+    assert all(d["x"] in space["x"] and 0.01 <= d["y"] <= 1 for d in got)
+    assert sorted(d["x"] for d in md.draws({"x": [1, 2, 3]}, 10)) == [1, 2, 3]
+
+
+def test_search_takes_the_best_draw(spark):
+    x = panel(spark)
+    spec = md.Spec("logistic", 1, md.ladder(["a", "b"], "a")[1].pipeline, {"regParam": [0.01, 1000.0], "elasticNetParam": [1.0]})
+    model, tried = md.search(spec, x, "geoid", folds=2, n=2)
+    best = max(tried, key=lambda d: d["auc"])
+    assert len(tried) == 2 and best["regParam"] == 0.01 and model.stages[-1].getRegParam() == 0.01 and best["auc"] > 0.7
+
+
+def test_fold_extremes(spark):
+    rows = [("m", "2021", 0.7), ("m", "2022", 0.9), ("m", "2023", 0.7), ("m", "2020", None), ("k", "2021", 0.5)]
+    got = {r.model: tuple(r)[1:] for r in md.fold_extremes(spark.createDataFrame(rows, "model string, fold string, auc double")).collect()}
+    assert got == {"m": ("2022", 0.9, "2021", 0.7), "k": ("2021", 0.5, "2021", 0.5)}
+
+
+def test_final_models_fit_the_whole_panel(spark):
+    x = panel(spark)
+    got = md.final_models(x, md.ladder(["a", "b"], "a")[:2], group="geoid", inner=2, n=2)
+    assert set(got) == {"threshold", "logistic"} and md.score(got["logistic"], x).count() == x.count()
 
 
 def test_threshold_rule_does_not_fall(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinframe.operators import stats
+from twinframe.operators.quantiles import percentiles
 
 #: rows of a background sample, broadcast to every task
 BACKGROUND = 200
@@ -98,6 +99,6 @@ def grouped_load(attributions: DataFrame, features: Sequence[str], id_col: str)
 def band_contrast(df: DataFrame, load: str, by: str, split: str, lo: float, hi: float) -> DataFrame:
     """Mean load of rows with lo <= by <= hi, below or at and above the band's median of split."""
     band = df.where(F.col(by).between(lo, hi))
-    middle = band.agg(F.median(split).alias("m_"))
+    middle = percentiles(band, split, [0.5]).agg(F.max("value").alias("m_"))  # one row, null for an empty band
     out = band.join(F.broadcast(middle)).agg(F.avg(F.when(F.col(split) <= F.col("m_"), F.col(load))).alias("low"), F.avg(F.when(F.col(split) > F.col("m_"), F.col(load))).alias("high"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("difference", F.col("high") - F.col("low"))

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.operators.bitemporal import latest_per
+from twinframe.operators.quantiles import percentiles
 
 
 def coverage_by_year(df: DataFrame, value: str = "value", day: str = "valid_date") -> DataFrame:
     """Count, extremes, exact median and largest over smallest value of each year."""
-    g = df.where(F.col(value).isNotNull()).groupBy(F.year(day).alias("year")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.median(value).alias("middle"))
+    rows = df.where(F.col(value).isNotNull()).select(F.year(day).alias("year"), F.col(value).alias("v"))
+    middle = percentiles(rows, "v", [0.5], by=["year"]).select(F.col("year").alias("of"), F.col("value").alias("middle"))
+    g = rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    g = g.join(middle, F.col("year").eqNullSafe(F.col("of"))).select("year", "n", "low", "high", "middle")
     return g.withColumn("ratio", F.try_divide("high", F.nullif("low", F.lit(0.0))))
 
 

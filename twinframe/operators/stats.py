@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinframe.functions.stages import written
+from twinframe.operators.quantiles import percentiles
+
 EDGES = 64
 #: fixed values: critical values of the studentised range for infinite degrees of freedom at 0.05, over sqrt(2), by number of models
 NEMENYI = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
@@ -19,6 +22,7 @@ NEMENYI = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031,
 
 def running(df: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
     """Sums of columns over all rows of a smaller `order` value (distinct in a group of `by`): {new column: column}."""
+    df = written(df, "levels")  # read three times from here on
     edges = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / EDGES) for i in range(1, EDGES)]), 1000).alias("e")).first().e or []
     bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(edges))]), lambda e: e < F.col(order))) if edges else F.lit(0)
     df = df.withColumn("bucket_", bucket)
@@ -194,7 +198,7 @@ def spiegelhalter(df: DataFrame, p: str, y: str = "y") -> DataFrame:
 
 def binned_rate(df: DataFrame, x: str, y: str, n: int = 12) -> DataFrame:
     """Event rate in equal-frequency bins, with its standard error; edges are exact percentiles, repeated ones count once."""
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("e")).select(F.array_sort(F.array_distinct("e")).alias("e"))
+    edges = percentiles(df, x, [i / n for i in range(n + 1)]).agg(F.array_sort(F.collect_set("value")).alias("e"))  # n + 1 rows
     at = df.where(F.col(x).isNotNull()).join(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("e", lambda v: v < F.col(x)))))
     out = at.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("rate"), F.min(F.get("e", F.col("bin") - 1)).alias("lo"), F.min(F.get("e", F.col("bin"))).alias("hi"))
     return out.select("bin", "n", "rate", F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n")).alias("se"), ((F.col("lo") + F.col("hi")) / 2).alias("mid"))
@@ -206,7 +210,9 @@ def reliability(df: DataFrame, p: str, y: str = "y", n: int = 10) -> DataFrame:
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*")
-    return long.groupBy("feature").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.percentile("v", F.lit(0.5)).alias("median"), F.max("v").alias("max"))
+    middle = percentiles(long, "v", [0.5], by=["feature"]).select("feature", F.col("value").alias("median"))
+    out = long.groupBy("feature").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max")).join(middle, "feature", "left")
+    return out.select("feature", "mean", "sd", "min", "median", "max")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

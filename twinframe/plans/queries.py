@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinframe import fixtures as fx
 from twinframe.functions.scalars import heat_index_c, heat_index_sql, stable_id
+from twinframe.functions.stages import written
 from twinframe.operators import bitemporal as bt
 from twinframe.operators import explain as ex
 from twinframe.operators import forecasts as fc
@@ -597,8 +598,59 @@ def risk_arrays(spark, d):
 @query()
 def model_fold_scores(spark, d):
     panel = scored(spark, d).withColumn("year", F.year("valid_date")).withColumn("month", F.month("valid_date").cast("double"))
-    specs = md.ladder(["score_a", "score_b", "month"], "score_a")
-    return md.fold_scores(md.train(panel, specs, md.outer_folds(panel), ["id"], group="grp").oof)
+    panel = written(panel, "panel")  # every fit and score reads it
+    specs = md.ladder(["score_a", "score_b", "month"], "score_a", trees=20, rounds=10)
+    return md.fold_scores(written(md.train(panel, specs, md.outer_folds(panel), ["id"], group="grp", inner=2, n=2).oof, "out_of_fold"))
+
+
+_OOF = f"""oof AS (SELECT id, y, year(valid_date)::VARCHAR AS fold, 'a' AS model, score_a / 600000 AS p FROM ({fx.SCORED}) UNION ALL SELECT id, y, year(valid_date)::VARCHAR, 'b', score_b / 20000 FROM ({fx.SCORED})),
+lv AS (SELECT fold, model, p, sum(y) AS pos, sum(1 - y) AS neg FROM oof GROUP BY ALL),
+cum AS (SELECT *, sum(pos) OVER w - pos AS pos_below, sum(neg) OVER w - neg AS neg_below, sum(pos) OVER g AS all_pos, sum(neg) OVER g AS all_neg FROM lv WINDOW w AS (PARTITION BY fold, model ORDER BY p), g AS (PARTITION BY fold, model)),
+ranked AS (SELECT fold, model, any_value(all_pos)::BIGINT AS n_pos, any_value(all_neg)::BIGINT AS n_neg, CASE WHEN any_value(all_pos) * any_value(all_neg) > 0 THEN sum(pos * (neg_below + neg / 2.0)) / any_value(all_pos * all_neg) END AS auc,
+  sum((all_pos - pos_below) / (all_pos - pos_below + all_neg - neg_below) * pos / nullif(all_pos, 0)) AS average_precision FROM cum GROUP BY ALL),
+scores AS (SELECT r.*, avg((p - y) ** 2) AS brier, avg(y) AS prevalence FROM ranked r JOIN oof USING (fold, model) GROUP BY ALL)"""
+
+
+def fold_rows(spark, d):
+    """Out-of-fold rows of two given scores, a fold a year."""
+    x, fold = scored(spark, d), F.year("valid_date").cast("string").alias("fold")
+    a, b = (x.select("id", "y", fold, F.lit(n).alias("model"), (F.col(f"score_{n}") / k).alias("p")) for n, k in (("a", 600000), ("b", 20000)))
+    return a.unionByName(b)
+
+
+@query(f"WITH {_OOF} SELECT fold, model, n_pos, n_neg, round(auc, 9) AS auc, round(average_precision, 9) AS average_precision, round(brier, 9) AS brier, round(prevalence, 9) AS prevalence FROM scores")
+def fold_scores(spark, d):
+    return rounded(md.fold_scores(written(fold_rows(spark, d), "out_of_fold")), "auc", "average_precision", "brier", "prevalence", to=9)
+
+
+@query(f"WITH {_OOF}, v AS (SELECT model, fold, round(auc, 9) AS auc FROM scores WHERE auc IS NOT NULL) SELECT model, arg_max(fold, auc ORDER BY fold) AS best, max(auc) AS best_value, arg_min(fold, auc ORDER BY fold) AS worst, min(auc) AS worst_value FROM v GROUP BY model")
+def fold_extremes(spark, d):
+    return md.fold_extremes(fold_scores(spark, d))
+
+
+@query(f"""WITH x AS ({fx.SCORED}), f AS (SELECT year(valid_date) AS k FROM x GROUP BY 1 QUALIFY row_number() OVER (ORDER BY year(valid_date)) > 1)
+SELECT k::VARCHAR AS fold, count(*) FILTER (year(valid_date) < k) AS n_train, count(*) FILTER (year(valid_date) = k) AS n_test FROM f, x GROUP BY k""")
+def outer_folds(spark, d):
+    panel = scored(spark, d).withColumn("year", F.year("valid_date"))
+    folds = md.outer_folds(panel)
+    sizes = panel.agg(*[F.struct(F.lit(f.name).alias("fold"), F.count_if(f.train).alias("n_train"), F.count_if(f.test).alias("n_test")).alias(f"f{i}") for i, f in enumerate(folds)])
+    return sizes.select(F.inline(F.array(*[F.col(f"f{i}") for i in range(len(folds))])))
+
+
+@query(f"""WITH x AS ({fx.SCORED}), c AS (SELECT make_date(max(year(valid_date)), 8, 1) AS c FROM x) SELECT c::VARCHAR AS fold, count(*) FILTER (valid_date < c) AS n_train, count(*) FILTER (valid_date >= c + 7) AS n_test FROM x, c GROUP BY c""")
+def temporal_fold(spark, d):
+    x = scored(spark, d)
+    fold = md.temporal_fold(x)
+    return x.agg(F.count_if(fold.train).alias("n_train"), F.count_if(fold.test).alias("n_test")).select(F.lit(fold.name).alias("fold"), "n_train", "n_test")
+
+
+@query(f"WITH x AS ({fx.SCORED}), n AS (SELECT grp, count(*) AS n FROM x GROUP BY 1) SELECT count(DISTINCT grp) AS groups, sum(n)::BIGINT AS n_rows, true AS apart, true AS even FROM n")
+def group_folds(spark, d):
+    """Whole groups, and folds whose sizes differ by no more than the largest group."""
+    dealt, k = md.group_folds(scored(spark, d), "grp", 3)
+    groups = dealt.groupBy("grp").agg(F.count_distinct("fold_").alias("f"), F.count(F.lit(1)).alias("n"), F.first("fold_").alias("fold"))
+    folds = groups.groupBy("fold").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest"), F.max("f").alias("f"))
+    return folds.agg(F.sum("groups").alias("groups"), F.sum("size").alias("n_rows"), (F.max("f") == 1).alias("apart"), ((F.max("size") - F.min("size") <= F.max("largest")) & (F.count(F.lit(1)) == k)).alias("even"))
 
 
 @query()
