@@ -2,12 +2,14 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from twinframe.functions import dims
+from twinframe.functions import dims, stages
 from twinframe.operators import bitemporal as bt
+from twinframe.operators import facttable as ft
 from twinframe.operators import panel as pn
 from twinframe.sources import files
 from twinframe.streaming import jobs
@@ -55,16 +57,76 @@ def test_streamed_daily_metrics_equal_batch(spark, tmp_path):
     assert got == want
 
 
-def test_streamed_upsert(spark, tmp_path):
-    path = str(tmp_path / "facts")
-    spark.createDataFrame([], bt.FACT + ", batch long").write.partitionBy("batch").parquet(path)
-    write = jobs.upsert_batches(path)
-    make = lambda v, at, seq: spark.createDataFrame([("state", "04", dt.date(2023, 1, 1), "x", "s", v, at, seq)], "geo_level string, geoid string, valid_date date, variable string, source string, value double, known_at timestamp, seq long")
-    for i, v in enumerate([1.0, 1.0, 2.0]):
-        write(make(v, dt.datetime(2024, 1, 1 + i), i), i)
-    write(make(2.0, dt.datetime(2024, 1, 3), 2), 2)  # a replay
-    facts = spark.read.schema(bt.FACT).parquet(path)
-    assert sorted((r.value, r.revision) for r in facts.collect()) == [(1.0, 0), (2.0, 1)]
+def report(v, day, seq, unit="04"):
+    return ("state", unit, dt.date(2023, 1, 1), "x", "s", v, dt.datetime(2024, 1, day), seq)
+
+
+REPORT = "geo_level string, geoid string, valid_date date, variable string, source string, value double, known_at timestamp, seq long"
+
+
+def test_streamed_reports_are_stored_once(spark, tmp_path):
+    """Several knowledge times in a batch, a report delivered twice, and a batch replayed before and after its entry in the ledger."""
+    table = ft.FactTable(spark, "streamed_facts", str(tmp_path / "facts"), 2).open()
+    parts = [[report(1.0, 1, 1), report(1.0, 2, 2), report(5.0, 1, 1, "22")], [report(1.0, 2, 2), report(2.0, 3, 3), report(3.0, 4, 4)], [report(3.0, 5, 5), report(None, 6, 6)]]
+    for rows in parts:
+        spark.createDataFrame(rows, REPORT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(REPORT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    write = jobs.store_batches(table, str(tmp_path / "ledger"))
+    q = jobs.fresh_reports(stream).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    want = bt.history_from_reports(spark.createDataFrame([r for rows in parts for r in rows], REPORT))
+    rows = lambda df: sorted(map(tuple, df.select(*bt.KEY, *ft.COLUMNS).collect()), key=repr)
+    assert rows(table.rows()) == rows(ft.intervals(want))
+    first = spark.createDataFrame(parts[0], REPORT)
+    write(first, 0)  # the ledger has it
+    write(first, 99)  # stored, but not entered
+    entries = {r.batch: json.loads(r.counters) for r in spark.read.parquet(str(tmp_path / "ledger")).collect()}
+    assert rows(table.rows()) == rows(ft.intervals(want)) and entries[99]["written"] == 0 and entries[0] == {"received": 3, "collapsed": 0, "written": 2, "revisions": 0, "unchanged": 1}
+
+
+def test_fact_table_against_bulk_history(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [("county", f"{rng.randrange(6):02d}", dt.date(2021 + rng.randrange(3), 1, 1 + rng.randrange(3)), rng.choice("xy"), "s", rng.choice([1.0, 2.0, None]), dt.datetime(2024, 1, 1 + k // 40), k) for k in range(400)]
+    history = bt.history_from_reports(spark.createDataFrame(rows, REPORT))
+    table = ft.FactTable(spark, "bulk_facts", str(tmp_path / "facts"), 3).open()
+    early, *later = [[r for r in rows if r[6].day in days] for days in ((1, 2, 3), (4, 5), (6,), (7, 8, 9, 10))]
+    table.create(bt.history_from_reports(spark.createDataFrame(early, REPORT)))
+    for part in later:
+        assert table.upsert(spark.createDataFrame(part, REPORT))["received"] == len(part)
+    got = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert got(table.rows().select(*bt.KEY, *ft.COLUMNS)) == got(ft.intervals(history).select(*bt.KEY, *ft.COLUMNS))
+    for day in (1, 5, 9):
+        at = dt.datetime(2024, 1, day)
+        assert got(table.as_of(at)) == got(bt.as_of(history, known_at=at).select(*bt.KEY, "value", "known_at", "revision"))
+    assert all(len(list((tmp_path / "facts").glob(f"year={y}/*.parquet"))) <= 3 for y in (2021, 2022, 2023))  # rewritten, not piled up
+    again = ft.FactTable(spark, "bulk_facts_again", str(tmp_path / "facts"), 3).open()
+    assert again.rows().count() == history.count()
+    for bad, why in ((("county", "00", dt.date(2021, 1, 1), "x", "s", 77.0, dt.datetime(2023, 1, 1), 1), "known before"), (("county", None, dt.date(2021, 1, 1), "x", "s", 7.0, dt.datetime(2024, 2, 1), 1), "null in a key"), (("county", "00", dt.date(2021, 1, 1), "x", "s", 7.0, dt.datetime(2999, 1, 1), 1), "future")):
+        with pytest.raises(Exception, match=why):
+            table.upsert(spark.createDataFrame([bad], REPORT))
+    assert table.rows().count() == history.count()
+
+
+def test_plans_of_the_fact_table(spark, tmp_path):
+    """An as-of is a pruned scan without a window; the stored side of an upsert's join is not shuffled."""
+    table = ft.FactTable(spark, "planned_facts", str(tmp_path / "facts"), 2).open()
+    table.create(bt.history_from_reports(spark.createDataFrame([report(1.0, 1, 1)], REPORT)))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    full = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    state = (lambda df: df._jdf.queryExecution().explainString(full))(table.as_of("2024-01-02", geoid=["04"], valid_from="2023-01-01"))
+    assert "Window" not in state and "Exchange" not in state and "PartitionFilters: [isnotnull(year" in state and "EqualTo(geoid,04)" in state
+    one = spark.createDataFrame([report(2.0, 3, 2)], REPORT).select(*bt.KEY, "value", "known_at")
+    new = stages.written(ft.news(table.rows(), one), "news")
+    merged = plan(table._merged(table.rows(), new))
+    assert merged.count("Exchange") == 1 and "planned_facts" in merged.split("Exchange")[0]  # the batch's alone
+
+
+def test_as_of_join_over_spans(spark):
+    rows = [("a", dt.datetime(2020, 1, 1), dt.datetime(2022, 6, 1), 1.0), ("a", dt.datetime(2022, 6, 1), None, 2.0), ("b", dt.datetime(2023, 1, 1), None, 3.0)]
+    facts = spark.createDataFrame(rows, "k string, known_at timestamp, superseded_at timestamp, value double")
+    points = spark.createDataFrame([("a", dt.datetime(y, 6, 1), y) for y in range(2019, 2026)] + [("b", dt.datetime(2022, 1, 1), 0), ("b", dt.datetime(2030, 1, 1), 1)], "k string, at timestamp, n int")
+    got = {(r.k, r.n): r.value for r in ft.as_of_join(points, facts, ["k"], "at", span_days=100).collect()}
+    assert got == {("a", 2020): 1.0, ("a", 2021): 1.0, ("a", 2022): 2.0, ("a", 2023): 2.0, ("a", 2024): 2.0, ("a", 2025): 2.0, ("b", 1): 3.0}
 
 
 def test_missing_units_and_source_version(spark):

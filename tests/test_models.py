@@ -226,14 +226,52 @@ def test_horizon_of_streamed_pairs(spark):
     assert jobs.forecast_pairs(p, o).count() == 1 and jobs.forecast_pairs(p, o, horizon="100 days").count() == 2
 
 
-def test_drift_batches(spark, tmp_path):
-    make = lambda m, bias, n: spark.createDataFrame([(m, "1", "risk", 10.0 + bias + (i % 3) / 10, 10.0, False, None, None, None, None) for i in range(n)], "model_name string, model_version string, quantity string, value double, obs double, censored boolean, censor_lo double, censor_hi double, value_lower double, value_upper double")
-    write = jobs.drift_batches(str(tmp_path / "pairs"), str(tmp_path / "runs"))
-    write(make("m", 5.0, 6), 0)
-    write(make("m", 5.0, 6), 1)
-    write(make("m", 5.0, 6), 1)  # a replay
-    runs = {r.batch: r for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
-    assert (runs[0].n_point, runs[0].drift) == (6, False) and (runs[1].n_point, runs[1].drift) == (12, True)
+def test_ordered_streaks_take_days_out_of_order(spark, tmp_path):
+    rng = np.random.RandomState(9)
+    rows = [(g, dt.date(2023, 6, 1) + dt.timedelta(i), None if rng.rand() < 0.1 else float(rng.rand() < 0.8)) for g in ("a", "b") for i in range(60) if rng.rand() < 0.9]
+    end = ("~", dt.date(2100, 1, 1), 1.0)  # lets the watermark pass the last days
+    parts = [[], [], [], [end]]
+    for r in rows:  # every third day comes up to four days late
+        parts[min(2, ((r[1] - dt.date(2023, 6, 1)).days + (4 if r[1].day % 3 == 0 else 0)) // 20)].append(r)
+    schema = "geoid string, valid_date date, hot double"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r.geoid, r.valid_date): r.hot_streak for r in queries.drained(spark, jobs.ordered_streaks(stream), jobs.ROCKSDB).collect()}
+    assert got == {(r.geoid, r.valid_date): r.hot_streak for r in pn.with_streak(spark.createDataFrame(rows, schema)).collect()}
+
+
+PAIR = "model_name string, model_version string, quantity string, value double, obs double, censored boolean, censor_lo double, censor_hi double, value_lower double, value_upper double"
+
+
+def test_drift_from_moments(spark, tmp_path):
+    make = lambda m, bias, n: spark.createDataFrame([(m, "1", "risk", 10.0 + bias + (i % 3) / 10, 10.0, False, None, None, None, None) for i in range(n)], PAIR)
+    write = jobs.drift_moments(str(tmp_path / "moments"), str(tmp_path / "runs"))
+    for k, df in enumerate([make("m", 5.0, 6), make("m", 5.0, 6), make("other", 0.0, 3), make("m", 5.0, 1)]):
+        write(df, k)
+    write(make("m", 5.0, 1), 3)  # a replay
+    runs = {(r.batch, r.model_name): r for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
+    assert set(runs) == {(0, "m"), (1, "m"), (2, "other"), (3, "m")}
+    assert [(runs[k, "m"].n_point, runs[k, "m"].drift) for k in (0, 1, 3)] == [(6, False), (12, True), (13, True)]
+    assert sorted(p.name for p in (tmp_path / "moments").glob("batch=*")) == ["batch=2", "batch=3"]
+
+
+def test_moments_merge_into_the_metrics(spark):
+    rng = np.random.RandomState(2)
+    rows = []
+    for i in range(300):
+        obs = None if rng.rand() < 0.05 else float(1e6 + rng.randn())  # large means, small spread
+        cens = bool(rng.rand() < 0.2)
+        rows.append(("m", str(i % 4), "q", None if rng.rand() < 0.05 else float(1e6 + rng.randn()), obs, cens, 1e6 - 1 if cens else None, 1e6 if cens else None, *((1e6 - 1, 1e6 + 1) if rng.rand() < 0.7 else (None, 1e6))))
+    rows += [("one", "0", "q", 1.0, 2.0, False, None, None, None, None), ("none", "0", "q", None, None, False, None, None, None, None)]
+    df = spark.createDataFrame(rows, PAIR).withColumn("part", F.pmod(F.xxhash64(*PAIR.replace(" string", "").replace(" double", "").replace(" boolean", "").split(", ")), F.lit(3)))
+    by = ("model_name", "model_version")
+    parts = [fc.moments(df.where(F.col("part") == k), by) for k in range(3)]
+    merged = fc.metrics_of(fc.merge_moments(parts[0].unionByName(parts[1]).unionByName(parts[2]), by), by)
+    got, want = ({r[:2]: r for r in map(tuple, x.collect())} for x in (merged, fc.metrics(df, by)))
+    assert got.keys() == want.keys() and merged.columns == fc.metrics(df, by).columns
+    for k in want:
+        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9)) for a, b in zip(got[k][2:], want[k][2:], strict=True)), (k, got[k], want[k])
 
 
 def brute_ap(y, s):

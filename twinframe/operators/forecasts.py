@@ -108,6 +108,64 @@ def metrics(found: DataFrame, by: tuple[str, ...] = ("model_name", "model_versio
     return out.select(*by, "n_point", "mae", "bias", F.when((F.col("n_point") >= 2) & (F.col("sd_") > 0), F.col("bias") / (F.col("sd_") / F.sqrt("n_point"))).alias("bias_t"), "rmse", "obs_mean", F.when(line, F.col("slope_")).alias("calib_slope"), F.when(line, F.col("intercept_")).alias("calib_intercept"), "poisson_deviance", "censored_hit_rate", "pi_coverage")
 
 
+#: of a group's pairs: sums and counts, which add up, least values, and a centred pair of columns (observed against predicted)
+SUMS = ("n_point", "n_error", "error", "n_resid", "square", "n_obs", "obs", "n_deviance", "deviance", "n_censored", "hit", "n_band", "inside")
+CENTRED = "struct<n:double,resid:double,resid2:double,p:double,p2:double,y:double,py:double>"
+
+
+def moments(found: DataFrame, by: tuple[str, ...] = ("model_name", "model_version", "quantity")) -> DataFrame:
+    """All that `metrics` needs of each group's pairs, in one row that `merge_moments` joins with those of other pairs."""
+    gap = F.greatest(F.coalesce(F.col("censor_lo") - F.col("value"), F.lit(0.0)), F.lit(0.0)) + F.greatest(F.coalesce(F.col("value") - F.col("censor_hi"), F.lit(0.0)), F.lit(0.0))
+    cens = F.coalesce(F.col("censored"), F.lit(False))
+    point = ~cens & F.col("obs").isNotNull()
+    p, y = F.when(point, F.col("value")), F.when(point, F.col("obs"))
+    r = p - y
+    both = r.isNotNull()
+    pb, yb = F.when(both, p), F.when(both, y)
+    error = F.when(cens, gap).otherwise(F.abs(F.col("value") - F.col("obs")))
+    term = F.when(y > 0, y * F.ln(F.when((y > 0) & (p > 0), y / p))).otherwise(0.0)
+    off = 2 * (term - (y - p))
+    hit = F.when(cens, (gap == 0).cast("double"))
+    inside = F.when(point & F.col("value_lower").isNotNull() & F.col("value_upper").isNotNull(), F.col("obs").between(F.col("value_lower"), F.col("value_upper")).cast("double"))
+    n = F.count(r)
+    centred = F.struct(n.cast("double").alias("n"), F.avg(r).alias("resid"), (F.var_pop(r) * n).alias("resid2"), F.avg(pb).alias("p"), (F.var_pop(pb) * n).alias("p2"), F.avg(yb).alias("y"), (F.covar_pop(yb, pb) * n).alias("py"))
+    add = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    return found.groupBy(*by).agg(
+        F.count_if(point).alias("n_point"), F.count(error).alias("n_error"), add(error).alias("error"), n.alias("n_resid"), add(r * r).alias("square"), F.count(y).alias("n_obs"), add(y).alias("obs"),
+        F.count(off).alias("n_deviance"), add(off).alias("deviance"), F.count(hit).alias("n_censored"), add(hit).alias("hit"), F.count(inside).alias("n_band"), add(inside).alias("inside"),
+        F.min(y).alias("least_obs"), F.min(p).alias("least_p"), centred.cast(CENTRED).alias("centred"))
+
+
+def merge_moments(rows: DataFrame, by: tuple[str, ...] = ("model_name", "model_version", "quantity")) -> DataFrame:
+    """Rows of `moments` -> one for each group. Centred sums are joined pair by pair, so that large means cost no digits; a group has
+    as many rows as were kept for it (two in a stream)."""
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "resid", "resid2", "p", "p2", "y", "py")]).cast(CENTRED)
+
+    def join(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        share, both = b["n"] / n, a["n"] * b["n"] / n
+        d = {c: b[c] - a[c] for c in ("resid", "p", "y")}
+        out = F.struct(n.alias("n"), (a["resid"] + d["resid"] * share).alias("resid"), (a["resid2"] + b["resid2"] + d["resid"] ** 2 * both).alias("resid2"), (a["p"] + d["p"] * share).alias("p"), (a["p2"] + b["p2"] + d["p"] ** 2 * both).alias("p2"), (a["y"] + d["y"] * share).alias("y"), (a["py"] + b["py"] + d["p"] * d["y"] * both).alias("py"))
+        return F.when(b["n"] > 0, out.cast(CENTRED)).otherwise(a)
+
+    out = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS], F.min("least_obs").alias("least_obs"), F.min("least_p").alias("least_p"), F.collect_list("centred").alias("c_"))
+    return out.withColumn("centred", F.aggregate("c_", start, join)).drop("c_")
+
+
+def metrics_of(m: DataFrame, by: tuple[str, ...] = ("model_name", "model_version", "quantity")) -> DataFrame:
+    """`metrics` from merged moments."""
+    ratio = lambda a, b: F.try_divide(F.col(a), F.nullif(F.col(b), F.lit(0)))
+    c, n = F.col("centred"), F.col("n_resid")
+    sd = F.sqrt(F.try_divide(c["resid2"], F.nullif(n - 1, F.lit(0))))
+    bias = F.when(n > 0, c["resid"])
+    line = (F.col("n_point") >= 3) & (c["p2"] > 0)
+    slope = F.try_divide(c["py"], F.nullif(c["p2"], F.lit(0.0)))
+    return m.select(
+        *by, "n_point", ratio("error", "n_error").alias("mae"), bias.alias("bias"), F.when((F.col("n_point") >= 2) & (sd > 0), bias / (sd / F.sqrt("n_point"))).alias("bias_t"), F.sqrt(ratio("square", "n_resid")).alias("rmse"),
+        ratio("obs", "n_obs").alias("obs_mean"), F.when(line, slope).alias("calib_slope"), F.when(line, c["y"] - slope * c["p"]).alias("calib_intercept"),
+        F.when((F.col("least_obs") >= 0) & (F.col("least_p") > 0), ratio("deviance", "n_deviance")).alias("poisson_deviance"), ratio("hit", "n_censored").alias("censored_hit_rate"), ratio("inside", "n_band").alias("pi_coverage"))
+
+
 def reference_mae(runs: DataFrame, by: tuple[str, ...], k: int = 3) -> DataFrame:
     """Median MAE of each group's last k runs."""
     last = Window.partitionBy(*by).orderBy(F.col("ran_at").desc())

@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from twinframe import fixtures as fx
 from twinframe.functions.scalars import heat_index_c, heat_index_sql, stable_id
-from twinframe.functions.stages import written
+from twinframe.functions.stages import new_path, written
 from twinframe.operators import bitemporal as bt
 from twinframe.operators import explain as ex
+from twinframe.operators import facttable as ft
 from twinframe.operators import forecasts as fc
 from twinframe.operators import models as md
 from twinframe.operators import panel as pn
 from twinframe.operators import reports as rp
 from twinframe.operators import scenarios as sc
 from twinframe.operators import stats as st
+from twinframe.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -659,3 +661,96 @@ def shapley_importance(spark, d):
     odds = F.col("score_a") / 100000 - F.col("score_b") / 1000 + F.col("score_a") * F.col("score_b") / 1e8
     score = lambda df: df.withColumn("p", 1 / (1 + F.exp(-odds)))
     return ex.global_importance(ex.permutation_shapley(score, x, x, ["score_a", "score_b"], "id"))
+
+
+def fact_table(spark, d):
+    """The reports' facts in a stored table: what was known by the middle of the time in bulk, the rest by two upserts."""
+    reports, path = fx.view(spark, d, fx.REPORTS), new_path(spark, "facts")
+    table = ft.FactTable(spark, "facts_" + path[-12:], path, 8).open()
+    border = [F.lit(x).cast("timestamp") for x in ("1995-06-01", "1997-01-01")]
+    table.create(bt.history_from_reports(reports.where(F.col("known_at") <= border[0])))
+    table.upsert(reports.where((F.col("known_at") > border[0]) & (F.col("known_at") <= border[1])))
+    table.upsert(reports.where(F.col("known_at") > border[1]))
+    return table
+
+
+@query(ORACLES["facts_as_of"])
+def facts_table_as_of(spark, d):
+    return fact_table(spark, d).as_of(T).select(*bt.KEY, "value", "revision")
+
+
+@query(f"WITH {FACTS} SELECT {KEY}, value, strftime(known_at, '%Y-%m-%d') AS known_at, strftime(lead(known_at) OVER (PARTITION BY {KEY} ORDER BY revision), '%Y-%m-%d') AS superseded_at, revision FROM facts")
+def facts_intervals(spark, d):
+    return fact_table(spark, d).rows().select(*bt.KEY, "value", day().alias("known_at"), day("superseded_at").alias("superseded_at"), "revision")
+
+
+@query(f"""WITH {FACTS}, p AS (SELECT o_orderkey AS id, concat('0', (o_custkey % 5)::VARCHAR) AS geoid, o_orderdate::DATE AS valid_date, o_orderdate::TIMESTAMP + INTERVAL 4 DAY AS at FROM orders)
+SELECT p.id, f.geoid, f.valid_date, f.variable, f.value, f.revision FROM p JOIN facts f ON f.geoid = p.geoid AND f.valid_date = p.valid_date AND f.known_at <= p.at
+QUALIFY row_number() OVER (PARTITION BY p.id, f.geoid, f.valid_date, f.variable, f.source ORDER BY f.revision DESC) = 1""")
+def facts_as_of_each(spark, d):
+    """What each order's unit and day were known to be four days after the order."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    points = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("0"), (F.col("o_custkey") % 5).cast("string")).alias("geoid"), F.col("o_orderdate").cast("date").alias("valid_date"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 4 DAYS")).alias("at"))
+    rows = ft.intervals(facts(spark, d))
+    return ft.as_of_join(points, rows, ["geoid", "valid_date"], "at").select("id", "geoid", "valid_date", "variable", "value", "revision")
+
+
+def micro_batches(spark, df, part, parts):
+    """A stream over df whose micro-batches are the rows of each value of `part`, in order."""
+    path = new_path(spark, "stream")
+    df = written(df.withColumn("part_", part), "stream_rows")
+    for k in range(parts):
+        df.where(F.col("part_") == k).drop("part_").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.drop("part_").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(spark, stream, conf=None):
+    """All rows that a stream gives for what there is now."""
+    out, before = new_path(spark, "drained"), {k: spark.conf.get(k) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query(f"WITH {HOT} SELECT geoid, valid_date, hot_streak FROM s")
+def stream_hot_streak(spark, d):
+    """Days in three micro-batches, every fourth up to five days late; a last one lets the watermark pass them all."""
+    days = hot_days(spark, d).select("geoid", "valid_date", "hot")
+    end = spark.range(1).select(F.lit("~").alias("geoid"), F.lit("2200-01-01").cast("date").alias("valid_date"), F.lit(1.0).alias("hot"))
+    turn = F.unix_date("valid_date") + F.when(F.dayofmonth("valid_date") % 4 == 0, 5).otherwise(0)
+    border = [F.unix_date(F.lit(x).cast("date")) for x in ("1994-06-01", "1996-06-01")]
+    part = F.when(F.col("geoid") == "~", 3).when(turn > border[1], 2).when(turn > border[0], 1).otherwise(0)
+    return drained(spark, jobs.ordered_streaks(micro_batches(spark, days.unionByName(end), part, 4)), jobs.ROCKSDB)
+
+
+@query(ORACLES["facts_as_of"])
+def stream_facts(spark, d):
+    """The reports as a stream of three micro-batches, a tenth of them delivered twice, into a fact table."""
+    reports = fx.view(spark, d, fx.REPORTS)
+    twice = reports.unionByName(reports.where(F.col("seq") % 10 == 0))
+    part = F.when(F.col("known_at") > F.lit("1997-01-01").cast("timestamp"), 2).when(F.col("known_at") > F.lit("1995-01-01").cast("timestamp"), 1).otherwise(0)
+    path = new_path(spark, "facts")
+    table = ft.FactTable(spark, "streamed_" + path[-12:], path, 8).open()
+    stream = jobs.fresh_reports(micro_batches(spark, twice, part, 3), "3650 days")
+    q = stream.writeStream.foreachBatch(jobs.store_batches(table, new_path(spark, "ledger"))).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return table.as_of(T).select(*bt.KEY, "value", "revision")
+
+
+@query(ORACLES["calibration_metrics"])
+def stream_metrics(spark, d):
+    """The metrics over all pairs, from moments that three micro-batches of pairs left."""
+    pairs = fc.keep_latest(found_pairs(spark, d))
+    stream = micro_batches(spark, pairs, F.pmod(F.xxhash64("prediction_id"), F.lit(3)), 3)
+    path, by = new_path(spark, "moments"), ("model_version",)
+    q = stream.writeStream.foreachBatch(jobs.drift_moments(path, new_path(spark, "runs"), by)).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = spark.read.parquet(path)
+    whole = fc.metrics_of(last.where(F.col("batch") == last.agg(F.max("batch")).first()[0]), by)
+    return rounded(whole.select("model_version", "n_point", *METRICS), *METRICS, to=4)

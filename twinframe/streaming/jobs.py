@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from twinframe.functions.stages import exists, remove
 from twinframe.operators import bitemporal, forecasts
+from twinframe.operators.facttable import FactTable
+
+#: the state store that timers and several states a key need
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+DAY_MS = 86_400_000
 
 
 def daily_metrics(stream: DataFrame, lateness: str = "2 days", step_hours: float = 0.25) -> DataFrame:
@@ -40,19 +49,21 @@ def forecast_pairs(predictions: DataFrame, observations: DataFrame, delay: str =
     return p.join(o, on & later).select("p.*", F.col("o.value").alias("obs"), F.col("o.known_at").alias("known_at"))
 
 
-def upsert_batches(path: str):
-    """A foreachBatch function: appends each micro-batch's new revisions to the fact table at path, in one folder a batch. Of the
-    table only the levels, variables and range of days that the batch touches are read (filters of the scan)."""
+def fresh_reports(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
+    """Reports without those delivered again within `lateness` of their knowledge time; the state of older ones is dropped."""
+    return stream.withWatermark("known_at", lateness).dropDuplicatesWithinWatermark([*bitemporal.KEY, "known_at", "seq"])
+
+
+def store_batches(table: FactTable, ledger: str):
+    """A foreachBatch function: stores each micro-batch's reports in the fact table, each report with its own knowledge time, and
+    enters the batch with its counters in a ledger of one row a batch. A batch that the ledger holds is not stored again; one that
+    was stored but not entered changes nothing the second time."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        facts = spark.read.schema(bitemporal.FACT + ", batch long").parquet(path).where(F.col("batch") != batch_id)  # a replay sees the table as it was
-        rows = bitemporal.collapse(batch)
-        of = rows.agg(F.max("known_at").alias("known"), F.min("valid_date").alias("lo"), F.max("valid_date").alias("hi"), F.collect_set("geo_level").alias("levels"), F.collect_set("variable").alias("variables")).first()
-        if of.known is not None:
-            facts = facts.where(F.col("valid_date").between(of.lo, of.hi) & F.col("geo_level").isin(of.levels) & F.col("variable").isin(of.variables))
-            fresh = bitemporal.new_revisions(facts.drop("batch"), rows, of.known)
-            fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark, entry = batch.sparkSession, f"{ledger}/batch={batch_id}"
+        if not exists(spark, f"{entry}/_SUCCESS"):
+            counters = dataclasses.replace(table, spark=spark).upsert(batch)
+            spark.createDataFrame([(json.dumps(counters),)], "counters string").coalesce(1).write.mode("overwrite").parquet(entry)
 
     return write
 
@@ -83,16 +94,83 @@ def streaks(stream: DataFrame) -> DataFrame:
     return days.groupBy("geoid").applyInPandasWithState(_extend, "geoid string, valid_date date, hot_streak double", "last long, length long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drift_batches(path: str, out: str, by: tuple[str, ...] = ("model_name", "model_version", "quantity")):
-    """A foreachBatch function over prediction-observation pairs: keeps a batch's pairs at path and writes the metrics and drift
-    flags over all pairs so far at out, one folder a batch. A replay overwrites its own folders."""
+class DayStreaks(StatefulProcessor):
+    """A unit's days wait until the watermark has passed them, and are then counted in order.
+
+    State: the last counted day with its streak, and the waiting days with their flags. Days that the watermark has passed go out with
+    the unit's next rows, or when the timer of its last waiting day expires (one timer for each micro-batch of a unit).
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "day long, length long")
+        self.waiting = handle.getMapState("waiting", "day long", "hot double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for part in rows:
+            for day, hot in zip(part.valid_date, part.hot, strict=True):
+                number = (day - dt.date(1970, 1, 1)).days
+                latest = number if latest is None else max(latest, number)
+                self.waiting.updateValue((number,), (None if pd.isna(hot) else float(hot),))
+        if latest is not None:
+            self.handle.registerTimer(latest * DAY_MS)
+        yield self._counted(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._counted(key, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _counted(self, key, upto: int) -> pd.DataFrame:
+        last, length = self.last.get() if self.last.exists() else (None, 0)
+        ready = sorted(((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] * DAY_MS <= upto), key=lambda x: x[0])
+        out = []
+        for day, hot in ready:
+            self.waiting.removeKey((day,))
+            length = 0 if hot != 1 else length + 1 if last is not None and day == last + 1 else 1
+            last = day
+            out.append((key[0], dt.date(1970, 1, 1) + dt.timedelta(day), float(length)))
+        if ready:
+            self.last.update((last, length))
+        return pd.DataFrame(out, columns=["geoid", "valid_date", "hot_streak"])
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_streaks(stream: DataFrame, lateness: str = "7 days") -> DataFrame:
+    """Days (geoid, valid_date, hot), in any order within `lateness` -> the run of hot days up to each.
+
+    A day is given out after the watermark has passed it; a day later than that is dropped, as by any watermark. Of a day that is
+    delivered twice the last stays. Needs the state store of ROCKSDB.
+    """
+    days = stream.select("geoid", "valid_date", F.col("hot").cast("double").alias("hot"), F.col("valid_date").cast("timestamp").alias("at")).where("geoid is not null and valid_date is not null")
+    return days.withWatermark("at", lateness).groupBy("geoid").transformWithStateInPandas(DayStreaks(), "geoid string, valid_date date, hot_streak double", "Append", "EventTime")
+
+
+def _last_before(spark: SparkSession, path: str, batch_id: int) -> int | None:
+    """The latest batch stored under path before this one."""
+    return next((k for k in range(batch_id - 1, -1, -1) if exists(spark, f"{path}/batch={k}/_SUCCESS")), None)
+
+
+def drift_moments(path: str, out: str, by: tuple[str, ...] = ("model_name", "model_version", "quantity")):
+    """A foreachBatch function over prediction-observation pairs: keeps each group's moments (a row a group, one folder a batch,
+    the last two of them) and writes the metrics and drift flags over all pairs so far of the groups that the batch touches. No
+    stored pair is read again, and a replay starts from the batch before."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        touched = batch.select(*by).distinct()
-        pairs = spark.read.schema(batch.schema).option("basePath", path).parquet(f"{path}/batch=*")
-        measured = forecasts.drift(forecasts.metrics(pairs.join(touched, list(by), "left_semi"), by))
+        own = forecasts.moments(batch, by).withColumn("touched", F.lit(True))
+        before = _last_before(spark, path, batch_id)
+        rows = own
+        if before is not None:
+            rows = own.unionByName(spark.read.schema(own.schema).parquet(f"{path}/batch={before}").withColumn("touched", F.lit(False)))
+        touched = rows.groupBy(*by).agg(F.max("touched").alias("touched"))
+        merged = forecasts.merge_moments(rows, by).join(touched, list(by))
+        merged.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        stored = spark.read.parquet(f"{path}/batch={batch_id}").where("touched")
+        measured = forecasts.drift(forecasts.metrics_of(stored, by))
         measured.withColumn("ran_at", F.lit(dt.datetime.now(dt.UTC))).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if before is not None and (old := _last_before(spark, path, before)) is not None:
+            remove(spark, f"{path}/batch={old}")
 
     return write
