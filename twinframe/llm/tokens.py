@@ -38,7 +38,7 @@ _KIND[[9, 10, 11, 12, 13, 32]], _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND
 class Encoder:
     """Encodes blocks of texts; words seen before are kept in a table of bounded size, and in the table before it."""
 
-    KEEP = 300_000
+    KEEP = 150_000
     #: stands between words that are encoded in one call; words that hold it are encoded alone
     MARK = "\x01"
 
