@@ -25,6 +25,12 @@ def population_weighted(child: DataFrame, weights: DataFrame, min_coverage: floa
     return out.where(F.col("coverage") >= min_coverage - 1e-12)
 
 
+def with_parents(child: DataFrame, weights: DataFrame, level: str, parent_level: str, min_coverage: float = 0.0) -> DataFrame:
+    """Facts of units (geoid, valid_date, variable, value) and the weighted means of their parents in one table, told apart by geo_level."""
+    up = population_weighted(child, weights, min_coverage).select(F.lit(parent_level).alias("geo_level"), F.col("parent").alias("geoid"), "valid_date", "variable", "value")
+    return child.select(F.lit(level).alias("geo_level"), "geoid", "valid_date", "variable", "value").unionByName(up)
+
+
 def state_exposure(facts: DataFrame, weights: DataFrame, variables: list[str], start, end, known_at=None, source: str = "gridmet") -> DataFrame:
     """(geoid, valid_date, variables..., pop_coverage): parents' exposures from their children's facts as known at a time.
 
