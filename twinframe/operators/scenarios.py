@@ -189,36 +189,68 @@ PLACES = {"arizona": "04", "az": "04", "phoenix": "04", "maricopa": "04", "louis
 
 #: fixed values: codes that count when they stand alone in a request
 CODES = ("04", "22", "12", "48", "06", "36", "01", "08", "53")
-_DIGITS = r"(\d+(?:\.\d+)?)"
+#: fixed values: words of a request. Units stand behind a number, cues before it, fillers between a cue and its number
+DAYS, DEGREES, PERCENT, HOURS = ("días", "dias", "day"), ("°c", "c", "grados", "deg"), ("%",), ("hora", "hr", "hour")
+BLACKOUT_CUES, COOLING_CUES, PERCENTILE_CUES = ("apagón", "apagon"), ("enfriamiento", "cooling", "centro"), ("p", "percentil")
+BLACKOUT_FILLERS, COOLING_FILLERS = ("de", "por"), ("de", "del")
+#: fixed values: words that name an event
+EVENTS = {"heat": ("ola de calor", "calor extremo", "heatwave"), "blackout": ("apagón", "apagon", "corte de luz", "blackout"), "cooling": ("enfriamiento", "cooling center")}
+
+
+def tokens(text: Column) -> Column:
+    """A request's numbers, words (with a degree sign before them) and other signs, in order."""
+    return F.regexp_extract_all(text, F.lit(r"[+-]?\d+(?:\.\d+)?|°?\p{L}+|\S"), F.lit(0))
 
 
 @dataclass(frozen=True)
 class Slot:
-    """A number in a request: the word before it, its unit, and what it is divided by."""
+    """A number told by its neighbours: the word behind it begins with a unit, the word before it (or before a filler) ends with a cue.
 
-    unit: str = ""
-    before: str = ""
-    number: str = _DIGITS
+    kind: signed and decimal numbers as they stand (decimal without a sign), whole: the digits next to the unit, pair: the first two
+    digits.
+    """
+
+    units: tuple[str, ...] = ()
+    cues: tuple[str, ...] = ()
+    fillers: tuple[str, ...] = ()
+    kind: str = "decimal"
     scale: float = 1.0
 
-    def read(self, text: Column) -> Column:
-        lead = rf"(?:{self.before})\s*" if self.before else ""
-        tail = rf"\s*(?:{self.unit})" if self.unit else ""
-        return F.nullif(F.regexp_extract(text, lead + self.number + tail, 1), F.lit("")).try_cast("double") / self.scale
+    def read(self, found: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(found, i), F.lit(""))
+        begins = lambda word: reduce(Column.__or__, [F.startswith(word, F.lit(u)) for u in self.units])
+        ends = lambda word: reduce(Column.__or__, [F.endswith(word, F.lit(c)) for c in self.cues])
+
+        def fits(i: Column) -> Column:
+            ok = at(i).rlike(r"^[+-]?\d\d") if self.kind == "pair" else at(i).rlike(r"^[+-]?\d")
+            if self.units:
+                ok = ok & begins(at(i + 1))
+            if self.cues:
+                near = ends(at(i - 1))
+                ok = ok & (near | (at(i - 1).isin(*self.fillers) & ends(at(i - 2))) if self.fillers else near)
+            return ok
+
+        # places from 0; an empty request has the place 0, where nothing stands
+        first = F.get(F.filter(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))), fits), F.lit(0))
+        number = F.get(found, first)
+        if self.kind != "signed":
+            number = F.ltrim(number, F.lit("+-"))
+        if self.kind == "whole":
+            number = F.element_at(F.split(number, r"\."), -1)
+        if self.kind == "pair":
+            number = F.substring(number, 1, 2)
+        return number.try_cast("double") / self.scale
 
 
-#: fixed values: the words that a request's numbers stand beside
 SLOTS = {
-    "heatwave_days": Slot("d[ií]as|days?", number=r"(\d+)"),
-    "heatwave_delta_c": Slot("°c|c|grados|deg", number=r"([+-]?\d+(?:\.\d+)?)"),
-    "heatwave_percentile": Slot(before="p|percentil", number=r"(\d{2})"),
-    "blackout_frac": Slot("%", scale=100.0),
-    "blackout_hours": Slot("horas?|hrs?|hours?"),
-    "blackout_days": Slot("d[ií]as", r"apag[oó]n|apag[oó]n\s*(?:de|por)", r"(\d+)"),
-    "cooling_epsilon": Slot("%", r"(?:enfriamiento|cooling|centro)|(?:enfriamiento|cooling|centro)\s*del?", scale=100.0),
+    "heatwave_days": Slot(DAYS, kind="whole"),
+    "heatwave_delta_c": Slot(DEGREES, kind="signed"),
+    "heatwave_percentile": Slot(cues=PERCENTILE_CUES, kind="pair"),
+    "blackout_frac": Slot(PERCENT, scale=100.0),
+    "blackout_hours": Slot(HOURS),
+    "blackout_days": Slot(DAYS, BLACKOUT_CUES, BLACKOUT_FILLERS, kind="whole"),
+    "cooling_epsilon": Slot(PERCENT, COOLING_CUES, COOLING_FILLERS, scale=100.0),
 }
-#: fixed values: words that name an event
-EVENTS = {"heat": "ola de calor|calor extremo|heatwave", "blackout": "apag[oó]n|corte de luz|blackout", "cooling": "enfriamiento|cooling center"}
 
 
 def extract_params(df: DataFrame, text: str, valid_from: str | None = None, valid_to: str | None = None, geo_level: str = "state") -> DataFrame:
@@ -230,7 +262,7 @@ def extract_params(df: DataFrame, text: str, valid_from: str | None = None, vali
     named = F.array(*[F.when(q.rlike(rf"\b{n}\b"), F.lit(i)) for n, i in PLACES.items()])
     coded = F.filter(F.regexp_extract_all(q, F.lit(r"\b(\d{2})\b"), 1), lambda c: c.isin(*CODES))
     places = F.array_distinct(F.concat(F.array_compact(named), coded))
-    said = df.withColumns({"geoids": F.when(F.size(places) > 0, places).otherwise(F.array(F.lit(next(iter(PLACES.values()))))), **{name: slot.read(q) for name, slot in SLOTS.items()}, **{f"{e}_": q.rlike(words) for e, words in EVENTS.items()}})
+    said = df.withColumns({"geoids": F.when(F.size(places) > 0, places).otherwise(F.array(F.lit(next(iter(PLACES.values()))))), **{name: slot.read(tokens(q)) for name, slot in SLOTS.items()}, **{f"{e}_": reduce(Column.__or__, [F.contains(q, F.lit(w)) for w in words]) for e, words in EVENTS.items()}})
 
     def or_implied(col: str, *implied: tuple[Column, float]) -> Column:
         return F.coalesce(col, *[F.when(condition, value) for condition, value in implied])

@@ -517,10 +517,25 @@ def scenario_risk(spark, d):
     return rounded(sc.risk_summary(x, chain().apply(x)).select("base_tmax_mean", "new_tmax_mean", "new_tmax_max", "relative_risk", "compound_flag"), "base_tmax_mean", "new_tmax_mean", "new_tmax_max")
 
 
-@query("""SELECT conv_id, turn, coalesce(try_cast(nullif(regexp_extract(lower(text), '(\\d+)\\s*(?:d[ií]as|days?)', 1), '') AS INT), CASE WHEN regexp_matches(lower(text), 'ola de calor|calor extremo|heatwave') THEN 5 END, 0) AS heatwave_days,
-coalesce(try_cast(nullif(regexp_extract(lower(text), '(\\d+(?:\\.\\d+)?)\\s*%', 1), '') AS DOUBLE) / 100, CASE WHEN regexp_matches(lower(text), 'apag[oó]n|corte de luz|blackout') THEN 0.2::DOUBLE END, 0::DOUBLE) AS blackout_frac FROM conversations""")
+#: requests written from orders; what each asks for is known from the order alone
+_ASKED = """SELECT o_orderkey AS id, o_orderkey % 4 AS kind, o_custkey % 8 + 2 AS days, o_custkey % 5 + 1 AS degrees, o_custkey % 6 + 90 AS pct, CASE WHEN o_custkey % 2 = 0 THEN 20 ELSE 35 END AS share,
+CASE WHEN o_custkey % 3 = 0 THEN 10 ELSE 14 END AS hours FROM orders"""
+
+
+@query(f"""WITH a AS ({_ASKED}) SELECT id, CASE kind WHEN 1 THEN '48' WHEN 2 THEN '06' ELSE '04' END AS geoids, 'state' AS geo_level, '2023-06-01' AS valid_from, '2023-08-31' AS valid_to,
+CASE kind WHEN 0 THEN days WHEN 1 THEN days ELSE 0 END::INT AS heatwave_days, CASE kind WHEN 0 THEN degrees::DOUBLE + 0.5::DOUBLE END AS heatwave_delta_c, CASE kind WHEN 1 THEN pct::DOUBLE END AS heatwave_percentile,
+CASE kind WHEN 1 THEN share / 100.0::DOUBLE WHEN 2 THEN share / 100.0::DOUBLE ELSE 0::DOUBLE END AS blackout_frac, CASE kind WHEN 1 THEN hours::DOUBLE WHEN 2 THEN 12::DOUBLE ELSE 0::DOUBLE END AS blackout_hours, CASE kind WHEN 1 THEN days ELSE 1 END::INT AS blackout_days,
+CASE kind WHEN 2 THEN share / 100.0::DOUBLE ELSE 0::DOUBLE END AS cooling_epsilon FROM a""")
 def scenario_requests(spark, d):
-    return sc.extract_params(spark.read.parquet(f"{d}/conversations.parquet"), "text").select("conv_id", "turn", "heatwave_days", "blackout_frac")
+    """All parameters of requests of four kinds."""
+    a = spark.sql(_ASKED.replace("FROM orders", f"FROM parquet.`{d}/orders.parquet`"))
+    n = {c: F.col(c).cast("string") for c in ("days", "degrees", "pct", "share", "hours")}
+    text = F.when(F.col("kind") == 0, F.concat(F.lit("Ola de calor de "), n["days"], F.lit(" días en Arizona con +"), n["degrees"], F.lit(".5°C")))
+    text = text.when(F.col("kind") == 1, F.concat(F.lit("Heatwave p"), n["pct"], F.lit(", "), n["share"], F.lit("% sin luz "), n["hours"], F.lit(" horas; apagón de "), n["days"], F.lit(" días en Texas")))
+    text = text.when(F.col("kind") == 2, F.concat(F.lit("centro de enfriamiento del "), n["share"], F.lit(" % en California"))).otherwise(F.lit("nada"))
+    got = sc.extract_params(a.select("id", text.alias("text")), "text", "2023-06-01", "2023-08-31")
+    names = ("heatwave_days", "heatwave_delta_c", "heatwave_percentile", "blackout_frac", "blackout_hours", "blackout_days", "cooling_epsilon")
+    return got.select("id", F.array_join("geoids", ",").alias("geoids"), "geo_level", *[day(c).alias(c) for c in ("valid_from", "valid_to")], *names)
 
 
 @query(f"WITH x AS ({fx.DAILY}) SELECT year(valid_date)::INT AS year, count(*) AS n, round(min(tmmx), 6) AS low, round(max(tmmx), 6) AS high, round(median(tmmx::DOUBLE), 6) AS middle, round(max(tmmx) / min(tmmx), 6) AS ratio FROM x GROUP BY 1")
