@@ -154,8 +154,21 @@ def test_attributions_add_up(spark):
     assert top.count() == 60 and all(len(r.top) == 1 for r in top.collect())
     drop = {r.feature: r.auc_drop for r in ex.permutation_importance(lambda df: md.score(model, df), x, ["a", "b"], "id", 2).collect()}
     assert drop["a"] > 0.2 > abs(drop["b"])
-    moved = ex.shuffled(x, "a", "id", 1, 60)
-    assert sorted(r.a for r in moved.collect()) == sorted(r.a for r in x.collect()) and moved.exceptAll(x).count() > 40
+    for blocks in (1, 4):
+        moved = ex.permuted(x, ["a", "b"], "id", 2, 1, blocks)
+        for feature, other in (("a", "b"), ("b", "a")):
+            for rep in (0, 1):
+                part = {r.id: r for r in moved.where((F.col("feature") == feature) & (F.col("rep") == rep)).collect()}
+                assert sorted(r[feature] for r in part.values()) == sorted(r[feature] for r in x.collect())
+                assert all(part[r.id][other] == r[other] for r in x.collect()) and sum(part[r.id][feature] != r[feature] for r in x.collect()) >= 50
+        assert moved.where("feature = ''").select(*x.columns).exceptAll(x).count() == 0
+
+
+def test_permutation_importance_scans_once(spark, tmp_path):
+    x = panel(spark, 60)
+    x.write.parquet(str(tmp_path / "x"))
+    plan = ex.permuted(spark.read.parquet(str(tmp_path / "x")), [c for c in "ab" for _ in range(7)], "id", 5, 0, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
 
 
 def test_circular_permutation_and_interval(spark):
@@ -292,6 +305,58 @@ def test_ranked_metrics_over_resampled_blocks(spark):
     assert one.lo == one.hi and abs(one.lo - want) < 1e-12 and one.replicates < 30  # any weight of a single block is that block
 
 
+def test_bootstrap_replicates_against_brute_force(spark, monkeypatch):
+    """Every replicate equals its metric over rows weighed by their block's draws, in one range of scores or in many."""
+    from twinframe.operators import resampling as rs
+
+    rng = np.random.RandomState(7)
+    rows = [(f"b{rng.randint(9)}" if i % 11 else None, int(y := rng.rand() < 0.4), None if i % 17 == 0 else float(np.round(np.clip(0.5 * y + 0.6 * rng.rand(), 0, 1), 1))) for i in range(500)]
+    df = spark.createDataFrame(rows, "block string, y int, p double")
+    keys = {r.block: r.k for r in df.select("block", F.xxhash64("block").alias("k")).distinct().collect()}
+    used = [r for r in rows if r[2] is not None]
+    y, p = np.array([r[1] for r in used]), np.array([r[2] for r in used])
+    n = 40
+    draws = {b: rs.replicate_weights(k, n, 42) for b, k in keys.items()}
+    w = np.array([draws[r[0]] for r in used])
+
+    def brute(metric, w):
+        pos, neg = w * y, w * (1 - y)
+        if metric == "brier":
+            return (w * (p - y) ** 2).sum() / w.sum()
+        if metric == "auc":
+            won = sum(pos[i] * (neg[p < p[i]].sum() + neg[p == p[i]].sum() / 2) for i in range(len(y)))
+            return won / (pos.sum() * neg.sum())
+        return sum(pos[i] * pos[p >= p[i]].sum() / w[p >= p[i]].sum() for i in range(len(y)) if pos[i]) / pos.sum()
+
+    for rows_a_range in (10**6, 7):
+        monkeypatch.setattr(rs, "RANGE_ROWS", rows_a_range)
+        for metric in ("brier", "auc", "average_precision"):
+            got = rs.replicates(df, "p", "y", "block", n, 42, metric)
+            assert np.allclose(got, [brute(metric, w[:, k]) for k in range(n)], atol=1e-12), metric
+    r = rs.block_bootstrap(df, "p", "y", "block", n, metric="auc").first()
+    want = [brute("auc", w[:, k]) for k in range(n)]
+    assert math.isclose(r.lo, np.quantile(want, 0.025)) and math.isclose(r.hi, np.quantile(want, 0.975)) and r.replicates == n
+    assert rs.block_bootstrap(df.where("p > 2"), "p", "y", "block", 5, metric="auc").first().replicates == 0
+    with pytest.raises(ValueError, match="metric"):
+        rs.block_bootstrap(df, "p", "y", "block", 5, metric="f1")
+
+
+def test_a_users_metric(spark):
+    """A metric given as a vector of sums equals its built-in twin by fold, and can be resampled."""
+    from twinframe.operators import resampling as rs
+
+    x = panel(spark, 300).withColumn("p", F.least(F.greatest(F.col("a") / 4 + 0.5, F.lit(0.0)), F.lit(1.0))).withColumn("p", F.when(F.col("id") % 9 > 0, F.col("p"))).withColumn("year", F.when(F.col("id") % 7 > 0, F.col("year")))
+    built = {(r.year, r.geoid): r.brier for r in st.brier(x.where("p is not null"), "p", by=("year", "geoid")).collect()}
+    got = {(r.year, r.geoid): r.value for r in rs.metric_by(x.repartition(5), "p", "y", rs.BRIER, ["year", "geoid"]).collect()}
+    assert got.keys() == built.keys() and all(math.isclose(got[k], built[k], abs_tol=1e-12) for k in built)
+    hits = rs.Metric(lambda y, p: np.array([((p > 0.5) & (y == 1)).sum(), (p > 0.5).sum()]), lambda s: s[0] / s[1] if s[1] else float("nan"))
+    whole = x.where("p > 0.5").agg(F.avg("y")).first()[0]
+    assert math.isclose(rs.metric_by(x, "p", "y", hits).first().value, whole)
+    assert rs.metric_by(x.where("p < 0.2"), "p", "y", hits).first().value is None and rs.metric_by(x.where("p is null"), "p", "y", hits).count() == 0
+    r = rs.block_bootstrap(x, "p", "y", "geoid", 60, metric=hits).first()
+    assert r.lo < whole < r.hi and 55 <= r.replicates <= 60  # a replicate may leave all blocks out
+
+
 def test_brier_under_circular_shifts(spark):
     rng = np.random.RandomState(6)
     rows = [(f"g{i % 4}", i // 4, int(y := rng.rand() < 0.3), float(0.6 * y + 0.4 * rng.rand())) for i in range(200)]

@@ -67,26 +67,28 @@ def global_importance(attributions: DataFrame) -> DataFrame:
     return attributions.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
 
 
-def shuffled(df: DataFrame, col: str, id_col: str, seed: int, rows: int) -> DataFrame:
-    """df with the values of one column dealt anew among the rows of seeded random blocks of about BLOCK rows."""
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(rows // BLOCK + 1))
-
-    def place(salt: int) -> Column:
-        return F.row_number().over(Window.partitionBy("block_").orderBy(F.xxhash64(F.lit(salt), F.col(id_col)), id_col))
-
-    dealt = df.withColumn("block_", block)
-    left = dealt.withColumn("n_", place(seed + 1)).drop(col)
-    return left.join(dealt.select("block_", place(seed + 2).alias("n_"), col), ["block_", "n_"]).select(*df.columns)
+def permuted(df: DataFrame, features: Sequence[str], id_col: str, repeats: int, seed: int, blocks: int) -> DataFrame:
+    """df once as it is (feature ''), and once for each feature and repeat with that feature's values moved on along a random order of
+    the rows of each random block: all from one scan, each copy of a row by one window."""
+    each = [F.struct(F.lit("").alias("feature"), F.lit(0).alias("rep"))] + [F.struct(F.lit(c).alias("feature"), F.lit(r).alias("rep")) for c in features for r in range(repeats)]
+    rows = df.withColumn("k_", F.explode(F.array(*each)))
+    salt = lambda n: F.xxhash64(F.lit(seed + n), F.col("k_.feature"), F.col("k_.rep"), F.col(id_col))
+    rows = rows.select("*", F.pmod(salt(0), F.lit(blocks)).alias("block_"), salt(1).alias("place_"))
+    own = F.lit(None).cast("double")
+    for c in features:
+        own = F.when(F.col("k_.feature") == c, F.col(c).cast("double")).otherwise(own)
+    around = Window.partitionBy("k_", "block_").orderBy("place_", id_col)
+    first = F.first("own_").over(around.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.lead(F.lit(1)).over(around).isNull()
+    moved = rows.withColumn("own_", own).withColumn("next_", F.when(last, first).otherwise(F.lead("own_").over(around)))
+    named = {c: F.when(F.col("k_.feature") == c, F.col("next_")).otherwise(F.col(c)) for c in features}
+    return moved.withColumns(named).withColumns({"feature": F.col("k_.feature"), "rep": F.col("k_.rep")}).drop("k_", "block_", "place_", "own_", "next_")
 
 
 def permutation_importance(score: Callable[[DataFrame], DataFrame], df: DataFrame, features: Sequence[str], id_col: str, repeats: int = 5, seed: int = 0) -> DataFrame:
-    """Mean and deviation of the AUC's fall when one feature is shuffled; all repeats are ranked in one job."""
-    rows = df.count()
-    parts = score(df).select("y", "p", F.lit("").alias("feature"), F.lit(0).alias("rep"))
-    for i, c in enumerate(features):
-        for r in range(repeats):
-            parts = parts.unionByName(score(shuffled(df, c, id_col, seed + 1000 * i + 10 * r, rows)).select("y", "p", F.lit(c).alias("feature"), F.lit(r).alias("rep")))
-    a = stats.auc(parts, "p", by=("feature", "rep"))
+    """Mean and deviation of the AUC's fall when one feature is shuffled; df is read and scored once for all features and repeats."""
+    blocks = df.count() // BLOCK + 1
+    a = stats.auc(score(permuted(df, features, id_col, repeats, seed, blocks)), "p", by=("feature", "rep"))
     base = a.where("feature = ''").select(F.col("auc").alias("base_"))
     return a.where("feature <> ''").join(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base_") - F.col("auc")).alias("auc_drop"), F.stddev_pop(F.col("base_") - F.col("auc")).alias("sd"))
 

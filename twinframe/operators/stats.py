@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from twinframe.functions.stages import written
 from twinframe.operators.quantiles import percentiles
+from twinframe.operators.resampling import block_bootstrap  # noqa: F401  (part of this module's interface)
 
 EDGES = 64
 #: fixed values: critical values of the studentised range for infinite degrees of freedom at 0.05, over sqrt(2), by number of models
@@ -288,33 +289,3 @@ def diebold_mariano(losses: DataFrame, lag: int | None = None) -> DataFrame:
     var = reduce(lambda a, h: a + 2 * (1 - h / (lag + 1)) * F.sum(f"l{h}_") / F.count(F.lit(1)), range(1, lag + 1), F.avg(F.col("e_") ** 2))
     r = e.agg(F.avg("d").alias("mean"), (var / F.count(F.lit(1))).alias("var"))
     return r.withColumn("dm", F.col("mean") / F.sqrt("var")).withColumn("p_value", two_sided(F.col("dm")))
-
-
-def block_bootstrap(df: DataFrame, score: str, y: str, block: str, n: int = 200, level: float = 0.95, seed: int = 42, metric: str = "brier") -> DataFrame:
-    """Percentile interval of a metric (brier, auc, average_precision) over resampled blocks; each replicate weighs a block by a
-    seeded Poisson count, replicates without both classes are left out of the ranked metrics.
-
-    For the Brier score rows are summed by block once and never copied. Ranked metrics sum classes by block and score, and need
-    those sums in each replicate.
-    """
-    if metric not in ("brier", "auc", "average_precision"):
-        raise ValueError("metric must be brier, auc or average_precision")
-    sums = df.where(F.col(score).isNotNull()).groupBy(block).agg(F.sum((F.col(score) - F.col(y)) ** 2).alias("s_"), F.count(F.lit(1)).alias("n_"))
-    rep = sums.withColumn("rep_", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "rep_", block), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    steps, total, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(12):
-        total += p
-        steps = steps + (u > total).cast("int")
-        p /= k + 1
-    rep = rep.withColumn("k_", steps)
-    if metric == "brier":
-        each = rep.groupBy("rep_").agg((F.sum(F.col("k_") * F.col("s_")) / F.nullif(F.sum(F.col("k_") * F.col("n_")), F.lit(0))).alias("m"))
-    else:
-        classes = df.where(F.col(score).isNotNull()).groupBy(block, F.col(score).alias("score")).agg(F.sum(y).alias("pos_"), F.sum(1 - F.col(y)).alias("neg_"))
-        drawn = classes.join(rep.where("k_ > 0").select(block, "rep_", "k_"), block).groupBy("rep_", "score").agg(F.sum(F.col("k_") * F.col("pos_")).alias("pos"), F.sum(F.col("k_") * F.col("neg_")).alias("neg"))
-        v = running(drawn, "score", {"pos_below": "pos", "neg_below": "neg"}, ("rep_",))
-        ranked = auc_of(v, ("rep_",)).where("auc is not null").withColumnRenamed("auc", "m")
-        each = ranked if metric == "auc" else average_precision_of(v, ("rep_",)).join(ranked.select("rep_"), "rep_").withColumnRenamed("average_precision", "m")
-    each = each.where("m is not null")
-    return each.agg(F.percentile("m", F.lit((1 - level) / 2)).alias("lo"), F.percentile("m", F.lit((1 + level) / 2)).alias("hi"), F.count(F.lit(1)).cast("int").alias("replicates"))

@@ -14,6 +14,7 @@ from twinframe.operators import forecasts as fc
 from twinframe.operators import models as md
 from twinframe.operators import panel as pn
 from twinframe.operators import reports as rp
+from twinframe.operators import resampling as rs
 from twinframe.operators import scenarios as sc
 from twinframe.operators import stats as st
 from twinframe.streaming import jobs
@@ -678,6 +679,27 @@ def shapley_importance(spark, d):
     return ex.global_importance(ex.permutation_shapley(score, x, x, ["score_a", "score_b"], "id"))
 
 
+@query(f"WITH x AS ({fx.SCORED}) SELECT year(valid_date)::INT AS year, round(avg((score_a / 600000 - y) ** 2), 9) AS value FROM x GROUP BY 1")
+def metric_by_year(spark, d):
+    """A metric given as a vector of sums."""
+    x = scored(spark, d).select(F.year("valid_date").alias("year"), "y", (F.col("score_a") / 600000).alias("p"))
+    return rounded(rs.metric_by(x, "p", "y", rs.BRIER, ["year"]), "value", to=9)
+
+
+@query()
+def bootstrap_auc(spark, d):
+    """Interval of the AUC over 500 replicates of resampled nations, read once."""
+    return rs.block_bootstrap(scored(spark, d), "score_a", "y", "grp", metric="auc")
+
+
+@query()
+def permutation_importance(spark, d):
+    """Fall of the AUC of a fitted model when a feature is moved around, all features and repeats in one scan."""
+    x = written(scored(spark, d).withColumn("month", F.month("valid_date").cast("double")), "panel")
+    model = md.fit(md.ladder(["score_a", "score_b", "month"], "score_a")[1], x)
+    return ex.permutation_importance(lambda df: md.score(model, df), x, ["score_a", "score_b", "month"], "id", 3)
+
+
 def fact_table(spark, d):
     """The reports' facts in a stored table: what was known by the middle of the time in bulk, the rest by two upserts."""
     reports, path = fx.view(spark, d, fx.REPORTS), new_path(spark, "facts")
