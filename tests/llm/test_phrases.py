@@ -88,7 +88,7 @@ def test_long_texts_in_stretches(monkeypatch, spark):
     big = phrases.Bitmap(np.full(1, 2**64 - 1, np.uint64))
     for b, offsets, limit in parts:
         out, _, plain, begin, end = phrases.occurrences(b, offsets, limit, np.zeros(1, np.uint64), big, None, True)
-        for k, at, _, n in out:
+        for k, at, n in out:
             for a, c in zip(at, n, strict=True):
                 found[plain[begin[a] : end[a + k - 1]].tobytes().decode()] += int(c)
     assert found == {" ".join(p): c for (_, p), c in counts([(0, "", text)], 1)[0].items()}

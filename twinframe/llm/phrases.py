@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import LOWER, blocks, cut, documents, new_path, ngrams, remove, spans, xxh64_spans
+from twinframe.llm.common import LOWER, blocks, cut, documents, flat, new_path, ngrams, remove, spans, xxh64_spans
 
 SHARDS, MIN_COUNT, MAX_WORDS, TOP, FILTER_BITS = 3, 30, 4, 2000, 26
 BLOCK, SALTS = 4 << 20, 64
@@ -36,7 +37,8 @@ PIECE_END = np.zeros(256, bool)
 PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
 WORD = ~PIECE_END
 WORD[[9, 32]] = False
-COUNTS = "lang string, k int, phrase string, h long, n long"
+#: a phrase with its language before it, parted by a tab (which no phrase holds), and its count
+COUNTS = "key string, n long"
 
 
 class Bitmap:
@@ -50,15 +52,35 @@ class Bitmap:
         bit = lambda at: (self.slots[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
         return bit(h & mask) & bit((h >> np.uint64(32)) & mask)
 
-    def grown(self, hits: DataFrame) -> tuple[Bitmap, bool]:
-        """With the hashes of `hits` (h), and whether there were any. Their bits are joined in Spark: at most one row for each slot."""
+    def grown(self, hashes: DataFrame) -> tuple[Bitmap, bool]:
+        """With the members of `hashes` (h), and whether any bit is new. Bits are joined in Spark: at most one row for each slot."""
         mask = len(self.slots) * 64 - 1
         at = F.explode(F.array(F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask))))
-        bits = hits.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+        bits = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
         rows = bits.toArrow()
         slots = self.slots.copy()
         slots[rows["slot"].to_numpy()] |= rows["bits"].to_numpy().view(np.uint64)
-        return Bitmap(slots), rows.num_rows > 0
+        return Bitmap(slots), not np.array_equal(slots, self.slots)
+
+
+def lang_keys(langs: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(v, 7) for v in langs], np.uint64)
+
+
+def phrase_hashes(rows: DataFrame) -> DataFrame:
+    """rows (lang, phrase) -> (h), as `occurrences` hashes them."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            buf, offsets = flat(batch.column("phrase"))
+            starts, ends, of = spans(buf, offsets, WORD)
+            text, size = np.repeat(np.arange(batch.num_rows), np.diff(of)), np.diff(of)
+            key = xxh64_spans(buf, starts, ends - starts) ^ lang_keys(langs.dictionary.to_pylist())[langs.indices.to_numpy()][text]
+            out = [ngrams(key, int(k))[of[:-1][size == k]] for k in np.unique(size[size > 0])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64))], ["h"])
+
+    return rows.select("lang", "phrase").mapInArrow(task, "h long")
 
 
 def stretches(buf: np.ndarray, offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -83,20 +105,23 @@ def stretches(buf: np.ndarray, offsets: np.ndarray, size: int = BLOCK) -> Iterat
         lo = hi
 
 
-def occurrences(buf: np.ndarray, offsets: np.ndarray, limit: int, lang_keys: np.ndarray, now: Bitmap | None, past: Bitmap | None, words: bool):
-    """For each length: (k, first words of one occurrence of each active phrase, hash, count); then the words' text and bounds."""
+def occurrences(buf: np.ndarray, offsets: np.ndarray, limit: int, keys: np.ndarray, now: Bitmap | None, past: Bitmap | None, words: bool):
+    """For each length: (k, first words of one occurrence of each active phrase, counts); then the words' text and bounds. keys: the
+    language's key of each text."""
     buf = LOWER[buf]
     starts, ends, of = spans(buf, offsets, WORD)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(of))
     piece = np.cumsum(PIECE_END[buf], dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
-    key = xxh64_spans(buf, starts, ends - starts) ^ lang_keys[text]
+    key = xxh64_spans(buf, starts, ends - starts) ^ keys[text]
     joined = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
     own = starts < limit
     out = []
 
     def tell(k: int, at: np.ndarray, h: np.ndarray) -> None:
-        hashes, first, n = np.unique(h[at], return_index=True, return_counts=True)
-        out.append((k, at[first], hashes, n))
+        order = np.argsort(h[at])
+        run = h[at][order]
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+        out.append((k, at[order[first]], np.diff(first, append=len(run))))
 
     h, valid = ngrams(key, 1), np.ones(len(key), bool)
     if words:
@@ -129,24 +154,24 @@ def _strings(plain: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def count_shard(rows: DataFrame, now, past, words: bool) -> DataFrame:
-    """rows (lang, text) -> partial counts of the active phrases; with `words`, of the single words too, and all words as k = 0.
+    """rows (lang, text) -> partial counts of the active phrases; with `words`, of the single words too, and of all words as an empty phrase.
     now, past: broadcast bitmaps or None."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "k", "phrase", "h", "n"]
+        def counted(langs: pa.Array, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(langs, phrases, "\t"), pa.array(n.astype(np.int64))], ["key", "n"])
+
         for part, whole, bounds in blocks(batches, "text", BLOCK):
             langs = part.column("lang").dictionary_encode()
             code, values = langs.indices.to_numpy(), langs.dictionary
-            keys = np.array([xxhash.xxh64_intdigest(v, 7) for v in values.to_pylist()], np.uint64)
+            keys = lang_keys(values.to_pylist())[code]
             for buf, offsets, limit in stretches(whole, bounds):
-                found, text, plain, begin, end = occurrences(buf, offsets, limit, keys[code], now and now.value, past and past.value, words)
-                for k, at, h, n in found:
-                    yield pa.RecordBatch.from_arrays([values.take(pa.array(code[text[at]])), pa.array(np.full(len(at), k, np.int32)), _strings(plain, begin[at], end[at + k - 1]), pa.array(h.view(np.int64)), pa.array(n)], names)
+                found, text, plain, begin, end = occurrences(buf, offsets, limit, keys, now and now.value, past and past.value, words)
+                for k, at, n in found:
+                    yield counted(values.take(pa.array(code[text[at]])), _strings(plain, begin[at], end[at + k - 1]), n)
                 if words:
-                    own = text[: int(found[0][3].sum())]  # words that start before the limit come first
-                    each = np.bincount(code[own], minlength=len(values))
-                    zero = np.zeros(len(values), np.int64)
-                    yield pa.RecordBatch.from_arrays([values, pa.array(zero.astype(np.int32)), pa.array([""] * len(values)), pa.array(zero), pa.array(each)], names)
+                    own = text[: int(found[0][2].sum())]  # words that start before the limit come first
+                    yield counted(values, pa.array([""] * len(values), pa.string()), np.bincount(code[own], minlength=len(values)))
 
     return rows.select("lang", "text").mapInArrow(task, COUNTS)
 
@@ -160,28 +185,30 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int =
     docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), shard.alias("shard")).write.partitionBy("shard").parquet(path)
     dealt = spark.read.schema("lang string, text string, shard int").parquet(path)
     maps = [Bitmap(np.zeros((1 << filter_bits) // 64, np.uint64))]  # by step
+    phrase = F.substring_index("key", "\t", -1)
+    lang = F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(phrase) - 1)
+    k = F.when(phrase == "", F.lit(0)).otherwise(F.size(F.split(phrase, " ")))
     while step < shards or step - shards <= last:
         sent = [spark.sparkContext.broadcast(m) if m else None for m in (maps[step] if last >= 0 else None, maps[step - shards] if step >= shards else None)]
-        found = count_shard(dealt.where(F.col("shard") == step % shards), *sent, words=step < shards)
-        found = found.select("*", F.lit(step).alias("since"), F.lit(None).cast("int").alias("hit"))
+        found = count_shard(dealt.where(F.col("shard") == step % shards), *sent, words=step < shards).withColumn("since", F.lit(step))
         found = found if state is None else state.unionByName(found)
-        summed = found.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("h").alias("h"), F.sum("n").alias("n"), F.min("since").alias("since"), F.min("hit").alias("hit"))
-        summed = summed.withColumn("hit", F.coalesce("hit", F.when(F.col("n") >= min_count, F.lit(step))))
+        summed = found.groupBy("key").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
         at = new_path(spark, "phrases")
-        summed.where((F.col("n") >= min_count) | (F.col("since") + shards > step + 1) | (F.col("k") == 0)).write.parquet(at)
-        state = spark.read.schema(COUNTS + ", since int, hit int").parquet(at)
+        summed.where((F.col("n") >= min_count) | (F.col("since") + shards > step + 1) | F.endswith("key", F.lit("\t"))).write.parquet(at)
+        state = spark.read.schema(COUNTS + ", since int").parquet(at)
         if old:
             remove(spark, old)
         for x in sent:
             if x:
                 x.destroy()
-        grown, any_hit = maps[step].grown(state.where((F.col("hit") == step) & F.col("k").between(1, MAX_WORDS - 1)))
+        hits = state.where(F.col("n") >= min_count).select(lang.alias("lang"), phrase.alias("phrase"), k.alias("k")).where(F.col("k").between(1, MAX_WORDS - 1))
+        grown, any_new = maps[step].grown(phrase_hashes(hits))
         maps.append(grown)
         if step >= shards:
             maps[step - shards] = None
-        last, old, step = (step if any_hit else last), at, step + 1
+        last, old, step = (step if any_new else last), at, step + 1
     remove(spark, path)
-    return state.select("lang", "k", "phrase", "n")
+    return state.where((F.col("n") >= min_count) | F.endswith("key", F.lit("\t"))).select(lang.alias("lang"), k.alias("k"), phrase.alias("phrase"), "n")
 
 
 def collocations(frequent: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
