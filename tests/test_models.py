@@ -406,3 +406,24 @@ def test_calibration_runs(spark):
     worse = fc.calibration_run(p.withColumn("value", F.col("value") + 20), o, one, "2023-08-02").first()
     assert worse.drift_mae and worse.reference_mae == r.mae and worse.run_id != r.run_id
     assert fc.calibration_history(one, "m").count() == 1 and fc.calibration_run(p, o, None, "2023-08-01", target_from="2024-01-01").count() == 0
+
+
+def test_deployment_of_a_run(spark):
+    """The chosen model's scores with folds, top attributions and scenarios, each with an id of its own."""
+    x = panel(spark)
+    folds = md.outer_folds(x)
+    run = md.train(x, md.ladder(["a", "b"], "b")[:2], folds, ["id", "geoid", "valid_date"])
+    own = x.unpivot(["id"], ["a", "b"], "feature", "value")
+    rows = md.deployed_rows(run, "logistic", lambda d: x.withColumn("a", F.col("a") + d), [0.0, 1.0], "risk", "2024-02-01", "2024-01-01", "v1", own, k=1).collect()
+    tested = run.oof.where("model = 'logistic'").count()
+    base, warm = [r for r in rows if r.scenario_id is None], [r for r in rows if r.scenario_id is not None]
+    assert len(base) == len(warm) == tested and all(r.model_name == "logistic" and r.quantity == "risk" for r in rows)
+    extras = json.loads(base[0].extras_json)
+    assert extras["fold"] in {f.name for f in folds} and len(json.loads(extras["top"])) == 1 and json.loads(warm[0].extras_json)["delta"] == "1.0"
+    assert sum(r.value for r in warm) > sum(r.value for r in base)
+
+
+def test_panel_asks_for_its_coverage(spark):
+    x = spark.createDataFrame([("04", dt.date(2023, 6, 1), 30.0, 20.0, 40.0)], "geoid string, valid_date date, tmax double, tmin double, rh_min double")
+    with pytest.raises(ValueError, match="pop_coverage"):
+        pn.build_panel(x, x.select("geoid", "valid_date", F.lit(1.0).alias("rate")), x.select("geoid", F.lit(1).alias("hhs_region")), "2023-01-01", "2023-12-31")

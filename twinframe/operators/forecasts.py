@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from twinframe.functions.scalars import stable_id
+from twinframe.functions.stages import exists, same
 from twinframe.operators.bitemporal import changed, latest_per
 
 TARGET = ("geo_level", "geoid", "target_date", "quantity")
@@ -23,6 +24,21 @@ def append_new(log: DataFrame, rows: DataFrame, key: str, order: tuple[str, ...]
     return latest_per(rows.join(log.select(key), key, "left_anti"), (key,), *by)
 
 
+def store_new(rows: DataFrame, path: str, key: str = "prediction_id", by: tuple[str, ...] = ("model_name",)) -> int:
+    """Appends to the log at path, in folders by model, the rows whose key it doesn't hold, and gives their number, observed on the
+    write. The same rows again are no new ones. Of the log only the keys of the rows' own folders are read."""
+    spark, counted = rows.sparkSession, Observation()
+    if exists(spark, path):
+        log = spark.read.parquet(path)
+        folders = rows.select(*by).distinct()
+        log = log.alias("l").join(F.broadcast(folders).alias("f"), same("l", "f", by), "left_semi").select(key)  # a row a model
+    else:
+        log = rows.select(key).limit(0)
+    fresh = append_new(log, rows, key).observe(counted, F.count(F.lit(1)).alias("n"))
+    fresh.write.mode("append").partitionBy(*by).parquet(path)
+    return counted.get["n"]
+
+
 def get(log: DataFrame, model_name=None, quantity=None, target_from=None, target_to=None, issued_before=None, scenario_id=None, baseline_only=False) -> DataFrame:
     for col, v in (("model_name", model_name), ("quantity", quantity), ("scenario_id", scenario_id)):
         if v is not None:
@@ -65,6 +81,15 @@ def latest_observations(obs: DataFrame, known_at=None, quantity=None) -> DataFra
     return latest_per(obs.withColumn("first_known_at", first), TARGET, F.col("revision").desc())
 
 
+def sealed_observations(panel: DataFrame, facts: DataFrame, variable: str, quantity: str, stored: DataFrame, y: str = "y", geo_level: str = "state") -> DataFrame:
+    """New observations of a panel's outcome, each with the time when its own fact was first known (no loop over those times): what a
+    later forecast is told from. An outcome without such a fact stops the job."""
+    first = facts.where((F.col("variable") == variable) & (F.col("geo_level") == geo_level)).groupBy("geoid", "valid_date").agg(F.min("known_at").alias("first_known_at"))
+    sealed = seal(panel.select("geoid", "valid_date", F.col(y).cast("double").alias("value")), first, ["geoid", "valid_date"])
+    rows = sealed.select(F.lit(geo_level).alias("geo_level"), "geoid", F.col("valid_date").alias("target_date"), F.lit(quantity).alias("quantity"), "value", F.lit(False).alias("censored"), F.lit(None).cast("double").alias("censor_lo"), F.lit(None).cast("double").alias("censor_hi"), F.col("first_known_at").alias("known_at"))
+    return new_observations(stored, rows)
+
+
 def seal(outcome: DataFrame, first_known: DataFrame, keys: list[str]) -> DataFrame:
     """Outcomes stamped with when they were first known; each must have such a time."""
     out = outcome.join(first_known, keys, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinframe.functions.scalars import heat_index_c
-from twinframe.operators.bitemporal import as_of
+from twinframe.operators.bitemporal import as_of, require
 
 WARM = (5, 6, 7, 8, 9)
 
@@ -180,10 +180,18 @@ def thermal_features(exposure: DataFrame, ref_start, ref_end) -> DataFrame:
 FEATURES = ("heat_index", "tmax", "tmin", "rh_min", "hi_excess_p95", "hi_mean_3d", "hi_lag1", "tmin_mean_3d", "hot_streak", "first_heatwave", "hi_clim_ref", "doy_sin", "doy_cos", "weekend")
 
 
-def build_panel(exposure: DataFrame, outcome: DataFrame, regions: DataFrame, ref_start, ref_end, min_coverage: float = 0.7) -> DataFrame:
-    """Warm-season rows with all features and an outcome. outcome (geoid, valid_date, rate); regions (geoid, hhs_region)."""
-    if "coverage" in exposure.columns:
-        exposure = exposure.where(F.col("coverage") >= min_coverage)
+def outcome(facts: DataFrame, variable: str, known_at=None, geo_level: str = "state", source: str | None = None) -> DataFrame:
+    """(geoid, valid_date, rate): an outcome's series as known at a time, from the facts; days without a value are left out."""
+    if source is not None:
+        facts = facts.where(F.col("source") == source)
+    return as_of(facts, known_at, geo_level=geo_level, variables=[variable]).where("value IS NOT NULL").select("geoid", "valid_date", F.col("value").alias("rate"))
+
+
+def build_panel(exposure: DataFrame, outcome: DataFrame, regions: DataFrame, ref_start, ref_end, min_coverage: float = 0.7, coverage: str | None = "pop_coverage") -> DataFrame:
+    """Warm-season rows with all features and an outcome. outcome (geoid, valid_date, rate); regions (geoid, hhs_region). Days of less
+    than min_coverage in the exposure's column `coverage` are left out; None: exposures that cover their units wholly."""
+    if coverage is not None:
+        exposure = require(exposure, coverage).where(F.col(coverage) >= min_coverage)
     f = thermal_features(exposure, ref_start, ref_end).join(outcome, ["geoid", "valid_date"]).where(F.month("valid_date").isin(*WARM)).dropna(subset=list(FEATURES))
     f = f.withColumns({"y": (F.col("rate") > 0).cast("int"), "year": F.year("valid_date"), "week": F.weekofyear("valid_date")})
     return f.join(regions, "geoid").where("hhs_region is not null")

@@ -6,9 +6,12 @@ totals of the ranges before, so no window gathers all rows in one task.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,11 +133,19 @@ def circular_permutation(df: DataFrame, score: str, group: str, order: list[str]
     else:
         used = df.where(F.col(score).isNotNull()).withColumn("r_", F.col(score).cast("double"))
     rows = used.select(F.col(group).alias("g_"), F.col(y).alias("y_"), "r_", place.alias("i_"))
-    sizes = rows.groupBy("g_").agg(F.count(F.lit(1)).alias("m_"))
-    turn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep_").cast("string"), F.col("g_").cast("string"))), 1, 8), 16, 10).cast("long")
-    reps = sizes.withColumn("rep_", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("off_", F.when(F.col("m_") > 1, 1 + F.try_mod(turn, F.col("m_") - 1)).otherwise(F.lit(0)))
-    met = rows.where("y_ = 1").select("g_", F.col("i_").alias("j_")).join(reps, "g_").select("g_", "rep_", F.pmod(F.col("j_") - F.col("off_"), F.col("m_")).cast("int").alias("i_"))
-    sums = met.join(rows.select("g_", "i_", "r_"), ["g_", "i_"]).groupBy("rep_").agg(F.sum("r_").alias("s_"))
+    # a group is a unit's days, so its ranks are one array; what it gives out is a sum for each replicate
+    groups = rows.select(F.coalesce(F.col("g_").cast("string"), F.lit("")).alias("g_"), F.col("y_").cast("double").alias("y_"), F.col("r_").cast("double").alias("r_"), F.col("i_").cast("long").alias("i_"))
+
+    def turned(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["i_"].to_numpy())
+        ranks, met = table["r_"].to_numpy()[order], np.flatnonzero(table["y_"].to_numpy()[order] == 1)
+        name, m = table["g_"][0].as_py(), len(order)
+        digests = [hashlib.md5(":".join([str(seed), str(rep), *([name] if name else [])]).encode(), usedforsecurity=False).hexdigest()[:8] for rep in range(1, n + 1)]
+        offsets = [1 + int(h, 16) % (m - 1) if m > 1 else 0 for h in digests]
+        sums = [ranks[(met - off) % m].sum() for off in offsets] if len(met) else []
+        return pa.table({"rep_": pa.array(range(1, len(sums) + 1), pa.int32()), "s_": pa.array(sums, pa.float64())})
+
+    sums = groups.groupBy("g_").applyInArrow(turned, "rep_ int, s_ double").groupBy("rep_").agg(F.sum("s_").alias("s_"))
     t = rows.agg(F.sum("y_").alias("p_"), F.sum(1 - F.col("y_")).alias("n_"), F.sum(F.when(F.col("y_") == 1, F.col("r_"))).alias("o_"), F.sum(F.col("r_") ** 2).alias("q_"))
 
     def value(s: str) -> Column:

@@ -284,7 +284,7 @@ def panel_of(spark, d):
     x = fx.view(spark, d, fx.DAILY)
     regions = x.select("geoid").distinct().withColumn("hhs_region", F.col("geoid").cast("int") + 1)
     outcome = x.select("geoid", "valid_date", (F.col("tmmn") - 16).alias("rate"))
-    return pn.build_panel(x.select("geoid", "valid_date", F.col("tmmx").alias("tmax"), F.col("tmmn").alias("tmin"), F.col("rmin").alias("rh_min")), outcome, regions, "1996-01-01", "1997-12-31")
+    return pn.build_panel(x.select("geoid", "valid_date", F.col("tmmx").alias("tmax"), F.col("tmmn").alias("tmin"), F.col("rmin").alias("rh_min")), outcome, regions, "1996-01-01", "1997-12-31", coverage=None)
 
 
 PANEL = f"""x AS ({fx.DAILY}), hi AS (SELECT geoid, valid_date, tmmx AS tmax, tmmn AS tmin, rmin AS rh_min, {heat_index_sql('tmmx', 'rmin')} AS heat_index FROM x),
@@ -306,6 +306,50 @@ def warming(spark, d):
     return rounded(pn.with_warming(panel_of(spark, d), 2.0).select("geoid", "valid_date", "heat_index", "hi_excess_p95", "hi_lag1", "hi_mean_3d"), "heat_index", "hi_excess_p95", "hi_lag1", "hi_mean_3d", to=5)
 
 
+#: an outcome of the parents as facts: a day's mean discount, known a week later and corrected a month later
+RATES = """SELECT 'state' AS geo_level, CASE WHEN l_suppkey % 5 < 2 THEN 'a' ELSE 'b' END AS geoid, CAST(l_shipdate AS DATE) AS valid_date, 'rate' AS variable, 'epht' AS source,
+ round(avg(l_discount) * 100 - 5, 6) + k AS value, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) + INTERVAL '1' DAY * CAST(7 + 600 * k AS INT) AS known_at, k AS revision
+ FROM lineitem, (SELECT 0 AS k UNION ALL SELECT 1) r GROUP BY 2, 3, k"""
+
+
+@query(f"""WITH {FACTS}, {EXPOSURE}, x0 AS (SELECT parent AS geoid, valid_date, max(value) FILTER (variable = 'tmmx') AS tmax, max(value) FILTER (variable = 'rmin') AS rh_min, least(1.0::DOUBLE, min(coverage)) AS c FROM e GROUP BY 1, 2),
+x AS (SELECT geoid, valid_date, tmax, rh_min, {heat_index_sql('tmax', 'rh_min')} AS heat_index FROM x0 WHERE c >= 0.5),
+p AS (SELECT geoid, quantile_cont(heat_index::DOUBLE, 0.95) AS p95 FROM x GROUP BY geoid),
+f AS (SELECT x.*, heat_index - p95 AS over, lag(heat_index) OVER w AS hi_lag1, avg(heat_index) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mean3 FROM x JOIN p USING (geoid) WINDOW w AS (PARTITION BY geoid ORDER BY valid_date)),
+o AS (SELECT geoid, valid_date, value AS rate FROM ({RATES}) WHERE known_at <= TIMESTAMP '{T}' QUALIFY row_number() OVER (PARTITION BY geoid, valid_date ORDER BY revision DESC) = 1)
+SELECT geoid, valid_date, round(heat_index, 5) AS heat_index, round(over, 5) AS hi_excess_p95, round(mean3, 5) AS hi_mean_3d, round(rate, 6) AS rate, (rate > 0)::INT AS y FROM f JOIN o USING (geoid, valid_date)
+WHERE month(valid_date) BETWEEN 5 AND 9 AND hi_lag1 IS NOT NULL AND heat_index IS NOT NULL AND mean3 IS NOT NULL""")
+def panel_from_facts(spark, d):
+    """Exposures and outcome both from facts as known at T: parents' exposures with their coverage, then the panel."""
+    exposure = pn.state_exposure(facts(spark, d), fx.view(spark, d, fx.COUNTIES), ["tmmx", "rmin"], "1996-01-01", "1996-12-31", T)
+    exposure = exposure.select("geoid", "valid_date", F.col("tmmx").alias("tmax"), (F.col("tmmx") - 10).alias("tmin"), F.col("rmin").alias("rh_min"), "pop_coverage")
+    regions = exposure.select("geoid").distinct().withColumn("hhs_region", F.lit(1))
+    rates = pn.outcome(fx.view(spark, d, RATES), "rate", T, source="epht")
+    panel = pn.build_panel(exposure, rates, regions, "1996-01-01", "1996-12-31", min_coverage=0.5)
+    return rounded(rounded(panel.select("geoid", "valid_date", "heat_index", "hi_excess_p95", "hi_mean_3d", "rate", "y"), "heat_index", "hi_excess_p95", "hi_mean_3d", to=5), "rate")
+
+
+@query(f"""WITH o AS (SELECT geoid, valid_date, (value > 0)::INT::DOUBLE AS value FROM ({RATES}) WHERE revision = 1), k AS (SELECT geoid, valid_date, min(known_at) AS known_at FROM ({RATES}) GROUP BY 1, 2)
+SELECT geoid, valid_date AS target_date, value, strftime(known_at, '%Y-%m-%d') AS known_at, 0 AS revision FROM o JOIN k USING (geoid, valid_date) WHERE year(valid_date) > 1996""")
+def sealed_observations(spark, d):
+    """Outcomes sealed with the first known time of their facts, those stored already left out."""
+    rates = fx.view(spark, d, RATES)
+    panel = rates.where("revision = 1").select("geoid", "valid_date", (F.col("value") > 0).cast("int").alias("y"))
+    none = rates.limit(0)
+    first = fc.sealed_observations(panel.where(F.year("valid_date") <= 1996), rates, "rate", "risk", none.select("geo_level", "geoid", F.col("valid_date").alias("target_date"), F.lit("risk").alias("quantity"), "value", F.lit(False).alias("censored"), "revision"))
+    new = fc.sealed_observations(panel, rates, "rate", "risk", first)
+    return new.select("geoid", "target_date", "value", day().alias("known_at"), "revision")
+
+
+@query(f"WITH p AS ({fx.PRED}) SELECT 'first' AS step, count(*) FILTER (prediction_id % 2 = 0) AS stored FROM p UNION ALL SELECT 'again', 0 FROM p GROUP BY () UNION ALL SELECT 'rest', count(*) FILTER (prediction_id % 2 = 1) FROM p UNION ALL SELECT 'log', count(*) FROM p")
+def prediction_log_writes(spark, d):
+    """Appends to a stored log: half of the rows, the same again, all rows; and what the log then holds."""
+    p, path = fx.view(spark, d, fx.PRED).withColumn("prediction_id", F.col("prediction_id").cast("string")), new_path(spark, "log")
+    even = p.where(F.col("prediction_id").cast("long") % 2 == 0)
+    steps = [("first", fc.store_new(even, path)), ("again", fc.store_new(even, path)), ("rest", fc.store_new(p, path))]
+    return spark.createDataFrame([*steps, ("log", spark.read.parquet(path).count())], "step string, stored long")
+
+
 PAIRS = f"""pred AS ({fx.PRED}), obs AS ({fx.OBS}), cutp AS (SELECT * FROM pred WHERE issued_at <= TIMESTAMP '2001-06-01' AND scenario_id IS NULL),
 o AS (SELECT geo_level, geoid, target_date, quantity, value AS obs, censored, censor_lo, censor_hi, min(known_at) OVER (PARTITION BY geo_level, geoid, target_date, quantity) AS first_known_at FROM obs WHERE known_at <= TIMESTAMP '2001-06-01'),
 pairs AS (SELECT p.*, obs, censored, censor_lo, censor_hi, issued_at < first_known_at AS genuine FROM cutp p JOIN o USING (geo_level, geoid, target_date, quantity)),
@@ -679,6 +723,12 @@ def shapley_importance(spark, d):
     return ex.global_importance(ex.permutation_shapley(score, x, x, ["score_a", "score_b"], "id"))
 
 
+@query()
+def circular_permutation_whole(spark, d):
+    """The default of 500 replicates, of which circular_permutation compares 20 with SQL."""
+    return st.circular_permutation(scored(spark, d), "score_a", "grp", ["valid_date", "id"])
+
+
 @query(f"WITH x AS ({fx.SCORED}) SELECT year(valid_date)::INT AS year, round(avg((score_a / 600000 - y) ** 2), 9) AS value FROM x GROUP BY 1")
 def metric_by_year(spark, d):
     """A metric given as a vector of sums."""
