@@ -335,7 +335,7 @@ def naive_scores(pairs, side, words, flat_net, spell):
         contexts[left, right] += n
     out = []
     for i, w in texts:
-        at, total = [outside, outside, *ids(w), outside, outside], 0.0
+        at, plain, total = [outside, outside, *ids(w), outside, outside], 0.0, 0.0
         for k, x in enumerate(w):
             h = np.tanh(sum(v["embed"][s][at[k + 2 + d]] for s, d in enumerate((-2, -1, 1, 2))) + v["bias"])
             own = at[k + 2]
@@ -348,12 +348,13 @@ def naive_scores(pairs, side, words, flat_net, spell):
             if own == rare:
                 b = [256, *x.encode(), 256]
                 log += sum(spelled[p, q] for p, q in zip(b[:-1], b[1:], strict=True))
+            plain += log
             if k and at[k + 1] == rare:
                 right = w[k + 1] if k + 1 < len(w) else None
                 n, m = triples[w[k - 1], x, right] - 1, contexts[w[k - 1], right] - 1
                 log = np.log((n + lm.PRIOR * np.exp(log)) / (m + lm.PRIOR))
             total += log
-        out.append((i, len(w), total))
+        out.append((i, len(w), plain, total))
     return out
 
 
@@ -364,29 +365,31 @@ def test_lm(spark, docs, rows, odd, empty, monkeypatch):
     side, words, flat_net, spell = model
     assert side == 5 and len(words) == 25
     got = {r.doc_id: r for r in lm.score(docs, *model).collect()}
-    for i, n, log in naive_scores([r[:2] for r in rows], *model):
-        assert got[i].n_tokens == n and got[i].log_prob == pytest.approx(log, rel=1e-4, abs=1e-3)
+    for i, n, log, counted in naive_scores([r[:2] for r in rows], *model):
+        assert got[i].n_tokens == n and got[i].log_prob == pytest.approx(log, rel=1e-4, abs=1e-3) and got[i].counted_log_prob == pytest.approx(counted, rel=1e-4, abs=1e-3)
         assert got[i].mean_log_prob == (pytest.approx(log / n, rel=1e-4, abs=1e-3) if n else None)
+        assert got[i].mean_counted_log_prob == (pytest.approx(counted / n, rel=1e-4, abs=1e-3) if n else None)
     assert np.allclose(np.exp(spell.reshape(257, 257)).sum(axis=1), 1)
-    many = {r.doc_id: r.log_prob for r in lm.score(docs, *model, bucket_bytes=500).collect()}
-    assert all(many[i] == pytest.approx(r.log_prob, rel=1e-6, abs=1e-6) for i, r in got.items())
+    many = {r.doc_id: r.counted_log_prob for r in lm.score(docs, *model, bucket_bytes=500).collect()}
+    assert all(many[i] == pytest.approx(r.counted_log_prob, rel=1e-6, abs=1e-6) for i, r in got.items())
     counts = lm.vocabulary(docs)[2]
     fresh = {r.doc_id: r for r in lm.score(docs, side, words, lm.Network(side).start_from(counts).flat, spell).collect()}
     assert sum(r.log_prob for r in got.values()) > sum(r.log_prob for r in fresh.values())
     # rows that agree in all are scored alike, and so are those of null ids
     odd_rows = [tuple(r)[:2] for r in odd.collect()]
     want = naive_scores(odd_rows, *model)
-    scored = [tuple(r)[:3] for r in lm.score(odd, *model).collect()]
-    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    scored = [(r.doc_id, r.n_tokens, r.log_prob, r.counted_log_prob) for r in lm.score(odd, *model).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert [r[:2] for r in sorted(scored, key=key)] == [r[:2] for r in sorted(want, key=key)]
-    assert [r[2] for r in sorted(scored, key=key)] == pytest.approx([r[2] for r in sorted(want, key=key)], rel=1e-4, abs=1e-3)
+    for k in (2, 3):
+        assert [r[k] for r in sorted(scored, key=key)] == pytest.approx([r[k] for r in sorted(want, key=key)], rel=1e-4, abs=1e-3)
     assert lm.score(empty, *lm.fit(empty)).count() == 0
 
 
 def test_lm_does_not_depend_on_the_number_of_tasks(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)
-    one = {r.doc_id: r.log_prob for r in lm.score(docs.coalesce(1), *lm.fit(docs.coalesce(1))).collect()}
-    many = {r.doc_id: r.log_prob for r in lm.score(docs.repartition(16), *lm.fit(docs.repartition(16))).collect()}
+    one = {r.doc_id: (r.log_prob, r.counted_log_prob) for r in lm.score(docs.coalesce(1), *lm.fit(docs.coalesce(1))).collect()}
+    many = {r.doc_id: (r.log_prob, r.counted_log_prob) for r in lm.score(docs.repartition(16), *lm.fit(docs.repartition(16))).collect()}
     assert all(many[i] == pytest.approx(x, rel=1e-5, abs=1e-5) for i, x in one.items())
 
 
@@ -395,10 +398,19 @@ def test_lm_tells_repeats_apart(spark):
     lexicon = [make_text(rng, 1).strip(".,\n") + make_text(rng, 1).strip(".,\n") + str(k) for k in range(3000)]
     texts = [" ".join(rng.choice(lexicon if rng.random() < 0.5 else WORDS) for _ in range(120)) for _ in range(200)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string")
-    got = {r.doc_id: r.mean_log_prob for r in lm.score(docs, *lm.fit(docs)).collect()}
+    got = {r.doc_id: r.mean_counted_log_prob for r in lm.score(docs, *lm.fit(docs)).collect()}
     assert min(got[i] for i in [*range(20), *range(200, 220)]) > max(got[i] for i in range(20, 200))
 
 
+def tiles_of_pairs(doc: np.ndarray, item: np.ndarray, pairs: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """The shipped tiling from all seed pairs (document position, item position) instead of each match's first."""
+    diagonal = pairs[:, 0] - pairs[:, 1]
+    order = np.lexsort((pairs[:, 0], diagonal))
+    pairs, diagonal = pairs[order], diagonal[order]
+    new = np.flatnonzero((np.diff(diagonal) != 0) | (np.diff(pairs[:, 0]) != 1)) + 1
+    return decontamination.greedy(doc, item, [(int(b - a) + size - 1, int(pairs[a, 1]), int(pairs[a, 0])) for a, b in zip([0, *new], [*new, len(pairs)], strict=True)], size)
+
+
 def naive_substrings(pairs):
     seen, out = set(), []
     for _, t in pairs:
@@ -568,7 +580,7 @@ def naive_leaks(docs, items, coverage):
             size = min(5, len(g))
             pairs = np.array([(i, j) for i in range(len(h) - size + 1) for j in range(len(g) - size + 1) if (h[i : i + size] == g[j : j + size]).all()])
             if size and len(pairs):
-                tiles = decontamination.tile(h, g, pairs, size)
+                tiles = tiles_of_pairs(h, g, pairs, size)
                 covered = sum(t[0] for t in tiles)
                 if covered >= coverage * len(g):
                     out.append((r, k, covered, len(tiles), tiles[0][0]))
@@ -631,7 +643,7 @@ def test_tiles_are_greedy_and_disjoint():
             want.append(best)
             in_doc |= set(range(best[2], best[2] + best[0]))
             in_item |= set(range(best[1], best[1] + best[0]))
-        assert decontamination.tile(doc, item, pairs, 5) == want
+        assert tiles_of_pairs(doc, item, pairs, 5) == want
 
 
 def test_language(spark, odd, empty):

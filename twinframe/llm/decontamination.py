@@ -86,15 +86,6 @@ def greedy(doc: np.ndarray, item: np.ndarray, runs: Iterator[tuple[int, int, int
     return out
 
 
-def tile(doc: np.ndarray, item: np.ndarray, pairs: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles from all seed pairs (document position, item position)."""
-    diagonal = pairs[:, 0] - pairs[:, 1]
-    order = np.lexsort((pairs[:, 0], diagonal))
-    pairs, diagonal = pairs[order], diagonal[order]
-    new = np.flatnonzero((np.diff(diagonal) != 0) | (np.diff(pairs[:, 0]) != 1)) + 1
-    return greedy(doc, item, [(int(b - a) + size - 1, int(pairs[a, 1]), int(pairs[a, 0])) for a, b in zip([0, *new], [*new, len(pairs)], strict=True)], size)
-
-
 class Index:
     """Seeds of a block of items: by their run of tokens, and those of one run by the token before."""
 

@@ -2,8 +2,8 @@
 
 A window network, written in numpy, predicts every token from the two tokens on either side: position-wise embeddings are
 summed, squashed, and give a token class, then a token within its class (a two-level softmax; the more frequent a class, the fewer
-tokens it has). A text's score is the sum of the conditional log-probabilities of all its tokens; each is a probability
-over all possible tokens:
+tokens it has). A text's score, log_prob, is the sum of the network's conditional log-probabilities of all its tokens; each
+is a probability over all possible tokens. counted_log_prob stands beside it and adds what the corpus counts:
 
 - The network's outputs are the corpus's most frequent tokens, as many as `outputs` says (they grow with the counted
   tokens, MAX_WORDS at most, so that the network stays under 50 MB), and one output for any other token. Such a token's
@@ -378,6 +378,7 @@ def gains(row: np.ndarray, context: np.ndarray, word: np.ndarray, log: np.ndarra
     return keys, np.bincount(inverse, gain, len(keys))
 
 
+SCORED = ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "counted_log_prob", "mean_counted_log_prob"]
 _FOUND = "bucket int, blob binary, doc_id long, row long, n_tokens long, log_prob double"
 _NAMES = ["bucket", "blob", "doc_id", "row", "n_tokens", "log_prob"]
 _TYPES = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
@@ -415,7 +416,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[by
 
 
 def score(docs: DataFrame, side: int, words: np.ndarray, flat: np.ndarray, spell: np.ndarray, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, mean_log_prob), one row per input row."""
+    """(doc_id, n_tokens, log_prob, mean_log_prob, counted_log_prob, mean_counted_log_prob), one row per input row: the network's
+    score, and beside it the score with the counts of contexts."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // bucket_bytes))
@@ -473,17 +475,18 @@ def score(docs: DataFrame, side: int, words: np.ndarray, flat: np.ndarray, spell
             plus = (plus / times)[of]
             for part in rows:
                 n = part.column("n_tokens").to_numpy()
-                total = part.column("log_prob").to_numpy() + plus[: len(n)]
+                own_log = part.column("log_prob").to_numpy()
+                total = own_log + plus[: len(n)]
                 plus = plus[len(n) :]
-                mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), pa.array(total), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+                means = [pa.array(np.divide(x, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0) for x in (own_log, total)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), pa.array(own_log), means[0], pa.array(total), means[1]], SCORED)
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = dealt(plain.mapInArrow(task, _FOUND)).mapInArrow(meet, _FOUND)
-    return dealt(found).mapInArrow(add, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    return dealt(found).mapInArrow(add, ", ".join(f"{c} {'long' if c in SCORED[:2] else 'double'}" for c in SCORED))
 
 
 def fit(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
