@@ -64,8 +64,10 @@ def collapse(df: DataFrame, keys: tuple[str, ...] = KEY, seq: str = "seq") -> Da
 
 
 def history_from_reports(reports: DataFrame) -> DataFrame:
-    """All revisions of a bulk load: last report of each knowledge time, unchanged values dropped, numbered from 0."""
-    last = collapse(reports, (*KEY, "known_at"))
+    """All revisions of a bulk load: last report of each knowledge time, unchanged values dropped, numbered from 0. All windows share
+    the key's one shuffle."""
+    latest = Window.partitionBy(*KEY).orderBy(F.col("known_at").desc(), F.col("seq").desc())
+    last = require(reports, "seq").withColumn("next_", F.lag("known_at").over(latest)).where(F.col("next_").isNull() | (F.col("next_") != F.col("known_at")))
     by = Window.partitionBy(*KEY).orderBy("known_at")
     kept = last.withColumn("n_", F.row_number().over(by)).withColumn("was_", F.lag("value").over(by)).where((F.col("n_") == 1) | changed(F.col("value"), F.col("was_")))
     return kept.select(*KEY, "value", "known_at", (F.row_number().over(by) - 1).alias("revision"))
