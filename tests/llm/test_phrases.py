@@ -85,9 +85,9 @@ def test_long_texts_in_stretches(monkeypatch, spark):
     parts = list(phrases.stretches(buf, np.array([0, len(buf)]), 500))
     assert b"".join(b[:limit].tobytes() for b, _, limit in parts) == text.encode() and len(parts) > 10
     found = Counter()
-    big = phrases.Bitmap(np.full(1, 2**64 - 1, np.uint64))
+    big = dict.fromkeys((1, 2, 3), phrases.Bitmap(np.full(1, 2**64 - 1, np.uint64)))
     for b, offsets, limit in parts:
-        out, _, plain, begin, end = phrases.occurrences(b, offsets, limit, np.zeros(1, np.uint64), big, None, True)
+        out, _, plain, begin, end = phrases.occurrences(b, offsets, limit, np.zeros(1, np.uint64), big, {}, (1, 2, 3, 4))
         for k, at, n in out:
             for a, c in zip(at, n, strict=True):
                 found[plain[begin[a] : end[a + k - 1]].tobytes().decode()] += int(c)

@@ -5,8 +5,8 @@ from the first shard on, and a longer phrase from the shard after the one in whi
 last word, all but the first) reached the threshold. Each phrase is counted for one full cycle from there, so its count is
 whole. Scanning ends when no phrase is still in its cycle.
 
-Which subphrases have reached the threshold is told to the tasks by a bitmap of a fixed 2**FILTER_BITS bits (a Bloom filter over
-hashes of the phrases), and "active" is defined by it: a phrase is counted at step t if both subphrases are in the bitmap of step
+Which subphrases have reached the threshold is told to the tasks by a bitmap of a fixed 2**FILTER_BITS bits for each length (a Bloom
+filter over hashes of the phrases), and "active" is defined by it: a phrase is counted at step t if both subphrases are in the bitmap of step
 t, and weren't yet in the one of step t - SHARDS. Bitmaps only gain bits, so that is one full cycle for any phrase whatever else
 shares its bits: a false hit makes a phrase be counted in vain and never changes a count. Counts are keyed by the phrase itself.
 
@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import LOWER, blocks, cut, documents, flat, new_path, ngrams, remove, spans, xxh64_spans
+from twinframe.llm.common import LOWER, blocks, cut, documents, flat, mix, new_path, ngrams, remove, spans, xxh64_spans
 
-SHARDS, MIN_COUNT, MAX_WORDS, TOP, FILTER_BITS = 3, 30, 4, 2000, 26
+SHARDS, MIN_COUNT, MAX_WORDS, TOP, FILTER_BITS = 3, 30, 4, 2000, 25
 BLOCK, SALTS = 4 << 20, 64
 #: bytes that end a piece, and those that part words
 PIECE_END = np.zeros(256, bool)
@@ -52,15 +52,19 @@ class Bitmap:
         bit = lambda at: (self.slots[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
         return bit(h & mask) & bit((h >> np.uint64(32)) & mask)
 
-    def grown(self, hashes: DataFrame) -> tuple[Bitmap, bool]:
-        """With the members of `hashes` (h), and whether any bit is new. Bits are joined in Spark: at most one row for each slot."""
-        mask = len(self.slots) * 64 - 1
-        at = F.explode(F.array(F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask))))
-        bits = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-        rows = bits.toArrow()
-        slots = self.slots.copy()
-        slots[rows["slot"].to_numpy()] |= rows["bits"].to_numpy().view(np.uint64)
-        return Bitmap(slots), not np.array_equal(slots, self.slots)
+
+def grown(maps: dict[int, Bitmap], hashes: DataFrame, bits: int) -> dict[int, Bitmap]:
+    """The bitmaps by length with the members of `hashes` (k, h); one without new bits stays the same object. Bits are joined in Spark:
+    at most one row for each length and slot."""
+    mask = (1 << bits) - 1
+    at = F.explode(F.array(F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(mask))))
+    rows = hashes.select("k", at.alias("at")).groupBy("k", F.shiftright("at", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    of, out = rows["k"].to_numpy(), {}
+    for k, old in maps.items():
+        slots = old.slots.copy()
+        slots[rows["slot"].to_numpy()[of == k]] |= rows["bits"].to_numpy()[of == k].view(np.uint64)
+        out[k] = old if np.array_equal(slots, old.slots) else Bitmap(slots)
+    return out
 
 
 def lang_keys(langs: list[str]) -> np.ndarray:
@@ -68,7 +72,7 @@ def lang_keys(langs: list[str]) -> np.ndarray:
 
 
 def phrase_hashes(rows: DataFrame) -> DataFrame:
-    """rows (lang, phrase) -> (h), as `occurrences` hashes them."""
+    """rows (lang, phrase) -> (k, h), as `occurrences` hashes them."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,10 +81,11 @@ def phrase_hashes(rows: DataFrame) -> DataFrame:
             starts, ends, of = spans(buf, offsets, WORD)
             text, size = np.repeat(np.arange(batch.num_rows), np.diff(of)), np.diff(of)
             key = xxh64_spans(buf, starts, ends - starts) ^ lang_keys(langs.dictionary.to_pylist())[langs.indices.to_numpy()][text]
-            out = [ngrams(key, int(k))[of[:-1][size == k]] for k in np.unique(size[size > 0])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64))], ["h"])
+            for k in np.unique(size[size > 0]):
+                h = ngrams(key, int(k))[of[:-1][size == k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64))], ["k", "h"])
 
-    return rows.select("lang", "phrase").mapInArrow(task, "h long")
+    return rows.select("lang", "phrase").mapInArrow(task, "k int, h long")
 
 
 def stretches(buf: np.ndarray, offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -105,45 +110,52 @@ def stretches(buf: np.ndarray, offsets: np.ndarray, size: int = BLOCK) -> Iterat
         lo = hi
 
 
-def occurrences(buf: np.ndarray, offsets: np.ndarray, limit: int, keys: np.ndarray, now: Bitmap | None, past: Bitmap | None, words: bool):
-    """For each length: (k, first words of one occurrence of each active phrase, counts); then the words' text and bounds. keys: the
-    language's key of each text."""
+def occurrences(buf: np.ndarray, offsets: np.ndarray, limit: int, keys: np.ndarray, now: dict[int, Bitmap], past: dict[int, Bitmap], lengths: tuple[int, ...]):
+    """For each of the lengths: (k, first words of one occurrence of each active phrase, counts); then the text of each word, and the
+    bytes and bounds of the words. keys: the language's key of each text."""
     buf = LOWER[buf]
     starts, ends, of = spans(buf, offsets, WORD)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(of))
     piece = np.cumsum(PIECE_END[buf], dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
     key = xxh64_spans(buf, starts, ends - starts) ^ keys[text]
     joined = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
-    own = starts < limit
-    out = []
+    own, out = starts < limit, []
+    odd = np.cumsum(joined & ((starts[1:] - ends[:-1] != 1) | (buf[ends[:-1]] != 32))) if len(starts) > 1 else np.zeros(0, np.int64)
+    plain = True  # all phrases told have single spaces between their words
 
     def tell(k: int, at: np.ndarray, h: np.ndarray) -> None:
+        nonlocal plain
         order = np.argsort(h[at])
         run = h[at][order]
         first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
-        out.append((k, at[order[first]], np.diff(first, append=len(run))))
+        at = at[order[first]]
+        out.append((k, at, np.diff(first, append=len(run))))
+        if k > 1 and len(at):
+            plain &= bool((odd[at + k - 2] == np.where(at > 0, odd[at - 1], 0)).all())
 
     h, valid = ngrams(key, 1), np.ones(len(key), bool)
-    if words:
+    if 1 in lengths:
         tell(1, np.flatnonzero(own), h)
-    for k in range(2, (MAX_WORDS if now else 1) + 1):
+    for k in range(2, max(lengths, default=1) + 1):
         if len(key) < k:
             break
         valid = valid[:-1] & joined[k - 2 :]
-        held = now.holds(h)
-        active = valid & held[:-1] & held[1:] & own[: len(valid)]
-        if past:
-            was = past.holds(h)
-            active &= ~(was[:-1] & was[1:])
-        h = ngrams(key, k)
-        tell(k, np.flatnonzero(active), h)
-        if not held.any():
-            break
+        active = valid & own[: len(valid)]
+        if k in lengths:
+            for maps, wanted in ((now, True), (past, False)):
+                if k - 1 in maps and active.any():
+                    held = maps[k - 1].holds(h)
+                    active &= (held[:-1] & held[1:]) == wanted
+        h = mix(h[:-1] + key[k - 1 :] + np.uint64(k))  # as ngrams(key, k)
+        if k in lengths:
+            tell(k, np.flatnonzero(active), h)
+    if plain:
+        return out, text, buf, starts, ends
     size = ends - starts
     begin = np.cumsum(size + 1) - size - 1
-    plain = np.full(int(size.sum()) + len(size), 32, np.uint8)  # the words with one space behind each
-    plain[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = buf[WORD[buf]]
-    return out, text, plain, begin, begin + size
+    spaced = np.full(int(size.sum()) + len(size), 32, np.uint8)  # the words with one space behind each
+    spaced[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = buf[WORD[buf]]
+    return out, text, spaced, begin, begin + size
 
 
 def _strings(plain: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -153,9 +165,9 @@ def _strings(plain: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
 
 
-def count_shard(rows: DataFrame, now, past, words: bool) -> DataFrame:
-    """rows (lang, text) -> partial counts of the active phrases; with `words`, of the single words too, and of all words as an empty phrase.
-    now, past: broadcast bitmaps or None."""
+def count_shard(rows: DataFrame, now, past, lengths: tuple[int, ...]) -> DataFrame:
+    """rows (lang, text) -> partial counts of the active phrases of some lengths; with length 1, of all single words, and of all words
+    as an empty phrase. now, past: broadcast bitmaps by the length of the subphrases."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(langs: pa.Array, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
@@ -166,10 +178,10 @@ def count_shard(rows: DataFrame, now, past, words: bool) -> DataFrame:
             code, values = langs.indices.to_numpy(), langs.dictionary
             keys = lang_keys(values.to_pylist())[code]
             for buf, offsets, limit in stretches(whole, bounds):
-                found, text, plain, begin, end = occurrences(buf, offsets, limit, keys, now and now.value, past and past.value, words)
+                found, text, plain, begin, end = occurrences(buf, offsets, limit, keys, now.value, past.value, lengths)
                 for k, at, n in found:
                     yield counted(values.take(pa.array(code[text[at]])), _strings(plain, begin[at], end[at + k - 1]), n)
-                if words:
+                if 1 in lengths:
                     own = text[: int(found[0][2].sum())]  # words that start before the limit come first
                     yield counted(values, pa.array([""] * len(values), pa.string()), np.bincount(code[own], minlength=len(values)))
 
@@ -180,17 +192,20 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int =
     """docs (doc_id, lang, text) -> (lang, k, phrase, n): every phrase of 1 to MAX_WORDS words with n >= min_count occurrences,
     and for each language a row k = 0 with the number of its words."""
     spark = docs.sparkSession
-    path, state, old, step, last = new_path(spark, "shards"), None, None, 0, -1
+    path, state, old, step = new_path(spark, "shards"), None, None, 0
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), shard.alias("shard")).write.partitionBy("shard").parquet(path)
     dealt = spark.read.schema("lang string, text string, shard int").parquet(path)
-    maps = [Bitmap(np.zeros((1 << filter_bits) // 64, np.uint64))]  # by step
+    maps = [dict.fromkeys(range(1, MAX_WORDS), Bitmap(np.zeros((1 << filter_bits) // 64, np.uint64)))]  # by step and length
     phrase = F.substring_index("key", "\t", -1)
     lang = F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(phrase) - 1)
     k = F.when(phrase == "", F.lit(0)).otherwise(F.size(F.split(phrase, " ")))
-    while step < shards or step - shards <= last:
-        sent = [spark.sparkContext.broadcast(m) if m else None for m in (maps[step] if last >= 0 else None, maps[step - shards] if step >= shards else None)]
-        found = count_shard(dealt.where(F.col("shard") == step % shards), *sent, words=step < shards).withColumn("since", F.lit(step))
+    fresh = dict.fromkeys(range(1, MAX_WORDS), -1)  # by length, the last step that told new phrases over the threshold
+    # a length is scanned while some phrase of it can be in its cycle: new subphrases were told less than a cycle ago
+    while lengths := tuple(k for k in range(1, MAX_WORDS + 1) if (step < shards if k == 1 else fresh[k - 1] >= max(0, step - shards))):
+        need = [k - 1 for k in lengths if k > 1]
+        sent = [spark.sparkContext.broadcast({k: maps[at][k] for k in need} if at >= 0 else {}) for at in (step, step - shards)]
+        found = count_shard(dealt.where(F.col("shard") == step % shards), *sent, lengths).withColumn("since", F.lit(step))
         found = found if state is None else state.unionByName(found)
         summed = found.groupBy("key").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
         at = new_path(spark, "phrases")
@@ -199,14 +214,13 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int =
         if old:
             remove(spark, old)
         for x in sent:
-            if x:
-                x.destroy()
+            x.destroy()
         hits = state.where(F.col("n") >= min_count).select(lang.alias("lang"), phrase.alias("phrase"), k.alias("k")).where(F.col("k").between(1, MAX_WORDS - 1))
-        grown, any_new = maps[step].grown(phrase_hashes(hits))
-        maps.append(grown)
+        maps.append(grown(maps[step], phrase_hashes(hits), filter_bits))
+        fresh |= {n: step for n, m in maps[-1].items() if m is not maps[step][n]}
         if step >= shards:
             maps[step - shards] = None
-        last, old, step = (step if any_new else last), at, step + 1
+        old, step = at, step + 1
     remove(spark, path)
     return state.where((F.col("n") >= min_count) | F.endswith("key", F.lit("\t"))).select(lang.alias("lang"), k.alias("k"), phrase.alias("phrase"), "n")
 
