@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from twinframe.llm.common import LOWER, blocks, cut, documents, flat, mix, new_path, ngrams, remove, spans, xxh64_spans
 
-SHARDS, MIN_COUNT, MAX_WORDS, TOP, FILTER_BITS = 3, 30, 4, 2000, 25
+#: with more shards longer phrases begin sooner, and the counts so far are joined with new ones more often
+SHARDS, MIN_COUNT, MAX_WORDS, TOP, FILTER_BITS = 2, 30, 4, 2000, 25
 BLOCK, SALTS = 4 << 20, 64
 #: bytes that end a piece, and those that part words
 PIECE_END = np.zeros(256, bool)
