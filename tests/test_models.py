@@ -7,6 +7,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,3 +428,20 @@ def test_panel_asks_for_its_coverage(spark):
     x = spark.createDataFrame([("04", dt.date(2023, 6, 1), 30.0, 20.0, 40.0)], "geoid string, valid_date date, tmax double, tmin double, rh_min double")
     with pytest.raises(ValueError, match="pop_coverage"):
         pn.build_panel(x, x.select("geoid", "valid_date", F.lit(1.0).alias("rate")), x.select("geoid", F.lit(1).alias("hhs_region")), "2023-01-01", "2023-12-31")
+
+
+def test_replicates_are_held_some_rows_at_a_time(monkeypatch):
+    """No more levels at once than rows of a chunk, and one level over several chunks is one."""
+    from twinframe.operators import resampling as rs
+
+    monkeypatch.setattr(rs, "CHUNK", 8)
+    r = np.random.default_rng(3)
+    p = np.where(r.random(300) < 0.5, 0.5, r.random(300))
+    rows = pa.table({"key": r.integers(0, 40, 300), "p": p, "pos": r.integers(0, 3, 300).astype(float), "neg": r.integers(0, 3, 300).astype(float)})
+    parts = list(rs._ranked(rows, 5, 42))
+    assert all(len(a) <= 8 and len(b) <= 8 for a, b in parts)
+    pos, neg = (np.concatenate(x) for x in zip(*parts, strict=True))
+    weights = np.stack([rs.replicate_weights(k, 5, 42) for k in rows["key"].to_pylist()])
+    for have, c in ((pos, "pos"), (neg, "neg")):
+        each = weights * rows[c].to_numpy()[:, None]
+        assert np.allclose(have, [each[p == v].sum(axis=0) for v in sorted(set(p), reverse=True)])
