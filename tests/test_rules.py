@@ -276,3 +276,12 @@ def test_filters_reach_the_scan_of_a_written_fact_table(spark, tmp_path):
     plan = known._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(geo_level" in plan and "PushedFilters: [" in plan and "variable" in plan.split("PushedFilters")[1]
     assert [(r.geoid, r.value) for r in known.collect()] == [("04001", 40.0)]
+
+
+def test_requests_are_matched_once(spark):
+    """A request's tokens are made in one place of the plan, and not again for each place of each slot."""
+    df = spark.createDataFrame([("7 días en Texas, 20% sin luz 10 horas",), (None,), ("",)], "q string")
+    got = sc.extract_params(df, "q")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2  # tokens, and codes of places
+    rows = [(r.heatwave_days, r.blackout_frac, r.blackout_hours, r.geoids) for r in got.collect()]
+    assert rows == [(7, 0.2, 10.0, ["48"]), (0, 0.0, 0.0, ["04"]), (0, 0.0, 0.0, ["04"])]

@@ -216,13 +216,14 @@ class Slot:
     kind: str = "decimal"
     scale: float = 1.0
 
-    def read(self, found: Column) -> Column:
+    def read(self, found: Column, numbers: Column) -> Column:
+        """The slot's number in a request's tokens; numbers: the places from 0 where one begins with a digit or a signed one."""
         at = lambda i: F.coalesce(F.get(found, i), F.lit(""))
         begins = lambda word: reduce(Column.__or__, [F.startswith(word, F.lit(u)) for u in self.units])
         ends = lambda word: reduce(Column.__or__, [F.endswith(word, F.lit(c)) for c in self.cues])
 
         def fits(i: Column) -> Column:
-            ok = at(i).rlike(r"^[+-]?\d\d") if self.kind == "pair" else at(i).rlike(r"^[+-]?\d")
+            ok = at(i).rlike(r"^[+-]?\d\d") if self.kind == "pair" else F.lit(True)
             if self.units:
                 ok = ok & begins(at(i + 1))
             if self.cues:
@@ -230,8 +231,7 @@ class Slot:
                 ok = ok & (near | (at(i - 1).isin(*self.fillers) & ends(at(i - 2))) if self.fillers else near)
             return ok
 
-        # places from 0; an empty request has the place 0, where nothing stands
-        first = F.get(F.filter(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))), fits), F.lit(0))
+        first = F.get(F.filter(numbers, fits), F.lit(0))
         number = F.get(found, first)
         if self.kind != "signed":
             number = F.ltrim(number, F.lit("+-"))
@@ -258,11 +258,15 @@ def extract_params(df: DataFrame, text: str, valid_from: str | None = None, vali
 
     Adds geoids (by name, then by bare code; the first place where there is none), the slots' columns, geo_level and the window.
     """
-    q = F.lower(F.coalesce(F.col(text), F.lit("")))
+    q = F.col("q_")
     named = F.array(*[F.when(q.rlike(rf"\b{n}\b"), F.lit(i)) for n, i in PLACES.items()])
     coded = F.filter(F.regexp_extract_all(q, F.lit(r"\b(\d{2})\b"), 1), lambda c: c.isin(*CODES))
     places = F.array_distinct(F.concat(F.array_compact(named), coded))
-    said = df.withColumns({"geoids": F.when(F.size(places) > 0, places).otherwise(F.array(F.lit(next(iter(PLACES.values()))))), **{name: slot.read(tokens(q)) for name, slot in SLOTS.items()}, **{f"{e}_": reduce(Column.__or__, [F.contains(q, F.lit(w)) for w in words]) for e, words in EVENTS.items()}})
+    # columns of their own, so that a request is matched once and not at each place of each slot, and slots look at its numbers alone
+    read = df.withColumn("q_", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("found_", tokens(q))
+    whole = F.sequence(F.lit(0), F.size("found_"))  # one place more than there are tokens
+    read = read.withColumn("places_", places).withColumn("numbers_", F.filter(whole, lambda i: F.coalesce(F.get("found_", i).rlike(r"^[+-]?\d"), F.lit(False))))
+    said = read.withColumns({"geoids": F.when(F.size("places_") > 0, F.col("places_")).otherwise(F.array(F.lit(next(iter(PLACES.values()))))), **{name: slot.read(F.col("found_"), F.col("numbers_")) for name, slot in SLOTS.items()}, **{f"{e}_": reduce(Column.__or__, [F.contains(q, F.lit(w)) for w in words]) for e, words in EVENTS.items()}}).drop("q_", "found_", "places_", "numbers_")
 
     def or_implied(col: str, *implied: tuple[Column, float]) -> Column:
         return F.coalesce(col, *[F.when(condition, value) for condition, value in implied])
