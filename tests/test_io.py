@@ -11,6 +11,7 @@ from twinframe.functions import dims, stages
 from twinframe.operators import bitemporal as bt
 from twinframe.operators import facttable as ft
 from twinframe.operators import panel as pn
+from twinframe.plans import queries
 from twinframe.sources import files
 from twinframe.streaming import jobs
 
@@ -176,3 +177,29 @@ def test_load_registers_and_counts(spark, tmp_path):
 def test_states(spark):
     r = {x.postal: x for x in dims.states(spark).collect()}
     assert len(r) == 52 and r["DC"].name == "District of Columbia" and r["IN"].tz == "America/Indiana/Indianapolis" and r["AZ"].hhs_region == 9 and r["PR"].hhs_region is None
+
+
+@pytest.mark.parametrize("turn", (1, -1))
+def test_reports_of_one_number_are_told_by_value(spark, turn):
+    """Of reports with one key, time and number that of the greatest value counts, however they come; null is the least."""
+    rows = [report(v, 1, 1) for v in (2.0, None, 7.0, 5.0)] + [report(v, 2, 2) for v in (None, 1.0)]
+    df = spark.createDataFrame(rows[::turn], REPORT).coalesce(1)
+    assert [r.value for r in bt.history_from_reports(df).orderBy("revision").collect()] == [7.0, 1.0]
+
+
+@pytest.mark.parametrize("turn", (1, -1))
+def test_stored_reports_of_one_number_are_told_by_value(spark, tmp_path, turn):
+    rows = [report(v, 1, 1) for v in (2.0, None, 7.0, 5.0)] + [report(v, 2, 2) for v in (None, 1.0)]
+    table = ft.FactTable(spark, f"told_facts_{turn + 1}", str(tmp_path / "facts"), 2).open()
+    table.upsert(spark.createDataFrame(rows[::turn], REPORT).coalesce(1))
+    assert [r.value for r in table.rows().orderBy("revision").collect()] == [7.0, 1.0]
+
+
+def test_micro_batches_of_several_files(spark, monkeypatch):
+    """Each part is one micro-batch also where it has more files, or fewer rows than files."""
+    monkeypatch.setattr(queries, "FILE_ROWS", 10)
+    df = spark.range(100).select("id", (F.col("id") >= 97).cast("int").alias("part"))
+    stream = queries.micro_batches(spark, df, F.col("part"), 2)
+    sizes = []
+    stream.writeStream.foreachBatch(lambda rows, k: sizes.append(rows.count())).option("checkpointLocation", queries.new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sizes == [97, 3]
