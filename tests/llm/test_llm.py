@@ -732,3 +732,19 @@ def test_url_rules_with_many_path_lengths(spark):
     pages = spark.createDataFrame([(0, "http://a.org" + long), (1, "http://b.a.org/x"), (2, "http://org/"), (3, "")], "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(pages, rules).collect()}
     assert got == {0: ("a.org" + long[:299], "block"), 1: ("a.org/x", "allow"), 2: (None, "allow"), 3: (None, "allow")}
+
+
+def test_near_copies_go_through_the_trees(spark):
+    """The stage's fingerprints are those of the sets, and a tree's links are pairs within the radius, enough to join all of them."""
+    fps = [0, 1, 3, 7 << 40, 7 << 40 | 1, (1 << 64) - 1, (1 << 64) - 1]
+    keyed = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "key long, fp long")
+    pairs = [(r.a, r.b) for r in simhash.tree_pairs(keyed).collect()]
+    assert all((fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS for a, b in pairs)
+    assert sorted(map(sorted, simhash.forest(*map(list, zip(*pairs, strict=True))))) == sorted(map(sorted, pairs)) and len({min(a, b) for a, b in pairs} | {max(a, b) for a, b in pairs}) == 7 and len(pairs) == 4
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), "", "one"]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    h, first, _ = simhash.shingle_sets(buf, offsets)
+    got = simhash.simhashes(h, first)
+    assert got[2] == 0 and int(got[0] ^ got[1]).bit_count() <= 4 and (got[[0, 3]] == simhash.fingerprint_block(buf, offsets, simhash.COPY_SHINGLE)[[0, 3]]).all()

@@ -56,7 +56,11 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.nda
 
 def fingerprint_block(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """SimHash of each text of a flat buffer."""
-    h, base = shingles(buf, offsets, shingle)
+    return simhashes(*shingles(buf, offsets, shingle))
+
+
+def simhashes(h: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """SimHash of each run of hashes; base: where each begins (n + 1). A run without any has zero."""
     count = np.diff(base)
     full = np.flatnonzero(count)
     begin = base[full]
@@ -116,8 +120,8 @@ class BKTree:
 
 
 def link_shard(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links of one shard that join just what the BK-tree finds within the radius: (value, class representative)."""
-    tree, parent = BKTree(), []
+    """A forest of the links of one shard that the BK-tree finds within the radius."""
+    tree, parent, out = BKTree(), [], []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -130,8 +134,10 @@ def link_shard(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]
         me = tree.insert(x)
         parent.append(me)
         for other in near:
-            parent[root(other)] = root(me)
-    return [(values[i], values[r]) for i in range(len(values)) if (r := root(i)) != i]
+            if (r := root(other)) != root(me):
+                parent[r] = root(me)
+                out.append((x, values[other]))
+    return out
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,11 +354,26 @@ def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("band", "lo", "hi", "root", "part", "items").mapInArrow(_tiles, "a long, b long")
 
 
+def tree_pairs(keyed: DataFrame) -> DataFrame:
+    """(a, b): candidate pairs of `keyed` (key, fp) from the BK-trees of the fingerprints. Keys of one fingerprint are dealt into parts:
+    each meets the least of its part, and that the least of all."""
+    parted = keyed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    lows = cut(parted.groupBy("fp", "part").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")), "copy_fingerprints")
+    least = lows.groupBy("fp").agg(F.min("low").alias("least"))
+    same = parted.join(lows.where("n > 1"), ["fp", "part"]).where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    parts = lows.join(least, "fp").where("low <> least").select(F.col("low").alias("a"), F.col("least").alias("b"))
+    at = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_key"))
+    near = cut(links(least.select("fp")), "tree_links").distinct().join(at("a"), "a").join(at("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    return cut(same.unionByName(parts).unionByName(near), "tree_pairs")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, key, root): one row per input row; rows share a root just if candidate pairs of SIMILARITY or more join them.
 
-    Rows of one shingle set share a key. Candidates share a band. In a band each key is first compared with the least of its
-    part and that with the least of all. The keys of bands that these links don't join as a whole are compared in tiles.
+    Rows of one shingle set share a key, and keys have a SimHash of the same shingles. Candidates come from the fingerprints' BK-trees:
+    keys of one fingerprint, each with the least of them, and the least keys of two fingerprints that a tree links. Those that a
+    tree can't reach share a band. In a band each key is compared with the least of its part and that with the least of all.
+    All candidates are held to the exact index. The keys of bands that these links don't join as a whole are compared in tiles.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +381,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             h, first, key = shingle_sets(buf, offsets)
             found = pa.array(bands(h, first).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), found)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key.view(np.int64)), lists], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key.view(np.int64)), pa.array(simhashes(h, first).view(np.int64)), lists], ["doc_id", "key", "fp", "bands"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, offsets in blocks(batches, "text", BLOCK):
@@ -369,13 +390,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(items, pa.binary())], ["key", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sign = cut(texts.mapInArrow(signed, "doc_id long, key long, bands array<long>"), "bands")
+    sign = cut(texts.mapInArrow(signed, "doc_id long, key long, fp long, bands array<long>"), "bands")
     keyed = sign.select("key", F.explode("bands").alias("band")).distinct()
     sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
     met = cut(keyed.join(sizes.select("band", "least"), "band").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS))), "met")
     low = met.groupBy("band", "part").agg(F.min("key").alias("low"), F.first("least").alias("least"))
     pairs = met.join(low.select("band", "part", "low"), ["band", "part"]).select(F.col("key").alias("a"), F.col("low").alias("b")).unionByName(low.select(F.col("low").alias("a"), F.col("least").alias("b")))
-    wanted = met.select("key").distinct()
+    trees = tree_pairs(sign.select("key", "fp").distinct())
+    pairs = pairs.unionByName(trees)
+    wanted = met.select("key").unionByName(trees.select(F.col("a").alias("key"))).unionByName(trees.select(F.col("b").alias("key"))).distinct()
     sets = cut(texts.select("text").mapInArrow(listed, "key long, items binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("items").alias("items")), "sets")
     some = cut(confirmed(pairs.where("a <> b").distinct(), sets), "links")
     rooted = cut(met.select("band", "key").join(components(some), F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root")), "rooted")
