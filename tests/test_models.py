@@ -445,3 +445,14 @@ def test_replicates_are_held_some_rows_at_a_time(monkeypatch):
     for have, c in ((pos, "pos"), (neg, "neg")):
         each = weights * rows[c].to_numpy()[:, None]
         assert np.allclose(have, [each[p == v].sum(axis=0) for v in sorted(set(p), reverse=True)])
+
+
+def test_models_score_in_a_session_with_tags(spark):
+    """A fitted model holds nothing of its session, which can't be sent to tasks once it has had a tag."""
+    own = spark.newSession()
+    own.addTag("used")
+    x = own.createDataFrame(panel(spark).toPandas())
+    specs = md.ladder(["a", "b"], "a", trees=2, rounds=2)
+    assert all(md.score(md.fit(s, x), x).where("p between 0 and 1").count() == 600 for s in specs)
+    assert all(md.score(md.search(s, x, "geoid", folds=2, n=2)[0], x).count() == 600 for s in specs[1:3])
+    assert {r.feature for r in ex.permutation_importance(lambda df: md.score(md.fit(specs[1], x), df), x, ["a", "b"], "id", 2).collect()} == {"a", "b"}
