@@ -456,3 +456,29 @@ def test_models_score_in_a_session_with_tags(spark):
     assert all(md.score(md.fit(s, x), x).where("p between 0 and 1").count() == 600 for s in specs)
     assert all(md.score(md.search(s, x, "geoid", folds=2, n=2)[0], x).count() == 600 for s in specs[1:3])
     assert {r.feature for r in ex.permutation_importance(lambda df: md.score(md.fit(specs[1], x), df), x, ["a", "b"], "id", 2).collect()} == {"a", "b"}
+
+
+def test_permutation_deals_rows_once(spark, tmp_path):
+    """However many copies, rows are shuffled once and no window sorts each copy."""
+    x = panel(spark, 60)
+    x.write.parquet(str(tmp_path / "x"))
+    plan = ex.permuted(spark.read.parquet(str(tmp_path / "x")), ["a", "b"], "id", 5, 0, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_auc_over_many_ranges(spark, monkeypatch):
+    """Ranges of a few rows, groups, ties, NaN and null, against all pairs; a common score is one row of a batch."""
+    monkeypatch.setattr(st, "RANGE_ROWS", 7)
+    r = np.random.RandomState(5)
+    rows = [(["u", "v", None][i % 3], int(r.randint(2)), float(r.randint(20)) if i % 4 else 3.0) for i in range(300)]
+    rows += [("u", 1, float("nan")), ("u", 0, float("nan")), ("u", 1, None), ("one", 1, 0.5), ("w", None, 0.5)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    got = {x.g: x for x in st.auc(df, "s", by=("g",)).collect()}
+    for g in ("u", "v", None):
+        own = [(y, 99.0 if s != s else s) for h, y, s in rows if h == g and s is not None]
+        y, s = zip(*own, strict=True)
+        assert math.isclose(got[g].auc, brute_auc(y, s), abs_tol=1e-12) and (got[g].n_pos, got[g].n_neg) == (sum(y), len(y) - sum(y))
+    assert got["one"].auc is None and got["w"].auc is None and set(got) == {"u", "v", None, "one", "w"}
+    whole = [(y, s) for _, y, s in rows[:300]]
+    assert math.isclose(st.auc(df.where("s < 50"), "s").first().auc, brute_auc(*zip(*[w for w in whole + [(1, 0.5)]], strict=True)), abs_tol=1e-12)
+    assert tuple(st.auc(df.limit(0), "s").first()) == (None, None, None) and st.auc(df, "s").schema["n_pos"].dataType.simpleString() == "bigint"

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from twinframe.operators import stats
 from twinframe.operators.quantiles import percentiles
@@ -69,28 +72,37 @@ def global_importance(attributions: DataFrame) -> DataFrame:
 
 def permuted(df: DataFrame, features: Sequence[str], id_col: str, repeats: int, seed: int, blocks: int) -> DataFrame:
     """df once as it is (feature ''), and once for each feature and repeat with that feature's values moved on along a random order of
-    the rows of each random block: all from one scan, each copy of a row by one window."""
-    each = [F.struct(F.lit("").alias("feature"), F.lit(0).alias("rep"))] + [F.struct(F.lit(c).alias("feature"), F.lit(r).alias("rep")) for c in features for r in range(repeats)]
-    rows = df.withColumn("k_", F.explode(F.array(*each)))
-    salt = lambda n: F.xxhash64(F.lit(seed + n), F.col("k_.feature"), F.col("k_.rep"), F.col(id_col))
-    rows = rows.select("*", F.pmod(salt(0), F.lit(blocks)).alias("block_"), salt(1).alias("place_"))
-    own = F.lit(None).cast("double")
-    for c in features:
-        own = F.when(F.col("k_.feature") == c, F.col(c).cast("double")).otherwise(own)
-    around = Window.partitionBy("k_", "block_").orderBy("place_", id_col)
-    first = F.first("own_").over(around.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = F.lead(F.lit(1)).over(around).isNull()
-    moved = rows.withColumn("own_", own).withColumn("next_", F.when(last, first).otherwise(F.lead("own_").over(around)))
-    named = {c: F.when(F.col("k_.feature") == c, F.col("next_")).otherwise(F.col(c)) for c in features}
-    return moved.withColumns(named).withColumns({"feature": F.col("k_.feature"), "rep": F.col("k_.rep")}).drop("k_", "block_", "place_", "own_", "next_")
+    the rows of each random block. Rows are scanned and dealt to their blocks once; a task moves a block's values for all copies."""
+    copies, names = [(c, r) for c in features for r in range(repeats)], df.columns
+    own = {c: f"own{i}_" for i, c in enumerate(dict.fromkeys(features))}
+    rows = df.withColumn("block_", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks))).repartition("block_")
+    rows = rows.select("*", *[F.col(c).cast("double").alias(o) for c, o in own.items()], *[F.xxhash64(F.lit(seed + 1), F.lit(c), F.lit(r), F.col(id_col)).alias(f"place{i}_") for i, (c, r) in enumerate(copies)])
+
+    def move(table: pa.Table) -> pa.Table:
+        n, taken = table.num_rows, [pa.array([], pa.float64())]
+        for i, (c, _) in enumerate(copies):
+            order = np.argsort(table[f"place{i}_"].to_numpy(), kind="stable")
+            after = np.empty_like(order)
+            after[order] = np.roll(order, -1)
+            taken.append(table[own[c]].combine_chunks().take(pa.array(after)))
+        by_row = pa.concat_arrays(taken).take(pa.array(np.arange(len(copies) * n).reshape(len(copies), n).T.ravel()))
+        moved = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(copies), pa.int32()), by_row)
+        return table.select(names).append_column("moved_", moved)
+
+    moved = rows.groupBy("block_").applyInArrow(move, StructType([*df.schema.fields, StructField("moved_", ArrayType(DoubleType()))]))
+    copy = lambda c, r, v: F.struct(F.lit(c).alias("feature"), F.lit(r).alias("rep"), v.alias("v"))
+    each = [copy("", 0, F.lit(None).cast("double")), *[copy(c, r, F.get("moved_", F.lit(i))) for i, (c, r) in enumerate(copies)]]
+    out = moved.select(*names, F.explode(F.array(*each)).alias("k_"))
+    return out.select(*[F.when(F.col("k_.feature") == c, F.col("k_.v")).otherwise(F.col(c)).alias(c) if c in own else c for c in names], "k_.feature", "k_.rep")
 
 
 def permutation_importance(score: Callable[[DataFrame], DataFrame], df: DataFrame, features: Sequence[str], id_col: str, repeats: int = 5, seed: int = 0) -> DataFrame:
     """Mean and deviation of the AUC's fall when one feature is shuffled; df is read and scored once for all features and repeats."""
     blocks = df.count() // BLOCK + 1
     a = stats.auc(score(permuted(df, features, id_col, repeats, seed, blocks)), "p", by=("feature", "rep"))
-    base = a.where("feature = ''").select(F.col("auc").alias("base_"))
-    return a.where("feature <> ''").join(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base_") - F.col("auc")).alias("auc_drop"), F.stddev_pop(F.col("base_") - F.col("auc")).alias("sd"))
+    base = F.max(F.when(F.col("feature") == "", F.col("auc"))).over(Window.partitionBy())  # over a row for each copy
+    fall = a.withColumn("fall_", base - F.col("auc")).where("feature <> ''")
+    return fall.groupBy("feature").agg(F.avg("fall_").alias("auc_drop"), F.stddev_pop("fall_").alias("sd"))
 
 
 def grouped_load(attributions: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:

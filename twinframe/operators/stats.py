@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, FractionalType, IntegralType, StructField, StructType
 
 from twinframe.functions.stages import written
 from twinframe.operators.quantiles import percentiles
-from twinframe.operators.resampling import block_bootstrap  # noqa: F401  (part of this module's interface)
+from twinframe.operators.resampling import RANGE_ROWS, block_bootstrap  # noqa: F401  (block_bootstrap is part of this module's interface)
 
 EDGES = 64
 #: fixed values: critical values of the studentised range for infinite degrees of freedom at 0.05, over sqrt(2), by number of models
@@ -50,9 +52,58 @@ def midrank(df: DataFrame, col: str) -> DataFrame:
     return v.select("value", "n", (F.col("below") + (F.col("n") + 1) / 2).alias("midrank"))
 
 
+def _runs(rows: pa.RecordBatch, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows' order by group and score s_, and in it the first places of each level of a group and of each group."""
+    codes = [rows.column(n).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for n in names]
+    s = rows.column("s_").to_numpy()
+    order = np.lexsort((s, *codes))
+    group, s = np.arange(len(s)) == 0, s[order]
+    for c in codes:
+        group[1:] |= c[order][1:] != c[order][:-1]
+    level = group.copy()
+    level[1:] |= (s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))
+    return order, np.flatnonzero(level), np.flatnonzero(group)
+
+
 def auc(df: DataFrame, score: str, y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
-    """One row, or one for each group; null where a class is missing."""
-    return auc_of(levels(df, score, y, by), by)
+    """One row, or one for each group; null where a class is missing.
+
+    Rows are dealt by ranges of group and score, and a range gives one row for each of its groups. Equal scores are summed before,
+    batch by batch, so a common one fills no range.
+    """
+    types = {c: df.schema[c].dataType for c in (score, y)}
+    if not isinstance(types[score], FractionalType) or not isinstance(types[y], (IntegralType, DoubleType)) or isinstance(types[score], DecimalType):
+        return auc_of(levels(df, score, y, by), by)
+    names = [f"g{i}_" for i in range(len(by))]
+    rows = df.where(F.col(score).isNotNull()).select(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], F.col(score).cast("double").alias("s_"), *[F.coalesce(c, F.lit(0)).cast("double").alias(n) for c, n in ((F.col(y), "pos_"), (1 - F.col(y), "neg_"))])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                order, level, _ = _runs(rows, names)
+                at = pa.array(order[level])
+                yield pa.RecordBatch.from_arrays([*[rows.column(n).take(at) for n in (*names, "s_")], *[pa.array(np.add.reduceat(rows.column(c).to_numpy()[order], level)) for c in ("pos_", "neg_")]], [*names, "s_", "pos_", "neg_"])
+
+    def won(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        rows = pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+        order, level, group = _runs(rows, names)
+        pos, neg = (np.add.reduceat(rows.column(c).to_numpy()[order], level) for c in ("pos_", "neg_"))
+        first = np.searchsorted(level, group)  # each group's first level
+        below = np.cumsum(neg) - neg
+        below -= np.repeat(below[first], np.diff(np.append(first, len(level))))
+        at = pa.array(order[group])
+        yield pa.RecordBatch.from_arrays([*[rows.column(n).take(at) for n in (*names, "s_")], *[pa.array(np.add.reduceat(v, first)) for v in (pos, neg, pos * (below + neg / 2))]], [*names, "s_", "pos_", "neg_", "won_"])
+
+    dealt = written(rows.mapInArrow(summed, rows.schema), "scores")
+    ranges = max(1, -(-dealt.count() // RANGE_ROWS))
+    parts = dealt.repartitionByRange(ranges, *names, "s_").mapInArrow(won, StructType([*rows.schema.fields, StructField("won_", DoubleType())]))
+    before = Window.partitionBy(*names).orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    parts = parts.withColumn("before_", F.coalesce(F.sum("neg_").over(before), F.lit(0.0)))
+    out = parts.groupBy(*names).agg(F.try_divide(F.sum(F.col("won_") + F.col("pos_") * F.col("before_")), F.sum("pos_") * F.sum("neg_")).alias("auc"), *[F.sum(c).cast("long" if isinstance(types[y], IntegralType) else "double").alias(n) for c, n in (("pos_", "n_pos"), ("neg_", "n_neg"))])
+    return out.select(*[F.col(n).alias(b) for n, b in zip(names, by, strict=True)], "auc", "n_pos", "n_neg")
 
 
 def auc_of(v: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
