@@ -482,3 +482,12 @@ def test_auc_over_many_ranges(spark, monkeypatch):
     whole = [(y, s) for _, y, s in rows[:300]]
     assert math.isclose(st.auc(df.where("s < 50"), "s").first().auc, brute_auc(*zip(*[w for w in whole + [(1, 0.5)]], strict=True)), abs_tol=1e-12)
     assert tuple(st.auc(df.limit(0), "s").first()) == (None, None, None) and st.auc(df, "s").schema["n_pos"].dataType.simpleString() == "bigint"
+
+
+def test_rungs_of_a_fold_share_their_dealing(spark, monkeypatch):
+    """Inner folds are dealt and written once a fold, however many rungs search over them."""
+    calls, real = [], md.group_folds
+    monkeypatch.setattr(md, "group_folds", lambda *a: calls.append(1) or real(*a))
+    x = panel(spark)
+    run = md.train(x, md.ladder(["a", "b"], "b", trees=2, rounds=2)[1:3], md.outer_folds(x), ["id"], group="geoid", inner=2, n=1)
+    assert len(calls) == 2 and set(run.fitted) == {(f, m) for f in ("2022", "2023") for m in ("logistic", "forest")}
