@@ -4,6 +4,8 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from twinframe.llm import language
 
@@ -36,3 +38,18 @@ def test_real_sentences_stay_and_others_go(spark):
     kept = {r.doc_id for r in language.keep_known(docs.unionByName(extra)).select("doc_id").collect()}
     assert [t for i, (stays, t) in enumerate(texts) if (10**8 + i in kept) != stays] == []
     assert sum(k < 10**8 for k in kept) == docs.count()
+
+
+def test_every_labelled_document_counts(spark):
+    """A language whose labelled rows come after 8,000 others is learned and stays; the typical gain is that of all held-out rows."""
+    ids = spark.range(11_500).select(F.col("id").alias("doc_id"))
+    last = F.row_number().over(Window.orderBy(language.held_out(F.col("doc_id")), F.xxhash64("doc_id"), "doc_id")).between(8_001, 8_500)
+    lang = F.when(last, "fi").otherwise("en")
+    docs = ids.withColumn("lang", lang).withColumn("text", F.when(F.col("lang") == "fi", OTHER[0]).otherwise("The weather is nice today, please send me the report."))
+    assert docs.where("lang = 'fi'").where(~language.held_out(F.col("doc_id"))).count() == 500
+    kept = language.keep_known(docs)
+    assert {(r.lang, r["count"]) for r in kept.groupBy("lang").count().collect()} == {("en", 11_000), ("fi", 500)}
+    held = ids.where(language.held_out(F.col("doc_id")))
+    rank = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    scored = held.select("doc_id", F.lit("t").alias("text"), F.lit("en").alias("lang"), rank.cast("double").alias("gain_"), F.lit(1).alias("bytes_"))
+    assert language.typical(scored) == (held.count() + 1) / 2

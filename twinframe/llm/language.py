@@ -6,7 +6,7 @@ probabilities; a forward pass computes it. Piece probabilities are learned by ex
 the word counts of labelled documents. Words are lower-cased runs of letters; runs over 31 bytes are scored in
 stretches of 31. Words never share a piece, so a text's score is the sum over its distinct words.
 
-Bound: the model is fitted on FIT_ROWS labelled documents at most, chosen by a hash of their ids; every document is scored.
+The model is fitted on every labelled document given for learning, and every document is scored.
 Defined results: null or letterless text is `und` with score 0, as is everything when nothing is labelled;
 equal texts get equal rows; ties go to the language that sorts first.
 """
@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.llm.common import LETTER, LOWER, Members, blocks, cut, documents, spans, xxh64_spans
+from twinframe.operators.quantiles import percentiles
 
-FIT_ROWS, EM_ROUNDS, MAX_PIECE, MAX_WORD = 8000, 4, 12, 31
-#: held-out labelled documents whose typical gain is the measure of keep_known, and the share of it that a text must reach
-TYPICAL_ROWS, MIN_SHARE = 1000, 0.17
+EM_ROUNDS, MAX_PIECE, MAX_WORD = 4, 12, 31
+#: words that a task of the fit learns from at a time
+FIT_WORDS = 16384
+#: the share of labelled documents' typical gain that a text must reach in keep_known
+MIN_SHARE = 0.17
 #: bytes of typical text added to each text, so that a word or two decide nothing, and what one word weighs at most
 PRIOR_BYTES, WORD_BYTES = 6, 8
 #: bytes of text that are scored at a time; a longer text stands alone
@@ -98,13 +101,14 @@ class Lattice:
         alpha = self.forward(arcs, n, width, p)
         beta = np.zeros_like(alpha)
         beta[lengths, np.arange(n)] = counts / np.maximum(alpha[lengths, np.arange(n)], 1e-300)
-        out = np.zeros((self.size, p.shape[1]))
+        used, which = [np.zeros((0, p.shape[1]))], [np.zeros(0, np.int64)]
         for end, size, rows, ids in reversed(arcs):
             back = beta[end, rows] * p[ids]
-            for k in range(p.shape[1]):
-                out[:, k] += np.bincount(ids, alpha[end - size, rows, k] * back[:, k], self.size)
+            used.append(alpha[end - size, rows] * back)
+            which.append(ids)
             beta[end - size, rows] += back
-        return out
+        used, which = np.concatenate(used), np.concatenate(which)
+        return np.stack([np.bincount(which, used[:, k], self.size) for k in range(p.shape[1])], axis=1)
 
 
 def _cut_long(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,12 +170,10 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(task, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = EM_ROUNDS, vocabulary: str | None = None) -> tuple[list[str], np.ndarray, list[bytes], np.ndarray]:
-    """docs (doc_id, text, lang), all of them for learning: languages, piece probabilities, pieces, log priors."""
+def fit(docs: DataFrame, rounds: int = EM_ROUNDS, vocabulary: str | None = None) -> tuple[list[str], np.ndarray, list[bytes], np.ndarray]:
+    """docs (text, lang), all of them for learning: languages, piece probabilities, pieces, log priors."""
     pieces = load_pieces(vocabulary)
-    ids = docs.where("lang is not null and text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = docs.where("lang is not null and text is not null").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    counts = cut(word_counts(sample), "words")
+    counts = cut(word_counts(docs.where("lang is not null and text is not null")), "words")
     share = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(share)
     p = np.full((len(pieces), len(langs)), 1 / len(pieces))
@@ -179,16 +181,28 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = EM_ROUNDS, voca
 
         def task(batches: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(pieces), np.zeros((len(pieces), len(langs)))
+
+            def learn(rows: pa.Table) -> None:
+                lang = np.array([langs.index(x) for x in rows.column("lang").to_pylist()])
+                words, n = rows.column("word").to_pylist(), rows.column("n").to_numpy()
+                for k in np.unique(lang):
+                    at = np.flatnonzero(lang == k)
+                    own = [words[i] for i in at]
+                    lengths = np.array([len(w) for w in own])
+                    ends = np.cumsum(lengths)
+                    m, lengths, order = _matrix(np.frombuffer(b"".join(own), np.uint8), ends - lengths, ends, np.zeros(len(own), bool))
+                    total[:, k] += lattice.expected(m, lengths, p[:, k : k + 1], n[at[order], None])[:, 0]
+
+            held, size = [], 0
             for batch in batches:
-                for lo in range(0, batch.num_rows, 8192):
-                    part = batch.slice(lo, 8192)
-                    words = part.column("word").to_pylist()
-                    ends = np.cumsum([len(w) for w in words])
-                    starts = ends - np.array([len(w) for w in words])
-                    m, lengths, order = _matrix(np.frombuffer(b"".join(words), np.uint8), starts, ends, np.zeros(len(words), bool))
-                    n = np.zeros((len(words), len(langs)))
-                    n[np.arange(len(words)), [langs.index(x) for x in part.column("lang").to_pylist()]] = part.column("n").to_numpy()
-                    total += lattice.expected(m, lengths, p, n[order])
+                for lo in range(0, batch.num_rows, FIT_WORDS):
+                    held.append(batch.slice(lo, FIT_WORDS))
+                    size += held[-1].num_rows
+                    if size >= FIT_WORDS:
+                        learn(pa.Table.from_batches(held))
+                        held, size = [], 0
+            if size:
+                learn(pa.Table.from_batches(held))
             i, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(total[i, k])], ["piece", "lang", "n"])
 
@@ -281,6 +295,13 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def typical(scored: DataFrame) -> float:
+    """The median gain by byte over the labelled documents that are held out of the fit, or over all labelled ones where none is."""
+    own = scored.where("lang is not null and text is not null and bytes_ > 0").select(held_out(F.col("doc_id")).alias("held_out"), (F.col("gain_") / F.col("bytes_")).alias("x"))
+    found = {r.held_out: r.value for r in percentiles(own, "x", [0.5], ["held_out"]).collect()}
+    return found.get(True, found.get(False, 0.0))
+
+
 def keep_known(docs: DataFrame, min_score: float = 0.3, min_share: float = MIN_SHARE) -> DataFrame:
     """The documents' columns, without documents of no language, of a score under `min_score`, or of no learned language.
 
@@ -288,17 +309,15 @@ def keep_known(docs: DataFrame, min_score: float = 0.3, min_share: float = MIN_S
     also weighed under the found language against no language (see against_none): its gain in log probability by byte, -1 at
     least and for a word of bytes that no learned language uses; words beside digits, as in keys, don't count. A text's gain is
     the mean over its words by their bytes (WORD_BYTES at most) and PRIOR_BYTES bytes of typical text. It doesn't grow with the length,
-    and must reach `min_share` of the typical gain: the median over TYPICAL_ROWS labelled documents held out of the fit (a documented
-    sample; of those in it where none is held out). Where nothing is labelled, no document stays.
+    and must reach `min_share` of the typical gain: the median over all labelled documents held out of the fit (over all of those in
+    it where none is held out). Where nothing is labelled, no document stays.
     """
-    labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    model = fit(labelled.where(~held_out(F.col("doc_id"))))
+    model = fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
     if not model[0]:
         return docs.limit(0)
-    model = against_none(model)
-    first = labelled.orderBy(~held_out(F.col("doc_id")), F.xxhash64("doc_id"), "doc_id").limit(TYPICAL_ROWS)
-    usual = _score(first, model, "text", ["doc_id"])[0].where("bytes_ > 0").agg(F.median(F.col("gain_") / F.col("bytes_"))).first()[0] or 0.0
-    found, names = _score(docs, model, "text", docs.columns)
+    found, names = _score(docs, against_none(model), "text", docs.columns)
+    found = cut(found, "scored")
+    usual = typical(found.select(*[F.col(names[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text", "lang")], "gain_", "bytes_"))
     gain = (F.col("gain_") + PRIOR_BYTES * usual) / (F.col("bytes_") + PRIOR_BYTES)
     known = (F.col("lang_") != "und") & (F.col("score_") >= min_score) & (gain >= min_share * usual)
     return found.where(known).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
@@ -306,6 +325,6 @@ def keep_known(docs: DataFrame, min_score: float = 0.3, min_share: float = MIN_S
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit(docs.where(~held_out(docs.doc_id)).select("doc_id", "text", "lang"))
+    model = fit(docs.where(~held_out(docs.doc_id)).select("text", "lang"))
     found = predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
