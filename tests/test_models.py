@@ -491,3 +491,18 @@ def test_rungs_of_a_fold_share_their_dealing(spark, monkeypatch):
     x = panel(spark)
     run = md.train(x, md.ladder(["a", "b"], "b", trees=2, rounds=2)[1:3], md.outer_folds(x), ["id"], group="geoid", inner=2, n=1)
     assert len(calls) == 2 and set(run.fitted) == {(f, m) for f in ("2022", "2023") for m in ("logistic", "forest")}
+
+
+def test_fold_scores_rank_rows_once(spark):
+    """AUC and average precision come from one ranking: the scores are grouped by value in a single pass."""
+    x = panel(spark, 60)
+    oof = x.select("id", "y", F.lit("f").alias("fold"), F.lit("m").alias("model"), (F.col("a") / 10 + 0.5).alias("p"))
+    seen, real = [], st.levels
+    st.levels = lambda *a, **k: seen.append(1) or real(*a, **k)
+    try:
+        r = md.fold_scores(oof).first()
+    finally:
+        st.levels = real
+    rows = oof.toPandas()
+    assert len(seen) == 1 and math.isclose(r.auc, brute_auc(rows.y, rows.p), abs_tol=1e-12) and (r.n_pos, r.n_neg) == (rows.y.sum(), 60 - rows.y.sum())
+    assert "MapInArrow" not in md.fold_scores(oof)._jdf.queryExecution().executedPlan().toString()
